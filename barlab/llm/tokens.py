@@ -72,17 +72,18 @@ class Encoder:
             core = chunk.rstrip(_MARKS)
             if core.isalpha() and (core.isascii() or _LATIN.fullmatch(core)):
                 plain.append(chunk)
-                cores.append(" " + core if spaced else core.lower())
+                cores.append(core if spaced else core.lower())
                 tails.append(chunk[len(core) :])
             else:
                 odd.append(chunk)
-        words, marks = list(set(cores)), list(set(tails))
-        parts: dict[str, bytes] = {}
+        # a word without marks is a chunk too, so that it is encoded once whatever marks follow it
+        words, marks = list(set(cores).difference(self._chunks)), list(set(tails))
         for i in range(0, len(words), 4096):
             some = words[i : i + 4096]
-            parts.update(zip(some, self._words(some), strict=True))
+            self._chunks.update(zip(some, self._words([" " + w for w in some] if spaced else some), strict=True))
         ends = dict(zip(marks, self._library(marks), strict=True))
-        self._chunks.update(zip(plain, map(bytes.__add__, map(parts.__getitem__, cores), map(ends.__getitem__, tails)), strict=True))
+        marked = [(chunk, core, tail) for chunk, core, tail in zip(plain, cores, tails, strict=True) if chunk is not core and chunk != core]
+        self._chunks.update((chunk, self._chunks[core] + ends[tail]) for chunk, core, tail in marked)
         if odd:
             exact = odd
             if spaced:
