@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES and ORACLE_SQL.
-MODULES = ("statistics", "performance")
+MODULES = ("text", "universe", "scoring")
 
 
 def _merged(what: str) -> dict:
