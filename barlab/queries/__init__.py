@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES and ORACLE_SQL.
-MODULES = ("text", "universe", "scoring")
+MODULES = ("detectors",)
 
 
 def _merged(what: str) -> dict:
