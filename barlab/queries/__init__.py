@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES and ORACLE_SQL.
-MODULES = ("detectors",)
+MODULES = ("bars", "windows", "folds", "outcomes", "statistics", "performance", "scoring", "text", "universe", "detectors", "streams")
 
 
 def _merged(what: str) -> dict:

@@ -1,11 +1,18 @@
-"""F, G and H: structures, features, regimes and detectors."""
+"""F, G, H, R and the compositions."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barlab.functions import folds, indicators as I
+from barlab.functions import folds
 from barlab.operators import detect as D
+from barlab.operators import features as G
+from barlab.operators import resample, score
+from barlab.operators import structures as S
+from barlab.plans import compose
+from barlab.queries.folds import _D, ATR_SQL
+from barlab.queries.sql import CLOSED, DAILY, HOURLY, K, lag, over
+from barlab.sources import bars as store
 from barlab.sources import fixtures
 
 SIGNAL = ["symbol", "tf", "ts", "pattern", "bias", *("entry", "stop", "t1", "t2", "confidence")]
@@ -19,6 +26,15 @@ def detect_daily(spark, sf_dir):
     return _signals(D.detect(D.wide(fixtures.daily(spark, sf_dir)), D.daily_detectors()))
 
 
+_WITH_ORACLE = ("momentum_breakout", "range_expansion_long", "range_expansion_short", "volume_breakout_long", "volume_breakout_short", "rs_persistence_long", "high_momentum_52w")
+
+
+def detect_daily_windows(spark, sf_dir):
+    """Those daily patterns that SQL can follow with one recursion."""
+    picked = [d for d in D.daily_detectors() if d.name in _WITH_ORACLE]
+    return _signals(D.detect(D.wide(fixtures.daily(spark, sf_dir)), picked))
+
+
 def detect_swing(spark, sf_dir):
     bars = fixtures.intraday(spark, sf_dir).unionByName(fixtures.intraday(spark, sf_dir, 15))
     return _signals(D.detect(D.wide(bars), D.swing_detectors()))
@@ -32,6 +48,136 @@ def power_hour(spark, sf_dir):
     return _signals(D.power_hour(D.wide(fixtures.intraday(spark, sf_dir, 5))))
 
 
-QUERIES = {f.__name__: f for f in (detect_daily, detect_swing, detect_intraday, power_hour)}
-ORACLE_SQL: dict = {}
-_ = folds, I
+def _pivots(spark, sf_dir, order: int = 5):
+    return S.swing_pivots(resample.with_index(fixtures.daily(spark, sf_dir)), order)
+
+
+def swing_pivots(spark, sf_dir):
+    return _pivots(spark, sf_dir).select("symbol", "pivot", "confirm", "price", "kind")
+
+
+def swing_helpers(spark, sf_dir):
+    return S.swing_helpers(_pivots(spark, sf_dir)).drop("tf")
+
+
+def fit_trendline(spark, sf_dir):
+    out = S.fit_trendline(S.last_pivots(_pivots(spark, sf_dir), 6), "symbol", "tf", "kind")
+    return out.select("symbol", "kind", F.round("slope", 6).alias("slope"), F.round("r2", 6).alias("r2"), "points", "start", "end")
+
+
+def detect_channel(spark, sf_dir):
+    out = S.channels(_pivots(spark, sf_dir, 3), 3, 0.3)
+    return out.select("symbol", *(F.round(x, 5).alias(x) for x in ("width_start", "width_end", "mid_slope", "compression", "bars_to_meet")), "converging", "same_sign")
+
+
+def cluster_levels(spark, sf_dir):
+    return S.cluster_levels(_pivots(spark, sf_dir)).select("symbol", F.round("price", 4).alias("price"), "touches", F.round("width", 4).alias("width"), "type")
+
+
+def detect_breakouts(spark, sf_dir):
+    bars = resample.with_index(fixtures.daily(spark, sf_dir))
+    return S.detect_breakouts(S.cluster_levels(_pivots(spark, sf_dir), 0.004), bars, 40).select("symbol", F.round("price", 4).alias("price"), "k", "side")
+
+
+def nearest_level(spark, sf_dir):
+    bars = resample.with_index(fixtures.daily(spark, sf_dir)).where("k % 50 = 0")
+    return S.nearest_level(bars, _pivots(spark, sf_dir)).select("symbol", "k", "c", "level")
+
+
+def as_of_regime(spark, sf_dir):
+    """Closed trades with the benchmark's last close at or before the entry."""
+    trades = store.history_union(fixtures.trades(spark, sf_dir)).select(F.lit("STANDARD").alias("market"), F.col("entered_at").alias("ts"), "id")
+    ref = fixtures.daily(spark, sf_dir).where("symbol = 'STANDARD'").select(F.col("symbol").alias("market"), "ts", "c")
+    return S.as_of_join(trades, ref, "market", "ts", ["c"]).select("id", "ts", "c")
+
+
+def feature_vector(spark, sf_dir):
+    out = G.feature_vector(fixtures.daily(spark, sf_dir), "STANDARD")
+    return out.select("symbol", "ts", *(F.round(x, 5).alias(x) for x in (*score.FEATURES, "composite")))
+
+
+def detect_regime(spark, sf_dir):
+    return G.detect_regime(fixtures.daily(spark, sf_dir), "STANDARD").select("symbol", "ts", "regime")
+
+
+def regime_alignment(spark, sf_dir):
+    return G.detect_regime(fixtures.daily(spark, sf_dir), "STANDARD").select("symbol", "ts", G.alignment(F.col("regime"), F.lit("momentum")).cast("long").alias("momentum"), G.alignment(F.col("regime"), F.lit("breakout")).cast("long").alias("breakout"))
+
+
+def relative_strength(spark, sf_dir):
+    out = G.relative_strength(fixtures.intraday(spark, sf_dir), "view")
+    return out.select("symbol", "day", *(F.round(x, 6).alias(x) for x in ("ret", "bret", "spread", "agreement")), "grade")
+
+
+def scan(spark, sf_dir):
+    return compose.scan(fixtures.daily(spark, sf_dir)).select("symbol", "pattern_name", "bias", "composite", F.col("rank").cast("long").alias("rank"))
+
+
+def walk_forward_backtest(spark, sf_dir):
+    out = compose.walk_forward_backtest(fixtures.daily(spark, sf_dir), D.daily_detectors())
+    return out.select("symbol", "tf", "k", "pattern", "bias", "outcome", "r", "k_exit")
+
+
+def breakout_study(spark, sf_dir):
+    return compose.breakout_study(fixtures.intraday(spark, sf_dir)).withColumn("total_r", F.round("total_r", 6))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        detect_daily, detect_daily_windows, detect_swing, detect_intraday, power_hour, swing_pivots, swing_helpers, fit_trendline, detect_channel, cluster_levels, detect_breakouts, nearest_level, as_of_regime,
+        feature_vector, detect_regime, regime_alignment, relative_strength, scan, walk_forward_backtest, breakout_study,
+    )
+}
+
+
+def _pv(order: int) -> str:
+    return f"""{DAILY}, kb AS (SELECT *, {K} - 1 AS k FROM daily), pv AS (SELECT symbol, k AS pivot, k + {order} AS confirm, h AS price, 'high' AS kind FROM (SELECT *, h > max(h) OVER {over(-order, -1)} AND h > max(h) OVER {over(1, order)} AS z FROM kb) WHERE z
+      UNION ALL SELECT symbol, k, k + {order}, l, 'low' FROM (SELECT *, l < min(l) OVER {over(-order, -1)} AND l < min(l) OVER {over(1, order)} AS z FROM kb) WHERE z)"""
+
+
+_LASTP = ", lp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, kind ORDER BY \"pivot\" DESC) AS r FROM pv) WHERE r <= {})"
+_WIDE = f"""{_D}, {ATR_SQL}, w AS (SELECT d.symbol, d.ts, d.k, y AS atr, h, l, c, o, v, avg(c) OVER {over(-19)} AS sma20, CASE WHEN k >= 50 THEN avg(c) OVER {over(-49)} END AS sma50, avg(v) OVER {over(-19)} AS v20, avg(v) OVER {over(-49)} AS v50,
+  max(h) OVER {over(-30, -1)} AS hi30, min(l) OVER {over(-9)} AS lo10, max(h) OVER {over(-9)} AS hi10, avg(h - l) OVER {over(-10, -1)} AS r10, max(h) OVER {over(-251)} AS hi252
+  FROM d LEFT JOIN atr USING (symbol, k) JOIN (SELECT symbol, ts, o, v FROM daily) USING (symbol, ts))"""
+
+
+def _pattern(name: str, bias: str, least: int, when: str, stop: str, t1: str, t2: str, conf: str) -> str:
+    return f"SELECT symbol, '1d' AS tf, ts, '{name}' AS pattern, '{bias}' AS bias, c::DOUBLE AS entry, {stop} AS stop, {t1} AS t1, {t2} AS t2, least(0.95, {conf})::DOUBLE AS confidence FROM w WHERE k >= {least} AND atr > 0 AND {when}"
+
+
+_LS, _SS = "(greatest(lo10, c - 2 * atr) - 0.1::DOUBLE * atr)", "(least(hi10, c + 2 * atr) + 0.1::DOUBLE * atr)"
+_SIGS = " UNION ALL ".join(
+    [
+        _pattern("momentum_breakout", "long", 50, "c > hi30 AND c >= sma50 AND v >= 2.5 * v20", "c - 2 * atr", "c + 2 * atr", "c + 4.5::DOUBLE * atr", "0.58"),
+        _pattern("range_expansion_long", "long", 20, "k > 10 AND h - l >= 2 * r10 AND v >= 1.3::DOUBLE * v20 AND c > o AND c > sma20", _LS, f"c + (c - {_LS})", f"c + 2 * (c - {_LS})", "0.54"),
+        _pattern("range_expansion_short", "short", 20, "k > 10 AND h - l >= 2 * r10 AND v >= 1.3::DOUBLE * v20 AND c < o AND c < sma20", _SS, f"c + (c - {_SS})", f"c + 2 * (c - {_SS})", "0.54"),
+        _pattern("volume_breakout_long", "long", 20, "v >= 3 * v20 AND c > o", _LS, f"c + (c - {_LS})", f"c + 2 * (c - {_LS})", "CASE WHEN c > sma20 THEN 0.56 ELSE 0.51 END"),
+        _pattern("volume_breakout_short", "short", 20, "v >= 3 * v20 AND c < o", _SS, f"c + (c - {_SS})", f"c + 2 * (c - {_SS})", "CASE WHEN c < sma20 THEN 0.56 ELSE 0.51 END"),
+        _pattern("rs_persistence_long", "long", 60, "c / sma50 >= 1.14::DOUBLE AND c >= sma20", "c - 2 * atr", "c + 2 * atr", "c + 4 * atr", "0.56 + CASE WHEN v20 > v50 THEN 0.05 ELSE 0 END + CASE WHEN c / sma50 > 1.10 THEN 0.05 ELSE 0 END"),
+        _pattern("high_momentum_52w", "long", 252, "(hi252 - c)::DOUBLE / hi252 <= 0.05::DOUBLE AND v >= 0.8::DOUBLE * v20", "c - 2.5::DOUBLE * atr", "hi252::DOUBLE", "hi252 + 2 * atr", "0.58::DOUBLE + (0.05::DOUBLE - (hi252 - c)::DOUBLE / hi252) * 2"),
+    ]
+)
+_REG = f"""{_D}, {ATR_SQL}, m AS (SELECT symbol, ts, k, c, CASE WHEN count(y) OVER {over(-1000000)} >= 19 AND quantile_cont(y, 0.5) OVER {over(-73, -14)} > 0 THEN y / quantile_cont(y, 0.5) OVER {over(-73, -14)} ELSE 1 END AS ratio,
+  CASE WHEN k >= 200 THEN avg(c) OVER {over(-199)} WHEN k >= 50 THEN avg(c) OVER {over(-49)} END AS anchor FROM d LEFT JOIN atr USING (symbol, k)), g AS (SELECT *, anchor / {lag('anchor', 19)} - 1 AS slope FROM m),
+  reg AS (SELECT symbol, ts, CASE WHEN k < 30 OR anchor IS NULL THEN 'mean_reverting' WHEN ratio > 1.8 THEN 'high_volatility' WHEN c > anchor AND slope > 0.005 THEN 'trending_bull' WHEN c < anchor AND slope < -0.005 THEN 'trending_bear' ELSE 'mean_reverting' END AS regime FROM g)"""
+ORACLE_SQL = {
+    "detect_daily_windows": f"WITH RECURSIVE {_WIDE}, s AS ({_SIGS}) SELECT symbol, tf, ts, pattern, bias, round(entry, 6) AS entry, round(stop, 6) AS stop, round(t1, 6) AS t1, round(t2, 6) AS t2, round(confidence, 6) AS confidence FROM s WHERE (CASE WHEN bias = 'long' THEN entry - stop ELSE stop - entry END) > 0 AND abs(t2 - entry) >= abs(entry - stop)",
+    "swing_pivots": f"WITH {_pv(5)} SELECT * FROM pv",
+    "swing_helpers": f"WITH {_pv(5)} SELECT symbol, count(*) FILTER (kind = 'high') AS highs, count(*) FILTER (kind = 'low') AS lows, max(price) FILTER (kind = 'high') AS highest, min(price) FILTER (kind = 'low') AS lowest, arg_max(price, (\"pivot\", kind)) AS last_price, max(price) - min(price) AS price_range FROM pv GROUP BY 1",
+    "fit_trendline": f"WITH {_pv(5)}{_LASTP.format(6)} SELECT symbol, kind, round(regr_slope(price, \"pivot\"), 6) AS slope, round(coalesce(regr_r2(price, \"pivot\"), 0), 6) AS r2, count(*) AS points, min(\"pivot\") AS start, max(\"pivot\") AS \"end\" FROM lp GROUP BY ALL",
+    "nearest_level": f"WITH {_pv(5)} SELECT b.symbol, k, c, arg_min(price, (abs(price - c), price)) AS level FROM kb b JOIN pv USING (symbol) WHERE k % 50 = 0 GROUP BY ALL",
+    "as_of_regime": f"WITH {CLOSED}, {DAILY}, m AS (SELECT ts AS mts, c FROM daily WHERE symbol = 'STANDARD') SELECT id, entered_at AS ts, c FROM closed ASOF LEFT JOIN m ON entered_at >= mts",
+    "detect_regime": f"WITH RECURSIVE {_REG} SELECT symbol, ts, regime FROM reg",
+    "regime_alignment": f"WITH RECURSIVE {_REG} SELECT symbol, ts, " + ", ".join(f"(CASE regime {' '.join(f'''WHEN '{r}' THEN {x}''' for (r, k2), x in G.ALIGNMENT.items() if k2 == kind)} END)::BIGINT AS {kind}" for kind in ("momentum", "breakout")) + " FROM reg",
+    "relative_strength": f"""WITH {HOURLY}, m AS (SELECT *, ts::DATE AS day, row_number() OVER (PARTITION BY symbol, ts::DATE ORDER BY ts DESC) AS rn, sign(c - o) AS mv FROM hourly),
+      d AS (SELECT symbol, day, (arg_max(c, ts)::DOUBLE / arg_min(o, ts) - 1) * 100 AS ret, count(*) AS n FROM m GROUP BY ALL), a AS (SELECT m.symbol, m.day, avg((m.mv = b.mv)::INT) * 100 AS agr FROM m JOIN m b ON b.symbol = 'view' AND b.day = m.day AND b.rn = m.rn GROUP BY ALL),
+      z AS (SELECT d.symbol, d.day, d.ret, b.ret AS bret, agr FROM d JOIN d b ON b.symbol = 'view' AND b.day = d.day JOIN a ON a.symbol = d.symbol AND a.day = d.day WHERE d.n >= 3)
+      SELECT symbol, day, round(ret, 6) AS ret, round(bret, 6) AS bret, round(ret - bret, 6) AS spread, round(agr, 6) AS agreement, CASE WHEN agr >= 75 THEN 'A' WHEN agr >= 60 THEN 'B' WHEN agr >= 45 THEN 'C' WHEN agr >= 30 THEN 'D' ELSE 'F' END AS grade FROM z""",
+    "breakout_study": f"""WITH {HOURLY}, b AS (SELECT *, {K} - 1 AS k, CASE WHEN {K} > 20 THEN max(h) OVER {over(-20, -1)} END AS hi, CASE WHEN {K} > 20 THEN min(l) OVER {over(-20, -1)} END AS lo, ({K} <= 20 OR v >= 1.2::DOUBLE * avg(v) OVER {over(-20, -1)}) AS loud FROM hourly),
+      s AS (SELECT symbol, k, CASE WHEN c > hi THEN 1 ELSE -1 END AS sg, c AS entry, greatest(hi - lo, 1) AS sp FROM b WHERE loud AND (c > hi OR c < lo)),
+      f AS (SELECT s.symbol, s.k, s.sg, min(b.k) FILTER ((CASE WHEN sg = 1 THEN b.l ELSE -b.h END) <= sg * (entry - sg * sp)) AS ks, min(b.k) FILTER ((CASE WHEN sg = 1 THEN b.h ELSE -b.l END) >= sg * (entry + 2 * sg * sp)) AS kt FROM s JOIN b ON b.symbol = s.symbol AND b.k > s.k AND b.k <= s.k + 20 GROUP BY ALL)
+      SELECT symbol, CASE WHEN sg = 1 THEN 'long' ELSE 'short' END AS bias, count(*) AS n, count(*) FILTER (kt IS NOT NULL AND (ks IS NULL OR kt < ks)) AS wins, count(*) FILTER (ks IS NOT NULL AND NOT coalesce(kt < ks, false)) AS losses,
+        round(sum(CASE WHEN kt IS NOT NULL AND (ks IS NULL OR kt < ks) THEN 2.0::DOUBLE WHEN ks IS NOT NULL THEN -1.0::DOUBLE END), 6) AS total_r FROM f GROUP BY ALL""",
+}
+_ = folds
