@@ -1,4 +1,4 @@
-"""Indicators over trailing frames of one series. `W` orders a series; all frames share its one sort.
+"""Indicators over trailing frames of one series. `series()` orders a series; all frames share its one sort.
 
 Each function gives a Column; short history gives null. Nothing looks ahead of the current bar.
 """
@@ -8,8 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
-W: WindowSpec = Window.partitionBy("symbol", "tf").orderBy("ts")
-SESSION: WindowSpec = Window.partitionBy("symbol", "tf", F.to_date("ts")).orderBy("ts")
+def series() -> WindowSpec:
+    return Window.partitionBy("symbol", "tf").orderBy("ts")
+
+
+def session() -> WindowSpec:
+    return Window.partitionBy("symbol", "tf", F.to_date("ts")).orderBy("ts")
 
 
 def col(x: Column | str) -> Column:
@@ -17,15 +21,15 @@ def col(x: Column | str) -> Column:
 
 
 def frame(first: int, last: int = 0) -> WindowSpec:
-    return W.rowsBetween(first, last)
+    return series().rowsBetween(first, last)
 
 
 def bars_so_far() -> Column:
-    return F.row_number().over(W)
+    return F.row_number().over(series())
 
 
 def back(x: Column | str, n: int) -> Column:
-    return F.lag(x, n).over(W)
+    return F.lag(x, n).over(series())
 
 
 def mean(x: Column | str, first: int, last: int = 0) -> Column:
@@ -111,13 +115,13 @@ def minute_of_day() -> Column:
 
 def session_open() -> Column:
     """Time of the session's first bar at or after 09:30, else of its first bar."""
-    day = SESSION.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    day = session().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return F.coalesce(F.min(F.when(minute_of_day() >= 570, F.col("ts"))).over(day), F.min("ts").over(day))
 
 
 def session_vwap(opened: str = "opened") -> Column:
     """VWAP from the session's open on; `opened` is session_open()."""
-    run = SESSION.rowsBetween(Window.unboundedPreceding, 0)
+    run = session().rowsBetween(Window.unboundedPreceding, 0)
     inside = F.col("ts") >= F.col(opened)
     value = F.sum(F.when(inside, (F.col("h") + F.col("l") + F.col("c")) * F.col("v"))).over(run)
     return F.try_divide(value / 3.0, F.nullif(F.sum(F.when(inside, F.col("v"))).over(run), F.lit(0)))
@@ -125,7 +129,7 @@ def session_vwap(opened: str = "opened") -> Column:
 
 def opening_range(minutes: int, opened: str = "opened") -> tuple[Column, Column]:
     """High and low of the bars up to `minutes` after the open, ends included."""
-    day = SESSION.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    day = session().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     inside = (F.col("ts") >= F.col(opened)) & (F.col("ts") <= F.col(opened) + F.make_dt_interval(mins=F.lit(minutes)))
     return F.max(F.when(inside, F.col("h"))).over(day), F.min(F.when(inside, F.col("l"))).over(day)
 

@@ -16,8 +16,12 @@ from pyspark.sql import functions as F
 from barlab.functions import folds
 from barlab.functions import indicators as I
 
-c, o, h, l, v = (F.col(x) for x in "cohlv")  # noqa: E741
-atr, vwap, v20, n = F.col("atr"), F.col("vwap"), F.col("v20"), F.col("n")
+#: Columns that most detectors read.
+_COMMON = ("c", "o", "h", "l", "v", "atr", "vwap", "v20", "n")
+
+
+def _common() -> tuple[Column, ...]:
+    return tuple(F.col(x) for x in _COMMON)
 
 
 @dataclass(frozen=True)
@@ -37,6 +41,7 @@ class Detector:
 
 def wide(bars: DataFrame) -> DataFrame:
     """Bars with all columns of the detectors."""
+    c, o, h, l, v, atr, vwap, v20, n = _common()  # noqa: E741
     df = folds.fold_series(bars)
     bb_mid, bb_std = I.sma(30), I.rolling_std(30)
     one = {
@@ -55,28 +60,28 @@ def wide(bars: DataFrame) -> DataFrame:
     two = {
         "vol60": F.when(n > 60, F.stddev_pop("ret").over(I.frame(-59)) * 252**0.5), "vol252": F.when(n > 252, F.stddev_pop("ret").over(I.frame(-251)) * 252**0.5),
         "bw_rank": I.bandwidth_rank(), "macd1": I.back("macd", 1), "macd2": I.back("macd", 2), "sign": F.coalesce(sign, F.lit(0.0)), "opened": I.session_open(),
-        "day_bars": F.row_number().over(I.SESSION), "day_open": F.first("o").over(I.SESSION), "first_v": F.first("v").over(I.SESSION), "n0": F.first("n").over(I.SESSION),
-        "day_closes": F.collect_list(F.struct("c", "h", "l", "o", "v", "minute")).over(I.SESSION.rowsBetween(Window.unboundedPreceding, 0)),
+        "day_bars": F.row_number().over(I.session()), "day_open": F.first("o").over(I.session()), "first_v": F.first("v").over(I.session()), "n0": F.first("n").over(I.session()),
+        "day_closes": F.collect_list(F.struct("c", "h", "l", "o", "v", "minute")).over(I.session().rowsBetween(Window.unboundedPreceding, 0)),
         "months": F.array(*months), "quiet": F.count_if(F.col("atr") < 0.7 * F.col("atr30")).over(I.frame(-9)), "closes20": F.collect_list("c").over(I.frame(-19)), "days": F.collect_list(F.struct((c > F.col("prev")).alias("up"), "v")).over(I.frame(-9)),
         "hs": F.collect_list("h").over(I.frame(-8)), "ls": F.collect_list("l").over(I.frame(-8)), "band": F.collect_list("c").over(I.frame(-4, -1)),
-        "pre30": F.avg("v").over(I.frame(-30, -1)), "pre20": F.avg("v").over(I.frame(-20, -1)), "pre_all": F.avg("v").over(W_ALL), "past60": F.percentile("atr", F.lit(0.5)).over(I.frame(-53, -14)),
+        "pre30": F.avg("v").over(I.frame(-30, -1)), "pre20": F.avg("v").over(I.frame(-20, -1)), "pre_all": F.avg("v").over(I.series().rowsBetween(Window.unboundedPreceding, -1)), "past60": F.percentile("atr", F.lit(0.5)).over(I.frame(-53, -14)),
     }
     df = df.withColumns(two)
-    changed = F.when(F.col("sign") == F.lag("sign").over(I.W), 0).otherwise(1)
-    df = df.withColumn("vwap", I.session_vwap()).withColumn("turn", changed).withColumn("run", F.sum("turn").over(I.W.rowsBetween(Window.unboundedPreceding, 0)))
-    df = df.withColumn("streak", F.least(F.lit(9), F.row_number().over(Window.partitionBy("symbol", "tf", "run").orderBy("ts"))) * F.col("sign"))
-    at_open = lambda x: F.first(x).over(I.SESSION)
+    changed = F.when(F.col("sign") == F.lag("sign").over(I.series()), 0).otherwise(1)
+    df = df.withColumn("vwap", I.session_vwap()).withColumn("turn", F.when(changed == 1, n)).withColumn("run", F.max("turn").over(I.series().rowsBetween(Window.unboundedPreceding, 0)))
+    df = df.withColumn("streak", F.least(F.lit(9), n - F.col("run") + 1) * F.col("sign"))
+    at_open = lambda x: F.first(x).over(I.session())
     df = df.withColumns({"open_pre30": at_open("pre30"), "open_pre20": at_open("pre20"), "open_pre_all": at_open("pre_all"), "ratio40": F.when((n >= 19) & (F.col("past60") > 0), atr / F.col("past60")).otherwise(1.0)})
     hint = F.when(n < 50, "unknown").when((c > F.col("sma50")) & (F.col("ratio40") > 0.8), "trending_bull").when((c < F.col("sma50")) & (F.col("ratio40") > 0.8), "trending_bear").when(F.col("ratio40") < 0.6, "mean_reverting").otherwise("mixed")
-    return _with_past_closes(df.withColumn("hint", hint))
-
+    count = F.least(F.lit(11), F.floor((F.least(n, F.lit(252)) - 2) / 21)).cast("int")  # months that an index error would not end
+    df = df.withColumn("hint", hint).withColumn("months_known", count).withColumn("months", F.slice("months", 1, F.greatest(count, F.lit(0))))
+    df = df.withColumn("months_mean", _mean(F.col("months"))).withColumn("months_std", F.sqrt(_mean(F.transform("months", lambda x: (x - F.col("months_mean")) * (x - F.col("months_mean"))))))
+    return _with_past_closes(df, bars)
 
-W_ALL = I.frame(-1_000_000, -1)
 
-
-def _with_past_closes(df: DataFrame) -> DataFrame:
+def _with_past_closes(df: DataFrame, bars: DataFrame) -> DataFrame:
     """Last close of the calendar day before, and closes of the four weeks before, by two short joins."""
-    days = df.groupBy("symbol", "tf", "day").agg(F.max_by("c", "ts").alias("day_close"))
+    days = bars.groupBy("symbol", "tf", F.to_date("ts").alias("day")).agg(F.max_by("c", "ts").alias("day_close"))
     yesterday = days.select("symbol", "tf", F.date_add("day", 1).alias("day"), F.col("day_close").alias("yesterday"))
     week = F.trunc("day", "week")
     weeks = days.groupBy("symbol", "tf", week.alias("week")).agg(F.max_by("day_close", "day").alias("w0"))
@@ -86,11 +91,12 @@ def _with_past_closes(df: DataFrame) -> DataFrame:
 
 
 def _offset(share: float) -> Column:
-    return atr * share
+    return F.col("atr") * share
 
 
 def _pair(name: str, tfs, bars: int, long: Column, short: Column, stops: tuple[Column, Column], t1: float, t2: float, confidence, targets=None) -> list[Detector]:
     """Twins with targets in ATRs unless given."""
+    c, atr = F.col("c"), F.col("atr")
     conf = confidence if isinstance(confidence, tuple) else (confidence, confidence)
     out = []
     for k, (bias, when, sign) in enumerate((("long", long, 1), ("short", short, -1))):
@@ -100,10 +106,12 @@ def _pair(name: str, tfs, bars: int, long: Column, short: Column, stops: tuple[C
 
 
 def _risk_targets(stop: Column) -> tuple[Column, Column]:
+    c = F.col("c")
     return c + (c - stop), c + 2 * (c - stop)
 
 
 def _swing_stops(mult: float = 2.0) -> tuple[Column, Column]:
+    c, atr = F.col("c"), F.col("atr")
     return F.greatest(F.col("lo10").cast("double"), c - mult * atr) - _offset(0.1), F.least(F.col("hi10").cast("double"), c + mult * atr) + _offset(0.1)
 
 
@@ -133,6 +141,7 @@ def _std(xs: Column) -> Column:
 
 def daily_detectors(p: dict | None = None) -> list[Detector]:
     """Daily patterns; `p` overrides parameters by name."""
+    c, o, h, l, v, atr, vwap, v20, n = _common()  # noqa: E741
     p = {"adx_min": 35.0, "adx_min_short": 25.0, "vol_mult": 2.5, "volume_threshold": 3.0, "donchian_squeeze": 0.85, "momentum": 0.10, "reversal_z": 2.0, "turtle_squeeze": 0.80, "bab_vol": 0.35, "near_high": 0.05, "rs": 1.14, "streak": 5, "expansion": 1.8, "bw_rank": 0.19} | (p or {})
     d = ("1d",)
     sma20, sma50, sma200, day_range = F.col("sma20"), F.col("sma50"), F.col("sma200"), h - l
@@ -162,10 +171,8 @@ def daily_detectors(p: dict | None = None) -> list[Detector]:
     votes = (vote("emaf20", "emaf50") + vote("emaf50", "emaf100") + vote("emaf100", "emaf200")) / 3
     lively = v >= 0.8 * v20
     out += _pair("multi_tf_trend", d, 200, lively & (votes >= 0.5), lively & (votes <= -0.5), (c - 3 * atr, c + 3 * atr), 2, 5, 0.55 + F.abs(votes) * 0.10)
-    count = F.least(F.lit(11), F.floor((F.least(n, F.lit(252)) - 2) / 21)).cast("int")
-    past = F.slice("months", 1, F.greatest(count, F.lit(0)))
-    known = (count >= 3) & (n - 1 >= 21 * (count + 1)) & (_std(past) > 0)
-    z = F.try_divide(c / F.col("c21") - 1 - _mean(past), F.nullif(_std(past), F.lit(0.0)))
+    known = (F.col("months_known") >= 3) & (n - 1 >= 21 * (F.col("months_known") + 1)) & (F.col("months_std") > 0)
+    z = F.try_divide(c / F.col("c21") - 1 - F.col("months_mean"), F.nullif(F.col("months_std"), F.lit(0.0)))
     half = F.abs(c - F.col("c21")) * 0.5
     conf = 0.55 + F.when(F.col("exhausted"), 0.05).otherwise(0.0) + F.least(F.lit(0.10), (F.abs(z) - p["reversal_z"]) * 0.05)
     out += _pair("st_reversal", d, 60, known & (z < -p["reversal_z"]), known & (z > p["reversal_z"]), (c - 1.5 * atr, c + 1.5 * atr), 0, 0, conf, targets=[(c + half, F.col("c21")), (c - half, F.col("c21"))])
@@ -198,6 +205,7 @@ def daily_detectors(p: dict | None = None) -> list[Detector]:
 
 def swing_detectors() -> list[Detector]:
     """15-minute and hourly patterns."""
+    c, o, h, l, v, atr, vwap, v20, n = _common()  # noqa: E741
     tfs = ("15min", "1h")
     upper, lower, mid = F.col("emaf20") + 2 * atr, F.col("emaf20") - 2 * atr, F.col("emaf20")
     ready = F.exists("band", lambda x: (x > lower) & (x < upper)) & F.coalesce((F.col("squeeze") <= 0.80) | (n < 25), F.lit(True)) & (v >= 1.5 * v20)
@@ -211,6 +219,7 @@ def swing_detectors() -> list[Detector]:
 
 def intraday_detectors() -> list[Detector]:
     """5-minute patterns."""
+    c, o, h, l, v, atr, vwap, v20, n = _common()  # noqa: E741
     f, minute, hint = ("5min",), F.col("minute"), F.col("hint")
     bull, bear = hint == "trending_bull", hint == "trending_bear"
     calm = ~(bull | bear)
@@ -282,6 +291,8 @@ def gated(candidates: Column) -> Column:
 
 def detect(wide_bars: DataFrame, detectors: list[Detector]) -> DataFrame:
     """symbol, tf, ts, k, pattern, bias, entry, stop, t1, t2, rr, confidence of every signal at every bar."""
+    c, atr, n = F.col("c"), F.col("atr"), F.col("n")
+
     def candidate(d: Detector) -> Column:
         fires = F.col("tf").isin(*d.tfs) & (n >= d.bars) & (atr > 0) & d.when
         number = lambda x: x.cast("double")
@@ -296,6 +307,7 @@ def power_hour(wide_bars: DataFrame) -> DataFrame:
 
     Few bars a day are asked about, so each joins the afternoon bars before it, summed without keeping them.
     """
+    atr, n = F.col("atr"), F.col("n")
     asked = wide_bars.where(F.col("minute").between(840, 870) & F.col("vwap").isNotNull() & (n >= 30) & (atr > 0) & (F.col("v6") >= 1.2 * F.col("v78"))).select("symbol", "tf", "ts", (n - 1).alias("k"), "c", "atr", "vwap")
     past = wide_bars.where(F.col("minute") >= 780).select("symbol", "tf", F.col("ts").alias("pts"), F.col("c").alias("pc"))
     met = asked.join(past.hint("merge"), ["symbol", "tf"]).where(F.col("pts") <= F.col("ts"))

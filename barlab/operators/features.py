@@ -23,7 +23,7 @@ def inputs(bars: DataFrame, benchmark: str) -> DataFrame:
     """Bars with ATR ratio, EMAs and the benchmark's close and means at the same time (an equi join)."""
     df = folds.fold_series(bars, ("atr", "ema9", "ema21")).withColumn("ret", I.log_return())
     past = F.percentile("atr", F.lit(0.5)).over(I.frame(-73, -14))
-    valid = F.count("atr").over(I.frame(-1_000_000))
+    valid = F.count("atr").over(I.series().rowsBetween(Window.unboundedPreceding, 0))
     df = df.withColumn("atr_ratio", F.when((valid >= 19) & (past > 0), F.col("atr") / past).otherwise(1.0)).withColumn("n", I.bars_so_far())
     ref = bars.where(F.col("symbol") == benchmark).withColumns({"bc": F.col("c"), "b20": I.sma(20), "b50": I.sma(50), "blag": I.back("c", 20)}).select("tf", "ts", "bc", "b20", "b50", "blag")
     return df.join(ref, ["tf", "ts"], "left")
@@ -62,7 +62,7 @@ def detect_regime(bars: DataFrame, benchmark: str) -> DataFrame:
     df = inputs(bars, benchmark).withColumns({"sma50": I.sma(50), "sma200": I.sma(200)})
     anchor = F.coalesce("sma200", "sma50")
     df = df.withColumn("anchor", anchor)
-    slope = F.try_divide(F.col("anchor"), F.lag("anchor", 19).over(I.W)) - 1
+    slope = F.try_divide(F.col("anchor"), F.lag("anchor", 19).over(I.series())) - 1
     regime = (
         F.when((F.col("n") < 30) | F.col("anchor").isNull(), "mean_reverting").when(F.col("atr_ratio") > 1.8, "high_volatility").when((F.col("c") > F.col("anchor")) & (slope > 0.005), "trending_bull")
         .when((F.col("c") < F.col("anchor")) & (slope < -0.005), "trending_bear").otherwise("mean_reverting")

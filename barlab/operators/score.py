@@ -112,20 +112,21 @@ def portfolio_heat(positions: DataFrame, budget: float) -> DataFrame:
     return sums.withColumns({"net": F.col("long_value") - F.col("short_value"), "gross": F.col("long_value") + F.col("short_value"), "left": F.lit(budget) - F.col("heat"), "can_add": F.col("heat") < budget})
 
 
-_PRIOR = Window.partitionBy("pattern_name").orderBy("closed_at", "id")
+def _prior(first: int, last: int):
+    return Window.partitionBy("pattern_name").orderBy("closed_at", "id").rowsBetween(first, last)
 
 
 def strategy_multiplier() -> Column:
     """From the win rate of all earlier trades: 0.3 to 0.7 onto 0.5 to 2, once there are ten."""
-    before = _PRIOR.rowsBetween(Window.unboundedPreceding, -1)
+    before = _prior(Window.unboundedPreceding, -1)
     n, wins = F.count("*").over(before), F.count_if(F.col("r_milli") > 0).over(before)
     return F.when(n >= 10, F.greatest(F.lit(0.5), F.least(F.lit(2.0), 0.5 + (wins / n - 0.3) / 0.4 * 1.5))).otherwise(1.0)
 
 
 def recency_multiplier() -> Column:
     """The last 20 trades count twice against those of the last 200; 1 under 50 trades."""
-    recent, older = _PRIOR.rowsBetween(-20, -1), _PRIOR.rowsBetween(-200, -21)
-    n = F.count("*").over(_PRIOR.rowsBetween(-200, -1))
+    recent, older = _prior(-20, -1), _prior(-200, -21)
+    n = F.count("*").over(_prior(-200, -1))
     edge = (2 * F.sum("r_milli").over(recent) + F.sum("r_milli").over(older)) / (2 * F.count("*").over(recent) + F.count("*").over(older)) / 1000.0
     return F.when(n < 50, 1.0).when(edge >= 0.15, 1.25).when(edge >= 0, 1.0).when(edge >= -0.1, 0.75).when(edge >= -0.3, 0.5).otherwise(0.25)
 

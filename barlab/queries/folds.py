@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barlab.functions import folds
@@ -45,7 +45,7 @@ def atr_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_atr_ratio(df: DataFrame) -> DataFrame:
     """ATR over the median of the 60 before the last 14; 1 with too little history."""
     past = F.percentile("atr", F.lit(0.5)).over(I.frame(-73, -14))
-    valid = F.count("atr").over(I.frame(-10_000_000))
+    valid = F.count("atr").over(I.series().rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn("atr_ratio", F.when((valid >= 19) & (past > 0), F.col("atr") / past).otherwise(1.0))
 
 

@@ -59,8 +59,8 @@ _RUNS = """, s AS (SELECT closed_at, id, r_milli, sign(r_milli) AS sg FROM close
   u AS (SELECT *, sum(nw) OVER (ORDER BY closed_at::DATE, closed_at, id ROWS UNBOUNDED PRECEDING) AS run FROM f), runs AS (SELECT run, any_value(sg)::INT AS sg, count(*) AS length, sum(r_milli)::BIGINT AS total, min(closed_at)::DATE AS a, max(closed_at)::DATE AS b FROM u GROUP BY 1)"""
 _add("streak_runs", lambda t: perf.streak_runs(t).select("sign", "length", "total", "first_day", "last_day"), f'{_RUNS} SELECT sg AS "sign", length, total, a AS first_day, b AS last_day FROM runs')
 _add("streaks", perf.streaks, f"{_RUNS} SELECT coalesce(max(length) FILTER (sg > 0), 0) AS best_win, coalesce(max(length) FILTER (sg < 0), 0) AS worst_loss, arg_max(sg * length, run) AS current FROM runs")
-_hours = F.timestamp_diff("HOUR", F.col("entered_at").cast("timestamp"), F.col("closed_at").cast("timestamp"))
-_add("hold_time", lambda t: t.withColumn("h", _hours).groupBy("pattern_name").agg(F.round(F.avg(F.when(F.col("r_milli") > 0, F.col("h"))), 6).alias("win_hours"), F.round(F.avg(F.when(F.col("r_milli") < 0, F.col("h"))), 6).alias("loss_hours"), F.expr("try_element_at(array_sort(collect_list(h)), CAST(floor(count(*) / 2) + 1 AS INT))").alias("upper_median")),
+_hours = lambda: F.timestamp_diff("HOUR", F.col("entered_at").cast("timestamp"), F.col("closed_at").cast("timestamp"))
+_add("hold_time", lambda t: t.withColumn("h", _hours()).groupBy("pattern_name").agg(F.round(F.avg(F.when(F.col("r_milli") > 0, F.col("h"))), 6).alias("win_hours"), F.round(F.avg(F.when(F.col("r_milli") < 0, F.col("h"))), 6).alias("loss_hours"), F.expr("try_element_at(array_sort(collect_list(h)), CAST(floor(count(*) / 2) + 1 AS INT))").alias("upper_median")),
     "SELECT pattern_name, round(avg(h) FILTER (r_milli > 0), 6) AS win_hours, round(avg(h) FILTER (r_milli < 0), 6) AS loss_hours, list_sort(list(h))[count(*) // 2 + 1] AS upper_median FROM (SELECT *, datediff('hour', entered_at, closed_at) AS h FROM closed) GROUP BY 1")
 _add("best_worst", lambda t: perf.best_worst(t).select("side", "id", "r_milli"), "SELECT * FROM (SELECT 'best' AS side, id, r_milli FROM closed ORDER BY r_milli DESC, id LIMIT 20) UNION ALL SELECT * FROM (SELECT 'worst', id, r_milli FROM closed ORDER BY r_milli, id LIMIT 20)")
 _add("trade_timeline", lambda t: fixtures.running_total(t.withColumn("one", F.lit(1)), ["one"], F.to_date("closed_at"), ["closed_at", "id"], F.col("r_milli"), "running").select("id", "closed_at", "r_milli", "running"),

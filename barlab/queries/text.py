@@ -28,8 +28,8 @@ for _a, _b in N.ENTITIES:
 _add("clean_html", lambda p: p.select("page_id", F.md5(N.clean_html(F.col("html"))).alias("clean")), f"SELECT page_id, md5(trim({_clean}, ' ')) AS clean FROM pages", "pages")
 _add("extract_tickers_from_html", lambda p: p.select("page_id", F.array_join(N.extract_tickers(F.upper("html")), ",").alias("tickers"), F.size(N.extract_tickers(F.upper("html"))).cast("long").alias("n")).select("page_id", "n"),
     r"""SELECT page_id, len(list_distinct(list_concat(list_concat(regexp_extract_all(upper(html), '\$([A-Z]{1,5})\b', 1), regexp_extract_all(upper(html), 'data-ticker="([A-Z]{1,5})"', 1)), list_concat(regexp_extract_all(upper(html), '/quote/([A-Z]{1,5})\b', 1), regexp_extract_all(upper(html), '\(([A-Z]{2,5})\)', 1))))) AS n FROM pages""", "pages")
-_joined = F.concat("headline", F.lit(" - "), "source")
-_add("split_source", lambda n: n.select("doc_id", N.split_source(_joined)[0].alias("head"), N.split_source(_joined)[1].alias("src")), "SELECT doc_id, headline AS head, source AS src FROM news")
+_joined = lambda: F.concat("headline", F.lit(" - "), "source")
+_add("split_source", lambda n: n.select("doc_id", N.split_source(_joined())[0].alias("head"), N.split_source(_joined())[1].alias("src")), "SELECT doc_id, headline AS head, source AS src FROM news")
 _count = lambda words: " + ".join(f"contains(lower(headline), '{w}')::INT" for w in words)
 _add("headline_sentiment", lambda n: n.select("doc_id", N.headline_sentiment(F.col("headline"), POSITIVE, NEGATIVE).alias("label")),
     f"SELECT doc_id, CASE WHEN {_count(POSITIVE)} > {_count(NEGATIVE)} THEN 'positive' WHEN {_count(POSITIVE)} < {_count(NEGATIVE)} THEN 'negative' ELSE 'neutral' END AS label FROM news")
@@ -38,11 +38,10 @@ _add("dedup_headlines", lambda n: N.dedup_headlines(n.select("headline", "provid
 _add("latest_news", lambda n: N.latest_news(n, 5).select("symbol", "doc_id", "published"), "SELECT symbol, doc_id, published FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY published DESC, doc_id) AS r FROM news WHERE trim(headline, ' ') <> '') WHERE r <= 5")
 _add("aggregate_sentiment", lambda n: N.aggregate_sentiment(n.where("sentiment is not null").select(F.explode("tickers").alias("ticker"), "sentiment")).withColumn("net", F.round("net", 6)),
     "SELECT ticker, count(*) FILTER (sentiment = 'positive') AS positive, count(*) FILTER (sentiment = 'negative') AS negative, count(*) FILTER (sentiment = 'neutral') AS neutral, round((count(*) FILTER (sentiment = 'positive') - count(*) FILTER (sentiment = 'negative'))::DOUBLE / count(*), 6) AS net FROM (SELECT unnest(bag) AS ticker, sentiment FROM news WHERE sentiment IS NOT NULL) GROUP BY 1")
-_turned = F.when(F.col("doc_id") % 50 < 10, F.concat(F.lit("S"), F.col("doc_id").cast("string"))).otherwise(F.col("symbol"))
 _add("relevance_filter", lambda n: N.relevance_filter(n.withColumn("tickers", F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("S1"))).otherwise(F.array("symbol"))).select("symbol", "doc_id", "tickers"), 1).select("symbol", "doc_id"),
     ", t AS (SELECT symbol, doc_id, CASE WHEN doc_id % 3 = 0 THEN 'S1' ELSE symbol END AS lead FROM news), r AS (SELECT * FROM t WHERE lead = symbol) SELECT symbol, doc_id FROM r UNION ALL SELECT symbol, doc_id FROM t WHERE symbol NOT IN (SELECT symbol FROM r)")
-_line = F.concat(F.lit("- "), F.substring("headline", 1, 40), F.lit(" ("), "source", F.lit(")"))
-_add("news_digest", lambda n: N.latest_news(n, 3).withColumn("line", _line).groupBy("symbol").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n").alias("digest")),
+_line = lambda: F.concat(F.lit("- "), F.substring("headline", 1, 40), F.lit(" ("), "source", F.lit(")"))
+_add("news_digest", lambda n: N.latest_news(n, 3).withColumn("line", _line()).groupBy("symbol").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n").alias("digest")),
     "SELECT symbol, string_agg('- ' || headline[1:40] || ' (' || source || ')', chr(10) ORDER BY r) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY published DESC, doc_id) AS r FROM news WHERE trim(headline, ' ') <> '') WHERE r <= 3 GROUP BY 1")
 _add("headline_age", lambda n: n.select("doc_id", N.headline_age(F.col("published"), F.lit("2024-03-01 00:00:00").cast("timestamp")).alias("age")).where(F.col("doc_id") <= 10000),
     ", m AS (SELECT doc_id, floor(epoch(TIMESTAMP '2024-03-01' - published) / 60)::BIGINT AS m FROM news WHERE doc_id <= 10000) SELECT doc_id, CASE WHEN m < 60 THEN m || 'm ago' WHEN m < 1440 THEN (m // 60) || 'h ago' ELSE (m // 1440) || 'd ago' END AS age FROM m")

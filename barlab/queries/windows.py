@@ -31,8 +31,9 @@ def _register(name: str, build, sql: dict[str, str], bars: str = "daily", pre: s
     ORACLE_SQL[name] = f"WITH {with_}{', ' + pre if pre else ''} SELECT {body} FROM {table or bars}"
 
 
-def _columns(name: str, made: dict[str, Column], sql: dict[str, str], **more) -> None:
-    _register(name, lambda df: df.withColumns(made), sql, **more)
+def _columns(name: str, made, sql: dict[str, str], **more) -> None:
+    """made() gives the columns; Columns need a session, so they are made when the query runs."""
+    _register(name, lambda df: df.withColumns(made()), sql, **more)
 
 
 PREV = f"prevs AS (SELECT *, {lag('c')} AS prev, {lag('h')} AS prev_h, {lag('l')} AS prev_l, c - {lag('c')} AS diff, {lag('c')} IS NOT NULL AS has, avg(v) OVER {over(-49)} AS v50, ln(c::DOUBLE / {lag('c')}) AS ret, {K} AS k FROM daily)"
@@ -44,30 +45,29 @@ def with_previous(df: DataFrame) -> DataFrame:
     ).withColumn("diff", F.col("c") - F.col("prev"))
 
 
-def _previous(name: str, made: dict[str, Column], sql: dict[str, str]) -> None:
-    _register(name, lambda df: with_previous(df).withColumns(made), sql, pre=PREV, table="prevs")
+def _previous(name: str, made, sql: dict[str, str]) -> None:
+    _register(name, lambda df: with_previous(df).withColumns(made()), sql, pre=PREV, table="prevs")
 
 
 TR = f"greatest(h - l, abs(h - {lag('c')}), abs(l - {lag('c')}))"
-_columns("true_range", {"tr": I.true_range()}, {"tr": TR})
-_columns("sma", {"sma20": r6(I.sma(20)), "sma50": r6(I.sma(50))}, {f"sma{p}": f"CASE WHEN {K} >= {p} THEN round(avg(c) OVER {over(1 - p)}, 6) END" for p in (20, 50)})
+_columns("true_range", lambda: {"tr": I.true_range()}, {"tr": TR})
+_columns("sma", lambda: {"sma20": r6(I.sma(20)), "sma50": r6(I.sma(50))}, {f"sma{p}": f"CASE WHEN {K} >= {p} THEN round(avg(c) OVER {over(1 - p)}, 6) END" for p in (20, 50)})
 STD = lambda p: f"CASE WHEN {K} >= {p} THEN stddev_pop(c) OVER {over(1 - p)} END"
-_columns("rolling_std", {"std20": r6(I.rolling_std(20))}, {"std20": f"round({STD(20)}, 6)"})
-_columns("zscore", {"z20": r6(I.zscore(20))}, {"z20": f"round((c - avg(c) OVER {over(-19)}) / nullif({STD(20)}, 0), 6)"})
-_previous("log_returns", {"ret8": F.round("ret", 8), "pct": F.round(I.pct_return(), 8), "vol60": r6(I.annual_vol(60)), "vol252": r6(I.annual_vol(252))}, {
+_columns("rolling_std", lambda: {"std20": r6(I.rolling_std(20))}, {"std20": f"round({STD(20)}, 6)"})
+_columns("zscore", lambda: {"z20": r6(I.zscore(20))}, {"z20": f"round((c - avg(c) OVER {over(-19)}) / nullif({STD(20)}, 0), 6)"})
+_previous("log_returns", lambda: {"ret8": F.round("ret", 8), "pct": F.round(I.pct_return(), 8), "vol60": r6(I.annual_vol(60)), "vol252": r6(I.annual_vol(252))}, {
     "ret8": "round(ret, 8)", "pct": "round(c::DOUBLE / prev - 1, 8)", **{f"vol{p}": f"CASE WHEN k > {p} THEN round(stddev_pop(ret) OVER {over(1 - p)} * sqrt(252), 6) END" for p in (60, 252)}})
-_columns("roc", {f"roc{n}": F.round(I.roc(n), 8) for n in (5, 20, 60)}, {f"roc{n}": f"round(c::DOUBLE / {lag('c', n)} - 1, 8)" for n in (5, 20, 60)})
-_columns("rvol", {"rvol": F.round(I.rvol(), 8)}, {"rvol": f"CASE WHEN {K} >= 23 THEN round(avg(v) OVER {over(-2)} / nullif(avg(v) OVER {over(-22, -3)}, 0), 8) END"})
-_columns("donchian", {"high20": I.donchian_high(20), "low20": I.donchian_low(20)}, {"high20": f"CASE WHEN {K} > 20 THEN max(h) OVER {over(-20, -1)} END", "low20": f"CASE WHEN {K} > 20 THEN min(l) OVER {over(-20, -1)} END"})
-_columns("range_position", {f"pos{p}": r6(I.range_position(p)) for p in (20, 50, 252)}, {
+_columns("roc", lambda: {f"roc{n}": F.round(I.roc(n), 8) for n in (5, 20, 60)}, {f"roc{n}": f"round(c::DOUBLE / {lag('c', n)} - 1, 8)" for n in (5, 20, 60)})
+_columns("rvol", lambda: {"rvol": F.round(I.rvol(), 8)}, {"rvol": f"CASE WHEN {K} >= 23 THEN round(avg(v) OVER {over(-2)} / nullif(avg(v) OVER {over(-22, -3)}, 0), 8) END"})
+_columns("donchian", lambda: {"high20": I.donchian_high(20), "low20": I.donchian_low(20)}, {"high20": f"CASE WHEN {K} > 20 THEN max(h) OVER {over(-20, -1)} END", "low20": f"CASE WHEN {K} > 20 THEN min(l) OVER {over(-20, -1)} END"})
+_columns("range_position", lambda: {f"pos{p}": r6(I.range_position(p)) for p in (20, 50, 252)}, {
     f"pos{p}": f"CASE WHEN {K} >= {p} THEN round((c - min(l) OVER {over(1 - p)}) * 100.0::DOUBLE / nullif(max(h) OVER {over(1 - p)} - min(l) OVER {over(1 - p)}, 0), 6) END" for p in (20, 50, 252)})
-_up, _low, _bw = I.bollinger(20, 2.0)
-_columns("bollinger", {"upper": r6(_up), "lower": r6(_low), "bandwidth": r6(_bw)}, {
+_columns("bollinger", lambda: dict(zip(("upper", "lower", "bandwidth"), map(r6, I.bollinger(20, 2.0)), strict=True)), {
     "upper": f"round(avg(c) OVER {over(-19)} + 2 * {STD(20)}, 6)", "lower": f"round(avg(c) OVER {over(-19)} - 2 * {STD(20)}, 6)", "bandwidth": f"round(4 * {STD(20)} / avg(c) OVER {over(-19)}, 6)"})
 _register("bandwidth_rank", lambda df: df.withColumn("bandwidth", r6(I.bollinger(30, 2.25)[2])).withColumn("rank", r6(I.bandwidth_rank())),
     {"rank": f"CASE WHEN count(bw) OVER {over(-125, -20)} >= 20 THEN round(len(list_filter(list(bw) OVER {over(-125, -20)}, lambda x: x > bw))::DOUBLE / count(bw) OVER {over(-125, -20)}, 6) END"},
     pre=f"widths AS (SELECT *, round(4.5 * {STD(30)} / avg(c) OVER {over(-29)}, 6) AS bw FROM daily)", table="widths")
-_columns("rolling_vwap", {"vwap20": r6(I.rolling_vwap())}, {"vwap20": f"round(coalesce((sum((h + l + c) * v) OVER {over(-19)}) / 3.0::DOUBLE / nullif(sum(v) OVER {over(-19)}, 0), (h + l + c) / 3.0::DOUBLE), 6)"})
+_columns("rolling_vwap", lambda: {"vwap20": r6(I.rolling_vwap())}, {"vwap20": f"round(coalesce((sum((h + l + c) * v) OVER {over(-19)}) / 3.0::DOUBLE / nullif(sum(v) OVER {over(-19)}, 0), (h + l + c) / 3.0::DOUBLE), 6)"})
 SESSIONS = """days AS (SELECT *, ts::DATE AS day, coalesce(min(CASE WHEN hour(ts) * 60 + minute(ts) >= 570 THEN ts END) OVER (PARTITION BY symbol, ts::DATE), min(ts) OVER (PARTITION BY symbol, ts::DATE)) AS opened FROM hourly)"""
 _register("session_anchor", lambda df: df.withColumn("opened", I.session_open()), {"opened": "opened"}, bars="hourly", pre=SESSIONS, table="days")
 _register("session_vwap", lambda df: df.withColumn("opened", I.session_open()).withColumn("vwap", r6(I.session_vwap())),
@@ -81,27 +81,26 @@ def _opening(df: DataFrame) -> DataFrame:
 
 
 _register("opening_range", _opening, {k: f"{f}(CASE WHEN ts BETWEEN opened AND opened + INTERVAL 60 MINUTE THEN {x} END) OVER (PARTITION BY symbol, day)" for k, f, x in (("or_high", "max", "h"), ("or_low", "min", "l"))}, bars="hourly", pre=SESSIONS, table="days")
-_columns("volume_confirm", {"confirmed": I.volume_confirm(1.2)}, {"confirmed": f"({K} <= 20 OR avg(v) OVER {over(-20, -1)} <= 0 OR v >= 1.2::DOUBLE * avg(v) OVER {over(-20, -1)})"})
-_columns("volume_exhaustion", {"exhausted": I.volume_exhaustion()}, {"exhausted": f"v <= 1.3::DOUBLE * avg(v) OVER {over(-3, -1)}"})
-_columns("volume_declining", {"declining": I.volume_declining(12)}, {"declining": f"coalesce(avg(v) OVER {over(-5)} <= 1.1::DOUBLE * avg(v) OVER {over(-11, -6)}, true)"})
-_columns("volume_touch", {"touch": r6(I.touch_volume())}, {"touch": f"round(avg(v) OVER {over(-2, 2)}, 6)"})
-_columns("higher_lows", {"rising": I.higher_lows(), "falling": I.lower_highs()}, {
+_columns("volume_confirm", lambda: {"confirmed": I.volume_confirm(1.2)}, {"confirmed": f"({K} <= 20 OR avg(v) OVER {over(-20, -1)} <= 0 OR v >= 1.2::DOUBLE * avg(v) OVER {over(-20, -1)})"})
+_columns("volume_exhaustion", lambda: {"exhausted": I.volume_exhaustion()}, {"exhausted": f"v <= 1.3::DOUBLE * avg(v) OVER {over(-3, -1)}"})
+_columns("volume_declining", lambda: {"declining": I.volume_declining(12)}, {"declining": f"coalesce(avg(v) OVER {over(-5)} <= 1.1::DOUBLE * avg(v) OVER {over(-11, -6)}, true)"})
+_columns("volume_touch", lambda: {"touch": r6(I.touch_volume())}, {"touch": f"round(avg(v) OVER {over(-2, 2)}, 6)"})
+_columns("higher_lows", lambda: {"rising": I.higher_lows(), "falling": I.lower_highs()}, {
     "rising": f"CASE WHEN {K} >= 10 THEN min(l) OVER {over(-4)} > min(l) OVER {over(-9, -5)} AND min(l) OVER {over(-2)} > min(l) OVER {over(-9, -7)} END",
     "falling": f"CASE WHEN {K} >= 10 THEN max(h) OVER {over(-4)} < max(h) OVER {over(-9, -5)} AND max(h) OVER {over(-2)} < max(h) OVER {over(-9, -7)} END"})
-_columns("range_squeeze", {"squeeze": F.round(I.range_squeeze(), 9)}, {"squeeze": f"CASE WHEN {K} >= 20 THEN round(avg(h - l) OVER {over(-4)} / nullif(avg(h - l) OVER {over(-19, -5)}, 0), 9) END"})
-_acc, _dist = I.acc_dist_days(10)
-_previous("acc_dist_days", {"acc": _acc, "dist": _dist}, {
-    f: f"len(list_filter(list({{'v': v, 'up': c > prev}}) FILTER (has) OVER {over(-9)}, lambda x: x.v > v50 AND {c}))" for f, c in (("acc", "x.up"), ("dist", "NOT x.up"))})
-_previous("volume_bias", {"bias": r6(I.volume_bias())}, {"bias": f"CASE WHEN k > 20 THEN round(avg(CASE WHEN c > prev THEN v END) OVER {over(-19)} / avg(CASE WHEN c < prev THEN v END) OVER {over(-19)}, 6) END"})
-_previous("hh_hl_structure", I.structure_counts(), {k: f"(count(*) FILTER ({x}) OVER {over(-4)})" for k, x in (("hh", "h > prev_h"), ("lh", "h < prev_h"), ("hl", "l > prev_l"), ("ll", "l < prev_l"))})
-_columns("momentum_character", {"character": I.momentum_character(I.roc(21), I.roc(63))}, {
+_columns("range_squeeze", lambda: {"squeeze": F.round(I.range_squeeze(), 9)}, {"squeeze": f"CASE WHEN {K} >= 20 THEN round(avg(h - l) OVER {over(-4)} / nullif(avg(h - l) OVER {over(-19, -5)}, 0), 9) END"})
+_previous("acc_dist_days", lambda: dict(zip(("acc", "dist"), I.acc_dist_days(10), strict=True)), {
+    f: f"coalesce(len(list_filter(list({{'v': v, 'up': c > prev}}) FILTER (has) OVER {over(-9)}, lambda x: x.v > v50 AND {c})), 0)" for f, c in (("acc", "x.up"), ("dist", "NOT x.up"))})
+_previous("volume_bias", lambda: {"bias": r6(I.volume_bias())}, {"bias": f"CASE WHEN k > 20 THEN round(avg(CASE WHEN c > prev THEN v END) OVER {over(-19)} / avg(CASE WHEN c < prev THEN v END) OVER {over(-19)}, 6) END"})
+_previous("hh_hl_structure", lambda: I.structure_counts(), {k: f"(count(*) FILTER ({x}) OVER {over(-4)})" for k, x in (("hh", "h > prev_h"), ("lh", "h < prev_h"), ("hl", "l > prev_l"), ("ll", "l < prev_l"))})
+_columns("momentum_character", lambda: {"character": I.momentum_character(I.roc(21), I.roc(63))}, {
     "character": f"CASE WHEN {lag('c', 63)} IS NULL THEN NULL WHEN c < {lag('c', 21)} THEN 'declining' WHEN c::DOUBLE / {lag('c', 21)} - 1 > (c::DOUBLE / {lag('c', 63)} - 1) / 3 THEN 'accelerating' ELSE 'decelerating' END"})
-_previous("vol_regime_label", {"label": I.vol_regime_label(F.round(I.annual_vol(60) / I.annual_vol(252), 8))}, {
+_previous("vol_regime_label", lambda: {"label": I.vol_regime_label(F.round(I.annual_vol(60) / I.annual_vol(252), 8))}, {
     "label": f"CASE WHEN k > 252 THEN CASE WHEN round(stddev_pop(ret) OVER {over(-59)} / stddev_pop(ret) OVER {over(-251)}, 8) < 0.7 THEN 'compressed' WHEN round(stddev_pop(ret) OVER {over(-59)} / stddev_pop(ret) OVER {over(-251)}, 8) > 1.4 THEN 'expanded' ELSE 'normal' END END"})
-_previous("rsi_simple", {"rsi": r6(I.rsi_simple())}, {
+_previous("rsi_simple", lambda: {"rsi": r6(I.rsi_simple())}, {
     "rsi": f"CASE WHEN k > 14 THEN CASE WHEN sum(greatest(-diff, 0)) OVER {over(-13)} = 0 THEN 100 ELSE round(100 - 100 / (1 + sum(greatest(diff, 0)) OVER {over(-13)}::DOUBLE / sum(greatest(-diff, 0)) OVER {over(-13)}), 6) END END"})
-_columns("range_mean_atr", {"atr": r6(I.range_mean_atr())}, {"atr": f"CASE WHEN {K} >= 14 THEN round(avg(h - l) OVER {over(-13)}, 6) END"})
-_columns("swing_highs_lows", {"is_high": I.swing_high(3), "is_low": I.swing_low(3)}, {
+_columns("range_mean_atr", lambda: {"atr": r6(I.range_mean_atr())}, {"atr": f"CASE WHEN {K} >= 14 THEN round(avg(h - l) OVER {over(-13)}, 6) END"})
+_columns("swing_highs_lows", lambda: {"is_high": I.swing_high(3), "is_low": I.swing_low(3)}, {
     "is_high": f"h > max(h) OVER {over(-3, -1)} AND h > max(h) OVER {over(1, 3)}", "is_low": f"l < min(l) OVER {over(-3, -1)} AND l < min(l) OVER {over(1, 3)}"})
 
 
