@@ -60,6 +60,7 @@ def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
 def _pack(table: pa.Table, items: np.ndarray, capacity: int, first_bin: int) -> tuple[pa.Table, np.ndarray, int]:
     """Pack items, runs of pieces of a table. items: the first row of each, and the end.
 
+    An underfull bin is one item; where its pieces by themselves pack into fewer bins, it is dissolved.
     Returns the pieces by bin with columns bin and place, whether each one's bin is nearly full, and
     the number of bins.
     """
@@ -67,6 +68,8 @@ def _pack(table: pa.Table, items: np.ndarray, capacity: int, first_bin: int) ->
     sizes = np.add.reduceat(length, items[:-1])
     of_item = best_fit(sizes, capacity)
     of_row = np.repeat(of_item, np.diff(items))
+    if len(items) <= len(length) and (apart := best_fit(length, capacity)).max() < of_item.max():
+        of_row = apart
     order = np.argsort(of_row, kind="stable")
     table, of_row, length = table.take(order), of_row[order], length[order]
     starts = np.flatnonzero(np.append(True, of_row[1:] != of_row[:-1]))
