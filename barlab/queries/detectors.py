@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barlab.functions import folds
+from barlab.operators import chart_patterns as C
 from barlab.operators import detect as D
 from barlab.operators import features as G
 from barlab.operators import resample, score
@@ -48,6 +49,23 @@ def power_hour(spark, sf_dir):
     return _signals(D.power_hour(D.wide(fixtures.intraday(spark, sf_dir, 5))))
 
 
+_CHART = ["symbol", "ts", "pattern", "bias", "entry", "stop", "target", "confidence"]
+
+
+def chart_patterns(spark, sf_dir):
+    return C.chart_patterns(resample.with_index(fixtures.daily(spark, sf_dir)), 5).select(*_CHART[:4], *(F.round(x, 6).alias(x) for x in _CHART[4:]))
+
+
+def breaking_news(spark, sf_dir):
+    return C.breaking_news(fixtures.daily(spark, sf_dir)).select(*_CHART[:4], *(F.round(x, 6).alias(x) for x in _CHART[4:]))
+
+
+def opening_range_break(spark, sf_dir):
+    bars = fixtures.intraday(spark, sf_dir, 15)
+    both = C.opening_range_break(bars, 15).unionByName(C.opening_range_break(bars, 30))
+    return both.select(*_CHART[:4], *(F.round(x, 6).alias(x) for x in _CHART[4:]))
+
+
 def _pivots(spark, sf_dir, order: int = 5):
     return S.swing_pivots(resample.with_index(fixtures.daily(spark, sf_dir)), order)
 
@@ -125,7 +143,7 @@ def breakout_study(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        detect_daily, detect_daily_windows, detect_swing, detect_intraday, power_hour, swing_pivots, swing_helpers, fit_trendline, detect_channel, cluster_levels, detect_breakouts, nearest_level, as_of_regime,
+        detect_daily, detect_daily_windows, detect_swing, detect_intraday, power_hour, chart_patterns, breaking_news, opening_range_break, swing_pivots, swing_helpers, fit_trendline, detect_channel, cluster_levels, detect_breakouts, nearest_level, as_of_regime,
         feature_vector, detect_regime, regime_alignment, relative_strength, scan, walk_forward_backtest, breakout_study,
     )
 }
@@ -163,6 +181,9 @@ _REG = f"""{_D}, {ATR_SQL}, m AS (SELECT symbol, ts, k, c, CASE WHEN count(y) OV
   reg AS (SELECT symbol, ts, CASE WHEN k < 30 OR anchor IS NULL THEN 'mean_reverting' WHEN ratio > 1.8 THEN 'high_volatility' WHEN c > anchor AND slope > 0.005 THEN 'trending_bull' WHEN c < anchor AND slope < -0.005 THEN 'trending_bear' ELSE 'mean_reverting' END AS regime FROM g)"""
 ORACLE_SQL = {
     "detect_daily_windows": f"WITH RECURSIVE {_WIDE}, s AS ({_SIGS}) SELECT symbol, tf, ts, pattern, bias, round(entry, 6) AS entry, round(stop, 6) AS stop, round(t1, 6) AS t1, round(t2, 6) AS t2, round(confidence, 6) AS confidence FROM s WHERE (CASE WHEN bias = 'long' THEN entry - stop ELSE stop - entry END) > 0 AND abs(t2 - entry) >= abs(entry - stop)",
+    "breaking_news": f"""WITH {DAILY}, w AS (SELECT *, {K} AS k, avg(v) OVER {over(-11, -2)} AS vol, avg(h - l) OVER {over(-11, -2)} AS sp FROM daily),
+      s AS (SELECT symbol, ts, 'breaking_news' AS pattern, CASE WHEN c > o THEN 'long' ELSE 'short' END AS bias, c::DOUBLE AS entry, CASE WHEN c > o THEN l - 2 ELSE h + 2 END::DOUBLE AS stop, round(least(0.85, 0.45::DOUBLE + CASE WHEN v > 5 * vol THEN 0.15 ELSE 0 END + CASE WHEN h - l > 3 * sp THEN 0.10 ELSE 0 END), 6) AS confidence
+        FROM w WHERE k >= 12 AND vol > 0 AND v >= 3 * vol AND sp > 0 AND h - l >= 2 * sp) SELECT *, 3 * entry - 2 * stop AS target FROM s""",
     "swing_pivots": f"WITH {_pv(5)} SELECT * FROM pv",
     "swing_helpers": f"WITH {_pv(5)} SELECT symbol, count(*) FILTER (kind = 'high') AS highs, count(*) FILTER (kind = 'low') AS lows, max(price) FILTER (kind = 'high') AS highest, min(price) FILTER (kind = 'low') AS lowest, arg_max(price, (\"pivot\", kind)) AS last_price, max(price) - min(price) AS price_range FROM pv GROUP BY 1",
     "fit_trendline": f"WITH {_pv(5)}{_LASTP.format(6)} SELECT symbol, kind, round(regr_slope(price, \"pivot\"), 6) AS slope, round(coalesce(regr_r2(price, \"pivot\"), 0), 6) AS r2, count(*) AS points, min(\"pivot\") AS start, max(\"pivot\") AS \"end\" FROM lp GROUP BY ALL",
