@@ -118,3 +118,73 @@ def opening_range_break(bars: DataFrame, minutes: int) -> DataFrame:
     short = _candidate(name, "short", (span > 0) & (c < F.col("or_low")) & (F.col("h") + TICK - down <= span), down, F.col("h") + TICK, down - 2 * span, 0.55)
     hits = later.withColumn("x", F.coalesce(long, short)).where("x is not null")
     return hits.groupBy("symbol", "tf", F.to_date("ts").alias("day")).agg(F.min_by(F.struct("ts", "x.*"), "ts").alias("s")).select("symbol", "tf", "s.*")
+
+
+def ema_vwap_cross(wide: DataFrame) -> DataFrame:
+    """Bars of a session where the rising 9-bar EMA comes up through a flat VWAP. Needs ema9 and vwap."""
+    w = I.series()
+    df = wide.withColumns({"e1": F.lag("ema9", 1).over(w), "e3": F.lag("ema9", 3).over(w), "w1": F.lag("vwap", 1).over(w), "w5": F.lag("vwap", 5).over(w), "so_far": F.row_number().over(I.session()), "day_low": F.min("l").over(I.session())})
+    crossed = (F.col("e1") < F.col("w1")) & (F.col("ema9") >= F.col("vwap")) & (F.col("ema9") > F.col("e3")) & (F.col("vwap") - F.col("w5") <= 0.001 * F.col("vwap"))
+    return df.where(crossed & (F.col("so_far") > 10))
+
+
+def fashionably_late(wide: DataFrame) -> DataFrame:
+    """Entry at the crossing's VWAP; a measured move from the day's low up, a third of it at risk."""
+    df = ema_vwap_cross(wide).where("so_far >= 20")
+    move, at = F.col("vwap") - F.col("day_low"), F.col("vwap")
+    conf = F.least(F.lit(0.90), 0.65 + F.when(I.minute_of_day().between(600, 645), 0.10).otherwise(0.0))
+    return df.select("symbol", "tf", "ts", F.inline(F.array_compact(F.array(_candidate("fashionably_late", "long", move > 0, at, at - move / 3, at + move, conf)))))
+
+
+def spencer(bars: DataFrame) -> DataFrame:
+    """The day's first break of a quiet 20-bar base in the upper third of the day's range."""
+    before = I.frame(-20, -1)
+    df = bars.withColumns(
+        {"so_far": F.row_number().over(I.session()), "top": F.max("h").over(I.session()), "bottom": F.min("l").over(I.session()), "c_high": F.max("h").over(before), "c_low": F.min("l").over(before), "vol": F.avg("v").over(before), "dev": F.stddev_pop("v").over(before), "v1": F.lag("v").over(I.series())}
+    )
+    span, base = F.col("top") - F.col("bottom"), F.col("c_high") - F.col("c_low")
+    when = (F.col("so_far") >= 26) & (span > 0) & (F.col("c_low") >= F.col("bottom") + span * 2 / 3) & (base <= 0.35 * span) & (F.col("dev") <= 0.8 * F.col("vol")) & (F.col("h") > F.col("c_high"))
+    conf = 0.50 + F.when(F.col("v1") < 0.7 * F.col("vol"), 0.10).otherwise(0.0) + F.when(base < 0.20 * span, 0.10).otherwise(0.0)
+    hit = df.withColumn("x", _candidate("spencer", "long", when, F.col("c_high") + TICK, F.col("c_low") - TICK, F.col("c_high") + TICK + 2 * base, conf)).where("x is not null")
+    return hit.groupBy("symbol", "tf", F.to_date("ts").alias("day")).agg(F.min_by(F.struct("ts", "x.*"), "ts").alias("s")).select("symbol", "tf", "s.*")
+
+
+def neckline(pivots: DataFrame, share: float = 0.015) -> DataFrame:
+    """Mean of each series' given lows where none is further than `share` from it."""
+    lows = pivots.where("kind = 'low'")
+    means = lows.groupBy("symbol", "tf").agg(F.avg("price").alias("mean"), F.max("price").alias("top"), F.min("price").alias("bottom"))
+    return means.where(F.greatest(F.col("top") - F.col("mean"), F.col("mean") - F.col("bottom")) <= share * F.col("mean")).select("symbol", "tf", F.col("mean").alias("neckline"))
+
+
+def tidal_wave(bars: DataFrame, levels: DataFrame) -> DataFrame:
+    """Falling bounces from a support that the last close has broken: at each series' last bar.
+
+    A bounce opens when a low comes within 0.3 ATR of the level and takes in the bars above it; bounces are runs,
+    so this short fold goes over one series' bars and its first level with three touches.
+    """
+    import pandas as pd
+
+    pick = levels.where("type in ('support', 'both') and touches >= 3").groupBy("symbol", "tf").agg(F.max_by("price", F.struct("touches", "price")).alias("level"))
+    df = bars.withColumn("confirmed", I.volume_confirm(1.3)).join(pick, ["symbol", "tf"]).select("symbol", "tf", "ts", "h", "l", "c", "atr", "level", "confirmed")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts", kind="stable")
+        level, atr = float(pdf["level"].iloc[0]), float(pdf["atr"].iloc[-1])
+        heights, first, opened = [], -1, False
+        tol = 0.3 * atr
+        for i, (h, low) in enumerate(zip(pdf["h"], pdf["l"], strict=True)):
+            if opened and low > level - tol:
+                heights[-1] = max(heights[-1], h - level)
+                continue
+            opened = abs(low - level) < tol
+            if opened:
+                heights.append(h - level)
+                first = i if first < 0 else first
+        empty = pd.DataFrame(columns=["symbol", "tf", "ts", "bounces", "entry", "stop", "target"])
+        last = pdf.iloc[-1]
+        if len(heights) < 3 or heights[-1] >= heights[0] or len(pdf) - 1 - first < 15 or last["c"] >= level or not last["confirmed"] or not atr > 0:
+            return empty
+        entry, mean = level - 0.1 * atr, sum(heights) / len(heights)
+        return pd.DataFrame([(last["symbol"], last["tf"], last["ts"], len(heights), entry, level + heights[0] + 0.2 * atr, entry - mean)], columns=empty.columns)
+
+    return df.groupBy("symbol", "tf").applyInPandas(run, "symbol string, tf string, ts timestamp_ntz, bounces long, entry double, stop double, target double")

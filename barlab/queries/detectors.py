@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barlab.functions import folds
+from barlab.functions import indicators as I
 from barlab.operators import chart_patterns as C
 from barlab.operators import detect as D
 from barlab.operators import features as G
@@ -66,6 +67,51 @@ def opening_range_break(spark, sf_dir):
     return both.select(*_CHART[:4], *(F.round(x, 6).alias(x) for x in _CHART[4:]))
 
 
+def _with_vwap(spark, sf_dir):
+    bars = folds.fold_series(fixtures.intraday(spark, sf_dir, 5), ("ema9",)).withColumn("opened", I.session_open())
+    return bars.withColumn("vwap", I.session_vwap())
+
+
+def ema_vwap_cross(spark, sf_dir):
+    return C.ema_vwap_cross(_with_vwap(spark, sf_dir)).select("symbol", "ts", F.round("vwap", 5).alias("vwap"), "day_low")
+
+
+def fashionably_late(spark, sf_dir):
+    return C.fashionably_late(_with_vwap(spark, sf_dir)).select(*_CHART[:4], *(F.round(x, 5).alias(x) for x in _CHART[4:]))
+
+
+def spencer(spark, sf_dir):
+    return C.spencer(fixtures.intraday(spark, sf_dir, 5)).select(*_CHART[:4], *(F.round(x, 5).alias(x) for x in _CHART[4:]))
+
+
+def neckline(spark, sf_dir):
+    return C.neckline(S.last_pivots(_pivots(spark, sf_dir), 2), 0.05).select("symbol", F.round("neckline", 6).alias("neckline"))
+
+
+def tidal_wave(spark, sf_dir):
+    bars = folds.fold_series(fixtures.daily(spark, sf_dir), ("atr",))
+    return C.tidal_wave(bars, S.cluster_levels(_pivots(spark, sf_dir)))
+
+
+def price_in_zone(spark, sf_dir):
+    """Bars whose close lies in the zone of one of their series' levels."""
+    levels = S.cluster_levels(_pivots(spark, sf_dir)).select("symbol", "tf", (F.col("price") - F.col("width")).alias("low"), (F.col("price") + F.col("width")).alias("high"))
+    bars = resample.with_index(fixtures.daily(spark, sf_dir)).where("k % 10 = 0")
+    met = bars.join(levels, ["symbol", "tf"]).where(F.col("c").between(F.col("low"), F.col("high")))
+    return met.groupBy("symbol", "k").agg(F.count("*").alias("zones"))
+
+
+def results_sink(spark, sf_dir):
+    """Statistics of a run written under its id, and read back by it."""
+    from barlab.operators import stats
+
+    folder = store.scratch_folder(spark)
+    found = stats.pattern_stats(store.history_union(fixtures.trades(spark, sf_dir)), "pattern_name").select("pattern_name", "n", "win", "loss")
+    found.withColumn("run_id", F.lit("first")).write.partitionBy("run_id").mode("append").parquet(folder)
+    found.where("n > 1800").withColumn("run_id", F.lit("second")).write.partitionBy("run_id").mode("append").parquet(folder)
+    return spark.read.parquet(folder).where("run_id = 'second'").select("pattern_name", "n", "win", "loss")
+
+
 def _pivots(spark, sf_dir, order: int = 5):
     return S.swing_pivots(resample.with_index(fixtures.daily(spark, sf_dir)), order)
 
@@ -143,7 +189,7 @@ def breakout_study(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        detect_daily, detect_daily_windows, detect_swing, detect_intraday, power_hour, chart_patterns, breaking_news, opening_range_break, swing_pivots, swing_helpers, fit_trendline, detect_channel, cluster_levels, detect_breakouts, nearest_level, as_of_regime,
+        detect_daily, detect_daily_windows, detect_swing, detect_intraday, power_hour, chart_patterns, breaking_news, opening_range_break, ema_vwap_cross, fashionably_late, spencer, neckline, tidal_wave, price_in_zone, results_sink, swing_pivots, swing_helpers, fit_trendline, detect_channel, cluster_levels, detect_breakouts, nearest_level, as_of_regime,
         feature_vector, detect_regime, regime_alignment, relative_strength, scan, walk_forward_backtest, breakout_study,
     )
 }
@@ -184,6 +230,8 @@ ORACLE_SQL = {
     "breaking_news": f"""WITH {DAILY}, w AS (SELECT *, {K} AS k, avg(v) OVER {over(-11, -2)} AS vol, avg(h - l) OVER {over(-11, -2)} AS sp FROM daily),
       s AS (SELECT symbol, ts, 'breaking_news' AS pattern, CASE WHEN c > o THEN 'long' ELSE 'short' END AS bias, c::DOUBLE AS entry, CASE WHEN c > o THEN l - 2 ELSE h + 2 END::DOUBLE AS stop, round(least(0.85, 0.45::DOUBLE + CASE WHEN v > 5 * vol THEN 0.15 ELSE 0 END + CASE WHEN h - l > 3 * sp THEN 0.10 ELSE 0 END), 6) AS confidence
         FROM w WHERE k >= 12 AND vol > 0 AND v >= 3 * vol AND sp > 0 AND h - l >= 2 * sp) SELECT *, 3 * entry - 2 * stop AS target FROM s""",
+    "neckline": f"WITH {_pv(5)}{_LASTP.format(2)}, a AS (SELECT symbol, avg(price) AS m, max(price) AS t, min(price) AS b FROM lp WHERE kind = 'low' GROUP BY 1) SELECT symbol, round(m, 6) AS neckline FROM a WHERE greatest(t - m, m - b) <= 0.05 * m",
+    "results_sink": f"WITH {CLOSED} SELECT pattern_name, count(*) AS n, count(*) FILTER (outcome = 'win') AS win, count(*) FILTER (outcome = 'loss') AS loss FROM closed GROUP BY 1 HAVING count(*) > 1800",
     "swing_pivots": f"WITH {_pv(5)} SELECT * FROM pv",
     "swing_helpers": f"WITH {_pv(5)} SELECT symbol, count(*) FILTER (kind = 'high') AS highs, count(*) FILTER (kind = 'low') AS lows, max(price) FILTER (kind = 'high') AS highest, min(price) FILTER (kind = 'low') AS lowest, arg_max(price, (\"pivot\", kind)) AS last_price, max(price) - min(price) AS price_range FROM pv GROUP BY 1",
     "fit_trendline": f"WITH {_pv(5)}{_LASTP.format(6)} SELECT symbol, kind, round(regr_slope(price, \"pivot\"), 6) AS slope, round(coalesce(regr_r2(price, \"pivot\"), 0), 6) AS r2, count(*) AS points, min(\"pivot\") AS start, max(\"pivot\") AS \"end\" FROM lp GROUP BY ALL",

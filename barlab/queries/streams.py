@@ -74,7 +74,17 @@ def news_ttl_window(spark, sf_dir):
     return _ntz(S.run_to_table(S.news_windows(news), "complete"), "start")
 
 
-QUERIES = {f.__name__: f for f in (stream_ticks_to_bars, stream_dedup_bars, stream_multi_cadence, stream_setup_lifecycle, stream_running_metrics, stream_price_refresh, stream_freshness, stream_alerts, news_ttl_window)}
+def stream_detect(spark, sf_dir):
+    """Loud bars found after each batch of ticks."""
+    from barlab.operators.chart_patterns import breaking_news
+
+    fixtures.ship(spark)
+    out, state = S.scratch_folder(spark), S.scratch_folder(spark)
+    S.detect_each_batch(S.ticks_stream(spark, sf_dir), 60, breaking_news, out, state)
+    return spark.read.parquet(f"{out}/signals").select("symbol", "ts", "pattern", "bias", "entry", "stop")
+
+
+QUERIES = {f.__name__: f for f in (stream_ticks_to_bars, stream_dedup_bars, stream_multi_cadence, stream_setup_lifecycle, stream_running_metrics, stream_price_refresh, stream_freshness, stream_alerts, news_ttl_window, stream_detect)}
 _T = "t AS (SELECT event_type AS symbol, ts, event_id, CAST(round(value * 100) AS BIGINT) % 2000 + 9000 AS px, CAST(round(value * 100) AS BIGINT) % 500 + 1 AS qty FROM events)"
 ORACLE_SQL = {
     "stream_ticks_to_bars": f"WITH {_T} SELECT symbol, time_bucket(INTERVAL 5 MINUTE, ts) AS ts, arg_min(px, (ts, event_id)) AS o, max(px) AS h, min(px) AS l, arg_max(px, (ts, event_id)) AS c, sum(qty)::BIGINT AS v FROM t GROUP BY symbol, time_bucket(INTERVAL 5 MINUTE, ts)",
@@ -82,6 +92,10 @@ ORACLE_SQL = {
     "stream_multi_cadence": f"WITH {_T}, b AS (SELECT m::BIGINT AS minutes, symbol, time_bucket(to_minutes(m), ts) AS w, sum(qty) AS v FROM t, (VALUES (5), (15), (60)) x(m) GROUP BY ALL) SELECT minutes, symbol, count(*) AS bars, sum(v)::BIGINT AS v FROM b GROUP BY ALL",
     "stream_price_refresh": f"WITH {_T} SELECT l.symbol, l.last, e.event_id AS trade_id FROM (SELECT symbol, arg_max(px, (ts, event_id)) AS last FROM t GROUP BY 1) l JOIN events e ON e.event_type = l.symbol WHERE e.event_id % 500 = 0",
     "stream_freshness": f"WITH {_T} SELECT symbol, max(ts) AS newest, floor(epoch(TIMESTAMP '2024-02-15' - max(ts)) / 60)::BIGINT AS age_minutes FROM t GROUP BY 1",
+    "stream_detect": f"""WITH {_T}, b AS (SELECT symbol, time_bucket(INTERVAL 60 MINUTE, ts) AS ts, arg_min(px, (ts, event_id)) AS o, max(px) AS h, min(px) AS l, arg_max(px, (ts, event_id)) AS c, sum(qty) AS v FROM t GROUP BY symbol, time_bucket(INTERVAL 60 MINUTE, ts)),
+      w AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k, avg(v) OVER x AS vol, avg(h - l) OVER x AS sp FROM b WINDOW x AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 11 PRECEDING AND 2 PRECEDING))
+      SELECT symbol, ts, 'breaking_news' AS pattern, CASE WHEN c > o THEN 'long' ELSE 'short' END AS bias, c::DOUBLE AS entry, CASE WHEN c > o THEN l - 2 ELSE h + 2 END::DOUBLE AS stop FROM w WHERE k >= 12 AND vol > 0 AND v >= 3 * vol AND sp > 0 AND h - l >= 2 * sp
+        AND (CASE WHEN c > o THEN c - l + 2 ELSE h + 2 - c END) > 0""",
     "stream_alerts": "SELECT event_type || '-' || event_id AS id, printf('%s scored %.2f', event_type || '-' || event_id, value) AS alert FROM events WHERE value >= 150",
     "news_ttl_window": "SELECT concat('S', doc_id % 50) AS symbol, time_bucket(INTERVAL 10 MINUTE, TIMESTAMP '2024-01-01' + to_minutes(doc_id * 7)) AS start, count(*) AS n FROM documents GROUP BY ALL",
 }

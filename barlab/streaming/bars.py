@@ -140,3 +140,21 @@ def alerts(scored: DataFrame, least: float) -> DataFrame:
 
 def news_windows(news: DataFrame, minutes: int = 10) -> DataFrame:
     return news.withWatermark("published", LATE).groupBy(F.window("published", f"{minutes} minutes").alias("w"), "symbol").agg(F.count("*").alias("n")).select("symbol", F.col("w.start").alias("start"), "n")
+
+
+def detect_each_batch(ticks: DataFrame, minutes: int, detect, out: str, state: str) -> None:
+    """After each batch: add its ticks to a store, rebuild the affected symbols' bars, and append what `detect` finds
+    at bars that the batch touched. A batch that is run again replaces its own folder."""
+    from barlab.operators.resample import ticks_to_bars
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{out}/ticks/batch={number:06d}")
+        since = batch.groupBy("symbol").agg(F.min("ts").alias("since"))
+        history = spark.read.parquet(f"{out}/ticks").join(since, "symbol").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+        bars = ticks_to_bars(history, minutes).select("symbol", F.lit(f"{minutes}min").alias("tf"), "ts", "o", "h", "l", "c", "v")
+        first = since.select("symbol", (F.col("since").cast("timestamp_ntz") - F.make_dt_interval(mins=F.lit(minutes))).alias("first"))
+        found = detect(bars).join(first, "symbol").where(F.col("ts") > F.col("first")).drop("first")
+        found.write.mode("overwrite").parquet(f"{out}/signals/batch={number:06d}")
+
+    ticks.writeStream.foreachBatch(run).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
