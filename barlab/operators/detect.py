@@ -76,18 +76,21 @@ def wide(bars: DataFrame) -> DataFrame:
     count = F.least(F.lit(11), F.floor((F.least(n, F.lit(252)) - 2) / 21)).cast("int")  # months that an index error would not end
     df = df.withColumn("hint", hint).withColumn("months_known", count).withColumn("months", F.slice("months", 1, F.greatest(count, F.lit(0))))
     df = df.withColumn("months_mean", _mean(F.col("months"))).withColumn("months_std", F.sqrt(_mean(F.transform("months", lambda x: (x - F.col("months_mean")) * (x - F.col("months_mean"))))))
-    return _with_past_closes(df, bars)
-
-
-def _with_past_closes(df: DataFrame, bars: DataFrame) -> DataFrame:
-    """Last close of the calendar day before, and closes of the four weeks before, by two short joins."""
-    days = bars.groupBy("symbol", "tf", F.to_date("ts").alias("day")).agg(F.max_by("c", "ts").alias("day_close"))
-    yesterday = days.select("symbol", "tf", F.date_add("day", 1).alias("day"), F.col("day_close").alias("yesterday"))
-    week = F.trunc("day", "week")
-    weeks = days.groupBy("symbol", "tf", week.alias("week")).agg(F.max_by("day_close", "day").alias("w0"))
-    w = Window.partitionBy("symbol", "tf").orderBy("week")
-    before = weeks.select("symbol", "tf", "week", *(F.lag("w0", k).over(w).alias(f"w{k}") for k in range(1, 5)))
-    return df.join(yesterday, ["symbol", "tf", "day"], "left").withColumn("week", week).join(before, ["symbol", "tf", "week"], "left")
+    return _with_past_closes(df)
+
+
+def _with_past_closes(df: DataFrame) -> DataFrame:
+    """Last close of the calendar day before, and closes of the four weeks before: frames within the series, no join.
+
+    The bar before a session's (week's) first one holds the close before it, and what that one knew before.
+    """
+    week = Window.partitionBy("symbol", "tf", "week").orderBy("ts")
+    before = lambda x: F.lag(x, 1).over(I.series())
+    df = df.withColumns({"week": F.trunc("day", "week"), "w0": F.col("c"), "day_before": before("day")})
+    df = df.withColumns({"last_day": F.first("day_before").over(I.session()), "last_close": F.first("prev").over(I.session())})
+    for k in range(1, 5):
+        df = df.withColumn("__before", before(f"w{k - 1}")).withColumn(f"w{k}", F.first("__before").over(week)).drop("__before")
+    return df.withColumn("yesterday", F.when(F.col("last_day") == F.date_sub("day", 1), F.col("last_close")))
 
 
 def _offset(share: float) -> Column:
