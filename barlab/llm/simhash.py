@@ -203,6 +203,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """`docs` with one row of each component: that of the smallest id, and one if that id is repeated."""
     found = components(fingerprints(docs, id_col, text_col), budget)
     keep = found.select(F.col("keeper_id").alias("__id"), F.col("keeper_fp").alias("__fp")).distinct()
-    marked = docs.withColumn("__own", fingerprint(text_col))
-    kept = marked.join(keep.hint("merge"), marked[id_col].eqNullSafe(keep["__id"]) & (marked["__own"] == keep["__fp"]), "left_semi")
+    marked = docs.withColumn("__own", fingerprint(text_col))  # null-safe below: a filter on nulls would hash all texts again
+    kept = marked.join(keep.hint("merge"), marked[id_col].eqNullSafe(keep["__id"]) & marked["__own"].eqNullSafe(keep["__fp"]), "left_semi")
     return kept.dropDuplicates([id_col, "__own"]).select(*docs.columns)
