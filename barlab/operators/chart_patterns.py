@@ -188,3 +188,41 @@ def tidal_wave(bars: DataFrame, levels: DataFrame) -> DataFrame:
         return pd.DataFrame([(last["symbol"], last["tf"], last["ts"], len(heights), entry, level + heights[0] + 0.2 * atr, entry - mean)], columns=empty.columns)
 
     return df.groupBy("symbol", "tf").applyInPandas(run, "symbol string, tf string, ts timestamp_ntz, bounces long, entry double, stop double, target double")
+
+
+def _session_base(bars: DataFrame) -> DataFrame:
+    """Bars with their place in the session (from 0), its open, extremes so far, the close before it, and the last 20 bars as arrays."""
+    first = lambda x: F.first(x).over(I.session())
+    df = bars.withColumn("prev", F.lag("c", 1).over(I.series()))
+    return df.withColumns(
+        {
+            "i": F.row_number().over(I.session()) - 1, "first_o": first("o"), "first_h": first("h"), "before": first("prev"), "top": F.max("h").over(I.session()), "bottom": F.min("l").over(I.session()),
+            **{f"{x}20": F.collect_list(x).over(I.frame(-20, -1)) for x in "hlv"},
+        }
+    )
+
+
+def hitch_hiker(bars: DataFrame) -> DataFrame:
+    """A drive off the open, 5 to 20 quiet bars in the upper third of the day, and a bar above them."""
+    df = _session_base(bars).withColumn("drive", F.min(F.when(F.col("i").between(3, 9) & (F.col("c") > 1.005 * F.col("first_o")), F.col("i"))).over(I.session()))
+    n = F.col("i") - 1 - F.col("drive")
+    c_high, c_low = F.array_max(_last("h20", n)), F.array_min(_last("l20", n))
+    span = F.col("top") - F.col("bottom")
+    mean = F.try_divide(F.aggregate(_last("v20", n), F.lit(0.0), lambda a, x: a + x), F.nullif(n, F.lit(0)))
+    when = n.between(5, 20) & (span > 0) & (c_high - c_low < 0.40 * span) & (c_low >= F.col("bottom") + span * 2 / 3) & (F.col("h") > c_high)
+    conf = F.least(F.lit(0.90), 0.50 + F.when(F.col("v") > 1.3 * mean, 0.10).otherwise(0.0) + F.when(I.minute_of_day().between(570, 599), 0.10).otherwise(0.0) + F.when(c_low > F.col("first_h"), 0.05).otherwise(0.0))
+    entry, stop = c_high + TICK, c_low - TICK
+    return df.select("symbol", "tf", "ts", F.inline(F.array_compact(F.array(_candidate("hitch_hiker", "long", when, entry, stop, entry + 1.9 * (entry - stop), conf)))))
+
+
+def gap_give_and_go(bars: DataFrame) -> DataFrame:
+    """A gap up that drops, rests for 3 to 7 bars in half of the drop, and breaks out with 1 R up to the open."""
+    df = _session_base(bars).withColumn("drop", F.max(F.when(F.col("i").between(1, 5) & (F.col("l") < 0.995 * F.col("first_o")), F.col("i"))).over(I.session()))
+    n = F.col("i") - F.col("drop")
+    c_high, c_low = F.array_max(_last("h20", n)), F.array_min(_last("l20", n))
+    fall = F.col("first_o") - c_low
+    entry, stop = c_high + TICK, c_low - TICK
+    gap = F.col("first_o") / F.col("before") - 1 >= 0.005
+    when = gap & n.between(3, 7) & (fall > 0) & (c_high - c_low <= 0.5 * fall) & (F.col("h") > c_high) & (F.col("first_o") - entry >= entry - stop)
+    conf = F.least(F.lit(0.85), 0.50 + F.when(I.minute_of_day().between(570, 585), 0.10).otherwise(0.0))
+    return df.select("symbol", "tf", "ts", F.inline(F.array_compact(F.array(_candidate("gap_give_and_go", "long", when, entry, stop, F.col("first_o"), conf)))))

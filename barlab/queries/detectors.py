@@ -84,6 +84,11 @@ def spencer(spark, sf_dir):
     return C.spencer(fixtures.intraday(spark, sf_dir, 5)).select(*_CHART[:4], *(F.round(x, 5).alias(x) for x in _CHART[4:]))
 
 
+def session_patterns(spark, sf_dir):
+    bars = fixtures.intraday(spark, sf_dir, 5)
+    return C.hitch_hiker(bars).unionByName(C.gap_give_and_go(bars)).select(*_CHART[:4], *(F.round(x, 5).alias(x) for x in _CHART[4:]))
+
+
 def neckline(spark, sf_dir):
     return C.neckline(S.last_pivots(_pivots(spark, sf_dir), 2), 0.05).select("symbol", F.round("neckline", 6).alias("neckline"))
 
@@ -189,7 +194,7 @@ def breakout_study(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        detect_daily, detect_daily_windows, detect_swing, detect_intraday, power_hour, chart_patterns, breaking_news, opening_range_break, ema_vwap_cross, fashionably_late, spencer, neckline, tidal_wave, price_in_zone, results_sink, swing_pivots, swing_helpers, fit_trendline, detect_channel, cluster_levels, detect_breakouts, nearest_level, as_of_regime,
+        detect_daily, detect_daily_windows, detect_swing, detect_intraday, power_hour, chart_patterns, breaking_news, opening_range_break, ema_vwap_cross, fashionably_late, spencer, session_patterns, neckline, tidal_wave, price_in_zone, results_sink, swing_pivots, swing_helpers, fit_trendline, detect_channel, cluster_levels, detect_breakouts, nearest_level, as_of_regime,
         feature_vector, detect_regime, regime_alignment, relative_strength, scan, walk_forward_backtest, breakout_study,
     )
 }
