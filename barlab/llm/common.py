@@ -132,7 +132,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for all nodes of `edges` (u, v: long); root is the component's smallest node.
 
     Alternating large-star and small-star rounds; every round is a few shuffles of edges with map-side
-    minima, and is checkpointed. Joins are sort-merge, so a hub's rows can be split by adaptive execution.
+    minima, and is checkpointed. The minima are materialised before their join: only then are both sides
+    of the sort-merge join plain exchanges, whose large partitions (hubs) adaptive execution splits.
     """
     now = checkpoint(
         edges.where(F.col("u") != F.col("v"))
@@ -146,11 +147,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         state = seen
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = checkpoint(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         large = (
             both.where(F.col("v") > F.col("u")).join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         )
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = checkpoint(large)
+        least = checkpoint(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least.hint("merge"), "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = checkpoint(small.union(least.select("u", F.col("m").alias("v"))).distinct())
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
