@@ -1,7 +1,8 @@
 """Near-duplicate vectors by spherical-cap filters from structured random product codes.
 
-A random rotation is cut into `PARTS` slices, each with a codebook of random unit vectors; a filter
-direction is one code word of each slice. A vector goes to every filter whose cap it lies in, i.e. whose
+Each of ROTATIONS random rotations is cut into `PARTS` slices, each with a codebook of random unit vectors; a filter
+direction is one code word of each slice. Several small codes miss fewer pairs than one large code with as many
+directions, whose products share their words. A vector goes to every filter whose cap it lies in, i.e. whose
 direction it exceeds the threshold on. List decoding finds them without a look at all directions: per slice
 the words' products are sorted, and only sums that can still pass are formed. Vectors that share a filter
 are compared exactly, in double precision.
@@ -31,9 +32,10 @@ from pyspark.sql import functions as F
 from barlab.llm.common import blocked, checkpoint, connected_components, group_starts, group_tables, unite
 from barlab.llm.vectors import dimension, matrix, usable
 
-PARTS = 2
-CAP_ROWS = 200
-SHARED = 14.0
+PARTS, ROTATIONS = 2, 8
+CAP_ROWS = 1000
+#: Two isolated vectors at the bound then share none in about one of 10,000 cases.
+SHARED = 24.0
 #: Vectors of one filter in a block, and rows of a product matrix formed at once.
 BLOCK_VECTORS, _ROWS = 4096, 512
 
@@ -48,11 +50,26 @@ def cap_filters(n: int, cosine: float) -> tuple[float, int]:
     dense = np.exp(-(z**2) / 2) / math.sqrt(2 * math.pi)
     tail = np.array([1 - normal.cdf((t - cosine * x) / math.sqrt(1 - cosine**2)) for x in z[::20]])
     both = float(np.sum(dense * np.interp(z, z[::20], tail)) * (z[1] - z[0]))
-    return t, max(2, math.ceil((SHARED / both) ** (1 / PARTS)))
+    return t, max(2, math.ceil((SHARED / ROTATIONS / both) ** (1 / PARTS)))
 
 
-class ProductCode:
-    def __init__(self, d: int, words: int, threshold: float, seed: int = 7):
+class ProductCodes:
+    """All rotations' filters, numbered through."""
+
+    def __init__(self, d: int, words: int, threshold: float):
+        self._codes, self._size = [_ProductCode(d, words, threshold, 7 + k) for k in range(ROTATIONS)], words**PARTS
+
+    def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, filter) of all filters that rows of unit vectors exceed, by row, then filter."""
+        found = [code.decode(unit) for code in self._codes]
+        rows = np.concatenate([r for r, _ in found])
+        filters = np.concatenate([f + k * self._size for k, (_, f) in enumerate(found)])
+        by = np.lexsort((filters, rows))
+        return rows[by], filters[by]
+
+
+class _ProductCode:
+    def __init__(self, d: int, words: int, threshold: float, seed: int):
         draw = np.random.default_rng(seed)
         self._rotation = np.linalg.qr(draw.standard_normal((d, d)))[0]
         self._cuts = [d * i // PARTS for i in range(PARTS + 1)]
@@ -64,7 +81,6 @@ class ProductCode:
         self._words, self._threshold = words, threshold
 
     def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, filter) of all filters that rows of unit vectors exceed, by row, then filter."""
         turned = unit @ self._rotation
         scores = [turned[:, a:b] @ book.T for a, b, book in zip(self._cuts[:-1], self._cuts[1:], self._books, strict=True)]
         rows = np.arange(len(unit))
@@ -82,13 +98,12 @@ class ProductCode:
             place = np.arange(len(of)) - np.repeat(np.cumsum(number) - number, number)
             word = order[rows[of], place]
             codes, sums, rows = codes[of] * self._words + word, sums[of] + score[rows[of], word], rows[of]
-        by = np.lexsort((codes, rows))
-        return rows[by], codes[by]
+        return rows, codes
 
 
 def _decoder(d: int, words: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = ProductCode(d, words, threshold)
+        code = ProductCodes(d, words, threshold)
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
@@ -97,7 +112,7 @@ def _decoder(d: int, words: int, threshold: float):
                 rows, filters = code.decode(scaled / np.linalg.norm(scaled, axis=1, keepdims=True))
                 number = np.bincount(rows, minlength=part.num_rows)
                 ends = np.append(0, np.cumsum(number)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(filters))
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(filters, pa.int32()))
                 taken = part.take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(filters), taken.column("node"), taken.column("copies"), taken.column("vector"), lists.take(pa.array(rows))],
@@ -171,7 +186,7 @@ def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     narrow = "float" in dict(vectors.dtypes)[vector_col]
     sent = nodes.select("node", "copies", F.col("vector").cast("array<float>" if narrow else "array<double>").alias("vector"))
     kind = "float" if narrow else "double"
-    listed = sent.mapInArrow(_decoder(d, words, threshold), f"filter long, node long, copies long, vector array<{kind}>, filters array<long>") if d else None
+    listed = sent.mapInArrow(_decoder(d, words, threshold), f"filter long, node long, copies long, vector array<{kind}>, filters array<int>") if d else None
     if listed is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     units = blocked(listed, "filter", "node", BLOCK_VECTORS).select("filter", "p", "q", "side", "node", "copies", "vector", "filters")
