@@ -49,6 +49,7 @@ class Encoder:
         for token, i in tokens.items():
             self._edge[i] = token.endswith("</w>") if self._word_ends else token.startswith("Ġ")
         self._chunks: dict[str, bytes] = {}
+        self._marks: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -64,31 +65,34 @@ class Encoder:
         blob, cuts = ids.tobytes(), (np.append(starts, len(ids)) * 4).tolist()
         return [blob[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Encode new chunks: plain words and their closing marks apart, all others by themselves."""
+    def _look_up(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk. A plain chunk is its word's ids and its marks' ids; only words and odd chunks are kept."""
         spaced = not self._word_ends
-        plain, odd, cores, tails = [], [], [], []
+        words, tails, odd, keys = [], [], [], []
         for chunk in chunks:
             core = chunk.rstrip(_MARKS)
             if core.isalpha() and (core.isascii() or _LATIN.fullmatch(core)):
-                plain.append(chunk)
-                cores.append(core if spaced else core.lower())
+                key = core if spaced else core.lower()
+                words.append(key)
                 tails.append(chunk[len(core) :])
             else:
+                key = chunk
                 odd.append(chunk)
-        # a word without marks is a chunk too, so that it is encoded once whatever marks follow it
-        words, marks = list(set(cores).difference(self._chunks)), list(set(tails))
-        for i in range(0, len(words), 4096):
-            some = words[i : i + 4096]
-            self._chunks.update(zip(some, self._words([" " + w for w in some] if spaced else some), strict=True))
-        ends = dict(zip(marks, self._library(marks), strict=True))
-        marked = [(chunk, core, tail) for chunk, core, tail in zip(plain, cores, tails, strict=True) if chunk is not core and chunk != core]
-        self._chunks.update((chunk, self._chunks[core] + ends[tail]) for chunk, core, tail in marked)
-        if odd:
-            exact = odd
+                tails.append("")
+            keys.append(key)
+        kept, marks = self._chunks, self._marks
+        if new := list(set(words).difference(kept)):
+            for i in range(0, len(new), 4096):
+                some = new[i : i + 4096]
+                kept.update(zip(some, self._words([" " + w for w in some] if spaced else some), strict=True))
+        if new := list(set(odd).difference(kept)):
+            exact = new
             if spaced:
-                exact = [x[1:] if x[0] == _BARE else x if x == "\n" else " " + x for x in odd]
-            self._chunks.update(zip(odd, self._library(exact), strict=True))
+                exact = [x[1:] if x[0] == _BARE else x if x == "\n" else " " + x for x in new]
+            kept.update(zip(new, self._library(exact), strict=True))
+        if new := list(set(tails).difference(marks)):
+            marks.update(zip(new, self._library(new), strict=True))
+        return [kept[key] + marks[tail] if tail else kept[key] for key, tail in zip(keys, tails, strict=True)]
 
     def _cut(self, texts: pa.Array) -> pa.ListArray:
         """The chunks of each text."""
@@ -103,9 +107,9 @@ class Encoder:
         names = words.dictionary.to_pylist()
         if len(self._chunks) > CACHE_CHUNKS:
             self._chunks.clear()
-        if new := [x for x in names if x not in self._chunks]:
-            self._learn(new)
-        known = list(map(self._chunks.__getitem__, names))
+        if len(self._marks) > CACHE_CHUNKS:
+            self._marks.clear()
+        known = self._look_up(names)
         ends = np.cumsum(np.fromiter(map(len, known), dtype=np.int64, count=len(known))) // 4
         flat = np.frombuffer(b"".join(known), dtype="<u4")
         ragged = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(flat))
