@@ -7,9 +7,15 @@ threat, plain or aimed at a target, negated or reported. Only clauses that hold
 A document's pattern is which clause classes it has, and whether one comes more than once; words alone
 score nothing outside their clause.
 
+The fixed words are mostly English. Words of the class `learnt` come from the labels, in whatever language
+they are: of all words of all labelled rows outside the held-out fold, counted by label, those that stand in
+LEARN_ROWS toxic rows or more and in hardly any clean one. Labels do not tell insults from threats, so learnt
+words have a class of their own, which goes through the same transducers. The list is not capped.
+
 The classes' weights start from fixed values and are fit to the labels: the labelled rows outside the
-held-out fold are counted by pattern over all rows (at most 2 ** 9 patterns), and a logistic model drawn
-towards the fixed weights is fit to the counts.
+held-out fold are counted by pattern over all rows (at most 2 ** 14 patterns), and a logistic model drawn
+towards the fixed weights is fit to the counts. For this each half of those rows is read with the words
+learnt from the other half, or a word would vouch for the rows it was learnt from.
 
 Cases: null and empty texts have no match and get the score of clean text; so do texts without letters.
 Null or missing labels teach nothing; a document with several labels is toxic if one is. Repeated rows are each
@@ -24,11 +30,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from barlab.llm.common import checkpoint
 from barlab.llm.langid import held_out
 
 # The grammar's words.
@@ -44,10 +50,15 @@ NEGATIONS = "not no never isn't aren't don't ain't nobody nor without pas jamais
 REPORTS = "said says called calls wrote writes quoted quote reported claims claimed says: accused told alleged".split()
 STRONG = "so such total totally utter utterly complete completely absolute absolutely fucking damn bloody".split()
 
-CLASSES = ("insult", "insult_aimed", "insult_negated", "insult_reported", "threat", "threat_aimed", "threat_negated", "threat_reported", "repeated")
+CLASSES = (
+    "insult", "insult_aimed", "insult_negated", "insult_reported", "threat", "threat_aimed", "threat_negated", "threat_reported", "repeated",
+    "learnt", "learnt_aimed", "learnt_negated", "learnt_reported", "learnt_often",
+)
 # Log-odds before any label is seen.
 BASE_WEIGHT = -3.0
-WEIGHTS = (3.5, 4.5, 1.0, 0.8, 1.2, 4.0, 0.3, 0.5, 1.0)
+WEIGHTS = (3.5, 4.5, 1.0, 0.8, 1.2, 4.0, 0.3, 0.5, 1.0, 1.5, 1.5, 0.3, 0.3, 2.0)
+#: Toxic rows that a learnt word stands in at least, and their least share of its rows and one clean row more.
+LEARN_ROWS, LEARN_SHARE = 3, 0.7
 #: Strength of the pull towards the fixed weights, in labelled rows.
 PRIOR_ROWS = 10.0
 #: Score from which a document is taken for toxic.
@@ -62,11 +73,12 @@ _CLAUSE_END = re.compile(r"[.!?;:\n]+")
 # Transducers: (state, class) -> state; a class without an entry leaves the state.
 _INSULT = {("0", "i"): "1"}
 _THREAT = {("0", "t"): "1"}
+_LEARNT = {("0", "l"): "1"}
 _TARGET = {("0", "g"): "1"}
-#: A negation reaches the insult or threat after it; a second one lifts it.
-_NEGATION = {("0", "n"): "near", ("near", "n"): "0", ("near", "i"): "hit", ("near", "t"): "hit"}
-#: Reported speech: a reporting word in front of the insult or threat.
-_REPORTED = {("0", "r"): "near", ("near", "i"): "hit", ("near", "t"): "hit"}
+#: A negation reaches the insult, threat or learnt word after it; a second one lifts it.
+_NEGATION = {("0", "n"): "near", ("near", "n"): "0", ("near", "i"): "hit", ("near", "t"): "hit", ("near", "l"): "hit"}
+#: Reported speech: a reporting word in front of the insult, threat or learnt word.
+_REPORTED = {("0", "r"): "near", ("near", "i"): "hit", ("near", "t"): "hit", ("near", "l"): "hit"}
 
 
 def _run(machine: dict, classes: str) -> str:
@@ -76,11 +88,15 @@ def _run(machine: dict, classes: str) -> str:
     return state
 
 
-def clause_classes(clause: str) -> list[str]:
+def words_of(text: str) -> list[str]:
+    return _WORD.findall(text.lower().replace("’", "'"))
+
+
+def clause_classes(clause: str, learnt: frozenset[str] = frozenset()) -> list[str]:
     """What the composed transducers put out for one clause."""
-    classes = "".join(_CLASS_OF.get(w.replace("’", "'"), "") for w in _WORD.findall(clause.lower()))
+    classes = "".join(_CLASS_OF.get(w) or ("l" if w in learnt else "") for w in words_of(clause))
     out = []
-    for name, machine in (("insult", _INSULT), ("threat", _THREAT)):
+    for name, machine in (("insult", _INSULT), ("threat", _THREAT), ("learnt", _LEARNT)):
         if _run(machine, classes) == "1":
             if _run(_REPORTED, classes) == "hit":
                 out.append(f"{name}_reported")
@@ -91,29 +107,47 @@ def clause_classes(clause: str) -> list[str]:
     return out
 
 
-def pattern_of(text: str) -> int:
+def pattern_of(text: str, learnt: frozenset[str] = frozenset()) -> int:
     """The bits of CLASSES that a text's matched clauses have."""
-    bits, matched, at = 0, 0, 0
-    while found := _FIND.search(text, at):
-        begin = max((m.end() for m in _CLAUSE_END.finditer(text, at, found.start())), default=at)
-        stop = _CLAUSE_END.search(text, found.end())
-        end = stop.start() if stop else len(text)
-        for name in clause_classes(text[begin:end]):
+    bits, matched, plain = 0, 0, set()
+    for clause in _CLAUSE_END.split(text):
+        own = learnt.intersection(words_of(clause)) if learnt else learnt
+        if not own and not _FIND.search(clause):
+            continue
+        for name in clause_classes(clause, own):
             bits |= 1 << CLASSES.index(name)
-            matched += name.partition("_")[2] not in ("negated", "reported")
-        at = max(end, found.end())
-    return bits | (matched > 1) << CLASSES.index("repeated")
+            kind, _, how = name.partition("_")
+            if how in ("negated", "reported"):
+                continue
+            if kind == "learnt":
+                plain |= own
+            else:
+                matched += 1
+    return bits | (matched > 1) << CLASSES.index("repeated") | (len(plain) > 1) << CLASSES.index("learnt_often")
 
 
-@F.arrow_udf(IntegerType())
-def pattern(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """Patterns of texts; one pass of a compiled automaton leaves out those without a trigger."""
+@F.arrow_udf(ArrayType(StringType()))
+def _distinct_words(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Each text's words, once each, but those that have a fixed class."""
     for column in texts:
-        out = np.zeros(len(column), dtype=np.int32)
-        hits = np.flatnonzero(pc.fill_null(pc.match_substring_regex(column.cast(pa.string()), _TRIGGER), False).to_numpy(zero_copy_only=False))
-        for i, text in zip(hits.tolist(), column.take(pa.array(hits)).to_pylist(), strict=True):
-            out[i] = pattern_of(text)
-        yield pa.array(out)
+        yield pa.array([sorted(set(words_of(t or "")) - _CLASS_OF.keys()) for t in column.to_pylist()], pa.list_(pa.string()))
+
+
+def _patterns(learnt: Broadcast):
+    """Patterns of texts; `by` tells each row's word list. Texts without a fixed trigger or a learnt word are left out by cheap passes."""
+
+    @F.arrow_udf(IntegerType())
+    def pattern(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        lists = learnt.value
+        for texts, by in columns:
+            hits = pc.fill_null(pc.match_substring_regex(texts.cast(pa.string()), _TRIGGER), False).to_pylist()
+            out = np.zeros(len(texts), dtype=np.int32)
+            for i, (text, k, hit) in enumerate(zip(texts.to_pylist(), by.to_pylist(), hits, strict=True)):
+                if text and (hit or (lists[k] and not lists[k].isdisjoint(words_of(text)))):
+                    out[i] = pattern_of(text, lists[k])
+            yield pa.array(out)
+
+    return pattern
 
 
 def fit(counts: list[tuple[int, int, int]]) -> np.ndarray:
@@ -136,12 +170,34 @@ def fit(counts: list[tuple[int, int, int]]) -> np.ndarray:
     return w
 
 
-def _learn(patterns: DataFrame, labels: DataFrame, folds: int, fold: int) -> np.ndarray:
-    """patterns: (doc_id, pattern). Counts by pattern over all labelled rows outside the fold; few, short rows."""
-    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    learn = patterns.where(~held_out(F.col("doc_id"), folds, fold)).join(known.hint("merge"), "doc_id")
-    counts = learn.groupBy("pattern").agg(F.count("*").alias("n"), F.sum((F.col("toxic") > 0).cast("long")).alias("k"))
-    return fit([tuple(r) for r in counts.collect()])
+def _known(labels: DataFrame) -> DataFrame:
+    return labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("long").alias("toxic"))
+
+
+def learn_words(rows: DataFrame, labels: DataFrame) -> list[frozenset[str]]:
+    """rows: (doc_id, text, half) to learn from. The words learnt from all of them, from half 0 and from half 1."""
+    seen = rows.join(_known(labels).hint("merge"), "doc_id").select("half", "toxic", F.explode(_distinct_words("text")).alias("word"))
+    first, toxic = (F.col("half") == 0).cast("long"), F.col("toxic")
+    counts = seen.groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("k"), F.sum(first).alias("n0"), F.sum(first * toxic).alias("k0"))
+    counts = counts.withColumns({"n1": F.col("n") - F.col("n0"), "k1": F.col("k") - F.col("k0")})
+    good = [(F.col(k) >= LEARN_ROWS) & (F.col(k) >= LEARN_SHARE * (F.col(n) + 1)) for k, n in (("k", "n"), ("k0", "n0"), ("k1", "n1"))]
+    found = counts.where(good[0] | good[1] | good[2]).select("word", *(g.alias(f"in{i}") for i, g in enumerate(good))).collect()
+    return [frozenset(r["word"] for r in found if r[f"in{i}"]) for i in range(3)]
+
+
+def _learn(patterns: DataFrame, labels: DataFrame) -> np.ndarray:
+    """patterns: (doc_id, pattern) to learn from. Counts by pattern over all labelled rows of them; few, short rows."""
+    learn = patterns.join(_known(labels).hint("merge"), "doc_id")
+    return fit([tuple(r) for r in learn.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("toxic").alias("k")).collect()])
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, folds: int, fold: int) -> tuple[Broadcast, np.ndarray]:
+    """The word lists (all, half 0, half 1) and the weights, both learnt outside the fold."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(~held_out(F.col("doc_id"), folds, fold))
+    rows = rows.withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int"))
+    learnt = docs.sparkSession.sparkContext.broadcast(learn_words(rows, labels))
+    # patterns before the join to the labels, so that it moves short rows
+    return learnt, _learn(rows.select("doc_id", _patterns(learnt)("text", 2 - F.col("half")).alias("pattern")), labels)
 
 
 def score_of(bits: Column, weights: np.ndarray) -> Column:
@@ -153,14 +209,14 @@ def score_of(bits: Column, weights: np.ndarray) -> Column:
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 4, fold: int = 2, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted, pattern of every row."""
-    found = checkpoint(docs.select(F.col(id_col).alias("doc_id"), pattern(text_col).alias("pattern")))
-    value = score_of(F.col("pattern"), _learn(found, labels, folds, fold))
+    learnt, weights = _fitted(docs, labels, id_col, text_col, folds, fold)
+    found = docs.select(F.col(id_col).alias("doc_id"), _patterns(learnt)(text_col, F.lit(0)).alias("pattern"))
+    value = score_of(F.col("pattern"), weights)
     out = found.select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), value.alias("score"), "pattern")
     return out.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "pattern")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 4, fold: int = 2, threshold: float = THRESHOLD) -> DataFrame:
     """`docs` without the rows that score `threshold` or more."""
-    found = checkpoint(docs.select(F.col(id_col).alias("doc_id"), pattern(text_col).alias("pattern")))
-    weights = _learn(found, labels, folds, fold)
-    return docs.where(score_of(pattern(text_col), weights) < threshold)
+    learnt, weights = _fitted(docs, labels, id_col, text_col, folds, fold)
+    return docs.where(score_of(_patterns(learnt)(text_col, F.lit(0)), weights) < threshold)

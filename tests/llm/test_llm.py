@@ -354,6 +354,22 @@ def test_toxicity_held_out(spark, odd, empty):
     assert toxicity.score(empty, labels).count() == 0 and {r["doc_id"] for r in toxicity.drop_toxic(odd, labels).collect()} == {r[0] for r in ODD} - {8}
 
 
+def test_toxic_words_are_learnt_in_any_language(spark):
+    rng = np.random.default_rng(8)
+    draw = lambda k: " ".join("".join(rng.choice(list("abcdefgé"), 5)) for _ in range(k))
+    marks = ["zürxil", "zoréak", "zimtup", "zugaró"]
+    rows = [(i, f"{draw(9)} {marks[i % 4]} {draw(6)}. {marks[(i + 1) % 4]} {draw(4)}" if i % 5 == 0 else draw(20), int(i % 5 == 0)) for i in range(600)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    out = toxicity.score(docs, labels).where("held_out").toPandas()
+    assert len(out) > 50 and (out.predicted == (out.doc_id % 5 == 0)).all()
+    assert {r["doc_id"] for r in toxicity.drop_toxic(docs, labels).collect()} == {r[0] for r in rows if not r[2]}
+    # a word that clean rows hold as well is not learnt, nor one that stands in held-out rows alone
+    toxic_rows = docs.select("doc_id", "text", F.lit(0).alias("half")).where("doc_id < 300")
+    assert toxicity.learn_words(toxic_rows, labels)[0] == set(marks)
+    assert not toxicity.learn_words(toxic_rows, labels.withColumn("toxic", (F.col("doc_id") % 10).cast("int")).where("doc_id % 5 = 0").withColumn("toxic", (F.col("toxic") > 0).cast("int")))[0]
+    assert toxicity.clause_classes("you are not zimtup", frozenset(marks)) == ["learnt_negated"]
+
+
 # 9: neighbours
 
 
