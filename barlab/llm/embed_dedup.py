@@ -107,7 +107,7 @@ def _decoder(d: int, words: int, threshold: float):
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
-                vectors = matrix(part.column("vector"))
+                vectors = matrix(part.column("vector")).astype(np.float64)
                 scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)  # no overflow in the norm
                 rows, filters = code.decode(scaled / np.linalg.norm(scaled, axis=1, keepdims=True))
                 number = np.bincount(rows, minlength=part.num_rows)
@@ -141,7 +141,7 @@ def _linker(cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in group_tables(batches, 3, 8192):
             starts = group_starts(table, 3)
-            vectors = matrix(table.column("vector"))
+            vectors = matrix(table.column("vector")).astype(np.float64)
             scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
             unit = scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
             filters, side = table.column("filter").to_numpy(), table.column("side").to_numpy()
@@ -182,7 +182,7 @@ def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     distinct = rows.where(~alone).groupBy("vector").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
     nodes = checkpoint(distinct.withColumn("node", F.monotonically_increasing_id()))
     threshold, words = cap_filters(nodes.count(), cosine)
-    # components that came as floats travel as floats; both give the same doubles
+    # components that came as floats travel as floats; tasks make the same doubles of both
     narrow = "float" in dict(vectors.dtypes)[vector_col]
     sent = nodes.select("node", "copies", F.col("vector").cast("array<float>" if narrow else "array<double>").alias("vector"))
     kind = "float" if narrow else "double"

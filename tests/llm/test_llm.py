@@ -327,6 +327,24 @@ def test_links_and_components(spark, block, monkeypatch):
 BAD = [(1, None), (2, [0.0] * 4), (3, [1.0, float("nan"), 0, 0]), (4, [1.0, float("inf"), 0, 0]), (5, [1.0, 2, 3, 4]), (6, [2.0, 4, 6, 8]), (6, [1.0, 2, 3, 4]), (7, []), (8, [1.0, 2.0]), (None, [1.0, 2, 3, 4])]
 
 
+def test_float_vectors_are_checked_in_double_precision(spark):
+    rng = np.random.default_rng(9)
+    d, n = 64, 200
+    x = rng.standard_normal((n, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal((n, d))
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    cosine = 0.9 + rng.uniform(-1e-7, 1e-7, (n, 1))
+    pairs = np.stack([x, cosine * x + np.sqrt(1 - cosine**2) * y], axis=1).astype("f4")
+    double = pairs.astype("f8")
+    exact = (double[:, 0] * double[:, 1]).sum(axis=1) / np.linalg.norm(double[:, 0], axis=1) / np.linalg.norm(double[:, 1], axis=1)
+    assert 50 < (exact >= 0.9).sum() < 150 and np.abs(exact - 0.9).min() > 1e-12
+    rows = [(i, v.tolist()) for i, v in enumerate(pairs.reshape(-1, d))]
+    out = embed_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).toPandas().set_index("vec_id").sort_index()
+    assert (out.n_links.to_numpy().reshape(n, 2) == (exact >= 0.9)[:, None]).all()
+
+
 def test_odd_vectors(spark):
     out = embed_dedup.link(vectors(spark, BAD)).toPandas()
     good = out[(out.component_id == 5)]
