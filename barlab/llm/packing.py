@@ -2,9 +2,11 @@
 
 A document is its token ids and an end id; longer ones are cut into pieces of `capacity`. Each partition
 packs its pieces best-fit, longest first, into bins and emits those that are nearly full. The underfull
-bins go on as items: partitions merge `FAN_IN` at a time and pack again, round by round up a tree. The
-walk ends at one partition, or when a round no longer makes fewer bins. Each round is checkpointed, so
-its choices stand whatever is lost later. Tasks take pieces in windows of bounded number.
+bins go on as items: partitions merge `FAN_IN` at a time and pack again, round by round up a tree to
+its root, whatever a level gains. Tasks take pieces in windows of bounded number; where a level's tasks would
+get more than a window each, all open bins are dealt anew by a hash instead, half a window to a task, so that
+each task has bins of all sizes from all partitions. The walk goes on until one task has seen all open bins, or such
+a deal makes no fewer bins. Each round is checkpointed, so its choices stand whatever is lost later.
 
 Cases: a null or empty text is the end id alone, one piece of length 1. Equal rows and equal ids are packed
 each. Null ids stay null. An empty table gives an empty result; other columns are ignored.
@@ -86,10 +88,10 @@ def _emit(table: pa.Table, full: np.ndarray, part: int) -> list[pa.RecordBatch]:
     return marked.combine_chunks().to_batches(max_chunksize=20_000)
 
 
-def _rounds(tables: Iterator[pa.Table], capacity: int, level: int) -> Iterator[pa.RecordBatch]:
+def _rounds(tables: Iterator[pa.Table], capacity: int, level: int, window: int) -> Iterator[pa.RecordBatch]:
     """Pack windows of pieces with what the window before left open; `bin` tells the pieces of an item."""
     part = TaskContext.get().partitionId()
-    first = (level << 56) | (part << 28)
+    first = (level << 50) | (part << 28)
     held: pa.Table | None = None
     for table in tables:
         if held is not None:
@@ -102,7 +104,7 @@ def _rounds(tables: Iterator[pa.Table], capacity: int, level: int) -> Iterator[p
             yield from _emit(packed.filter(pa.array(full)), full[full], part)
         held = packed.filter(pa.array(~full)).drop_columns(["place"])
         held = held if held.num_rows else None
-        if held is not None and held.num_rows > WINDOW:  # too many stay open to carry on: their turn comes a round later
+        if held is not None and held.num_rows > window:  # too many stay open to carry on: their turn comes a round later
             yield from _leave(held, part)
             held = None
     if held is not None:
@@ -118,7 +120,7 @@ def _leave(held: pa.Table, part: int) -> list[pa.RecordBatch]:
     return _emit(held.append_column("place", pa.array(place)), np.zeros(len(length), dtype=bool), part)
 
 
-def _first(path: str, capacity: int, end_id: int):
+def _first(path: str, capacity: int, end_id: int, window: int):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         code = encoder(path)
         end = np.array([end_id], dtype="<u4").tobytes()
@@ -134,14 +136,14 @@ def _first(path: str, capacity: int, end_id: int):
                         piece = own[k : k + 4 * capacity]
                         rows.append((doc, k // (4 * capacity), k // 4, len(piece) // 4, zlib.crc32(piece), item))
                         item -= 1
-                    if len(rows) >= WINDOW:
+                    if len(rows) >= window:
                         yield _table(rows)
                         rows = []
         if rows:
             yield _table(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _rounds(pieces(batches), capacity, 0)
+        yield from _rounds(pieces(batches), capacity, 0, window)
 
     return run
 
@@ -152,36 +154,41 @@ def _table(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
-def _again(capacity: int, level: int):
+def _again(capacity: int, level: int, window: int):
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         from barlab.llm.common import group_tables
 
-        for table in group_tables(batches, 1, WINDOW):
+        for table in group_tables(batches, 1, window):
             yield table.select(["doc_id", "piece", "start", "length", "ids_crc32", "bin"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _rounds(windows(batches), capacity, level)
+        yield from _rounds(windows(batches), capacity, level, window)
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, window: int = WINDOW) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     schema = f"{_PIECE}, {_BIN}"
-    now = checkpoint(docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(_first(tokenizer, capacity, end_id), schema))
+    now = checkpoint(docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(_first(tokenizer, capacity, end_id, window), schema))
     done = now.where("full")
-    bins = lambda df: df.agg(F.count_distinct("bin")).first()[0]
+    size = lambda df: df.agg(F.count_distinct("bin"), F.count("*")).first()
     parts, level = max(1, now.rdd.getNumPartitions()), 0
     left = now.where("not full")
-    count = bins(left)
-    while count > 1 and parts > 1:
-        parts, level = -(-parts // FAN_IN), level + 1
-        groups = left.withColumn("part", (F.col("part") / FAN_IN).cast("int"))
-        placed = groups.repartition(parts, "part").sortWithinPartitions("part", "bin", "place")
+    count, pieces = size(left)
+    while count > 1 and (parts > 1 or pieces > window):
+        level += 1
+        if dealt := pieces > window * -(-parts // FAN_IN):
+            parts = -(-2 * pieces // window)
+            placed = left.repartition(parts, "bin", F.lit(level))
+        else:
+            parts = -(-parts // FAN_IN)
+            placed = left.withColumn("part", (F.col("part") / FAN_IN).cast("int")).repartition(parts, "part")
         columns = ["bin", "doc_id", "piece", "start", "length", "ids_crc32"]
-        now = checkpoint(placed.select(*columns).mapInArrow(_again(capacity, level), schema))
+        placed = placed.sortWithinPartitions("bin", "place").select(*columns)
+        now = checkpoint(placed.mapInArrow(_again(capacity, level, window), schema))
         done, left = done.union(now.where("full")), now.where("not full")
-        if bins(now) > 0.99 * count:
+        before, (count, pieces) = count, size(left)
+        if dealt and size(now)[0] >= before:
             break
-        count = bins(left)
     return done.union(left).select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), F.col("place").alias("offset"))

@@ -212,6 +212,17 @@ def test_packing_odd_rows(odd, empty):
     assert packing.pack(empty, WORD_BPE).count() == 0
 
 
+@pytest.mark.parametrize("slices, window", [(64, {}), (1, {"window": 32})])
+def test_fillers_meet_bins_of_far_partitions_and_windows(spark, slices, window):
+    """Large documents first, their fillers in the last subtree or windows: no level but the last gains."""
+    large, small = "the quick brown fox jumps over the lazy dog again", "the quick brown fox jumps over the lazy dog"
+    a, b = (len(x) for x in encoded(WORD_BPE, [large, small]))
+    rows = [(i, large) for i in range(224)] + [(224 + i, small) for i in range(32)]
+    out = packing.pack(spark.createDataFrame(spark.sparkContext.parallelize(rows, slices), "doc_id long, text string"), WORD_BPE, capacity=a + b, **window).toPandas()
+    check_packing(out, encoded(WORD_BPE, [r[1] for r in rows]), a + b)
+    assert len(out) == 256 and out.sequence_id.nunique() == 224
+
+
 def test_best_fit_never_overfills():
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 2049, 3000)
