@@ -1,21 +1,22 @@
 """Toxicity of whole texts by a weighted finite-state grammar over clauses.
 
 Words fall into the classes insult, threat, target (second and third persons), negation, reporting and
-strengthening; all others are fillers. Five transducers read a clause's classes from left to right, each with
-a few states, and the last composes their outputs into the class of each matched clause: an insult or a
-threat, plain or aimed at a target, negated or reported. Only clauses that hold an insult or a threat match.
-A document's pattern is which clause classes it has, and whether one comes more than once; words alone
-score nothing outside their clause.
+strengthening; all others are fillers. Seven small transducers read a clause's classes from left to right: one each
+for insults, threats and learnt words, and four for what stands around them. They are composed into one transducer
+over tuples of their states, whose final states put out the classes of the matched clause: an insult, a threat or a
+learnt word, plain or aimed at a target, negated or reported, and whether it is strengthened. Each output has a weight;
+a clause's score is the sum of its outputs' weights, a document's that of its clauses and a base. A class counts MOST
+times at most, so that a long text does not become toxic by its length. Words score nothing outside their clause.
 
 The fixed words are mostly English. Words of the class `learnt` come from the labels, in whatever language
-they are: of all words of all labelled rows outside the held-out fold, counted by label, those that stand in
-LEARN_ROWS toxic rows or more and in hardly any clean one. Labels do not tell insults from threats, so learnt
+they are: of all words of all distinct labelled texts outside the held-out fold, counted by label, those that stand in
+LEARN_TEXTS toxic texts or more and in hardly any clean one; copies count once, or one copied text would teach its words. Labels do not tell insults from threats, so learnt
 words have a class of their own, which goes through the same transducers. The list is not capped.
 
-The classes' weights start from fixed values and are fit to the labels: the labelled rows outside the
-held-out fold are counted by pattern over all rows (at most 2 ** 14 patterns), and a logistic model drawn
-towards the fixed weights is fit to the counts. For this each half of those rows is read with the words
-learnt from the other half, or a word would vouch for the rows it was learnt from.
+The weights start from fixed values and are fit to the labels: the labelled rows outside the held-out fold are counted
+by their clauses' classes over all rows, and a logistic model drawn towards the fixed weights is fit to the counts, whose
+sums for each step Spark forms. For this each half of those rows is read with the words learnt from the other half, or a
+word would vouch for the rows it was learnt from; that pass cannot be the one that scores, which has all words.
 
 Cases: null and empty texts have no match and get the score of clean text; so do texts without letters.
 Null or missing labels teach nothing; a document with several labels is toxic if one is. Repeated rows are each
@@ -25,6 +26,7 @@ scored; empty tables give empty results; other columns are kept by `drop_toxic`,
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
+from barlab.llm.common import checkpoint
 from barlab.llm.langid import held_out
 
 # The grammar's words.
@@ -47,18 +50,21 @@ INSULTS = (
 THREATS = "kill kills murder hurt destroy strangle stab shoot beat punch burn hang crush".split()
 TARGETS = "you your you're u he she they them him her this that these those are is tu vous eres sois du ihr sie bist".split()
 NEGATIONS = "not no never isn't aren't don't ain't nobody nor without pas jamais nunca nicht kein keine".split()
-REPORTS = "said says called calls wrote writes quoted quote reported claims claimed says: accused told alleged".split()
+REPORTS = "said says called calls wrote writes quoted quote reported claims claimed accused told alleged".split()
 STRONG = "so such total totally utter utterly complete completely absolute absolutely fucking damn bloody".split()
 
+#: Outputs of the transducer, and whether a text has several learnt words.
 CLASSES = (
-    "insult", "insult_aimed", "insult_negated", "insult_reported", "threat", "threat_aimed", "threat_negated", "threat_reported", "repeated",
-    "learnt", "learnt_aimed", "learnt_negated", "learnt_reported", "learnt_often",
+    "insult", "insult_aimed", "insult_negated", "insult_reported", "threat", "threat_aimed", "threat_negated", "threat_reported",
+    "learnt", "learnt_aimed", "learnt_negated", "learnt_reported", "strengthened", "learnt_often",
 )
 # Log-odds before any label is seen.
 BASE_WEIGHT = -3.0
-WEIGHTS = (3.5, 4.5, 1.0, 0.8, 1.2, 4.0, 0.3, 0.5, 1.0, 1.5, 1.5, 0.3, 0.3, 2.0)
-#: Toxic rows that a learnt word stands in at least, and their least share of its rows and one clean row more.
-LEARN_ROWS, LEARN_SHARE = 3, 0.7
+WEIGHTS = (3.5, 4.5, 1.0, 0.8, 1.2, 4.0, 0.3, 0.5, 1.5, 1.5, 0.3, 0.3, 0.5, 2.0)
+#: Clauses of one class that count, at two bits a class.
+MOST = 3
+#: Toxic texts that a learnt word stands in at least, and their least share of its texts.
+LEARN_TEXTS, LEARN_SHARE = 3, 0.9
 #: Strength of the pull towards the fixed weights, in labelled rows.
 PRIOR_ROWS = 10.0
 #: Score from which a document is taken for toxic.
@@ -67,63 +73,76 @@ THRESHOLD = 0.3
 _CLASS_OF = {w: k for k, words in (("s", STRONG), ("g", TARGETS), ("r", REPORTS), ("n", NEGATIONS), ("t", THREATS), ("i", INSULTS)) for w in words}
 _TRIGGER = r"(?i)\b(?:" + "|".join(re.escape(w) for w in sorted({*INSULTS, *THREATS}, key=len, reverse=True)) + r")\b"
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_FIND = re.compile(_TRIGGER)
-_CLAUSE_END = re.compile(r"[.!?;:\n]+")
+_CLAUSE_END = re.compile(r"(?i)[.!?;\n]+|,\s+(?=(?:but|while|because|although|however|aber|weil|mais|pero)\b)")
 
 # Transducers: (state, class) -> state; a class without an entry leaves the state.
-_INSULT = {("0", "i"): "1"}
-_THREAT = {("0", "t"): "1"}
-_LEARNT = {("0", "l"): "1"}
-_TARGET = {("0", "g"): "1"}
+_HITS = "itl"
+_INSULT, _THREAT, _LEARNT, _TARGET = {("0", "i"): "1"}, {("0", "t"): "1"}, {("0", "l"): "1"}, {("0", "g"): "1"}
 #: A negation reaches the insult, threat or learnt word after it; a second one lifts it.
-_NEGATION = {("0", "n"): "near", ("near", "n"): "0", ("near", "i"): "hit", ("near", "t"): "hit", ("near", "l"): "hit"}
+_NEGATION = {("0", "n"): "near", ("near", "n"): "0", **{("near", c): "hit" for c in _HITS}}
 #: Reported speech: a reporting word in front of the insult, threat or learnt word.
-_REPORTED = {("0", "r"): "near", ("near", "i"): "hit", ("near", "t"): "hit", ("near", "l"): "hit"}
+_REPORTED = {("0", "r"): "near", **{("near", c): "hit" for c in _HITS}}
+#: A strengthening word in front of it.
+_STRONG = {("0", "s"): "near", **{("near", c): "hit" for c in _HITS}}
+MACHINES = (_INSULT, _THREAT, _LEARNT, _TARGET, _NEGATION, _REPORTED, _STRONG)
 
 
-def _run(machine: dict, classes: str) -> str:
-    state = "0"
-    for c in classes:
-        state = machine.get((state, c), state)
-    return state
+def outputs(states: tuple[str, ...]) -> tuple[str, ...]:
+    """What a clause puts out that ends in these states of MACHINES."""
+    *kinds, target, negation, reported, strong = states
+    how = "_reported" if reported == "hit" else "_negated" if negation == "hit" else "_aimed" if target == "1" else ""
+    out = [name + how for name, state in zip(("insult", "threat", "learnt"), kinds, strict=True) if state == "1"]
+    return (*out, "strengthened") if out and strong == "hit" and how in ("", "_aimed") else tuple(out)
+
+
+def compose(machines: tuple[dict, ...] = MACHINES, classes: str = "itlgnrs") -> tuple[list[dict[str, int]], list[tuple[int, ...]]]:
+    """The machines as one: arcs and outputs (positions in CLASSES) of each state reached from the start, which is 0."""
+    start = ("0",) * len(machines)
+    number, arcs, queue = {start: 0}, [], [start]
+    for states in queue:
+        arcs.append({})
+        for c in classes:
+            after = tuple(m.get((s, c), s) for m, s in zip(machines, states, strict=True))
+            if after not in number:
+                number[after] = len(queue)
+                queue.append(after)
+            arcs[-1][c] = number[after]
+    return arcs, [tuple(CLASSES.index(name) for name in outputs(states)) for states in queue]
+
+
+_ARCS, _OUTPUTS = compose()
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower().replace("’", "'"))
+    lower = text.lower().replace("’", "'")
+    return _WORD.findall(lower if lower.isascii() else unicodedata.normalize("NFC", lower))
 
 
-def clause_classes(clause: str, learnt: frozenset[str] = frozenset()) -> list[str]:
-    """What the composed transducers put out for one clause."""
-    classes = "".join(_CLASS_OF.get(w) or ("l" if w in learnt else "") for w in words_of(clause))
-    out = []
-    for name, machine in (("insult", _INSULT), ("threat", _THREAT), ("learnt", _LEARNT)):
-        if _run(machine, classes) == "1":
-            if _run(_REPORTED, classes) == "hit":
-                out.append(f"{name}_reported")
-            elif _run(_NEGATION, classes) == "hit":
-                out.append(f"{name}_negated")
-            else:
-                out.append(f"{name}_aimed" if _run(_TARGET, classes) == "1" else name)
-    return out
+def clause_outputs(words: list[str], learnt: frozenset[str] = frozenset()) -> tuple[int, ...]:
+    """What the composed transducer puts out for the words of one clause."""
+    state = 0
+    for w in words:
+        c = _CLASS_OF.get(w) or ("l" if w in learnt else None)
+        if c:
+            state = _ARCS[state][c]
+    return _OUTPUTS[state]
 
 
 def pattern_of(text: str, learnt: frozenset[str] = frozenset()) -> int:
-    """The bits of CLASSES that a text's matched clauses have."""
-    bits, matched, plain = 0, 0, set()
+    """How many clauses of a text have each of CLASSES, two bits to a class."""
+    counts, plain = [0] * len(CLASSES), set()
     for clause in _CLAUSE_END.split(text):
-        own = learnt.intersection(words_of(clause)) if learnt else learnt
-        if not own and not _FIND.search(clause):
-            continue
-        for name in clause_classes(clause, own):
-            bits |= 1 << CLASSES.index(name)
-            kind, _, how = name.partition("_")
-            if how in ("negated", "reported"):
-                continue
-            if kind == "learnt":
-                plain |= own
-            else:
-                matched += 1
-    return bits | (matched > 1) << CLASSES.index("repeated") | (len(plain) > 1) << CLASSES.index("learnt_often")
+        words = words_of(clause)
+        out = clause_outputs(words, learnt)
+        for k in out:
+            counts[k] = min(counts[k] + 1, MOST)
+        if learnt and (_LEARNT_PLAIN in out or _LEARNT_AIMED in out):
+            plain |= learnt.intersection(words)
+    counts[-1] = int(len(plain) > 1)
+    return sum(n << 2 * k for k, n in enumerate(counts))
+
+
+_LEARNT_PLAIN, _LEARNT_AIMED = CLASSES.index("learnt"), CLASSES.index("learnt_aimed")
 
 
 @F.arrow_udf(ArrayType(StringType()))
@@ -150,22 +169,37 @@ def _patterns(learnt: Broadcast):
     return pattern
 
 
-def fit(counts: list[tuple[int, int, int]]) -> np.ndarray:
+def counts_of(patterns: np.ndarray) -> np.ndarray:
+    """One row of class counts for each pattern."""
+    return (patterns.astype(np.int64)[:, None] >> 2 * np.arange(len(CLASSES))) & MOST
+
+
+def _moments(w: np.ndarray):
+    """Gradient and curvature of the likelihood at the weights `w`, over the rows that a task has: one row a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(w) + 1, len(w)))
+        for batch in batches:
+            pattern, rows, toxic = (c.to_numpy() for c in batch.columns)
+            x = np.column_stack([np.ones(len(pattern)), counts_of(pattern)])
+            p = 1 / (1 + np.exp(-x @ w))
+            total[0] += x.T @ (toxic - rows * p)
+            total[1:] += (x * (rows * p * (1 - p))[:, None]).T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], ["m"])
+
+    return run
+
+
+def fit(counts: DataFrame) -> np.ndarray:
     """Weights (base first) from (pattern, rows, toxic rows): a logistic model near the fixed weights."""
     start = np.array([BASE_WEIGHT, *WEIGHTS])
-    if not counts:
-        return start
-    table = np.array(counts, dtype=np.float64)
-    x = np.column_stack([np.ones(len(table)), (table[:, :1].astype(np.int64) >> np.arange(len(CLASSES))) & 1])
-    rows, toxic, w = table[:, 1], table[:, 2], start.copy()
-    pull = np.full(len(w), PRIOR_ROWS / 10)
+    w, pull = start.copy(), np.full(len(start), PRIOR_ROWS / 10)
     for _ in range(50):
-        p = 1 / (1 + np.exp(-x @ w))
-        slope = x.T @ (toxic - rows * p) - pull * (w - start)
-        curve = (x * (rows * p * (1 - p))[:, None]).T @ x + np.diag(pull)
-        step = np.clip(np.linalg.solve(curve, slope), -2, 2)
+        sums = sum((np.array(r["m"]) for r in counts.mapInArrow(_moments(w), "m array<double>").collect()), np.zeros(len(w) * (len(w) + 1)))
+        slope, curve = np.split(sums.reshape(-1, len(w)), [1])
+        step = np.clip(np.linalg.solve(curve + np.diag(pull), slope[0] - pull * (w - start)), -2, 2)
         w += step
-        if np.abs(step).max() < 1e-10:
+        if np.abs(step).max() < 1e-8:
             break
     return w
 
@@ -175,35 +209,38 @@ def _known(labels: DataFrame) -> DataFrame:
 
 
 def learn_words(rows: DataFrame, labels: DataFrame) -> list[frozenset[str]]:
-    """rows: (doc_id, text, half) to learn from. The words learnt from all of them, from half 0 and from half 1."""
-    seen = rows.join(_known(labels).hint("merge"), "doc_id").select("half", "toxic", F.explode(_distinct_words("text")).alias("word"))
+    """rows: (doc_id, text, half) to learn from; a text has one half. The words learnt from all of them, from half 0 and from half 1."""
+    text = F.xxhash64("text").alias("h")
+    one = rows.select("doc_id", text).join(_known(labels).hint("merge"), "doc_id").groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
+    seen = rows.select("*", text).join(one.hint("merge"), ["doc_id", "h"]).select("half", "toxic", F.explode(_distinct_words("text")).alias("word"))
     first, toxic = (F.col("half") == 0).cast("long"), F.col("toxic")
     counts = seen.groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("k"), F.sum(first).alias("n0"), F.sum(first * toxic).alias("k0"))
     counts = counts.withColumns({"n1": F.col("n") - F.col("n0"), "k1": F.col("k") - F.col("k0")})
-    good = [(F.col(k) >= LEARN_ROWS) & (F.col(k) >= LEARN_SHARE * (F.col(n) + 1)) for k, n in (("k", "n"), ("k0", "n0"), ("k1", "n1"))]
+    good = [(F.col(k) >= LEARN_TEXTS) & (F.col(k) >= LEARN_SHARE * F.col(n)) for k, n in (("k", "n"), ("k0", "n0"), ("k1", "n1"))]
     found = counts.where(good[0] | good[1] | good[2]).select("word", *(g.alias(f"in{i}") for i, g in enumerate(good))).collect()
     return [frozenset(r["word"] for r in found if r[f"in{i}"]) for i in range(3)]
 
 
 def _learn(patterns: DataFrame, labels: DataFrame) -> np.ndarray:
-    """patterns: (doc_id, pattern) to learn from. Counts by pattern over all labelled rows of them; few, short rows."""
+    """patterns: (doc_id, pattern) to learn from. Counted by pattern over all labelled rows of them, as few short rows in a few tasks."""
     learn = patterns.join(_known(labels).hint("merge"), "doc_id")
-    return fit([tuple(r) for r in learn.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("toxic").alias("k")).collect()])
+    counts = learn.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("toxic").alias("k"))
+    return fit(checkpoint(counts.coalesce(8)))
 
 
 def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, folds: int, fold: int) -> tuple[Broadcast, np.ndarray]:
     """The word lists (all, half 0, half 1) and the weights, both learnt outside the fold."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(~held_out(F.col("doc_id"), folds, fold))
-    rows = rows.withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int"))
+    rows = rows.withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int"))
     learnt = docs.sparkSession.sparkContext.broadcast(learn_words(rows, labels))
     # patterns before the join to the labels, so that it moves short rows
     return learnt, _learn(rows.select("doc_id", _patterns(learnt)("text", 2 - F.col("half")).alias("pattern")), labels)
 
 
-def score_of(bits: Column, weights: np.ndarray) -> Column:
+def score_of(pattern: Column, weights: np.ndarray) -> Column:
     total = F.lit(float(weights[0]))
     for k, w in enumerate(weights[1:]):
-        total = total + F.shiftright(bits, k).bitwiseAND(F.lit(1)) * F.lit(float(w))
+        total = total + F.shiftright(pattern, 2 * k).bitwiseAND(F.lit(MOST)) * F.lit(float(w))
     return 1 / (1 + F.exp(-total))
 
 
