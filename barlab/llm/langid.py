@@ -7,9 +7,10 @@ down to an even chance over all bytes. The counts are frozen, so a byte's cost i
 ORDER + 1 bytes up to it and is tabulated for every such string that any language has seen; the few other
 strings walk down the escapes. The least total code length wins.
 
-The trees are fit on a bounded sample: of each language the `SAMPLE_DOCS` labelled documents of lowest
-hash. The scoring is a map over all whole texts with the trees broadcast; their size depends on the
-sample's bound alone.
+The trees are fit on a bounded sample: of each language the `SAMPLE_DOCS` distinct labelled texts of lowest hash,
+whole, as far as the texts before them have fewer than `SAMPLE_BYTES` bytes together, and one at least. So a language's sample is
+bounded by that number and one text, and no text is left out for its length. The scoring is a map over all whole texts
+with the trees broadcast; they are hash tables whose size follows from the strings of the sample, whatever their script.
 
 Cases: a null text, or one without a letter, gives `und` with score 0. Rows of null lang are not learned
 from. With no language learned every text is `und`. Ties go to the language first in code-point order.
@@ -26,10 +27,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barlab.llm.common import BROADCAST_ROWS, checkpoint
+
 ORDER = 3
 SAMPLE_DOCS = 250
-#: Only documents of up to so many bytes are sampled, whole, so that one text cannot fill the sample.
-SAMPLE_BYTES = 32_768
+#: Bytes of a language's sample; the text that reaches them is still taken whole.
+SAMPLE_BYTES = 2_000_000
 #: Positions that are scored at once.
 _AT_ONCE = 1 << 18
 
@@ -100,15 +103,8 @@ class ContextTrees:
         return out
 
     def _prepare(self) -> None:
-        """A table by the two halves of the longest strings, in place of a search."""
-        longest = self._strings[ORDER]
-        pairs = np.unique(np.concatenate([longest >> np.uint64(16), longest & np.uint64(0xFFFF)])).astype(np.int64)
-        self._pair = np.zeros(1 << 16, dtype=np.int32)  # 0: a pair that no known string has
-        self._pair[pairs] = np.arange(1, len(pairs) + 1)
-        width = len(pairs) + 1
-        self._grid = np.full(width * width, len(longest), dtype=np.int32)
-        self._width = width
-        self._grid[self._pair[(longest >> np.uint64(16)).astype(np.int64)].astype(np.int64) * width + self._pair[(longest & np.uint64(0xFFFF)).astype(np.int64)]] = np.arange(len(longest))
+        """A hash table of the longest strings, in place of a search."""
+        self._longest = StringTable(self._strings[ORDER].astype(np.uint32))
         self._table = np.vstack([self._costs[ORDER], np.zeros((1, len(self.languages)), dtype=np.float32)])
 
     def code_lengths(self, text: bytes) -> np.ndarray:
@@ -116,18 +112,54 @@ class ContextTrees:
         total = np.zeros(len(self.languages))
         data = np.frombuffer(b"\n" * ORDER + text, np.uint8)
         for i in range(0, len(text), _AT_ONCE):
-            piece = data[i : i + _AT_ONCE + ORDER].astype(np.int32)
-            two = self._pair[(piece[:-1] << 8) | piece[1:]]
-            at = self._grid[two[:-2].astype(np.int64) * self._width + two[2:]]
-            uses = np.bincount(at, minlength=len(self._table)) if len(at) > 4096 else None
+            piece = data[i : i + _AT_ONCE + ORDER].astype(np.uint32)
+            strings = (piece[:-3] << 24) | (piece[1:-2] << 16) | (piece[2:-1] << 8) | piece[3:]
+            at = self._longest.find(strings)
+            # a large table's rows are counted only where that is less work than to add them up
+            uses = np.bincount(at, minlength=len(self._table)) if len(at) * 4 > len(self._table) else None
             total += uses @ self._table if uses is not None else self._table[at].sum(axis=0, dtype=np.float64)
             miss = np.flatnonzero(at == len(self._table) - 1)
             if len(miss):
-                strings = _windows(data[i : i + _AT_ONCE + ORDER], ORDER + 1)[miss]
-                total += self._known_costs(strings, ORDER).sum(axis=0, dtype=np.float64)
+                total += self._known_costs(strings[miss].astype(np.uint64), ORDER).sum(axis=0, dtype=np.float64)
         return total
 
 
+class StringTable:
+    """Positions of distinct 32-bit numbers by hashing with linear probes; two to four slots to a number."""
+
+    def __init__(self, strings: np.ndarray):
+        bits = max(4, int(len(strings) * 2).bit_length())
+        self._shift, self._mask = np.uint32(32 - bits), np.int64((1 << bits) - 1)
+        self._keys, self._at = np.zeros(1 << bits, dtype=np.uint32), np.full(1 << bits, len(strings), dtype=np.int32)
+        self._none = len(strings)
+        open_ = np.arange(len(strings))
+        slot = self._slot(strings)
+        while len(open_):
+            free = np.flatnonzero(self._at[slot] == self._none)
+            taken, first = np.unique(slot[free], return_index=True)
+            here = free[first]
+            self._keys[taken], self._at[taken] = strings[open_[here]], open_[here]
+            left = np.ones(len(open_), dtype=bool)
+            left[here] = False
+            open_, slot = open_[left], (slot[left] + 1) & self._mask
+
+    def _slot(self, strings: np.ndarray) -> np.ndarray:
+        return ((strings * np.uint32(0x9E3779B1)) >> self._shift).astype(np.int64)
+
+    def find(self, strings: np.ndarray) -> np.ndarray:
+        """The position of each string; the number of all strings where it is unknown."""
+        slot = self._slot(strings)
+        out = self._at[slot]
+        open_ = np.flatnonzero((self._keys[slot] != strings) & (out != self._none))
+        slot = slot[open_]
+        while len(open_):
+            slot = (slot + 1) & self._mask
+            out[open_] = self._at[slot]
+            more = (self._keys[slot] != strings[open_]) & (out[open_] != self._none)
+            open_, slot = open_[more], slot[more]
+        return out
+
+
 def _windows(data: np.ndarray, size: int) -> np.ndarray:
     """All strings of `size` bytes as numbers."""
     n = max(len(data) - size + 1, 0)
@@ -137,19 +169,18 @@ def _windows(data: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_DOCS) -> ContextTrees:
-    """Trees from `sample` documents of each language, those whose texts hash lowest."""
-    keyed = labelled.select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).where(F.col("lang").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES))
-    lowest = keyed.select("lang", "h").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= sample)
-    limits = lowest.groupBy("lang").agg(F.max("h").alias("top")).collect()  # one short row for each language
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> ContextTrees:
+    """Trees from up to `sample` distinct texts of each language, those that hash lowest, within `sample_bytes` and one text."""
+    keyed = labelled.select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
+    distinct = keyed.groupBy("lang", "h").agg(F.min(F.octet_length("text")).alias("bytes"))
+    order = Window.partitionBy("lang").orderBy("h")
+    lowest = distinct.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample)  # at most `sample` short rows of a language go on
+    before = F.coalesce(F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chosen = checkpoint(lowest.withColumn("before", before).where(F.col("before") < sample_bytes).select("lang", "h"))
+    texts = keyed.join(chosen.hint("broadcast" if chosen.count() <= BROADCAST_ROWS else "merge"), ["lang", "h"]).dropDuplicates(["lang", "h"])
     samples: dict[str, list[bytes]] = {}
-    if limits:
-        within = F.lit(False)
-        for row in limits:
-            within = within | ((F.col("lang") == row["lang"]) & (F.col("h") <= row["top"]))
-        texts = keyed.where(within).dropDuplicates(["lang", "h"]).select("lang", F.col("text").cast("binary").alias("text"))
-        for row in texts.toLocalIterator():
-            samples.setdefault(row["lang"], []).append(bytes(row["text"]))
+    for row in texts.select("lang", F.col("text").cast("binary").alias("text")).toLocalIterator():
+        samples.setdefault(row["lang"], []).append(bytes(row["text"]))
     return ContextTrees(samples)
 
 
