@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import textwrap
+import time
 import zlib
 
 import duckdb
@@ -154,6 +156,29 @@ def test_ownership_separates_copied_from_live(spark, empty):
     assert secret_scan.scan(empty).count() == 0
 
 
+def test_many_repositories_of_one_owner_are_an_example(spark):
+    rows = [(i, f"{i} token=copiedvalue{'9' * 8} here", "one") for i in range(10)] + [(20 + i, "token=usedninetimes", None) for i in range(9)]
+    out = {r["doc_id"]: r for r in secret_scan.digest(secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"))).collect()}
+    assert (out[0]["n_live"], out[0]["n_copied"], out[0]["most_repositories"]) == (0, 1, 10) and (out[20]["n_live"], out[20]["n_copied"]) == (1, 0)
+
+
+def test_a_hundred_thousand_matches_in_one_text(spark):
+    text = "é, ".join(f"{i:024x}" for i in range(100_000))
+    df = spark.createDataFrame([(1, text, "s", len(text)), (2, "none", "s", 4)], "doc_id long, text string, source string, n_chars long")
+    began = time.perf_counter()
+    out = {r["doc_id"]: r for r in secret_scan.digest(secret_scan.scan(df)).collect()}
+    assert out[1]["n_hex"] == 100_000 and out[2]["spans"] == ""
+    assert out[1]["base_sha256"] == hashlib.sha256(",".join(f"hex:{27 * i}:{27 * i + 24}" for i in range(100_000)).encode()).hexdigest()
+    masked = {r["doc_id"]: r for r in secret_scan.redact(df).collect()}
+    assert masked[1]["text"] == "é, ".join(["[SECRET]"] * 100_000) and masked[1]["n_chars"] == len(masked[1]["text"]) and masked[2]["text"] == "none"
+    assert time.perf_counter() - began < 90
+
+
+def test_overlapping_spans_are_masked_once(spark):
+    df = spark.createDataFrame([(1, "x token=" + "ab12" * 8 + "! " + "f" * 30 + "g" * 2000 + " token=abcdefg", "s")], "doc_id long, text string, source string")
+    assert [r["text"] for r in secret_scan.redact(df).collect()] == ["x [SECRET]! [SECRET]" + "g" * 2000 + " [SECRET]"]
+
+
 def test_redaction_keeps_all_else(spark, odd):
     out = secret_scan.redact(odd)
     rows = {(r["doc_id"], i): r for i, r in enumerate(out.collect())}
@@ -223,6 +248,15 @@ def test_fillers_meet_bins_of_far_partitions_and_windows(spark, slices, window):
     assert len(out) == 256 and out.sequence_id.nunique() == 224
 
 
+def test_packing_reaches_the_bound_over_many_partitions(spark):
+    rng = np.random.default_rng(9)
+    words = rng.integers(20, 1500, 3000)
+    df = spark.createDataFrame([(i, "the " * int(n)) for i, n in enumerate(words)], "doc_id long, text string").repartition(64)
+    out = packing.pack(df, WORD_BPE).toPandas()
+    least = -(-int(out.length.sum()) // 2048)
+    assert out.length.sum() == (words + 1).sum() and out.sequence_id.nunique() <= least * 1.005 + 1
+
+
 def test_best_fit_never_overfills():
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 2049, 3000)
@@ -292,6 +326,29 @@ def test_languages_held_out(spark):
     assert (held.lang == held.lang_pred).mean() > 0.95 and out.score.between(0, 1).all()
 
 
+def test_only_long_texts_and_copies_teach_a_language(spark):
+    rng = np.random.default_rng(3)
+    words = {x: ["".join(rng.choice(list(letters), 5)) for _ in range(300)] for x, letters in (("xx", "abcdefg"), ("yy", "ghijklm"), ("zz", "αβγδεζη"))}
+    say = lambda x, n: " ".join(rng.choice(words[x], n))
+    copied = say("yy", 40)
+    rows = [(i, say("xx", 9000), "xx") for i in range(8)] + [(100 + i, copied, "yy") for i in range(600)] + [(1000 + i, say("yy", 60), "yy") for i in range(30)] + [(2000 + i, say("zz", 9000), "zz") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trees = langid.fit(docs, sample=250, sample_bytes=200_000)
+    assert trees.languages == ["xx", "yy", "zz"] and all(np.argmin(trees.code_lengths(say(x, 30).encode())) == k for k, x in enumerate(trees.languages))
+    assert langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("lang_pred <> lang").count() == 0
+
+
+def test_trees_of_many_byte_pairs_stay_small():
+    rng = np.random.default_rng(1)
+    texts = {x: [rng.integers(0, 256, 200_000, dtype=np.uint8).tobytes()] for x in ("a", "b")}
+    trees = langid.ContextTrees(texts)
+    held = trees._longest._keys.nbytes + trees._longest._at.nbytes + trees._table.nbytes
+    assert len(np.unique(langid._windows(np.frombuffer(texts["a"][0], np.uint8), 2))) > 20_000 and held < 200_000_000
+    known = trees._strings[langid.ORDER].astype(np.uint32)
+    assert (trees._longest.find(known) == np.arange(len(known))).all()
+    assert (trees._longest.find(np.setdiff1d(rng.integers(0, 1 << 32, 10_000, dtype=np.uint32), known)) == len(known)).all()
+
+
 def test_languages_odd_rows(odd, empty):
     out = langid.identify(odd).toPandas()
     assert len(out) == len(ODD) and (out[out.doc_id.isin([1, 2, 3])].lang_pred == "und").all()
@@ -310,6 +367,24 @@ def test_licences(spark, odd, empty):
     assert all(any(s in t.lower() for s in licenses.STEMS) for _, t in licenses.KNOWN)
 
 
+def test_whole_licences_whatever_their_copyright_lines_and_breaks(spark):
+    text = {k: t for k, t in reversed(licenses.KNOWN) if len(t) > 400}
+    wrap = lambda t, n: "\n".join(textwrap.wrap(t, n))
+    texts = [
+        ("MIT", "Copyright (c) 2020 X. " + text["MIT"]), ("MIT", "MIT License\n\nCopyright Joyent, Inc. and other Node contributors.\n\n" + wrap(text["MIT"].removeprefix("The MIT License (MIT) "), 23)),
+        ("BSD-3-Clause", "Copyright 2001-2004 The Regents\nAll rights reserved.\n" + wrap(text["BSD-3-Clause"].removeprefix("BSD 3-Clause License "), 31)), ("BSD-2-Clause", "(c) 1999\n" + wrap(text["BSD-2-Clause"], 50)),
+        ("Zlib", wrap(text["Zlib"], 70)), ("Unlicense", wrap(text["Unlicense"], 70)), ("GPL-3.0-or-later", "Copyright (C) 2007 Someone\n\n" + wrap(text["GPL-3.0-or-later"], 72)),
+    ]
+    known = {d: k for k, d in licenses.DIGESTS}
+    for name, file in (("GPL-3.0-only", "GPL-3"), ("Apache-2.0", "Apache-2.0"), ("MPL-2.0", "MPL-2.0")):
+        if os.path.exists(path := f"/usr/share/common-licenses/{file}"):
+            with open(path) as lines:
+                texts.append((name, lines.read().replace("    ", "\t")))
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    out = {r["doc_id"]: r["whole_license"] for r in licenses.scan(df).collect()}
+    assert out == {i: k for i, (k, _) in enumerate(texts)} and len(known) == len(licenses.DIGESTS)
+
+
 # 7: embeddings
 
 
@@ -371,12 +446,41 @@ def test_odd_vectors(spark):
 
 @pytest.mark.parametrize("clause, want", [("you are an idiot", ["insult_aimed"]), ("what trash", ["insult"]), ("you are not an idiot", ["insult_negated"]), ("she said you are a moron", ["insult_reported"]), ("I will kill you", ["threat_aimed"]), ("they never said never", []), ("we will not hurt them", ["threat_negated"])])
 def test_grammar(clause, want):
-    assert toxicity.clause_classes(clause) == want
+    assert names(toxicity.clause_outputs(toxicity.words_of(clause))) == want
+
+
+def names(outputs) -> list[str]:
+    return [toxicity.CLASSES[k] for k in outputs]
+
+
+def test_the_composed_transducer_equals_its_machines_run_one_by_one():
+    draw = np.random.default_rng(5)
+    for _ in range(3000):
+        classes = "".join(draw.choice(list("itlgnrs"), draw.integers(0, 9)))
+        ends = []
+        for machine in toxicity.MACHINES:
+            state = "0"
+            for c in classes:
+                state = machine.get((state, c), state)
+            ends.append(state)
+        word = {"i": "idiot", "t": "kill", "l": "zimtup", "g": "you", "n": "not", "r": "said", "s": "utterly"}
+        assert names(toxicity.clause_outputs([word[c] for c in classes], frozenset(["zimtup"]))) == list(toxicity.outputs(tuple(ends)))
 
 
-def test_toxicity_held_out(spark, odd, empty):
-    out = queries.op8_toxicity(spark, SF).toPandas().merge(pd.read_parquet(f"{SF}/labels.parquet"), on="doc_id")
-    assert out[out.predicted == 1].toxic.mean() > 0.9 and out.score.between(0, 1).all()
+def test_clauses_add_up():
+    one, more = (toxicity.counts_of(np.array([toxicity.pattern_of(t)]))[0] for t in ("You moron.", "You moron. You utter moron, but not trash; he said idiot! Idiot. You clown. You clown."))
+    count = lambda row: {c: int(n) for c, n in zip(toxicity.CLASSES, row, strict=True) if n}
+    assert count(one) == {"insult_aimed": 1} and count(more) == {"insult": 1, "insult_aimed": 3, "insult_negated": 1, "insult_reported": 1, "strengthened": 1}
+    assert toxicity.words_of("imbe\u0301cile") == ["imbécile"]
+
+
+def test_toxicity_held_out(spark):
+    folder = f"{os.path.dirname(SF)}/sf0.1"  # sf0.01 has too few labelled texts of the other languages to learn a word from
+    out = queries.op8_toxicity(spark, folder).where("held_out").toPandas().merge(pd.read_parquet(f"{folder}/labels.parquet"), on="doc_id")
+    assert out[out.toxic == 1].predicted.mean() >= 0.9 and (out[out.toxic == 0].predicted == 0).mean() >= 0.95 and out.score.between(0, 1).all()
+
+
+def test_toxicity_of_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(1, None), (4, 0), (4, 1), (99, 1), (None, 1)], "doc_id long, toxic int")
     rows = {r["doc_id"]: r for r in toxicity.score(odd, labels).collect() if r["doc_id"] is not None}
     assert rows[8]["predicted"] == 1 and rows[4]["predicted"] == rows[2]["predicted"] == rows[1]["predicted"] == 0
@@ -396,7 +500,7 @@ def test_toxic_words_are_learnt_in_any_language(spark):
     toxic_rows = docs.select("doc_id", "text", F.lit(0).alias("half")).where("doc_id < 300")
     assert toxicity.learn_words(toxic_rows, labels)[0] == set(marks)
     assert not toxicity.learn_words(toxic_rows, labels.withColumn("toxic", (F.col("doc_id") % 10).cast("int")).where("doc_id % 5 = 0").withColumn("toxic", (F.col("toxic") > 0).cast("int")))[0]
-    assert toxicity.clause_classes("you are not zimtup", frozenset(marks)) == ["learnt_negated"]
+    assert names(toxicity.clause_outputs(["you", "are", "not", "zimtup"], frozenset(marks))) == ["learnt_negated"]
 
 
 # 9: neighbours
@@ -419,6 +523,21 @@ def test_recall(spark):
     assert hits / (30 * 20) >= 0.9
 
 
+def test_ties_at_the_last_rank_and_equal_ids_across_leaves(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LEAF_SAMPLE", 4)
+    monkeypatch.setattr(ann, "BUCKET_ROWS", 40)
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((400, 8)).astype("f4")
+    x[:, 0] = 0.0
+    x[100:160] = x[100:160] * 0 + np.eye(8, dtype="f4")[rng.integers(1, 8, 60)]  # many vectors, one inner product with the query
+    x[20] = np.r_[np.float32(0), np.full(7, 3, "f4")]
+    rows = [(i, v) for i, v in enumerate(x)] + [(150, x[101]), (150, x[102])]  # ids that come again with other vectors
+    out = ann.nearest(vectors(spark, rows), lambda v: v == 20, top=60, recall=1.0).toPandas()
+    score = np.array([float(x[20].astype("f8") @ v.astype("f8")) for i, v in rows])
+    best = [(rows[k][0], score[k]) for k in sorted((k for k in range(len(rows)) if rows[k][0] != 20), key=lambda k: (-score[k], rows[k][0]))[:60]]
+    assert list(zip(out["vec_id"], out["score"], strict=True)) == best and out["rank"].tolist() == list(range(1, 61))
+
+
 # 10: mixing
 
 
