@@ -16,6 +16,70 @@ from pyspark.sql import functions as F
 from barlab.functions import folds
 from barlab.functions import indicators as I
 
+# Parts of a position that go at the first target, at the second, and with the trail; by the start of a pattern's name.
+DEFAULT_SPLITS = (0.5, 0.3, 0.2)
+SPLITS = {
+    "adx_stack_long": (0.40, 0.10, 0.50), "adx_stack_short": (0.25, 0.25, 0.50), "momentum_breakout": (0.50, 0.10, 0.40), "ts_momentum": (0.40, 0.40, 0.20), "multi_tf_trend": (0.25, 0.25, 0.50),
+    "low_vol_long": (0.30, 0.30, 0.40), "turtle_breakout": (0.20, 0.10, 0.70), "bab_long": (0.30, 0.30, 0.40), "high_momentum_52w": (0.30, 0.30, 0.40), "rs_persistence_long": (0.30, 0.30, 0.40),
+    "bb_squeeze_long": (0.50, 0.45, 0.05), "accumulation_long": (0.20, 0.10, 0.70), "distribution_short": (0.20, 0.10, 0.70),
+}
+# What the rest of a position trails, and by how much.
+DEFAULT_TRAIL = ("atr", 2.0)
+TRAILS = {
+    "mean_reversion": ("vwap", 0.0), "trend_pullback": ("ema9", 9.0), "vwap_reversion": ("vwap", 2.0), "vwap_trend": ("atr", 1.0), "multi_tf_trend": ("atr", 3.0), "turtle_breakout": ("atr", 3.0),
+    "bb_squeeze_long": ("atr", 2.5), "accumulation_long": ("atr", 1.0), "distribution_short": ("atr", 1.0),
+}
+# Minutes of cooldown and of the longest hold.
+DEFAULT_MINUTES = (120, 600)
+MINUTES = {
+    "tidal_wave": (360, 480), "mean_reversion": (120, 240), "trend_pullback": (120, 240), "gap_fade": (480, 90), "vwap_reversion": (120, 240), "gap_reversal": (480, 240), "opening_drive": (480, 240),
+    "volume_climax": (240, 240), "vwap_trend": (480, 240), "rsi_divergence": (240, 240), "midday_reversal": (480, 180), "power_hour": (480, 240), "keltner_breakout": (240, 480), "macd_turn": (240, 480),
+    "vp_divergence": (240, 480), "momentum_breakout": (7200, 14400), "vol_compression_breakout": (7200, 14400), "range_expansion": (4320, 7200), "volume_breakout": (7200, 14400), "donchian_breakout": (7200, 14400),
+    "adx_stack_long": (14400, 99000), "ts_momentum": (14400, 99000), "multi_tf_trend": (14400, 99000), "st_reversal": (7200, 14400), "low_vol_long": (14400, 99000), "turtle_breakout": (14400, 99000),
+    "bab_long": (14400, 99000), "high_momentum_52w": (14400, 99000), "rs_persistence_long": (7200, 99000), "streak_reversal": (7200, 14400), "atr_expansion": (1440, 7200), "bb_squeeze": (7200, 99000),
+    "accumulation_long": (7200, 99000), "distribution_short": (7200, 99000),
+}
+# Patterns whose two sides share one name, and so one open trade.
+TWO_SIDED = ("mean_reversion", "trend_pullback", "gap_fade", "vwap_reversion", "vol_compression_breakout", "range_expansion", "volume_breakout", "donchian_breakout")
+
+
+def _trait(pattern: Column, values: dict, default: Column, make: Callable) -> Column:
+    """The value of the longest listed name that a pattern's name starts with."""
+    out = F.when(F.lit(False), default)
+    for name in sorted(values, key=len, reverse=True):
+        out = out.when((pattern == name) | pattern.startswith(f"{name}_"), make(values[name]))
+    return out.otherwise(default)
+
+
+def with_traits(signals: DataFrame) -> DataFrame:
+    """Signals with their pattern's splits, trail, trail_by, cooldown_minutes, hold_minutes, and `family`, the name its sides share."""
+    pattern = F.col("pattern")
+    array = lambda xs: F.array(*(F.lit(float(x)) for x in xs))
+    minutes = _trait(pattern, MINUTES, F.array(*map(F.lit, DEFAULT_MINUTES)), lambda x: F.array(*map(F.lit, x)))
+    shared = F.when(pattern.rlike("^(" + "|".join(TWO_SIDED) + ")_(long|short)$"), F.regexp_replace(pattern, "_(long|short)$", "")).otherwise(pattern)
+    return signals.withColumns(
+        {
+            "splits": _trait(pattern, SPLITS, array(DEFAULT_SPLITS), array), "trail": _trait(pattern, TRAILS, F.lit(DEFAULT_TRAIL[0]), lambda x: F.lit(x[0])), "trail_by": _trait(pattern, TRAILS, F.lit(DEFAULT_TRAIL[1]), lambda x: F.lit(x[1])),
+            "cooldown_minutes": minutes[0], "hold_minutes": minutes[1], "family": shared,
+        }
+    )
+
+
+def setup_gate(candidates: DataFrame) -> DataFrame:
+    """Candidates (bias, entry, stop, target, target_1, target_2, price, atr, confidence) that are fit to trade, with t1, t2 and rr.
+
+    They need risk and 1 R to the target, and a price that has not run past the entry by more than half an ATR (1 % of the price where
+    there is none). Targets of 0 or null are 1 R and the target; the confidence ends at 0.95.
+    """
+    risk, long = F.abs(F.col("entry") - F.col("stop")), F.col("bias") == "long"
+    atr = F.when(F.col("atr") > 0, F.col("atr")).otherwise(F.abs(F.col("price") * 0.01))
+    rr = F.round(F.abs(F.col("target") - F.col("entry")) / F.nullif(risk, F.lit(0.0)), 2)
+    late = F.when(long, F.col("price") > F.col("entry") + atr * 0.5).otherwise(F.col("price") < F.col("entry") - atr * 0.5)
+    given = lambda x: F.nullif(F.col(x).cast("double"), F.lit(0.0))
+    out = candidates.withColumns({"rr": rr, "t1": F.coalesce(given("target_1"), F.when(long, F.col("entry") + risk).otherwise(F.col("entry") - risk)), "t2": F.coalesce(given("target_2"), F.col("target")), "confidence": F.least(F.lit(0.95), F.col("confidence"))})
+    return out.where((risk > 0) & (rr >= 1) & ~late)
+
+
 #: Columns that most detectors read.
 _COMMON = ("c", "o", "h", "l", "v", "atr", "vwap", "v20", "n")
 
@@ -142,10 +206,17 @@ def _std(xs: Column) -> Column:
     return F.sqrt(_mean(F.transform(xs, lambda x: (x - mean) * (x - mean))))
 
 
+# Parameters of the daily patterns.
+DAILY_PARAMS = {
+    "adx_min": 35.0, "adx_min_short": 25.0, "vol_mult": 2.5, "volume_threshold": 3.0, "donchian_squeeze": 0.85, "momentum": 0.10, "reversal_z": 2.0, "turtle_squeeze": 0.80, "bab_vol": 0.35, "near_high": 0.05, "rs": 1.14, "streak": 5, "expansion": 1.8,
+    "bw_rank": 0.19,
+}
+
+
 def daily_detectors(p: dict | None = None) -> list[Detector]:
     """Daily patterns; `p` overrides parameters by name."""
     c, o, h, l, v, atr, vwap, v20, n = _common()  # noqa: E741
-    p = {"adx_min": 35.0, "adx_min_short": 25.0, "vol_mult": 2.5, "volume_threshold": 3.0, "donchian_squeeze": 0.85, "momentum": 0.10, "reversal_z": 2.0, "turtle_squeeze": 0.80, "bab_vol": 0.35, "near_high": 0.05, "rs": 1.14, "streak": 5, "expansion": 1.8, "bw_rank": 0.19} | (p or {})
+    p = DAILY_PARAMS | (p or {})
     d = ("1d",)
     sma20, sma50, sma200, day_range = F.col("sma20"), F.col("sma50"), F.col("sma200"), h - l
     out: list[Detector] = []

@@ -86,8 +86,18 @@ def relative_strength(bars: DataFrame, benchmark: str) -> DataFrame:
     ref_day = day.where(F.col("symbol") == benchmark).select("day", F.col("ret").alias("bret"))
     alike = moves.join(ref_moves, ["day", "rn"]).groupBy("symbol", "day").agg((F.avg((F.col("move") == F.col("bmove")).cast("double")) * 100).alias("agreement"))
     out = day.where(F.col("n") >= 3).join(ref_day, "day").join(alike, ["symbol", "day"])
-    return out.withColumns({"spread": F.col("ret") - F.col("bret"), "grade": corr_grade(F.col("agreement"))})
+    return out.withColumns({"spread": F.col("ret") - F.col("bret"), "grade": corr_grade(F.col("agreement")), "label": corr_label(F.col("ret"), F.col("bret"))})
 
 
 def corr_grade(agreement: Column) -> Column:
-    return F.when(agreement >= 75, "A").when(agreement >= 60, "B").when(agreement >= 45, "C").when(agreement >= 30, "D").otherwise("F")
+    """A for a series that goes its own way, F for one that follows the benchmark."""
+    return F.when(agreement <= 30, "A").when(agreement <= 45, "B").when(agreement <= 60, "C").when(agreement <= 75, "D").otherwise("F")
+
+
+def corr_label(ret: Column, bench: Column) -> Column:
+    """One of nine labels from the two returns in percent; moves within 0.05 are none."""
+    up, down, bench_up, bench_down = ret > 0.05, ret < -0.05, bench > 0.05, bench < -0.05
+    both_up = F.when(ret > bench + 0.3, "Outperforming").when(ret < bench - 0.3, "Lagging").otherwise("In Line")
+    both_down = F.when(F.abs(ret) < F.abs(bench) * 0.6, "Holding Up").when(F.abs(ret) > F.abs(bench) * 1.5, "Underperforming").otherwise("In Line")
+    label = F.when(up & bench_down, "Relative Strength").when(down & bench_up, "Relative Weakness").when(up & bench_up, both_up).when(down & bench_down, both_down).otherwise("Neutral")
+    return F.when(ret.isNull() | bench.isNull(), "No data").otherwise(label)

@@ -71,10 +71,17 @@ def news_as_of_signals(signals: DataFrame, news: DataFrame, days: int = 3) -> Da
     return met.where((F.col("published") <= F.col("at")) & (F.col("published") > F.col("at") - span)).drop("bucket")
 
 
-def extract_tickers(html: Column) -> Column:
-    """Distinct upper-case names after a dollar sign, in ticker attributes, in quote links, or in brackets."""
-    found = lambda p: F.regexp_extract_all(html, F.lit(p), F.lit(1))
-    return F.array_distinct(F.concat(found(r"\$([A-Z]{1,5})\b"), found(r'data-ticker="([A-Z]{1,5})"'), found(r"/quote/([A-Z]{1,5})\b"), found(r"\(([A-Z]{2,5})\)")))
+#: Where pages name symbols, the most reliable place first.
+TICKER_PLACES = (r'data-symbol="([A-Z]{1,5})"', r'/quote/([A-Z]{1,5})(?:[/?"\s])', r'symbol="([A-Z]{1,5})"', r'"symbol"\s*:\s*"([A-Z]{1,5})"')
+
+
+def extract_tickers(html: Column, enough: int = 10) -> Column:
+    """Distinct symbols of a page in order of place; each next place is looked at while fewer than `enough` are found."""
+    out = F.array_distinct(F.regexp_extract_all(html, F.lit(TICKER_PLACES[0]), F.lit(1)))
+    for place in TICKER_PLACES[1:]:
+        more = F.array_distinct(F.concat(out, F.regexp_extract_all(html, F.lit(place), F.lit(1))))
+        out = F.when(F.size(out) < enough, more).otherwise(out)
+    return out
 
 
 def symbol_valid(symbol: Column) -> Column:
@@ -89,7 +96,15 @@ def ticker_filter(df: DataFrame, cap: int = 50) -> DataFrame:
     return first.orderBy("pos", "name").limit(cap)
 
 
-CATEGORIES = (("Trend", "trend|momentum|pullback"), ("Reversal", "reversal|reversion|fade"), ("Breakout", "breakout|squeeze|expansion"), ("Volume", "volume|vwap|vp"))
+# Categories and the words that a pattern's name has, in order; the first match wins.
+CATEGORIES = (
+    ("breakout", "breakout|expansion|squeeze|donchian|turtle|keltner"),
+    ("mean_reversion", "reversal|reversion|divergence|fade"),
+    ("momentum", "momentum|trend|drive|persistence|flag|wave"),
+    ("volume", "volume|climax|vp |vwap"),
+    ("intraday", "gap|opening|power hour|midday"),
+    ("institutional", "accumulation|distribution"),
+)
 
 
 def strategy_category(name: Column) -> tuple[Column, Column]:
@@ -97,10 +112,11 @@ def strategy_category(name: Column) -> tuple[Column, Column]:
     out = F.when(F.lit(False), F.lit(""))
     for category, words in CATEGORIES:
         out = out.when(F.lower(name).rlike(words), category)
-    return out.otherwise("Other"), F.when(name.contains("Long"), "long").when(name.contains("Short"), "short").otherwise("both")
+    return out.otherwise("other"), F.when(name.contains("Long"), "long").when(name.contains("Short"), "short").otherwise("both")
 
 
 def headline_age(published: Column, as_of: Column) -> Column:
-    minutes = F.timestamp_diff("MINUTE", published.cast("timestamp"), as_of.cast("timestamp"))
+    """Minutes, hours or days since; a headline from after `as_of` counts as 0 minutes old."""
+    minutes = F.greatest(F.timestamp_diff("MINUTE", published.cast("timestamp"), as_of.cast("timestamp")), F.lit(0))
     days, hours = F.floor(minutes / 1440), F.floor(minutes / 60)
     return F.when(minutes < 60, F.concat(minutes.cast("string"), F.lit("m ago"))).when(minutes < 1440, F.concat(hours.cast("string"), F.lit("h ago"))).otherwise(F.concat(days.cast("string"), F.lit("d ago")))

@@ -6,6 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barlab.functions import folds
+from barlab.functions import indicators as I
+
 #: Minutes of a bar, bars between scans, and bars of warm-up by timeframe.
 BAR_MINUTES = {"5min": 5, "15min": 15, "1h": 60, "1d": 390}
 SCAN_EVERY = {"5min": 6, "15min": 4, "1h": 2, "1d": 1}
@@ -37,6 +40,14 @@ def apply_slippage(signals: DataFrame, share: float = 0.05) -> DataFrame:
     return signals.withColumn("entry", F.col("entry") + sign * share * F.col("atr")).withColumn("risk", F.abs(F.col("entry") - F.col("stop")))
 
 
+def with_window_atr(bars: DataFrame) -> DataFrame:
+    """Bars with `window_atr`, the ATR that starts anew on the last 20 bars; 0 where there are too few."""
+    ranged = bars.withColumns({"__tr": I.true_range().cast("double"), "__hl": (F.col("h") - F.col("l")).cast("double")})
+    last = F.transform(F.collect_list(F.struct("__tr", "__hl")).over(I.frame(-19)), lambda x, i: F.when(i == 0, x["__hl"]).otherwise(x["__tr"]))
+    listed = ranged.withColumn("__list", last)
+    return listed.withColumn("window_atr", F.coalesce(folds.windowed_atr(F.col("__list")), F.lit(0.0))).drop("__tr", "__hl", "__list")
+
+
 def _touched(side: Column, price: str, against: bool) -> Column:
     """Whether a bar reaches a price on the losing or the winning side."""
     low, high = F.col("b.l") <= F.col(price), F.col("b.h") >= F.col(price)
@@ -68,15 +79,16 @@ def first_touch_label(signals: DataFrame, bars: DataFrame, hold: int = 99) -> Da
     return first.withColumn("label", label).withColumn("r", F.when(label == "win", reward).when(label == "loss", -1.0))
 
 
-def barrier_resolve(signals: DataFrame, bars: DataFrame, hold: int | Column, splits: tuple[float, float, float] = (0.5, 0.3, 0.2)) -> DataFrame:
+def barrier_resolve(signals: DataFrame, bars: DataFrame, hold: int | Column, splits: tuple[float, float, float] | str = (0.5, 0.3, 0.2), keep: tuple[str, ...] = ()) -> DataFrame:
     """Exits of each signal in two phases.
 
     First the stop and the first target race, the stop winning ties. After the target the stop stands at the entry,
     from the next bar on, and races the second target, which can be hit on the bar of the first. What is left runs
-    to the entry or to the close of the last bar in the span. Legs are rounded to 3 places and weighted.
+    to the entry or to the close of the last bar in the span. Legs are rounded to 3 places and weighted. `splits` are the
+    weights, or the array column that has them; `keep` names more columns of the signals that the result has.
     """
     long = F.col("bias") == "long"
-    key = ["symbol", "tf", "k", "bias", "entry", "stop", "t1", "t2", "hold"]
+    key = ["symbol", "tf", "k", "bias", "entry", "stop", "t1", "t2", "hold", *keep, *([splits] if isinstance(splits, str) else [])]
     met = _following(signals, bars, hold)
     first = met.groupBy(*key).agg(
         F.min(F.when(_touched(long, "stop", True), F.col("bk"))).alias("k_stop"), F.min(F.when(_touched(long, "t1", False), F.col("bk"))).alias("k_t1"),
@@ -92,17 +104,17 @@ def barrier_resolve(signals: DataFrame, bars: DataFrame, hold: int | Column, spl
     got2 = F.col("got1") & F.col("k_far").isNotNull() & (F.col("k_back").isNull() | (F.col("k_far") < F.col("k_back")))
     risk = F.abs(F.col("entry") - F.col("stop"))
     leg = lambda price: F.round(F.when(long, price - F.col("entry")).otherwise(F.col("entry") - price) / risk, 3)
-    a, b, c = splits
+    a, b, c = (F.col(splits)[i] for i in range(3)) if isinstance(splits, str) else map(F.lit, splits)
     done = b + a >= 0.99
     rest = F.when(F.col("k_back").isNotNull(), F.lit(0.0)).otherwise(leg(F.col("c_last")))
     raw = (
-        F.when(F.col("got1") & F.col("got2"), a * leg(F.col("t1")) + b * leg(F.col("t2")) + (0.0 if done else c * rest))
+        F.when(F.col("got1") & F.col("got2"), a * leg(F.col("t1")) + b * leg(F.col("t2")) + F.when(done, 0.0).otherwise(c * rest))
         .when(F.col("got1"), a * leg(F.col("t1")) + (b + c) * rest)
         .when(F.col("k_stop").isNotNull(), leg(F.col("stop")))
         .otherwise(leg(F.col("c_last")))
     )
     ended = (
-        F.when(F.col("got1") & F.col("got2") & F.lit(done), F.col("k_far"))
+        F.when(F.col("got1") & F.col("got2") & done, F.col("k_far"))
         .when(F.col("got1"), F.coalesce("k_back", "k_last"))
         .otherwise(F.coalesce("k_stop", "k_last"))
     )
@@ -117,7 +129,7 @@ def finalize_r(resolved: DataFrame) -> DataFrame:
     return resolved.withColumn("r", r).withColumn("outcome", outcome)
 
 
-def select_non_overlapping(candidates: DataFrame, cooldown: str = "cooldown") -> DataFrame:
+def select_non_overlapping(candidates: DataFrame, cooldown: str = "cooldown", by: str = "pattern") -> DataFrame:
     """Candidates that a trader with one open trade per pattern takes, in bar order, best confidence first.
 
     Exits are known for all candidates, so only this short fold over the candidates of a (series, pattern) is
@@ -136,7 +148,7 @@ def select_non_overlapping(candidates: DataFrame, cooldown: str = "cooldown") ->
                 fired[(bias, bucket)] = k
         return pdf[keep]
 
-    return candidates.groupBy("symbol", "tf", "pattern").applyInPandas(run, schema)
+    return candidates.groupBy("symbol", "tf", by).applyInPandas(run, schema)
 
 
 def next_open_entry(signals: DataFrame, bars: DataFrame, least: float = 1.5) -> DataFrame:

@@ -45,11 +45,21 @@ def composite_score() -> Column:
 
 
 def price_bucket(price: Column) -> Column:
-    """Five, two, one or a tenth by band; half to even."""
-    step = F.when(price >= 200, 5.0).when(price >= 100, 2.0).when(price >= 20, 1.0).otherwise(0.1)
+    """For setups: five above 200, two above 50, one above 10, else a tenth; half to even."""
+    step = F.when(price > 200, 5.0).when(price > 50, 2.0).when(price > 10, 1.0).otherwise(0.1)
     return F.round(F.bround(price / step) * step, 6)
 
 
+def price_bucket_cooldown(price: Column) -> Column:
+    """For cooldowns: whole units, half to even."""
+    return F.bround(price)
+
+
+def price_bucket_merge(price: Column) -> Column:
+    """For merging timeframes: tens above 50, else units; half to even."""
+    return F.when(price > 50, F.bround(price / 10) * 10).otherwise(F.bround(price))
+
+
 def merge_timeframes(setups: DataFrame) -> DataFrame:
     """One setup for each (symbol, pattern, bias, bucket): the best, raised if several timeframes agree."""
     best = F.max_by(F.struct("id", "composite", "confidence", "tf"), F.struct("composite", "id"))

@@ -7,9 +7,33 @@ from pyspark.sql import functions as F
 
 from barlab.functions import indicators as I
 
+#: Bars between two pivots of one structure, by timeframe.
 MIN_SPAN = {"5min": 20, "15min": 15, "1h": 10, "1d": 15}
 
 
+def min_span_ok(first: Column, second: Column, tf: Column) -> Column:
+    """Whether two pivots are far enough apart for their timeframe; 10 bars for one that is not listed."""
+    least = F.coalesce(*(F.when(tf == name, n) for name, n in MIN_SPAN.items()), F.lit(10))
+    return F.abs(second - first) >= least
+
+
+def pivot_volumes(bars: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Pivots with `vol`, the mean volume of the bars from two before to two after. Bars need k."""
+    around = bars.withColumn("vol", F.avg("v").over(I.frame(-2, 2))).select("symbol", "tf", F.col("k").alias("pivot"), "vol")
+    return pivots.join(around.hint("merge"), ["symbol", "tf", "pivot"])
+
+
+def volume_touch_bonus(first: Column, second: Column) -> Column:
+    """Confidence for a second touch on less volume than the first."""
+    return F.when(first <= 0, 0.0).when(second < first * 0.85, 0.08).when(second < first, 0.04).otherwise(0.0)
+
+
+def volume_hs_bonus(left: Column, head: Column, right: Column) -> Column:
+    """Confidence for volume that falls from the left shoulder to the head and on to the right one."""
+    bonus = F.when(head < left, 0.04).otherwise(0.0) + F.when(right < head, 0.04).otherwise(0.0) + F.when((left > head) & (head > right), 0.04).otherwise(0.0)
+    return F.when(left <= 0, 0.0).otherwise(bonus)
+
+
 def swing_pivots(bars: DataFrame, order: int) -> DataFrame:
     """symbol, tf, pivot, confirm, price, kind: strict local extremes, known `order` bars later. Needs k."""
     marked = bars.withColumns({"is_high": I.swing_high(order), "is_low": I.swing_low(order)})
@@ -44,7 +68,7 @@ def channels(pivots: DataFrame, n: int = 4, least_r2: float = 0.6) -> DataFrame:
     """Lines through the last highs and lows of each series, if both fit and the upper ends above the lower; with its measures."""
     lines = fit_trendline(last_pivots(pivots, n), "symbol", "tf", "kind")
     side = lambda kind, p: lines.where((F.col("kind") == kind) & (F.col("points") >= 2) & (F.col("r2") >= least_r2)).select("symbol", "tf", *(F.col(x).alias(f"{p}_{x}") for x in ("slope", "intercept", "r2", "start", "end")))
-    both = side("high", "u").join(side("low", "d"), ["symbol", "tf"])
+    both = side("high", "u").join(side("low", "d").hint("merge"), ["symbol", "tf"])
     at = lambda p, x: F.col(f"{p}_slope") * x + F.col(f"{p}_intercept")
     start, end = F.greatest("u_start", "d_start"), F.greatest("u_end", "d_end")
     out = both.withColumns({"width_start": at("u", start) - at("d", start), "width_end": at("u", end) - at("d", end)}).where("width_end > 0")
@@ -65,10 +89,8 @@ def cluster_levels(pivots: DataFrame, tolerance: float = 0.008, least: int = 2)
     points = pivots.groupBy("symbol", "tf").agg(F.array_sort(F.collect_list(F.struct("price", "pivot", "kind"))).alias("ps"))
 
     def step(levels: Column, x: Column) -> Column:
-        last = F.element_at(levels, -1)
         joins = (F.size(levels) > 0) & (x["price"] - F.get(F.get(levels, F.size(levels) - 1)["ps"], 0)["price"] <= F.get(F.get(levels, F.size(levels) - 1)["ps"], 0)["price"] * tolerance)
         grown = F.concat(F.slice(levels, 1, F.greatest(F.size(levels) - 1, F.lit(0))), F.array(F.struct(F.concat(F.try_element_at(levels, F.lit(-1))["ps"], F.array(x)).alias("ps"))))
-        _ = last
         return F.when(joins, grown).otherwise(F.concat(levels, F.array(F.struct(F.array(x).alias("ps")))))
 
     kind = "array<struct<ps:array<struct<price:double,pivot:bigint,kind:string>>>>"
@@ -87,7 +109,7 @@ def detect_breakouts(levels: DataFrame, bars: DataFrame, last: int = 3) -> DataF
     w = I.frame(-5, -1)
     ends = F.max("k").over(Window.partitionBy("symbol", "tf"))
     recent = bars.withColumns({"before_max": F.max("c").over(w), "before_min": F.min("c").over(w), "end": ends}).where(F.col("k") > F.col("end") - last)
-    met = levels.join(recent.select("symbol", "tf", "k", "c", "before_max", "before_min"), ["symbol", "tf"])
+    met = levels.join(recent.select("symbol", "tf", "k", "c", "before_max", "before_min").hint("merge"), ["symbol", "tf"])  # `last` bars of a series
     up = (F.col("c") > F.col("price") + F.col("width")) & (F.col("before_min") < F.col("price"))
     down = (F.col("c") < F.col("price") - F.col("width")) & (F.col("before_max") > F.col("price"))
     hit = met.withColumn("side", F.when(up, "up").when(down, "down")).where("side is not null")
@@ -95,16 +117,58 @@ def detect_breakouts(levels: DataFrame, bars: DataFrame, last: int = 3) -> DataF
 
 
 def nearest_level(points: DataFrame, levels: DataFrame) -> DataFrame:
-    """The level nearest to each point of its series, by distance, then price."""
-    met = points.join(levels.select("symbol", "tf", F.col("price").alias("level")), ["symbol", "tf"])
-    return met.groupBy("symbol", "tf", "k", "c").agg(F.min_by("level", F.struct(F.abs(F.col("level") - F.col("c")), "level")).alias("level"))
+    """The level nearest to each point of its series, by distance, then price.
+
+    Points and levels are put in price order once; the nearest level below and above are running values, so no point meets
+    all levels. Prices go in bands of the series' price range, and a band takes its ends from its neighbours, so that a series
+    is not one group.
+    """
+    band = F.floor(F.log2(F.greatest(F.col("x").cast("double"), F.lit(1e-9))) * 64)
+    a = points.select("symbol", "tf", F.col("c").alias("x"), "k", F.lit(1).alias("side"))
+    b = levels.select("symbol", "tf", F.col("price").alias("x"), F.lit(None).cast("long").alias("k"), F.lit(0).alias("side")).distinct()
+    both = a.unionByName(b).withColumn("band", band)
+    level = F.when(F.col("side") == 0, F.col("x"))
+    within = Window.partitionBy("symbol", "tf", "band").orderBy("x", "side")
+    ends = both.groupBy("symbol", "tf", "band").agg(F.max(level).alias("top"), F.min(level).alias("bottom"))
+    bands = Window.partitionBy("symbol", "tf").orderBy("band")
+    ends = ends.select(
+        "symbol", "tf", "band", F.last("top", ignorenulls=True).over(bands.rowsBetween(Window.unboundedPreceding, -1)).alias("from_below"),
+        F.first("bottom", ignorenulls=True).over(bands.rowsBetween(1, Window.unboundedFollowing)).alias("from_above"),
+    )
+    near = both.withColumns(
+        {"below": F.last(level, ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0)), "above": F.first(level, ignorenulls=True).over(within.rowsBetween(1, Window.unboundedFollowing))}
+    ).where("side = 1")
+    near = near.join(ends.hint("merge"), ["symbol", "tf", "band"]).withColumns({"below": F.coalesce("below", "from_below"), "above": F.coalesce("above", "from_above")})
+    pick = F.when(F.col("above").isNull() | (F.col("x") - F.col("below") <= F.col("above") - F.col("x")), F.col("below")).otherwise(F.col("above"))
+    return near.where("below is not null or above is not null").select("symbol", "tf", "k", F.col("x").alias("c"), pick.alias("level"))
+
+
+def zones_of(points: DataFrame, zones: DataFrame, width: float = 1 / 64) -> DataFrame:
+    """Points (symbol, tf, k, c) with each zone (low, high) of their series that holds c: an equi join on the bands of a zone's prices.
+
+    Bands grow with the price, so a zone as wide as a share of its price touches few of them.
+    """
+    band = lambda x: F.floor(F.log2(F.greatest(F.col(x).cast("double"), F.lit(1e-9))) / width)
+    spread = zones.withColumn("band", F.explode(F.sequence(band("low"), band("high"))))
+    met = points.withColumn("band", band("c")).join(spread.hint("merge"), ["symbol", "tf", "band"])
+    return met.where(F.col("c").between(F.col("low"), F.col("high"))).drop("band")
 
 
-def as_of_join(left: DataFrame, right: DataFrame, key: str, on: str, values: list[str]) -> DataFrame:
-    """For each left row the latest right row at or before it: one union, one sort, one running last value."""
+def as_of_join(left: DataFrame, right: DataFrame, key: str, on: str, values: list[str], span: int = 1000) -> DataFrame:
+    """For each left row the latest right row at or before it.
+
+    Both sides go to (key, day) buckets, or to buckets of `span` units where `on` is a number; a bucket starts from the last right row of the days before it, which a window over
+    one row for each day gives. So one key that all rows have is dealt by day, and no task sorts all of them.
+    """
+    day = F.to_date(F.col(on)) if dict(left.dtypes)[on].startswith(("timestamp", "date")) else F.floor(F.col(on) / span)
+    order = Window.partitionBy(key, "__day").orderBy(on, "__side").rowsBetween(Window.unboundedPreceding, 0)
     nothing = [F.lit(None).cast(dict(left.dtypes)[c]).alias(c) for c in left.columns if c not in (key, on)]
-    a = left.select(key, on, *[c for c in left.columns if c not in (key, on)], *(F.lit(None).cast(dict(right.dtypes)[v]).alias(v) for v in values), F.lit(1).alias("__side"))
-    b = right.select(key, on, *nothing, *values, F.lit(0).alias("__side"))
-    w = Window.partitionBy(key).orderBy(on, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    seen = F.last(F.when(F.col("__side") == 0, F.struct(*values)), ignorenulls=True).over(w)
-    return a.unionByName(b).withColumn("__x", seen).where("__side = 1").select(*left.columns, *(F.col(f"__x.{v}").alias(v) for v in values))
+    a = left.select(key, on, *[c for c in left.columns if c not in (key, on)], F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType).alias("__v"), F.lit(1).alias("__side"))
+    b = right.select(key, on, *nothing, F.struct(*values).alias("__v"), F.lit(0).alias("__side"))
+    both = a.unionByName(b).withColumn("__day", day)
+    own = F.last("__v", ignorenulls=True).over(order)
+    lasts = both.groupBy(key, "__day").agg(F.max_by("__v", F.when(F.col("__side") == 0, F.col(on))).alias("__end"))
+    before = F.last("__end", ignorenulls=True).over(Window.partitionBy(key).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1))
+    lasts = lasts.select(key, "__day", before.alias("__before"))
+    seen = both.withColumn("__x", own).where("__side = 1").alias("s").join(lasts.alias("d").hint("merge"), (F.col(f"s.{key}").eqNullSafe(F.col(f"d.{key}"))) & F.col("s.__day").eqNullSafe(F.col("d.__day")))
+    return seen.select(*(F.col(f"s.{c}") for c in left.columns), F.coalesce("__x", "__before").alias("__x")).select(*left.columns, *(F.col(f"__x.{v}").alias(v) for v in values))

@@ -2,40 +2,56 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlab.functions import folds
 from barlab.operators import detect as D
 from barlab.operators import outcomes as O
-from barlab.operators import resample, score, stats
+from barlab.operators import resample, score
+from barlab.sources.bars import materialised
 
 
-def scan(bars: DataFrame, per_symbol: int = 2) -> DataFrame:
-    """Signals at each series' last bar, scored, merged over timeframes and ranked within symbols."""
-    tfs = [r["tf"] for r in bars.select("tf").distinct().collect()]  # a handful of timeframes
-    found = D.detect(D.wide(bars), D.catalogue(tfs))
-    newest = found.join(bars.groupBy("symbol", "tf").agg(F.max("ts").alias("ts")), ["symbol", "tf", "ts"])
+def all_signals(wide: DataFrame, tfs: Iterable[str], detectors: list[D.Detector] | None = None) -> DataFrame:
+    """Signals of all patterns of some timeframes, those that are no predicate of the wide row too."""
+    found = D.detect(wide, D.catalogue(tfs) if detectors is None else detectors)
+    if detectors is None and "5min" in tfs:
+        found = found.unionByName(D.power_hour(wide))
+    return found
+
+
+def scan(bars: DataFrame, per_symbol: int = 2, tfs: Iterable[str] | None = None) -> DataFrame:
+    """Signals at each series' last bar, scored, merged over timeframes and ranked within symbols. `tfs` spares a look at the bars."""
+    tfs = list(tfs) if tfs is not None else [r["tf"] for r in bars.select("tf").distinct().collect()]  # a handful of timeframes
+    found = all_signals(D.wide(bars), tfs)
+    newest = found.join(bars.groupBy("symbol", "tf").agg(F.max("ts").alias("ts")).hint("merge"), ["symbol", "tf", "ts"])
     scored = newest.withColumns(
-        {"pattern_name": F.col("pattern"), "id": F.concat_ws("|", "symbol", "tf", "pattern"), "composite": F.round(F.col("confidence") * 70 + score.rr_quality(F.col("rr")) * 0.3, 6), "bucket": score.price_bucket(F.col("entry"))}
+        {"pattern_name": F.col("pattern"), "id": F.concat_ws("|", "symbol", "tf", "pattern"), "composite": F.round(F.col("confidence") * 70 + score.rr_quality(F.col("rr")) * 0.3, 6), "bucket": score.price_bucket_merge(F.col("entry") / 100)}
     )
     return score.top_per_symbol(score.merge_timeframes(scored), per_symbol, 0.0)
 
 
-def walk_forward_backtest(bars: DataFrame, detectors: list[D.Detector], hold: int = 60, cooldown: int = 10) -> DataFrame:
-    """Detect at scan bars, resolve all candidates, take those that do not overlap: trades with R and outcome."""
-    numbered = resample.with_index(bars)
-    found = D.detect(D.wide(bars), detectors)
-    scans = O.scan_schedule(numbered).select("symbol", "tf", "k")
-    candidates = found.join(scans, ["symbol", "tf", "k"])
-    slipped = O.apply_slippage(candidates)
-    resolved = O.finalize_r(O.barrier_resolve(slipped.select("symbol", "tf", "k", "bias", "entry", "stop", "t1", "t2"), numbered, hold))
-    names = slipped.select("symbol", "tf", "k", "bias", "entry", "stop", "t1", "t2", "pattern", "confidence")
-    full = resolved.join(names, ["symbol", "tf", "k", "bias", "entry", "stop", "t1", "t2"]).withColumns({"bucket": F.round("entry").cast("long"), "cooldown": F.lit(cooldown)})
-    return O.select_non_overlapping(full)
+def walk_forward_backtest(bars: DataFrame, detectors: list[D.Detector] | None = None, tfs: Iterable[str] = ("1d",), days: int = 30) -> DataFrame:
+    """Detect at scan bars, resolve all candidates, take those that do not overlap: trades with R and outcome.
+
+    Bars are written once and read for the detectors, the scan's bars and the barriers. Slippage is by the window ATR; hold,
+    cooldown and splits are the pattern's own; a pattern has one open trade at a time, on both sides where these share its name.
+    """
+    numbered = materialised(resample.with_index(bars.select("symbol", "tf", "ts", "o", "h", "l", "c", "v")))
+    found = D.with_traits(all_signals(D.wide(numbered.drop("k")), tfs, detectors)).drop("atr")
+    scans = O.with_window_atr(numbered)
+    scans = O.scan_schedule(scans, days).select("symbol", "tf", "k", F.col("window_atr").alias("atr"))
+    fields = ["symbol", "tf", "k", "bias", "entry", "stop", "t1", "t2", "pattern", "confidence", "splits", "family", "bucket", "cooldown", "hold", "atr"]
+    candidates = found.join(scans.hint("merge"), ["symbol", "tf", "k"]).withColumns(
+        {"bucket": score.price_bucket_cooldown(F.col("entry") / 100).cast("long"), "cooldown": O.bars_for(F.col("cooldown_minutes")), "hold": O.bars_for(F.col("hold_minutes"))}
+    )
+    candidates = materialised(O.apply_slippage(candidates).select(*fields))
+    kept = ("pattern", "confidence", "family", "bucket", "cooldown")
+    resolved = O.finalize_r(O.barrier_resolve(candidates.drop("atr"), numbered, F.col("hold"), "splits", kept))
+    return O.select_non_overlapping(resolved, by="family")
 
 
 def breakout_study(bars: DataFrame, hold: int = 20) -> DataFrame:
@@ -68,7 +84,8 @@ def series_detector(bars: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame],
 
 
 def register_sql_functions(spark: SparkSession) -> None:
-    """For SQL users: zigzag_value(array of highs, array of lows, share) and last_ema(array, p)."""
+    """For SQL users: last_ema(array, p); the grouped aggregates ema(x, ts, p) and wilder_atr(h, l, c, ts, p); and the table function
+    swings(TABLE(bars) PARTITION BY symbol, tf ORDER BY ts), whose rows are the confirmed zigzag swings of a series."""
     from pyspark.sql.types import DoubleType
 
     def last_ema(xs: pd.Series, p: pd.Series) -> pd.Series:
@@ -76,7 +93,38 @@ def register_sql_functions(spark: SparkSession) -> None:
 
         return pd.Series([folds.ema_first_seed(np.asarray(x, dtype=float), int(k))[-1] if x is not None and len(x) else None for x, k in zip(xs, p, strict=True)])
 
+    def ema(x: pd.Series, ts: pd.Series, p: pd.Series) -> float:
+        xs = x.to_numpy(dtype=float)[ts.to_numpy().argsort(kind="stable")]
+        return float(folds.ema_first_seed(xs, int(p.iloc[0]))[-1])
+
+    def wilder_atr(h: pd.Series, l: pd.Series, c: pd.Series, ts: pd.Series, p: pd.Series) -> float:  # noqa: E741
+        by = ts.to_numpy().argsort(kind="stable")
+        return float(folds.wilder_atr(*(x.to_numpy(dtype=float)[by] for x in (h, l, c)), int(p.iloc[0]))[-1])
+
     spark.udf.register("last_ema", F.pandas_udf(last_ema, DoubleType()))
+    spark.udf.register("ema", F.pandas_udf(ema, DoubleType()))
+    spark.udf.register("wilder_atr", F.pandas_udf(wilder_atr, DoubleType()))
+    spark.udtf.register("swings", F.udtf(Swings, returnType="symbol string, tf string, pivot int, confirm int, price double, kind string"))
+
+
+class Swings:
+    """Zigzag swings of one partition's rows, in order: keeps the running extreme and puts a swing out once it is confirmed."""
+
+    def __init__(self):
+        self._bars: list[tuple[float, float]] = []
+        self._of = (None, None)
+
+    def eval(self, row):
+        self._of = (row["symbol"], row["tf"])
+        self._bars.append((float(row["h"]), float(row["l"])))
+
+    def terminate(self):
+        import numpy as np
+
+        if self._bars:
+            h, l = np.array(self._bars).T  # noqa: E741
+            for pivot, confirm, price, kind in folds.zigzag(h, l, 0.03):
+                yield (*self._of, pivot, confirm, price, kind)
 
 
 def with_param_table(detect_rows: DataFrame, params: DataFrame) -> DataFrame:
@@ -85,4 +133,10 @@ def with_param_table(detect_rows: DataFrame, params: DataFrame) -> DataFrame:
     return joined.where(F.col("least_confidence").isNull() | (F.col("confidence") >= F.col("least_confidence"))).drop("least_confidence")
 
 
-_ = Window, stats
+def detectors_with_params(tfs: Iterable[str], params: DataFrame) -> list[D.Detector]:
+    """The catalogue with the daily detectors' parameters from a short table (name, value); names that no detector has are an error."""
+    given = {r["name"]: float(r["value"]) for r in params.select("name", "value").collect()}  # a row for each parameter
+    if unknown := set(given) - set(D.DAILY_PARAMS):
+        raise ValueError(f"no such parameters: {sorted(unknown)}")
+    daily = {d.name: d for d in D.daily_detectors(given)}
+    return [daily.get(d.name, d) for d in D.catalogue(tfs)]

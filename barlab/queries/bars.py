@@ -49,7 +49,7 @@ def chart_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def read_bars_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars written as one JSON document for each series and read back."""
-    return store.json_round_trip(fixtures.daily(spark, sf_dir).where("symbol = 'STANDARD'")).select(*BAR)
+    return store.json_round_trip(fixtures.daily(spark, sf_dir)).select(*BAR)
 
 
 def write_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,10 +67,10 @@ def history_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def partition_closed_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All closed trades archived by day, read back for a range of days that prunes the rest."""
     folder = store.scratch_folder(spark)
-    closed = store.history_union(fixtures.trades(spark, sf_dir)).where("closed_at < TIMESTAMP_NTZ'1995-06-01 00:00:00'")
-    store.archive_closed(closed, folder)
-    return spark.read.parquet(folder).groupBy("closed_month").agg(F.count("*").alias("n"), F.sum("r_milli").alias("r_milli"))
+    store.archive_closed(store.history_union(fixtures.trades(spark, sf_dir)), folder)
+    return spark.read.parquet(folder).where("closed_date between DATE'1995-01-01' and DATE'1996-12-31'").groupBy("closed_date").agg(F.count("*").alias("n"), F.sum("r_milli").alias("r_milli"))
 
 
 def daily_range(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,10 +129,10 @@ ORACLE_SQL = {
     "bars_since": f"WITH {HOURLY}, seen AS (SELECT symbol, max(ts) AS top FROM hourly WHERE hour(ts) < 12 AND ts < '2024-01-20' GROUP BY 1) SELECT {_B} FROM hourly LEFT JOIN seen USING (symbol) WHERE top IS NULL OR ts > top",
     "utc_to_session_ts": f"WITH {TICKS}, t AS (SELECT symbol, event_id, timezone('America/New_York', timezone('UTC', date_trunc('millisecond', ts))) AS ts, px FROM ticks) SELECT * FROM t WHERE hour(ts) * 60 + minute(ts) >= 570 AND hour(ts) * 60 + minute(ts) < 960",
     "chart_export": f"WITH {DAILY} SELECT symbol, epoch(ts)::BIGINT AS time, o, h, l, c, v FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS r FROM daily) WHERE r <= 120",
-    "read_bars_json": f"WITH {DAILY} SELECT {_B} FROM daily WHERE symbol = 'STANDARD'",
+    "read_bars_json": f"WITH {DAILY} SELECT {_B} FROM daily",
     "write_bars": f"WITH {HOURLY} SELECT {_B} FROM hourly WHERE ts < '2024-01-16'",
     "history_union": f"WITH {CLOSED} SELECT id, pattern_name, symbol, r_milli, closed_at FROM closed",
-    "partition_closed_by_day": f"WITH {CLOSED} SELECT strftime(closed_at, '%Y-%m') AS closed_month, count(*) AS n, sum(r_milli)::BIGINT AS r_milli FROM closed WHERE closed_at < '1995-06-01' GROUP BY 1",
+    "partition_closed_by_day": f"WITH {CLOSED} SELECT closed_at::DATE AS closed_date, count(*) AS n, sum(r_milli)::BIGINT AS r_milli FROM closed WHERE closed_at::DATE BETWEEN '1995-01-01' AND '1996-12-31' GROUP BY 1",
     "daily_range": f'WITH {HOURLY} SELECT symbol, ts::DATE AS day, max(h) AS high, min(l) AS low, max(h) - min(l) AS "range" FROM hourly GROUP BY ALL',
     "weekly_close": f"WITH {DAILY} SELECT symbol, isoyear(ts)::BIGINT AS year, week(ts)::BIGINT AS week, arg_max(c, ts) AS close FROM daily GROUP BY ALL",
     "store_stats": f"WITH {DAILY}, {HOURLY}, b AS (SELECT '1d' AS tf, * FROM daily UNION ALL SELECT '1h', * FROM hourly) SELECT tf, count(DISTINCT symbol) AS symbols, count(*) AS bars, min(ts) AS oldest, max(ts) AS newest FROM b GROUP BY ROLLUP (tf)",

@@ -101,9 +101,8 @@ def tidal_wave(spark, sf_dir):
 def price_in_zone(spark, sf_dir):
     """Bars whose close lies in the zone of one of their series' levels."""
     levels = S.cluster_levels(_pivots(spark, sf_dir)).select("symbol", "tf", (F.col("price") - F.col("width")).alias("low"), (F.col("price") + F.col("width")).alias("high"))
-    bars = resample.with_index(fixtures.daily(spark, sf_dir)).where("k % 10 = 0")
-    met = bars.join(levels, ["symbol", "tf"]).where(F.col("c").between(F.col("low"), F.col("high")))
-    return met.groupBy("symbol", "k").agg(F.count("*").alias("zones"))
+    bars = resample.with_index(fixtures.daily(spark, sf_dir))
+    return S.zones_of(bars, levels).groupBy("symbol", "k").agg(F.count("*").alias("zones"))
 
 
 def results_sink(spark, sf_dir):
@@ -149,7 +148,7 @@ def detect_breakouts(spark, sf_dir):
 
 
 def nearest_level(spark, sf_dir):
-    bars = resample.with_index(fixtures.daily(spark, sf_dir)).where("k % 50 = 0")
+    bars = resample.with_index(fixtures.daily(spark, sf_dir))
     return S.nearest_level(bars, _pivots(spark, sf_dir)).select("symbol", "k", "c", "level")
 
 
@@ -175,14 +174,15 @@ def regime_alignment(spark, sf_dir):
 
 def relative_strength(spark, sf_dir):
     out = G.relative_strength(fixtures.intraday(spark, sf_dir), "view")
-    return out.select("symbol", "day", *(F.round(x, 6).alias(x) for x in ("ret", "bret", "spread", "agreement")), "grade")
+    return out.select("symbol", "day", *(F.round(x, 6).alias(x) for x in ("ret", "bret", "spread", "agreement")), "grade", "label")
 
 
 def scan(spark, sf_dir):
-    return compose.scan(fixtures.daily(spark, sf_dir)).select("symbol", "pattern_name", "bias", "composite", F.col("rank").cast("long").alias("rank"))
+    return compose.scan(fixtures.daily(spark, sf_dir), tfs=("1d",)).select("symbol", "pattern_name", "bias", "composite", F.col("rank").cast("long").alias("rank"))
 
 
 def walk_forward_backtest(spark, sf_dir):
+    """All daily series and all daily patterns."""
     out = compose.walk_forward_backtest(fixtures.daily(spark, sf_dir), D.daily_detectors())
     return out.select("symbol", "tf", "k", "pattern", "bias", "outcome", "r", "k_exit")
 
@@ -240,18 +240,19 @@ ORACLE_SQL = {
     "swing_pivots": f"WITH {_pv(5)} SELECT * FROM pv",
     "swing_helpers": f"WITH {_pv(5)} SELECT symbol, count(*) FILTER (kind = 'high') AS highs, count(*) FILTER (kind = 'low') AS lows, max(price) FILTER (kind = 'high') AS highest, min(price) FILTER (kind = 'low') AS lowest, arg_max(price, (\"pivot\", kind)) AS last_price, max(price) - min(price) AS price_range FROM pv GROUP BY 1",
     "fit_trendline": f"WITH {_pv(5)}{_LASTP.format(6)} SELECT symbol, kind, round(regr_slope(price, \"pivot\"), 6) AS slope, round(coalesce(regr_r2(price, \"pivot\"), 0), 6) AS r2, count(*) AS points, min(\"pivot\") AS start, max(\"pivot\") AS \"end\" FROM lp GROUP BY ALL",
-    "nearest_level": f"WITH {_pv(5)} SELECT b.symbol, k, c, arg_min(price, (abs(price - c), price)) AS level FROM kb b JOIN pv USING (symbol) WHERE k % 50 = 0 GROUP BY ALL",
+    "nearest_level": f"WITH {_pv(5)} SELECT b.symbol, k, c, arg_min(price, (abs(price - c), price)) AS level FROM kb b JOIN pv USING (symbol) GROUP BY ALL",
     "as_of_regime": f"WITH {CLOSED}, {DAILY}, m AS (SELECT ts AS mts, c FROM daily WHERE symbol = 'STANDARD') SELECT id, entered_at AS ts, c FROM closed ASOF LEFT JOIN m ON entered_at >= mts",
     "detect_regime": f"WITH RECURSIVE {_REG} SELECT symbol, ts, regime FROM reg",
     "regime_alignment": f"WITH RECURSIVE {_REG} SELECT symbol, ts, " + ", ".join(f"(CASE regime {' '.join(f'''WHEN '{r}' THEN {x}''' for (r, k2), x in G.ALIGNMENT.items() if k2 == kind)} END)::BIGINT AS {kind}" for kind in ("momentum", "breakout")) + " FROM reg",
     "relative_strength": f"""WITH {HOURLY}, m AS (SELECT *, ts::DATE AS day, row_number() OVER (PARTITION BY symbol, ts::DATE ORDER BY ts DESC) AS rn, sign(c - o) AS mv FROM hourly),
       d AS (SELECT symbol, day, (arg_max(c, ts)::DOUBLE / arg_min(o, ts) - 1) * 100 AS ret, count(*) AS n FROM m GROUP BY ALL), a AS (SELECT m.symbol, m.day, avg((m.mv = b.mv)::INT) * 100 AS agr FROM m JOIN m b ON b.symbol = 'view' AND b.day = m.day AND b.rn = m.rn GROUP BY ALL),
       z AS (SELECT d.symbol, d.day, d.ret, b.ret AS bret, agr FROM d JOIN d b ON b.symbol = 'view' AND b.day = d.day JOIN a ON a.symbol = d.symbol AND a.day = d.day WHERE d.n >= 3)
-      SELECT symbol, day, round(ret, 6) AS ret, round(bret, 6) AS bret, round(ret - bret, 6) AS spread, round(agr, 6) AS agreement, CASE WHEN agr >= 75 THEN 'A' WHEN agr >= 60 THEN 'B' WHEN agr >= 45 THEN 'C' WHEN agr >= 30 THEN 'D' ELSE 'F' END AS grade FROM z""",
+      SELECT symbol, day, round(ret, 6) AS ret, round(bret, 6) AS bret, round(ret - bret, 6) AS spread, round(agr, 6) AS agreement, CASE WHEN agr <= 30 THEN 'A' WHEN agr <= 45 THEN 'B' WHEN agr <= 60 THEN 'C' WHEN agr <= 75 THEN 'D' ELSE 'F' END AS grade,
+        CASE WHEN ret > 0.05 AND bret < -0.05 THEN 'Relative Strength' WHEN ret < -0.05 AND bret > 0.05 THEN 'Relative Weakness' WHEN ret > 0.05 AND bret > 0.05 THEN (CASE WHEN ret - bret > 0.3 THEN 'Outperforming' WHEN bret - ret > 0.3 THEN 'Lagging' ELSE 'In Line' END)
+          WHEN ret < -0.05 AND bret < -0.05 THEN (CASE WHEN ret > 0.6 * bret THEN 'Holding Up' WHEN ret < 1.5 * bret THEN 'Underperforming' ELSE 'In Line' END) ELSE 'Neutral' END AS label FROM z""",
     "breakout_study": f"""WITH {HOURLY}, b AS (SELECT *, {K} - 1 AS k, CASE WHEN {K} > 20 THEN max(h) OVER {over(-20, -1)} END AS hi, CASE WHEN {K} > 20 THEN min(l) OVER {over(-20, -1)} END AS lo, ({K} <= 20 OR v >= 1.2::DOUBLE * avg(v) OVER {over(-20, -1)}) AS loud FROM hourly),
       s AS (SELECT symbol, k, CASE WHEN c > hi THEN 1 ELSE -1 END AS sg, c AS entry, greatest(hi - lo, 1) AS sp FROM b WHERE loud AND (c > hi OR c < lo)),
       f AS (SELECT s.symbol, s.k, s.sg, min(b.k) FILTER ((CASE WHEN sg = 1 THEN b.l ELSE -b.h END) <= sg * (entry - sg * sp)) AS ks, min(b.k) FILTER ((CASE WHEN sg = 1 THEN b.h ELSE -b.l END) >= sg * (entry + 2 * sg * sp)) AS kt FROM s JOIN b ON b.symbol = s.symbol AND b.k > s.k AND b.k <= s.k + 20 GROUP BY ALL)
       SELECT symbol, CASE WHEN sg = 1 THEN 'long' ELSE 'short' END AS bias, count(*) AS n, count(*) FILTER (kt IS NOT NULL AND (ks IS NULL OR kt < ks)) AS wins, count(*) FILTER (ks IS NOT NULL AND NOT coalesce(kt < ks, false)) AS losses,
         round(sum(CASE WHEN kt IS NOT NULL AND (ks IS NULL OR kt < ks) THEN 2.0::DOUBLE WHEN ks IS NOT NULL THEN -1.0::DOUBLE END), 6) AS total_r FROM f GROUP BY ALL""",
 }
-_ = folds

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barlab.operators import outcomes as O
 from barlab.operators import resample
-from barlab.queries.sql import CLOSED, HOURLY
+from barlab.queries.sql import CLOSED, HOURLY, lag, over
 from barlab.sources import bars as store
 from barlab.sources import fixtures
 
@@ -32,8 +32,9 @@ def cooldown_bars(spark, sf_dir):
 
 
 def apply_slippage(spark, sf_dir):
-    sig = _signals(spark, sf_dir).withColumn("atr", F.lit(40.0))
-    return O.apply_slippage(sig).select("symbol", "k", F.round("entry", 6).alias("entry"), F.round("risk", 6).alias("risk"))
+    """Slippage by the ATR that starts anew on the last 20 bars; none where a series is too short for one."""
+    atr = O.with_window_atr(_bars(spark, sf_dir)).select("symbol", "tf", "k", F.col("window_atr").alias("atr"))
+    return O.apply_slippage(_signals(spark, sf_dir).join(atr.hint("merge"), ["symbol", "tf", "k"])).select("symbol", "k", F.round("entry", 6).alias("entry"), F.round("risk", 6).alias("risk"))
 
 
 def first_touch_label(spark, sf_dir):
@@ -126,7 +127,9 @@ _GRID = f"WITH {_B}, grid AS (SELECT s.v AS stop_d, t.v AS target_d FROM (VALUES
 ORACLE_SQL = {
     "scan_schedule": f"WITH {_B}, t AS (SELECT symbol, count(*) AS bars_n FROM bars GROUP BY 1) SELECT symbol, k FROM bars JOIN t USING (symbol) WHERE bars_n >= 30 AND k >= 20 AND (k - 20) % 2 = 0",
     "cooldown_bars": f"WITH {CLOSED} SELECT id, greatest(1, floor(abs(r_milli) / 10 / [5, 15, 60, 390][regime + 1]))::BIGINT AS cooldown FROM closed",
-    "apply_slippage": f"WITH {_B} SELECT symbol, k, round(entry + sg * 2.0::DOUBLE, 6) AS entry, round(abs(entry + sg * 2.0::DOUBLE - stop), 6) AS risk FROM sig",
+    "apply_slippage": f"""WITH {_B}, d AS (SELECT symbol, ts, k, h, l, greatest(h - l, abs(h - {lag('c')}), abs(l - {lag('c')}))::DOUBLE AS tr FROM bars), w AS (SELECT symbol, k, list(tr) OVER {over(-19)} AS t, list((h - l)::DOUBLE) OVER {over(-19)} AS r FROM d),
+      x AS (SELECT symbol, k, list_concat([r[1]], t[2:]) AS t FROM w), a AS (SELECT symbol, k, CASE WHEN len(t) >= 14 THEN list_reduce(list_concat([list_sum(t[1:14]) / 14], t[15:]), lambda a, b: (a * 13 + b) / 14) ELSE 0 END AS atr FROM x)
+      SELECT symbol, k, round(entry + sg * 0.05::DOUBLE * atr, 6) AS entry, round(abs(entry + sg * 0.05::DOUBLE * atr - stop), 6) AS risk FROM sig JOIN a USING (symbol, k)""",
     "first_touch_label": f"{_TOUCH} SELECT symbol, k, CASE WHEN kt IS NOT NULL AND (ks IS NULL OR kt < ks) THEN 'win' WHEN ks IS NOT NULL THEN 'loss' ELSE 'open' END AS label, CASE WHEN kt IS NOT NULL AND (ks IS NULL OR kt < ks) THEN 2.0::DOUBLE WHEN ks IS NOT NULL THEN -1.0::DOUBLE END AS r FROM f",
     "barrier_resolve": f"WITH {_RES} SELECT symbol, k, got1, got2, k_exit, round(raw_r, 6) AS raw_r FROM res",
     "finalize_r": f"WITH {_RES} SELECT symbol, k, CASE WHEN got1 AND got2 THEN 'win' WHEN got1 THEN 'partial_win' WHEN ks IS NULL AND raw_r > 0.0205 THEN 'timeout' ELSE 'loss' END AS outcome, round(raw_r, 6) AS raw_r FROM res",

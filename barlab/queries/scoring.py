@@ -55,13 +55,15 @@ _add("typed_feature_score", lambda s: s.select("id", r6(score.typed_feature_scor
     f"SELECT id, round(CASE kind {' '.join(f'''WHEN '{k}' THEN {_weighted(w)}''' for k, w in score.TYPE_WEIGHTS.items())} ELSE {_weighted(score.DEFAULT_WEIGHTS)} END, 6) AS score FROM setups")
 _add("feature_composite", lambda s: s.select("id", r6(sum((F.col(f) * w for f, w in zip(score.FEATURES, score.FEATURE_WEIGHTS, strict=True)), F.lit(0.0)), "score")), f"SELECT id, round({' + '.join(f'{_COL[f]} * {w}::DOUBLE' for f, w in zip(score.FEATURES, score.FEATURE_WEIGHTS, strict=True))}, 6) AS score FROM setups")
 _add("composite_score", lambda s: s.select("id", r6(score.composite_score(), "composite")), f"SELECT id, round({COMPOSITE}, 6) AS composite FROM setups")
-_add("score_batch", lambda s: s.select("id", r6(score.composite_score(), "composite")).orderBy(F.desc("composite"), "id").limit(100), f"SELECT id, round({COMPOSITE}, 6) AS composite FROM setups ORDER BY 2 DESC, 1 LIMIT 100")
+_add("score_batch", lambda s: s.select("id", r6(score.composite_score(), "composite")), f"SELECT id, round({COMPOSITE}, 6) AS composite FROM setups")
 _names = lambda test: "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_COL[k]} {test} THEN '{k}' END" for k in score.COMPOSITE) + "], lambda x: x IS NOT NULL), ',')"
 _add("explain_score", lambda s: s.select("id", score.explain_score()[0].alias("strengths"), score.explain_score()[1].alias("weaknesses")), f"SELECT id, {_names('>= 70')} AS strengths, {_names('<= 30')} AS weaknesses FROM setups")
 _add("rr_quality", lambda s: s.select("id", r6(score.rr_quality(F.when(F.col("rr") < 90, F.col("rr") / 25)), "quality")),
     "SELECT id, round(CASE WHEN q IS NULL THEN 40 WHEN q >= 3 THEN 100 WHEN q >= 2.5 THEN 80 + (q - 2.5) * 40 WHEN q >= 2 THEN 60 + (q - 2) * 40 WHEN q >= 1.5 THEN 35 + (q - 1.5) * 50 WHEN q >= 1 THEN 10 + (q - 1) * 50 ELSE 0 END, 6) AS quality FROM (SELECT id, CASE WHEN rr < 90 THEN rr / 25 END AS q FROM setups)")
 _BUCKET = "round(round_even(p / st, 0) * st, 6)"
-_add("price_bucket", lambda s: s.select("id", score.price_bucket(F.col("entry") * 1.37).alias("bucket")), f"SELECT id, {_BUCKET} AS bucket FROM (SELECT id, entry * 1.37::DOUBLE AS p, CASE WHEN entry * 1.37 >= 200 THEN 5.0::DOUBLE WHEN entry * 1.37 >= 100 THEN 2 WHEN entry * 1.37 >= 20 THEN 1 ELSE 0.1 END AS st FROM setups)")
+_add("price_bucket", lambda s: s.withColumn("p", F.col("entry") * 0.37).select("id", score.price_bucket(F.col("p")).alias("bucket"), score.price_bucket_cooldown(F.col("p")).alias("cooldown_bucket"), score.price_bucket_merge(F.col("p")).alias("merge_bucket")),
+    f"""SELECT id, {_BUCKET} AS bucket, round_even(p, 0) AS cooldown_bucket, CASE WHEN p > 50 THEN round_even(p / 10, 0) * 10 ELSE round_even(p, 0) END AS merge_bucket
+      FROM (SELECT id, p, CASE WHEN p > 200 THEN 5.0::DOUBLE WHEN p > 50 THEN 2 WHEN p > 10 THEN 1 ELSE 0.1 END AS st FROM (SELECT id, entry * 0.37::DOUBLE AS p FROM setups))""")
 _add("r_multiple", lambda s: s.select("id", r6(F.try_divide(F.when(F.col("bias") == "long", F.col("feature") - F.col("entry")).otherwise(F.col("entry") - F.col("feature")), F.nullif(F.abs(F.col("entry") - F.col("stop")), F.lit(0.0))), "r")),
     "SELECT id, round((CASE WHEN bias = 'long' THEN feature - entry ELSE entry - feature END) / nullif(abs(entry - stop), 0), 6) AS r FROM setups")
 _add("risk_reward", lambda s: s.withColumn("q", r6(F.try_divide(F.abs(F.col("edge") - F.col("entry")), F.nullif(F.abs(F.col("entry") - F.col("stop")), F.lit(0.0))), "q")).where("q >= 1").select("id", "q"),
@@ -69,10 +71,10 @@ _add("risk_reward", lambda s: s.withColumn("q", r6(F.try_divide(F.abs(F.col("edg
 
 
 def _merged(s: DataFrame) -> DataFrame:
-    return score.merge_timeframes(s.withColumns({"composite": F.round(score.composite_score(), 6), "confidence": F.col("confidence") / 128, "bucket": score.price_bucket(F.col("entry"))}))
+    return score.merge_timeframes(s.withColumns({"composite": F.round(score.composite_score(), 6), "confidence": F.col("confidence") / 128, "bucket": score.price_bucket_merge(F.col("entry"))}))
 
 
-_BK = "CASE WHEN entry >= 200 THEN round_even(entry / 5.0::DOUBLE, 0) * 5 WHEN entry >= 100 THEN round_even(entry / 2.0::DOUBLE, 0) * 2 WHEN entry >= 20 THEN round_even(entry, 0) ELSE round(round_even(entry / 0.1::DOUBLE, 0) * 0.1::DOUBLE, 6) END"
+_BK = "CASE WHEN entry > 50 THEN round_even(entry / 10.0::DOUBLE, 0) * 10 ELSE round_even(entry, 0) END"
 _add("merge_timeframes", lambda s: _merged(s).select("symbol", "pattern_name", "bias", "bucket", "id", r6(F.col("composite"), "composite"), r6(F.col("confidence"), "confidence"), "multi_tf", "label"),
     f", m AS (SELECT symbol, pattern_name, bias, {_BK} AS bucket, arg_max({{'id': id, 'c': cs, 'f': confidence / 128}}, (cs, id)) AS x, count(DISTINCT tf) AS tfs, string_agg(DISTINCT tf, ' & ' ORDER BY tf) AS label FROM (SELECT *, round({COMPOSITE}, 6) AS cs FROM setups) GROUP BY ALL) "
     "SELECT symbol, pattern_name, bias, bucket, x.id, round(CASE WHEN tfs > 1 THEN least(100, x.c + 5) ELSE x.c END, 6) AS composite, round(CASE WHEN tfs > 1 THEN least(0.95, x.f + 0.10::DOUBLE) ELSE x.f END, 6) AS confidence, tfs > 1 AS multi_tf, label FROM m")
@@ -97,8 +99,8 @@ _add("merge_tracked_and_fresh", lambda s: (lambda a, b: a.unionByName(b.join(a,
 _add("enrich_opportunities", lambda s: s.select("id", "symbol").join(perf.performance(s.where("tf = '1h'"), "symbol").select("symbol", "total"), "symbol", "left"), ", p AS (SELECT symbol, sum(r_milli)::BIGINT AS total FROM setups WHERE tf = '1h' GROUP BY 1) SELECT s.symbol, id, total FROM setups s LEFT JOIN p USING (symbol)")
 _add("risk_flags", lambda s: s.withColumn("f", score.risk_flags({"thin volume": F.col("volume") < 20, "weak trend": F.col("trend") < 30, "poor edge": F.col("edge") < 40, "low rr": F.col("rr") < 25})).select("id", F.array_join("f", ",").alias("flags"), F.size("f").cast("long").alias("n")),
     ", r AS (SELECT id, list_filter([CASE WHEN volume < 20 THEN 'thin volume' END, CASE WHEN trend < 30 THEN 'weak trend' END, CASE WHEN edge < 40 THEN 'poor edge' END, CASE WHEN rr < 25 THEN 'low rr' END], lambda x: x IS NOT NULL) AS f FROM setups) SELECT id, array_to_string(f, ',') AS flags, len(f) AS n FROM r")
-_add("filter_setups", lambda s: _scored(s).where((F.col("bias") == "long") & F.col("kind").isin("momentum", "breakout") & (F.col("composite") >= 50)).orderBy(F.desc("composite"), "id").limit(50).select("id", "kind", "composite"),
-    f"{_CS} SELECT id, kind, composite FROM cs WHERE bias = 'long' AND kind IN ('momentum', 'breakout') AND composite >= 50 ORDER BY composite DESC, id LIMIT 50")
+_add("filter_setups", lambda s: _scored(s).where((F.col("bias") == "long") & F.col("kind").isin("momentum", "breakout") & (F.col("composite") >= 50)).select("id", "kind", "composite"),
+    f"{_CS} SELECT id, kind, composite FROM cs WHERE bias = 'long' AND kind IN ('momentum', 'breakout') AND composite >= 50")
 _add("alert_format", lambda s: s.select("id", F.format_string("%s %s %s: entry %.2f, stop %.2f", "symbol", F.upper("bias"), "pattern_name", "entry", "stop").alias("alert")), "SELECT id, printf('%s %s %s: entry %.2f, stop %.2f', symbol, upper(bias), pattern_name, entry, stop) AS alert FROM setups")
 _sized = lambda s: s.withColumns(score.position_size(25000.0, 0.01, F.when(F.col("regime") < 50, 0.5).otherwise(1.0)))
 _SIZE = f", z AS (SELECT *, abs(entry - stop) AS rk, floor(250.0::DOUBLE * CASE WHEN {_f(10, 21)} < 50 THEN 0.5 ELSE 1 END / nullif(abs(entry - stop), 0)) AS br, floor(3750.0::DOUBLE / entry) AS bc FROM setups), zz AS (SELECT *, coalesce(greatest(0, least(br, bc)), 0)::BIGINT AS shares FROM z)"

@@ -53,7 +53,7 @@ def stream_running_metrics(spark, sf_dir):
 
 def stream_price_refresh(spark, sf_dir):
     fixtures.ship(spark)
-    trades = fixtures.table(spark, sf_dir, "events").where("event_id % 500 = 0").select(F.col("event_type").alias("symbol"), F.col("event_id").alias("trade_id"))
+    trades = fixtures.table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), F.col("event_id").alias("trade_id"))
     return S.run_to_table(S.refresh_prices(S.ticks_stream(spark, sf_dir), trades), "complete")
 
 
@@ -90,7 +90,7 @@ ORACLE_SQL = {
     "stream_ticks_to_bars": f"WITH {_T} SELECT symbol, time_bucket(INTERVAL 5 MINUTE, ts) AS ts, arg_min(px, (ts, event_id)) AS o, max(px) AS h, min(px) AS l, arg_max(px, (ts, event_id)) AS c, sum(qty)::BIGINT AS v FROM t GROUP BY symbol, time_bucket(INTERVAL 5 MINUTE, ts)",
     "stream_dedup_bars": f"WITH {_T} SELECT DISTINCT symbol, ts, px FROM t",
     "stream_multi_cadence": f"WITH {_T}, b AS (SELECT m::BIGINT AS minutes, symbol, time_bucket(to_minutes(m), ts) AS w, sum(qty) AS v FROM t, (VALUES (5), (15), (60)) x(m) GROUP BY ALL) SELECT minutes, symbol, count(*) AS bars, sum(v)::BIGINT AS v FROM b GROUP BY ALL",
-    "stream_price_refresh": f"WITH {_T} SELECT l.symbol, l.last, e.event_id AS trade_id FROM (SELECT symbol, arg_max(px, (ts, event_id)) AS last FROM t GROUP BY 1) l JOIN events e ON e.event_type = l.symbol WHERE e.event_id % 500 = 0",
+    "stream_price_refresh": f"WITH {_T} SELECT l.symbol, l.last, e.event_id AS trade_id FROM (SELECT symbol, arg_max(px, (ts, event_id)) AS last FROM t GROUP BY 1) l JOIN events e ON e.event_type = l.symbol",
     "stream_freshness": f"WITH {_T} SELECT symbol, max(ts) AS newest, floor(epoch(TIMESTAMP '2024-02-15' - max(ts)) / 60)::BIGINT AS age_minutes FROM t GROUP BY 1",
     "stream_detect": f"""WITH {_T}, b AS (SELECT symbol, time_bucket(INTERVAL 60 MINUTE, ts) AS ts, arg_min(px, (ts, event_id)) AS o, max(px) AS h, min(px) AS l, arg_max(px, (ts, event_id)) AS c, sum(qty) AS v FROM t GROUP BY symbol, time_bucket(INTERVAL 60 MINUTE, ts)),
       w AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k, avg(v) OVER x AS vol, avg(h - l) OVER x AS sp FROM b WINDOW x AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 11 PRECEDING AND 2 PRECEDING))

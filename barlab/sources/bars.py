@@ -23,8 +23,11 @@ JSON_SCHEMA = T.StructType(
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder in the shared place that the cluster names; a local one only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-scratch-")
+    """A new folder in the shared place that the cluster names; where none is named, a local one in local mode alone."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = base or tempfile.mkdtemp(prefix="spark-scratch-")
     return f"{base}/{uuid.uuid4().hex}"
 
 
@@ -92,6 +95,13 @@ def utc_to_session(raw: DataFrame, zone: str = "America/New_York") -> DataFrame:
     return regular_hours(raw.withColumn("ts", F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)))
 
 
+def materialised(df: DataFrame) -> DataFrame:
+    """The rows written once to the shared folder and read back, so that several readers do not work them out again."""
+    folder = scratch_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 def chart_export(bars: DataFrame, last: int = 120) -> DataFrame:
     ranked = bars.withColumn("r", F.row_number().over(Window.partitionBy("symbol", "tf").orderBy(F.desc("ts")))).where(F.col("r") <= last)
     seconds = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
@@ -111,9 +121,9 @@ def point_in_time(bars: DataFrame, as_of: str) -> DataFrame:
     return seen.groupBy("symbol", "tf").agg(F.max_by(F.struct(*rest), "ts").alias("x")).select("symbol", "tf", "x.*")
 
 
-def history_union(trades: DataFrame) -> DataFrame:
-    """One row for each id, from the first of its stores; a missing id is unlike any other. Only closed trades with a result."""
-    order = F.struct("src_rank", "l_partkey", "l_suppkey", "closed_at", "r_milli")
+def history_union(trades: DataFrame, ties: tuple[str, ...] = ("l_partkey", "l_suppkey")) -> DataFrame:
+    """One row for each id, from the first of its stores, then by `ties`; a missing id is unlike any other. Only closed trades with a result."""
+    order = F.struct("src_rank", *(x for x in ties if x in trades.columns), "closed_at", "r_milli")
     known = trades.where("id is not null")
     rest = [c for c in trades.columns if c != "id"]
     one = known.groupBy("id").agg(F.min_by(F.struct(*rest), order).alias("x")).select("id", "x.*")
@@ -121,5 +131,6 @@ def history_union(trades: DataFrame) -> DataFrame:
 
 
 def archive_closed(closed: DataFrame, path: str) -> None:
-    dated = closed.withColumn("closed_month", F.date_format("closed_at", "yyyy-MM"))
-    dated.repartition("closed_month").write.partitionBy("closed_month").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    """Closed trades by closing day; the days given replace those of the archive, the rest stay. Rows of a day come from few files each."""
+    dated = closed.withColumn("closed_date", F.to_date("closed_at"))
+    dated.repartition("closed_date").write.partitionBy("closed_date").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
