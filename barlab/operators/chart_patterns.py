@@ -24,7 +24,7 @@ def _swings(marked: DataFrame, kind: str, order: int) -> DataFrame:
     rows = marked.withColumn("seg", F.count_if(F.col(f"is_{kind}")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     segments = rows.groupBy("symbol", "tf", "seg").agg(extreme(far).alias("far"))
     pivots = rows.where(F.col(f"is_{kind}")).select("symbol", "tf", "seg", "ts", F.col("k").alias("p"), F.col(price).alias("price"), F.col(far).alias("own_far"), "left_rim", "next_p", "next_price")
-    chain = pivots.join(segments.withColumn("seg", F.col("seg") + 1).withColumnRenamed("far", "before"), ["symbol", "tf", "seg"], "left").withColumn("neck", pick("before", "own_far"))
+    chain = pivots.join(segments.withColumn("seg", F.col("seg") + 1).withColumnRenamed("far", "before").hint("merge"), ["symbol", "tf", "seg"], "left").withColumn("neck", pick("before", "own_far"))
     made = {f"{x}{n}": F.lag(x, n).over(w) for x in ("p", "price") for n in (1, 2)} | {"neck1": F.lag("neck", 1).over(w)}
     chain = chain.withColumns(made)
     fields = ["p", "price", "neck", "p1", "price1", "neck1", "p2", "price2", "left_rim", "next_p", "next_price"]
@@ -41,7 +41,7 @@ def with_visible_swings(bars: DataFrame, order: int) -> DataFrame:
     out = bars
     for kind in ("low", "high"):
         side = marked.withColumns({"next_p": F.col(f"after_{kind}.p"), "next_price": F.col(f"after_{kind}.x")})
-        out = out.join(_swings(side, kind, order), ["symbol", "tf", "k"], "left")
+        out = out.join(_swings(side, kind, order).hint("merge"), ["symbol", "tf", "k"], "left")
     seen = w.rowsBetween(Window.unboundedPreceding, 0)
     out = out.withColumns({"low": F.last("new_low", ignorenulls=True).over(seen), "high": F.last("new_high", ignorenulls=True).over(seen), "ls": F.collect_list("l").over(I.frame(-29)), "hs": F.collect_list("h").over(I.frame(-29)), "h_lately": F.max("h").over(I.frame(-order))})
     run = Window.partitionBy("symbol", "tf", F.col("low.p")).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
@@ -165,7 +165,7 @@ def tidal_wave(bars: DataFrame, levels: DataFrame) -> DataFrame:
     import pandas as pd
 
     pick = levels.where("type in ('support', 'both') and touches >= 3").groupBy("symbol", "tf").agg(F.max_by("price", F.struct("touches", "price")).alias("level"))
-    df = bars.withColumn("confirmed", I.volume_confirm(1.3)).join(pick, ["symbol", "tf"]).select("symbol", "tf", "ts", "h", "l", "c", "atr", "level", "confirmed")
+    df = bars.withColumn("confirmed", I.volume_confirm(1.3)).join(pick.hint("merge"), ["symbol", "tf"]).select("symbol", "tf", "ts", "h", "l", "c", "atr", "level", "confirmed")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts", kind="stable")
@@ -226,3 +226,141 @@ def gap_give_and_go(bars: DataFrame) -> DataFrame:
     when = gap & n.between(3, 7) & (fall > 0) & (c_high - c_low <= 0.5 * fall) & (F.col("h") > c_high) & (F.col("first_o") - entry >= entry - stop)
     conf = F.least(F.lit(0.85), 0.50 + F.when(I.minute_of_day().between(570, 585), 0.10).otherwise(0.0))
     return df.select("symbol", "tf", "ts", F.inline(F.array_compact(F.array(_candidate("gap_give_and_go", "long", when, entry, stop, F.col("first_o"), conf)))))
+
+
+def session_scalps(wide: DataFrame) -> DataFrame:
+    """Rubber band and back side at every bar that completes one; needs atr, vwap and ema9.
+
+    Both look at the bars of the session so far, which is bounded, so a session is one small group: `_rubber_band` and
+    `_back_side` read each of its prefixes.
+    """
+    import pandas as pd
+
+    fields = ["symbol", "tf", "ts", "o", "h", "l", "c", "v", "atr", "vwap", "ema9", "n", "e2"]
+    df = wide.withColumns({"n": I.bars_so_far(), "e2": F.lag("ema9", 2).over(I.series())}).select(*fields, F.to_date("ts").alias("day"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts", kind="stable").reset_index(drop=True)
+        rows = [(*pdf.loc[i, ["symbol", "tf", "ts"]], *found) for i in range(len(pdf)) for make in (_rubber_band, _back_side) if (found := make(pdf.iloc[: i + 1]))]
+        return pd.DataFrame(rows, columns=["symbol", "tf", "ts", *SIGNAL])
+
+    kinds = "symbol string, tf string, ts timestamp_ntz, pattern string, bias string, entry double, stop double, target double, confidence double"
+    return df.groupBy("symbol", "tf", "day").applyInPandas(run, kinds)
+
+
+def _clock(ts) -> int:
+    return ts.hour * 60 + ts.minute
+
+
+def _rubber_band(day) -> tuple | None:
+    """A fall of an ATR or more that speeds up, and a rising bar that clears two highs: at that bar, while below the VWAP."""
+    i = len(day) - 1
+    o, h, l, c, v = (day[x].to_numpy() for x in "ohlcv")  # noqa: E741
+    now = day.iloc[-1]
+    low = int(l.argmin())
+    if now["n"] < 20 or not now["vwap"] > c[i] or not now["atr"] > 0 or not (low < i <= low + 9 and low >= 5) or c[i] <= o[i]:
+        return None
+    cleared = [sum(h[k] > h[j] for j in range(max(low, k - 5), k)) >= 2 and c[k] > o[k] for k in range(low + 1, i + 1)]
+    reach, mid = (o[0] - l[low]) / now["atr"], low // 2
+    slow, fast = (h[:mid] - l[:mid]).mean(), (h[mid:low] - l[mid:low]).mean()
+    if not cleared[-1] or any(cleared[:-1]) or reach < 1 or fast < 1.2 * slow:
+        return None
+    entry, stop = float(h[i] + TICK), float(l[low] - TICK)
+    at = _clock(now["ts"])
+    conf = 0.45 + 0.15 * (reach >= 3) + 0.10 * (v[i] >= sorted(v, reverse=True)[min(4, i)]) + 0.10 * (fast > 1.5 * slow) + (0.10 if 600 <= at <= 645 else 0.05 if 645 <= at <= 810 else 0.0)
+    return ("rubber_band", "long", entry, stop, 3 * entry - 2 * stop, min(conf, 0.95)) if entry > stop else None
+
+
+def _back_side(day) -> tuple | None:
+    """A higher high and a higher low after the day's low, above a rising 9-bar EMA, with 1 R up to the VWAP."""
+    i = len(day) - 1
+    h, l, c, e = (day[x].to_numpy() for x in ("h", "l", "c", "ema9"))  # noqa: E741
+    now = day.iloc[-1]
+    low = int(l.argmin())
+    if now["n"] < 25 or i + 1 < 15 or low < 3 or i + 1 - low < 8 or not l[low] < now["vwap"] or not e[i] > now["e2"] or c[i] < e[i]:
+        return None
+    after_h, after_l = h[low:], l[low:]
+    tops, floors = ([k for k in range(2, len(x) - 2) if all(s * x[k] > s * x[j] for j in range(k - 2, k + 3) if j != k)] for x, s in ((after_h, 1), (after_l, -1)))
+    higher = [k for k in floors if after_l[k] > l[low]]
+    if not higher or not any(after_h[k] > after_h[0] for k in tops):
+        return None
+    entry, stop, target = float(h[i] + TICK), float(after_l[higher[-1]] - TICK), float(now["vwap"])
+    if entry <= stop or target - entry < entry - stop:
+        return None
+    conf = 0.48 + 0.10 * ((c[-8:] > e[-8:]).sum() >= 6) + 0.10 * (600 <= _clock(now["ts"]) <= 645)
+    return "back_side", "long", entry, stop, target, min(conf, 0.85)
+
+
+def level_scalps(bars: DataFrame, order: int) -> DataFrame:
+    """Second chance and bouncing ball at every bar that completes one, by the swings visible at it. Needs k.
+
+    Only levels whose last touch lies within a few bars before are open, so a bar looks at few recent swings and, for each,
+    at the swings near its price. The fold goes over one series, as the swings of all its past count as touches.
+    """
+    import pandas as pd
+
+    marked = bars.withColumns({"is_high": F.coalesce(I.swing_high(order), F.lit(False)), "is_low": F.coalesce(I.swing_low(order), F.lit(False)), "vol5": F.avg("v").over(I.frame(-5, -1))})
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts", kind="stable").reset_index(drop=True)
+        rows = [(*pdf.loc[i, ["symbol", "tf", "ts"]], *x) for i, x in (*_second_chance(pdf, order), *_bouncing_ball(pdf, order))]
+        return pd.DataFrame(rows, columns=["symbol", "tf", "ts", *SIGNAL])
+
+    kinds = "symbol string, tf string, ts timestamp_ntz, pattern string, bias string, entry double, stop double, target double, confidence double"
+    return marked.select("symbol", "tf", "ts", *"ohlcv", "is_high", "is_low", "vol5").groupBy("symbol", "tf").applyInPandas(run, kinds)
+
+
+def _clusters(at, price, reach: int, now: int):
+    """Of visible swings (positions, prices), those within 0.3 % of an earlier one's level, by level, where the last is at most `reach` bars old."""
+    recent = [k for k in range(len(at)) if now - at[k] <= reach]
+    seen = set()
+    for k in recent:
+        for i in (abs(price[: k + 1] - price[k]) < price[: k + 1] * 0.003).nonzero()[0].tolist():
+            near = (abs(price[i + 1 :] - price[i]) < price[i] * 0.003).nonzero()[0] + i + 1
+            if i not in seen and len(near) and near[-1] == k:
+                seen.add(i)
+                yield i, [i, *near.tolist()]
+
+
+def _second_chance(df, order: int):
+    """A break above a resistance, a retest that comes back to it, and the next close above the retest's high."""
+    h, l, c, v = (df[x].to_numpy(float) for x in "hlcv")  # noqa: E741
+    at = df["is_high"].to_numpy().nonzero()[0]
+    for now in range(29, len(df)):
+        if c[now] <= h[now - 1]:
+            continue
+        visible = at[at + order <= now]
+        best = None
+        for i, members in _clusters(visible, h[visible], 36, now):
+            wall, last = h[visible[members]].mean(), int(visible[members[-1]])
+            broken = next((k for k in range(last + 1, min(last + 20, now + 1)) if c[k] > wall * 1.002), None)
+            back = next((k for k in range(broken + 1, min(broken + 15, now + 1)) if l[k] <= wall * 1.003), None) if broken else None
+            if back is None or back + 1 != now:
+                continue
+            entry, stop, target = c[now], l[back] - TICK, h[broken : back + 1].max()
+            if entry > stop and target - entry >= entry - stop and (best is None or i < best[0]):
+                ratio = round((target - entry) / (entry - stop), 9)
+                best = (i, ("second_chance", "long", entry, stop, target, 0.45 + 0.15 * (v[back] < v[broken] * 0.7) + 0.10 * (ratio >= 1.9)))
+        if best:
+            yield now, best[1]
+
+
+def _bouncing_ball(df, order: int):
+    """Three or more touches of a support with ever lower bounces, and the first close below it within nine bars."""
+    h, l, c, v = (df[x].to_numpy(float) for x in "hlcv")  # noqa: E741
+    at, vol5 = df["is_low"].to_numpy().nonzero()[0], df["vol5"].to_numpy()
+    for now in range(29, len(df)):
+        visible = at[at + order <= now]
+        best = None
+        for i, members in _clusters(visible, l[visible], 9, now):
+            where, floor = visible[members], l[visible[i]]
+            last = int(where[-1])
+            tops = [h[a:b].max() for a, b in zip(where[:-1], where[1:], strict=True)]
+            if len(tops) < 2 or any(a <= b for a, b in zip(tops[:-1], tops[1:], strict=True)) or c[now] >= floor or (c[last + 1 : now] < floor).any():
+                continue
+            entry, stop = floor - TICK, tops[-1] + TICK
+            if stop > entry and (best is None or i < best[0]):
+                conf = 0.55 + 0.10 * (len(where) >= 3) + 0.10 * (vol5[last] > 0 and v[now] > vol5[last] * 1.3)
+                best = (i, ("bouncing_ball", "short", entry, stop, 3 * entry - 2 * stop, min(conf, 0.85)))
+        if best:
+            yield now, best[1]

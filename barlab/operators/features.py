@@ -26,7 +26,7 @@ def inputs(bars: DataFrame, benchmark: str) -> DataFrame:
     valid = F.count("atr").over(I.series().rowsBetween(Window.unboundedPreceding, 0))
     df = df.withColumn("atr_ratio", F.when((valid >= 19) & (past > 0), F.col("atr") / past).otherwise(1.0)).withColumn("n", I.bars_so_far())
     ref = bars.where(F.col("symbol") == benchmark).withColumns({"bc": F.col("c"), "b20": I.sma(20), "b50": I.sma(50), "blag": I.back("c", 20)}).select("tf", "ts", "bc", "b20", "b50", "blag")
-    return df.join(ref, ["tf", "ts"], "left")
+    return df.join(ref.hint("merge"), ["tf", "ts"], "left")
 
 
 def scores() -> dict[str, Column]:
@@ -84,8 +84,8 @@ def relative_strength(bars: DataFrame, benchmark: str) -> DataFrame:
     day = moves.groupBy("symbol", "day").agg(((F.max_by("c", "ts") / F.min_by("o", "ts") - 1) * 100).alias("ret"), F.count("*").alias("n"))
     ref_moves = moves.where(F.col("symbol") == benchmark).select("day", "rn", F.col("move").alias("bmove"))
     ref_day = day.where(F.col("symbol") == benchmark).select("day", F.col("ret").alias("bret"))
-    alike = moves.join(ref_moves, ["day", "rn"]).groupBy("symbol", "day").agg((F.avg((F.col("move") == F.col("bmove")).cast("double")) * 100).alias("agreement"))
-    out = day.where(F.col("n") >= 3).join(ref_day, "day").join(alike, ["symbol", "day"])
+    alike = moves.join(ref_moves.hint("merge"), ["day", "rn"]).groupBy("symbol", "day").agg((F.avg((F.col("move") == F.col("bmove")).cast("double")) * 100).alias("agreement"))
+    out = day.where(F.col("n") >= 3).join(ref_day.hint("merge"), "day").join(alike.hint("merge"), ["symbol", "day"])
     return out.withColumns({"spread": F.col("ret") - F.col("bret"), "grade": corr_grade(F.col("agreement")), "label": corr_label(F.col("ret"), F.col("bret"))})
 
 

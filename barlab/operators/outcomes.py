@@ -61,9 +61,9 @@ def _following(signals: DataFrame, bars: DataFrame, hold: int | Column) -> DataF
     """
     width = 128
     hold = F.lit(hold) if isinstance(hold, int) else hold
-    spans = signals.withColumn("hold", hold).withColumn("bucket", F.explode(F.sequence(F.floor((F.col("k") + 1) / width), F.floor((F.col("k") + F.col("hold")) / width))))
-    right = bars.select("symbol", "tf", F.col("k").alias("bk"), "h", "l", "c", F.floor(F.col("k") / width).alias("bucket")).alias("b")
-    joined = spans.alias("s").join(right.hint("merge"), ["symbol", "tf", "bucket"])
+    spans = signals.withColumn("hold", hold).withColumn("__span", F.explode(F.sequence(F.floor((F.col("k") + 1) / width), F.floor((F.col("k") + F.col("hold")) / width))))
+    right = bars.select("symbol", "tf", F.col("k").alias("bk"), "h", "l", "c", F.floor(F.col("k") / width).alias("__span")).alias("b")
+    joined = spans.alias("s").join(right.hint("merge"), ["symbol", "tf", "__span"])
     return joined.where((F.col("bk") > F.col("k")) & (F.col("bk") <= F.col("k") + F.col("hold")))
 
 

@@ -85,7 +85,7 @@ def series_detector(bars: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame],
 
 def register_sql_functions(spark: SparkSession) -> None:
     """For SQL users: last_ema(array, p); the grouped aggregates ema(x, ts, p) and wilder_atr(h, l, c, ts, p); and the table function
-    swings(TABLE(bars) PARTITION BY symbol, tf ORDER BY ts), whose rows are the confirmed zigzag swings of a series."""
+    swings(TABLE(bars) PARTITION BY (symbol, tf) ORDER BY ts), whose rows are the confirmed zigzag swings of a series."""
     from pyspark.sql.types import DoubleType
 
     def last_ema(xs: pd.Series, p: pd.Series) -> pd.Series:

@@ -9,6 +9,7 @@ from barlab.functions import indicators as I
 from barlab.operators import chart_patterns as C
 from barlab.operators import detect as D
 from barlab.operators import features as G
+from barlab.operators import outcomes as O
 from barlab.operators import resample, score
 from barlab.operators import structures as S
 from barlab.plans import compose
@@ -89,6 +90,37 @@ def session_patterns(spark, sf_dir):
     return C.hitch_hiker(bars).unionByName(C.gap_give_and_go(bars)).select(*_CHART[:4], *(F.round(x, 5).alias(x) for x in _CHART[4:]))
 
 
+def session_scalps(spark, sf_dir):
+    bars = folds.fold_series(fixtures.intraday(spark, sf_dir, 5), ("ema9", "atr")).withColumn("opened", I.session_open())
+    return C.session_scalps(bars.withColumn("vwap", I.session_vwap())).select(*_CHART[:4], *(F.round(x, 5).alias(x) for x in _CHART[4:]))
+
+
+def level_scalps(spark, sf_dir):
+    bars = resample.with_index(fixtures.intraday(spark, sf_dir, 5))
+    return C.level_scalps(bars, 3).select(*_CHART[:4], *(F.round(x, 5).alias(x) for x in _CHART[4:]))
+
+
+def setup_gate(spark, sf_dir):
+    """Channel breaks held against the price three bars later."""
+    bars = O.with_window_atr(resample.with_index(fixtures.daily(spark, sf_dir))).withColumn("price", F.lead("c", 3).over(I.series()))
+    up = F.col("c") > I.donchian_high(20)
+    made = bars.withColumn("up", up).where("up and price is not null").select(
+        "symbol", "k", F.lit("long").alias("bias"), F.col("c").cast("double").alias("entry"), (F.col("l") - 200.0).alias("stop"), (F.col("c") + 900.0).alias("target"), F.when(F.col("k") % 2 == 0, 0.0).otherwise(F.col("c") + 250.0).alias("target_1"),
+        F.lit(None).cast("double").alias("target_2"), "price", F.when(F.col("k") % 3 > 0, F.col("window_atr")).alias("atr"), (F.lit(0.9) + F.col("k") % 10 / 100).alias("confidence"),
+    )
+    return D.setup_gate(made).select("symbol", "k", "entry", "rr", "t1", "t2", F.round("confidence", 6).alias("confidence"))
+
+
+def pivot_bonuses(spark, sf_dir):
+    """Volume bonuses of the last two touches and of the last three pivots of a kind, and whether the two touches are far enough apart."""
+    bars = resample.with_index(fixtures.daily(spark, sf_dir))
+    vols = S.pivot_volumes(bars, S.last_pivots(_pivots(spark, sf_dir), 3)).groupBy("symbol", "tf", "kind").agg(F.array_sort(F.collect_list(F.struct("pivot", "vol"))).alias("p")).where(F.size("p") == 3)
+    x = lambda i, f: F.col("p")[i][f]
+    return vols.select(
+        "symbol", "kind", S.volume_touch_bonus(x(1, "vol"), x(2, "vol")).alias("touch"), F.round(S.volume_hs_bonus(x(0, "vol"), x(1, "vol"), x(2, "vol")), 6).alias("shoulders"), S.min_span_ok(x(1, "pivot"), x(2, "pivot"), F.col("tf")).alias("apart"),
+    )
+
+
 def neckline(spark, sf_dir):
     return C.neckline(S.last_pivots(_pivots(spark, sf_dir), 2), 0.05).select("symbol", F.round("neckline", 6).alias("neckline"))
 
@@ -194,7 +226,7 @@ def breakout_study(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        detect_daily, detect_daily_windows, detect_swing, detect_intraday, power_hour, chart_patterns, breaking_news, opening_range_break, ema_vwap_cross, fashionably_late, spencer, session_patterns, neckline, tidal_wave, price_in_zone, results_sink, swing_pivots, swing_helpers, fit_trendline, detect_channel, cluster_levels, detect_breakouts, nearest_level, as_of_regime,
+        detect_daily, detect_daily_windows, detect_swing, detect_intraday, power_hour, chart_patterns, breaking_news, opening_range_break, ema_vwap_cross, fashionably_late, spencer, session_patterns, session_scalps, level_scalps, setup_gate, pivot_bonuses, neckline, tidal_wave, price_in_zone, results_sink, swing_pivots, swing_helpers, fit_trendline, detect_channel, cluster_levels, detect_breakouts, nearest_level, as_of_regime,
         feature_vector, detect_regime, regime_alignment, relative_strength, scan, walk_forward_backtest, breakout_study,
     )
 }
@@ -235,6 +267,15 @@ ORACLE_SQL = {
     "breaking_news": f"""WITH {DAILY}, w AS (SELECT *, {K} AS k, avg(v) OVER {over(-11, -2)} AS vol, avg(h - l) OVER {over(-11, -2)} AS sp FROM daily),
       s AS (SELECT symbol, ts, 'breaking_news' AS pattern, CASE WHEN c > o THEN 'long' ELSE 'short' END AS bias, c::DOUBLE AS entry, CASE WHEN c > o THEN l - 2 ELSE h + 2 END::DOUBLE AS stop, round(least(0.85, 0.45::DOUBLE + CASE WHEN v > 5 * vol THEN 0.15 ELSE 0 END + CASE WHEN h - l > 3 * sp THEN 0.10 ELSE 0 END), 6) AS confidence
         FROM w WHERE k >= 12 AND vol > 0 AND v >= 3 * vol AND sp > 0 AND h - l >= 2 * sp) SELECT *, 3 * entry - 2 * stop AS target FROM s""",
+    "setup_gate": f"""WITH {DAILY}, b AS (SELECT symbol, ts, {K} - 1 AS k, h, l, c, max(h) OVER {over(-20, -1)} AS hi, lead(c, 3) OVER (PARTITION BY symbol ORDER BY ts) AS price, greatest(h - l, abs(h - {lag('c')}), abs(l - {lag('c')}))::DOUBLE AS tr FROM daily),
+      w AS (SELECT *, list(tr) OVER {over(-19)} AS t, list((h - l)::DOUBLE) OVER {over(-19)} AS r FROM b), x AS (SELECT *, list_concat([r[1]], t[2:]) AS z FROM w),
+      a AS (SELECT *, CASE WHEN k % 3 > 0 THEN CASE WHEN len(z) >= 14 THEN list_reduce(list_concat([list_sum(z[1:14]) / 14], z[15:]), lambda a, b: (a * 13 + b) / 14) ELSE 0 END END AS atr FROM x WHERE k >= 20 AND c > hi AND price IS NOT NULL),
+      s AS (SELECT symbol, k, c::DOUBLE AS entry, l - 200.0::DOUBLE AS stop, c + 900.0::DOUBLE AS target, price, CASE WHEN atr > 0 THEN atr ELSE price * 0.01::DOUBLE END AS a FROM a)
+      SELECT symbol, k, entry, round((target - entry) / (entry - stop), 2) AS rr, CASE WHEN k % 2 = 0 THEN entry + (entry - stop) ELSE entry + 250 END AS t1, target AS t2, round(least(0.95, 0.9::DOUBLE + k % 10 / 100.0::DOUBLE), 6) AS confidence
+      FROM s WHERE entry > stop AND round((target - entry) / (entry - stop), 2) >= 1 AND price <= entry + a * 0.5::DOUBLE""",
+    "pivot_bonuses": f"""WITH {_pv(5)}{_LASTP.format(3)}, m AS (SELECT symbol, {K} - 1 AS k, avg(v) OVER {over(-2, 2)} AS vol FROM daily), j AS (SELECT lp.symbol, kind, lp."pivot" AS p, vol, r FROM lp JOIN m ON m.symbol = lp.symbol AND m.k = lp."pivot"),
+      g AS (SELECT symbol, kind, max(vol) FILTER (r = 3) AS a, max(vol) FILTER (r = 2) AS b, max(vol) FILTER (r = 1) AS c, max(p) FILTER (r = 1) - max(p) FILTER (r = 2) AS d, count(*) AS n FROM j GROUP BY ALL HAVING count(*) = 3)
+      SELECT symbol, kind, CASE WHEN b <= 0 THEN 0 WHEN c < b * 0.85::DOUBLE THEN 0.08 WHEN c < b THEN 0.04 ELSE 0 END::DOUBLE AS touch, round(CASE WHEN a <= 0 THEN 0 ELSE (b < a)::INT * 0.04 + (c < b)::INT * 0.04 + (a > b AND b > c)::INT * 0.04 END, 6)::DOUBLE AS shoulders, d >= 15 AS apart FROM g""",
     "neckline": f"WITH {_pv(5)}{_LASTP.format(2)}, a AS (SELECT symbol, avg(price) AS m, max(price) AS t, min(price) AS b FROM lp WHERE kind = 'low' GROUP BY 1) SELECT symbol, round(m, 6) AS neckline FROM a WHERE greatest(t - m, m - b) <= 0.05 * m",
     "results_sink": f"WITH {CLOSED} SELECT pattern_name, count(*) AS n, count(*) FILTER (outcome = 'win') AS win, count(*) FILTER (outcome = 'loss') AS loss FROM closed GROUP BY 1 HAVING count(*) > 1800",
     "swing_pivots": f"WITH {_pv(5)} SELECT * FROM pv",

@@ -57,6 +57,16 @@ def stream_price_refresh(spark, sf_dir):
     return S.run_to_table(S.refresh_prices(S.ticks_stream(spark, sf_dir), trades), "complete")
 
 
+def stream_eod(spark, sf_dir):
+    """Every third tick opens a trade that the day's close ends or keeps; the days' summaries."""
+    fixtures.ship(spark)
+    side = F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1)
+    cents = F.round(F.col("value") * 100).cast("long") % 2000 + 9000
+    events = fixtures.table(spark, sf_dir, "events").where("event_id % 3 = 0 and hour(ts) < 16")
+    trades = events.select(F.col("event_type").alias("symbol"), F.to_date("ts").alias("day"), F.col("event_id").alias("trade_id"), F.when(side == 1, "long").otherwise("short").alias("bias"), cents.alias("entry"), (cents - side * 400).alias("stop"), (cents + side * 500).alias("t1"))
+    return S.day_summary(S.run_to_table(S.end_of_day(S.ticks_stream(spark, sf_dir), trades), "complete"))
+
+
 def stream_freshness(spark, sf_dir):
     fixtures.ship(spark)
     return _ntz(S.run_to_table(S.freshness(S.ticks_stream(spark, sf_dir), "2024-02-15 00:00:00"), "complete"), "newest")
@@ -84,13 +94,16 @@ def stream_detect(spark, sf_dir):
     return spark.read.parquet(f"{out}/signals").select("symbol", "ts", "pattern", "bias", "entry", "stop")
 
 
-QUERIES = {f.__name__: f for f in (stream_ticks_to_bars, stream_dedup_bars, stream_multi_cadence, stream_setup_lifecycle, stream_running_metrics, stream_price_refresh, stream_freshness, stream_alerts, news_ttl_window, stream_detect)}
+QUERIES = {f.__name__: f for f in (stream_ticks_to_bars, stream_dedup_bars, stream_multi_cadence, stream_setup_lifecycle, stream_running_metrics, stream_price_refresh, stream_eod, stream_freshness, stream_alerts, news_ttl_window, stream_detect)}
 _T = "t AS (SELECT event_type AS symbol, ts, event_id, CAST(round(value * 100) AS BIGINT) % 2000 + 9000 AS px, CAST(round(value * 100) AS BIGINT) % 500 + 1 AS qty FROM events)"
 ORACLE_SQL = {
     "stream_ticks_to_bars": f"WITH {_T} SELECT symbol, time_bucket(INTERVAL 5 MINUTE, ts) AS ts, arg_min(px, (ts, event_id)) AS o, max(px) AS h, min(px) AS l, arg_max(px, (ts, event_id)) AS c, sum(qty)::BIGINT AS v FROM t GROUP BY symbol, time_bucket(INTERVAL 5 MINUTE, ts)",
     "stream_dedup_bars": f"WITH {_T} SELECT DISTINCT symbol, ts, px FROM t",
     "stream_multi_cadence": f"WITH {_T}, b AS (SELECT m::BIGINT AS minutes, symbol, time_bucket(to_minutes(m), ts) AS w, sum(qty) AS v FROM t, (VALUES (5), (15), (60)) x(m) GROUP BY ALL) SELECT minutes, symbol, count(*) AS bars, sum(v)::BIGINT AS v FROM b GROUP BY ALL",
     "stream_price_refresh": f"WITH {_T} SELECT l.symbol, l.last, e.event_id AS trade_id FROM (SELECT symbol, arg_max(px, (ts, event_id)) AS last FROM t GROUP BY 1) l JOIN events e ON e.event_type = l.symbol",
+    "stream_eod": f"""WITH {_T}, l AS (SELECT symbol, ts::DATE AS day, arg_max(px, (ts, event_id)) AS last FROM t WHERE hour(ts) * 60 + minute(ts) < 990 GROUP BY ALL),
+      o AS (SELECT symbol, ts::DATE AS day, event_id, px AS entry, CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS sg FROM t WHERE event_id % 3 = 0 AND hour(ts) < 16), j AS (SELECT o.*, sg * (last - entry) AS gain FROM o JOIN l USING (symbol, day))
+      SELECT day, count(*) AS trades, count(*) FILTER (gain < 350) AS closed, count(*) FILTER (gain < 350 AND gain > 0) AS winners, count(*) FILTER (gain < 0) AS losers, count(*) FILTER (gain >= 350) AS overnight, round(sum(gain / 400.0::DOUBLE) FILTER (gain < 350), 6) AS total_r FROM j GROUP BY 1""",
     "stream_freshness": f"WITH {_T} SELECT symbol, max(ts) AS newest, floor(epoch(TIMESTAMP '2024-02-15' - max(ts)) / 60)::BIGINT AS age_minutes FROM t GROUP BY 1",
     "stream_detect": f"""WITH {_T}, b AS (SELECT symbol, time_bucket(INTERVAL 60 MINUTE, ts) AS ts, arg_min(px, (ts, event_id)) AS o, max(px) AS h, min(px) AS l, arg_max(px, (ts, event_id)) AS c, sum(qty) AS v FROM t GROUP BY symbol, time_bucket(INTERVAL 60 MINUTE, ts)),
       w AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k, avg(v) OVER x AS vol, avg(h - l) OVER x AS sp FROM b WINDOW x AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 11 PRECEDING AND 2 PRECEDING))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from barlab.operators.outcomes import eod_close
 from barlab.sources.bars import scratch_folder
 
 LATE = "10 minutes"
@@ -142,19 +143,47 @@ def news_windows(news: DataFrame, minutes: int = 10) -> DataFrame:
     return news.withWatermark("published", LATE).groupBy(F.window("published", f"{minutes} minutes").alias("w"), "symbol").agg(F.count("*").alias("n")).select("symbol", F.col("w.start").alias("start"), "n")
 
 
-def detect_each_batch(ticks: DataFrame, minutes: int, detect, out: str, state: str) -> None:
-    """After each batch: add its ticks to a store, rebuild the affected symbols' bars, and append what `detect` finds
-    at bars that the batch touched. A batch that is run again replaces its own folder."""
-    from barlab.operators.resample import ticks_to_bars
+def end_of_day(ticks: DataFrame, trades: DataFrame, minute: int = 990) -> DataFrame:
+    """Open trades (symbol, day, bias, entry, stop, t1, ...) at each day's close: closed at the day's last price up to `minute`, or kept
+    overnight where most of the way to the next target is done. A day is one event-time window, final once the watermark has passed it."""
+    open_hours = ticks.withWatermark("ts", LATE).where(F.hour("ts") * 60 + F.minute("ts") < minute)
+    last = open_hours.groupBy(F.window("ts", "1 day").alias("w"), "symbol").agg(F.max_by("px", F.struct("ts", "event_id")).alias("last"))
+    closing = last.select("symbol", F.to_date(F.col("w.start")).alias("day"), "last")
+    return eod_close(closing.join(trades, ["symbol", "day"])).withColumn("overnight", F.col("action") == "gap_risk")
+
+
+def day_summary(ended: DataFrame) -> DataFrame:
+    """By day: trades, those closed, winners, losers, those kept overnight, and the sum of R."""
+    return ended.groupBy("day").agg(
+        F.count("*").alias("trades"), F.count_if(F.col("action") == "closed").alias("closed"), F.count_if(F.col("r") > 0).alias("winners"), F.count_if(F.col("r") < 0).alias("losers"),
+        F.count_if("overnight").alias("overnight"), F.round(F.sum("r"), 6).alias("total_r"),
+    )
+
+
+def detect_each_batch(ticks: DataFrame, minutes: int, detect, out: str, state: str, look_back_days: int = 60) -> None:
+    """After each batch: add its bars to a store, and append what `detect` finds at bars that the batch touched.
+
+    The store has the batches' bars by day, with what it takes to merge the parts of one bar; a batch reads the days that the
+    detector looks back from its first tick, not the whole history. A batch that is run again replaces its own folder.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{out}/ticks/batch={number:06d}")
-        since = batch.groupBy("symbol").agg(F.min("ts").alias("since"))
-        history = spark.read.parquet(f"{out}/ticks").join(since, "symbol").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-        bars = ticks_to_bars(history, minutes).select("symbol", F.lit(f"{minutes}min").alias("tf"), "ts", "o", "h", "l", "c", "v")
-        first = since.select("symbol", (F.col("since").cast("timestamp_ntz") - F.make_dt_interval(mins=F.lit(minutes))).alias("first"))
-        found = detect(bars).join(first, "symbol").where(F.col("ts") > F.col("first")).drop("first")
+        at = F.struct("ts", "event_id")
+        parts = batch.groupBy("symbol", F.window("ts", f"{minutes} minutes")["start"].cast("timestamp_ntz").alias("start")).agg(
+            F.min_by("px", at).alias("o"), F.max("px").alias("h"), F.min("px").alias("l"), F.max_by("px", at).alias("c"), F.sum("qty").alias("v"), F.min(at).alias("first_at"), F.max(at).alias("last_at")
+        )
+        parts.withColumn("day", F.to_date("start")).write.mode("overwrite").partitionBy("day").parquet(f"{out}/bars/batch={number:06d}")
+        mine = spark.read.parquet(f"{out}/bars/batch={number:06d}")
+        begin = mine.agg(F.date_sub(F.min("day"), look_back_days).alias("d")).first()["d"]
+        if begin is None:
+            return
+        seen = spark.read.parquet(f"{out}/bars").where((F.col("day") >= F.lit(begin)) & (F.col("batch") <= number))
+        since = mine.groupBy("symbol").agg(F.min("start").alias("since"))
+        history = seen.join(since.select("symbol").hint("merge"), "symbol", "left_semi")
+        bars = history.groupBy("symbol", F.col("start").alias("ts")).agg(F.min_by("o", "first_at").alias("o"), F.max("h").alias("h"), F.min("l").alias("l"), F.max_by("c", "last_at").alias("c"), F.sum("v").alias("v"))
+        bars = bars.select("symbol", F.lit(f"{minutes}min").alias("tf"), "ts", "o", "h", "l", "c", "v")
+        found = detect(bars).join(since.hint("merge"), "symbol").where(F.col("ts") >= F.col("since")).drop("since")
         found.write.mode("overwrite").parquet(f"{out}/signals/batch={number:06d}")
 
     ticks.writeStream.foreachBatch(run).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()

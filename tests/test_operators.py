@@ -146,3 +146,60 @@ def test_plans_push_down_and_shuffle_once(spark):
     plan = fixtures.table(spark, "/root/testdata/sf0.001", "events").select(F.col("event_type").alias("symbol"), "ts", "event_id", F.col("value").alias("px"), F.lit(1).alias("qty"))
     text = resample.ticks_to_bars(plan, 5)._jdf.queryExecution().toString()
     assert "partial_min" in text.replace("partial_min_by", "partial_min") and "user_id" not in text.split("== Physical Plan ==")[1]
+
+
+def test_backtest_equals_a_loop_trade_by_trade(spark):
+    df = bars(spark, walk(41, 420), walk(42, 380))
+    detectors = [d for d in detect.daily_detectors() if d.name.startswith(("range_expansion", "streak_reversal", "turtle", "atr_expansion", "multi_tf"))]
+    got = sorted((r["symbol"], r["pattern"], r["k"], r["k_exit"], r["outcome"], round(r["r"], 3)) for r in compose.walk_forward_backtest(df, detectors).collect())
+    numbered = outcomes.with_window_atr(resample.with_index(df))
+    series = {s: g.sort_values("k").reset_index(drop=True) for s, g in numbered.toPandas().groupby("symbol")}
+    found = detect.with_traits(detect.detect(detect.wide(df), detectors)).toPandas()
+    want = []
+    for (symbol, _), group in found.groupby(["symbol", "family"]):
+        own, open_until, fired = series[symbol], -1, {}
+        for x in group.sort_values(["k", "confidence"], ascending=[True, False], kind="stable").itertuples():
+            place = (x.bias, round(x.entry / 100))
+            if x.k < 60 or len(own) < 70 or x.k < open_until or x.k - fired.get(place, -(10**9)) < max(1, x.cooldown_minutes // 390):
+                continue
+            after = own[(own.k > x.k) & (own.k <= x.k + max(1, x.hold_minutes // 390))]
+            if not len(after):
+                continue
+            sign = 1 if x.bias == "long" else -1
+            entry = x.entry + sign * 0.05 * own.window_atr[x.k]
+            risk, stop, left, legs, hit = abs(entry - x.stop), x.stop, 1.0, [], [False, False]
+            for b in after.itertuples():
+                worst, best = (b.l, b.h) if sign == 1 else (b.h, b.l)
+                if sign * (worst - stop) <= 0:
+                    legs.append((left, round(sign * (stop - entry) / risk, 3)))
+                    left = 0.0
+                elif not hit[0] and sign * (best - x.t1) >= 0:
+                    hit[0], left, stop = True, left - x.splits[0], entry
+                    legs.append((x.splits[0], round(sign * (x.t1 - entry) / risk, 3)))
+                if left > 0.01 and hit[0] and not hit[1] and sign * (best - x.t2) >= 0:
+                    hit[1], left = True, left - x.splits[1]
+                    legs.append((x.splits[1], round(sign * (x.t2 - entry) / risk, 3)))
+                if left <= 0.01:
+                    break
+            if left > 0.01:
+                legs.append((left, round(sign * (b.c - entry) / risk, 3)))
+            r = round(max(-10.0, min(10.0, sum(w * v for w, v in legs))) - 0.02, 3)
+            outcome = "win" if all(hit) else "partial_win" if hit[0] else "timeout" if r > 0 and left > 0.01 else "loss"
+            open_until, fired[place] = b.k, x.k
+            want.append((symbol, x.pattern, x.k, b.k, outcome, r))
+    assert len(got) > 20 and [g[:5] for g in got] == [w[:5] for w in sorted(want)] and np.allclose([g[5] for g in got], [w[5] for w in sorted(want)], atol=0.0011)
+
+
+def test_sql_functions(spark):
+    compose.register_sql_functions(spark)
+    df = walk(51, 200)
+    bars(spark, df).createOrReplaceTempView("walked")
+    h, l, c = (df[x].to_numpy(float) for x in "hlc")  # noqa: E741
+    row = spark.sql("SELECT ema(double(c), ts, 9) AS e, wilder_atr(double(h), double(l), double(c), ts, 14) AS a FROM walked GROUP BY symbol, tf").first()
+    assert row["e"] == pytest.approx(folds.ema_first_seed(c, 9)[-1]) and row["a"] == pytest.approx(folds.wilder_atr(h, l, c, 14)[-1])
+    got = [tuple(r) for r in spark.sql("SELECT pivot, confirm, price, kind FROM swings(TABLE(walked) PARTITION BY (symbol, tf) ORDER BY ts)").collect()]
+    assert got == folds.zigzag(h, l, 0.03)
+    few = compose.detectors_with_params(("1d",), spark.createDataFrame([("streak", 8.0)], "name string, value double"))
+    assert len(few) == len(detect.catalogue(("1d",)))
+    with pytest.raises(ValueError, match="no such"):
+        compose.detectors_with_params(("1d",), spark.createDataFrame([("strike", 8.0)], "name string, value double"))
