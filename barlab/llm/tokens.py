@@ -2,26 +2,26 @@
 
 Ids equal those of the tokenizers library on the whole text. A text is cut only where no token can span
 the cut: the word tokenizer drops white space, and the byte tokenizer gives each space to the visible
-text after it. Arrow finds the distinct chunks of a batch; those met before are looked up in a bounded
-cache, new plain words go to the library many at a time, and all else goes to it as it is.
+text after it. Arrow finds the distinct chunks of a batch, parts plain words from their closing marks and looks both up
+among those met before, in bounded tables; new plain words go to the library many at a time, all else goes to it as it is.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks that one worker remembers; the cache starts afresh beyond it.
+#: Chunks of a sort that one worker remembers; the table starts afresh beyond it.
 CACHE_CHUNKS = 400_000
 #: Bytes of text that are encoded at once; a longer text is taken by itself.
 BATCH_BYTES = 8_000_000
 
 #: A plain chunk is a word of these letters, whose lower case is one letter again, and closing marks.
-_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_PLAIN = r"\A[A-Za-zÀ-ÖØ-öø-ÿ]+\z"
 _MARKS = """.,!?;:|"()&$%*#-"""
 #: In a cut text, the sign of a chunk that has no space before it; texts that hold it are encoded whole.
 _BARE = "\x01"
@@ -32,6 +32,27 @@ _IRREGULAR = (
 )
 
 
+class _Known:
+    """Strings met before and their ids, in growing arrays."""
+
+    def __init__(self):
+        self.keys, self.flat, self.ends = pa.array([], pa.string()), np.empty(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
+
+    def places(self, keys: pa.StringArray, encode: Callable[[list[str]], list[bytes]]) -> np.ndarray:
+        """The position of each of `keys`, which are distinct; new ones are encoded and kept."""
+        found = pc.index_in(keys, value_set=self.keys)
+        at = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            some = keys.take(pa.array(new))
+            blobs = encode(some.to_pylist())
+            at[new] = len(self.keys) + np.arange(len(new))
+            self.keys = pa.concat_arrays([self.keys, some])
+            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(blobs), dtype="<u4")])
+            self.ends = np.append(self.ends, self.ends[-1] + np.cumsum(np.fromiter(map(len, blobs), dtype=np.int64, count=len(blobs))) // 4)
+        return at
+
+
 class Encoder:
     """encode(texts) gives all ids in one array of unsigned 32-bit numbers, and where each text starts."""
 
@@ -48,8 +69,7 @@ class Encoder:
         self._edge = np.zeros(max(tokens.values()) + 1, dtype=bool)
         for token, i in tokens.items():
             self._edge[i] = token.endswith("</w>") if self._word_ends else token.startswith("Ġ")
-        self._chunks: dict[str, bytes] = {}
-        self._marks: dict[str, bytes] = {}
+        self._plain, self._odd, self._marks = _Known(), _Known(), _Known()
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -65,34 +85,47 @@ class Encoder:
         blob, cuts = ids.tobytes(), (np.append(starts, len(ids)) * 4).tolist()
         return [blob[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
-    def _look_up(self, chunks: list[str]) -> list[bytes]:
-        """The ids of each chunk. A plain chunk is its word's ids and its marks' ids; only words and odd chunks are kept."""
-        spaced = not self._word_ends
-        words, tails, odd, keys = [], [], [], []
-        for chunk in chunks:
-            core = chunk.rstrip(_MARKS)
-            if core.isalpha() and (core.isascii() or _LATIN.fullmatch(core)):
-                key = core if spaced else core.lower()
-                words.append(key)
-                tails.append(chunk[len(core) :])
-            else:
-                key = chunk
-                odd.append(chunk)
-                tails.append("")
-            keys.append(key)
-        kept, marks = self._chunks, self._marks
-        if new := list(set(words).difference(kept)):
-            for i in range(0, len(new), 4096):
-                some = new[i : i + 4096]
-                kept.update(zip(some, self._words([" " + w for w in some] if spaced else some), strict=True))
-        if new := list(set(odd).difference(kept)):
-            exact = new
-            if spaced:
-                exact = [x[1:] if x[0] == _BARE else x if x == "\n" else " " + x for x in new]
-            kept.update(zip(new, self._library(exact), strict=True))
-        if new := list(set(tails).difference(marks)):
-            marks.update(zip(new, self._library(new), strict=True))
-        return [kept[key] + marks[tail] if tail else kept[key] for key, tail in zip(keys, tails, strict=True)]
+    def _new_plain(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for i in range(0, len(words), 4096):
+            some = words[i : i + 4096]
+            out += self._words(some if self._word_ends else [" " + w for w in some])
+        return out
+
+    def _new_odd(self, chunks: list[str]) -> list[bytes]:
+        if not self._word_ends:
+            chunks = [x[1:] if x[0] == _BARE else x if x == "\n" else " " + x for x in chunks]
+        return self._library(chunks)
+
+    def _look_up(self, chunks: pa.StringArray) -> pa.ListArray:
+        """The ids of each of distinct chunks. A plain chunk's are those of its word and of its marks."""
+        core = pc.ascii_rtrim(chunks, characters=_MARKS)
+        plain = pc.match_substring_regex(core, _PLAIN).to_numpy(zero_copy_only=False)
+        some, rest = pa.array(np.flatnonzero(plain)), pa.array(np.flatnonzero(~plain))
+        words = core.take(some)
+        words = (pc.utf8_lower(words) if self._word_ends else words).dictionary_encode()
+        tails = _after(chunks.take(some), core.take(some)).dictionary_encode()
+        for known in (self._plain, self._odd, self._marks):
+            if len(known.keys) > CACHE_CHUNKS:
+                known.__init__()
+        # two places to a chunk in the three tables, one behind the other: word and marks, or chunk and nothing
+        place = np.zeros((len(chunks), 2), dtype=np.int64)
+        word_at = self._plain.places(words.dictionary, self._new_plain)[words.indices.to_numpy()]
+        odd_at = self._odd.places(chunks.take(rest), self._new_odd)
+        mark_at = self._marks.places(pa.concat_arrays([pa.array([""]), tails.dictionary]).unique(), self._library)
+        names = {x: int(k) for x, k in zip(pa.concat_arrays([pa.array([""]), tails.dictionary]).unique().to_pylist(), mark_at, strict=True)}
+        tail_at = np.array([names[x] for x in tails.dictionary.to_pylist()], dtype=np.int64)[tails.indices.to_numpy()] if len(tails) else np.empty(0, np.int64)
+        odd_base, mark_base = len(self._plain.keys), len(self._plain.keys) + len(self._odd.keys)
+        place[plain, 0], place[~plain, 0] = word_at, odd_base + odd_at
+        place[plain, 1], place[~plain, 1] = mark_base + tail_at, mark_base + names[""]
+        tables = (self._plain, self._odd, self._marks)
+        ends, base = [np.zeros(1, dtype=np.int64)], 0
+        for known in tables:
+            ends.append(base + known.ends[1:])
+            base += len(known.flat)
+        ragged = pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(np.concatenate([known.flat for known in tables])))
+        both = ragged.take(pa.array(place.ravel()))
+        return pa.ListArray.from_arrays(both.offsets.take(pa.array(np.arange(0, 2 * len(chunks) + 1, 2))), both.values)
 
     def _cut(self, texts: pa.Array) -> pa.ListArray:
         """The chunks of each text."""
@@ -104,16 +137,7 @@ class Encoder:
     def _regular(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         cut = self._cut(texts)
         words = cut.flatten().dictionary_encode()
-        names = words.dictionary.to_pylist()
-        if len(self._chunks) > CACHE_CHUNKS:
-            self._chunks.clear()
-        if len(self._marks) > CACHE_CHUNKS:
-            self._marks.clear()
-        known = self._look_up(names)
-        ends = np.cumsum(np.fromiter(map(len, known), dtype=np.int64, count=len(known))) // 4
-        flat = np.frombuffer(b"".join(known), dtype="<u4")
-        ragged = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(flat))
-        taken = ragged.take(words.indices)
+        taken = self._look_up(words.dictionary).take(words.indices)
         starts = taken.offsets.to_numpy()[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
         return taken.flatten().to_numpy(zero_copy_only=False), starts.astype(np.int64)
 
@@ -149,6 +173,17 @@ class Encoder:
             at = end
 
 
+def _after(whole: pa.StringArray, core: pa.StringArray) -> pa.StringArray:
+    """What is left of each string behind its first part."""
+    offsets = np.frombuffer(whole.buffers()[1], dtype=np.int32, count=len(whole) + whole.offset + 1)[whole.offset :]
+    size = pc.binary_length(core).to_numpy(zero_copy_only=False)
+    length = np.diff(offsets) - size
+    ends = np.append(0, np.cumsum(length)).astype(np.int32)
+    at = np.repeat(offsets[:-1] + size - ends[:-1], length) + np.arange(ends[-1])
+    data = np.frombuffer(whole.buffers()[2], dtype=np.uint8)[at] if len(at) else np.empty(0, dtype=np.uint8)
+    return pa.StringArray.from_buffers(len(whole), pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes()))
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One encoder for each worker process."""
