@@ -7,11 +7,13 @@ Only DataFrame functions run here. The base kinds, leftmost and non-overlapping
 
 The method adds the kinds vendor (prefixed keys), pem (private-key headers) and opaque (runs of 32 or
 more that mix upper case, lower case and digits). Values are hashed, and for each hash the distinct
-repositories and owners are counted over the corpus. A value with `copied_owners` or more owners is a
-widely copied example, any other is live. Opaque spans stay only if live; all other spans stay.
+repositories and owners are counted over the corpus. A value is a widely copied example if `copied_owners` owners have
+it, or `copied_repositories` repositories of however few owners; any other is live. Opaque spans stay only if live; all
+other spans stay. The query takes a document's source as its owner and the document itself as its repository.
 
-Positions are code points, end exclusive. They follow from the lengths of the matches and of the pieces
-between them. Only rows that have spans are exploded, shuffled and joined.
+Positions are code points, end exclusive. They are running sums of the lengths of the matches and of the pieces
+between them, over the rows of a text's matches, so that time is linear in their number. Only matches are exploded,
+shuffled and joined. Redaction cuts a text into chunks once, so that no span is sought from the text's start.
 
 Cases: a null text is empty; a null owner or repository counts as none; equal rows and repeated
 ids are scanned each. Empty tables give empty results; other columns are ignored (`scan`) or kept
@@ -20,7 +22,7 @@ ids are scanned each. Empty tables give empty results; other columns are ignored
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlab.llm.common import checkpoint
@@ -40,37 +42,54 @@ PEM = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
 OPAQUE = r"[A-Za-z0-9+/_-]{32,}"
 
 KINDS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "vendor": VENDOR, "pem": PEM, "opaque": OPAQUE}
-_SPAN = "struct<kind:string,rank:int,start:long,stop:long,value:string>"
+_BASE = ("assign", "access", "hex")
+# What a text with a match of these kinds contains; looked for before the pattern is tried.
+_HOLDS = {"access": ("AKIA",), "vendor": ("_", "-", "AIza"), "pem": ("PRIVATE KEY-----",)}
+#: Code points of a chunk of a text that is redacted.
+CHUNK = 1024
 
 
-def _matches(text: Column, kind: str) -> Column:
-    """Array of (kind, rank, start, stop, value) of one kind's spans."""
+def _pieces(text: Column, kind: str) -> Column:
+    """Array of (kind, rank, nth, gap, size, value_hash, good): the matches of one kind in order, and the gap before each."""
     pattern, rank = F.lit(KINDS[kind]), list(KINDS).index(kind)
     found, between = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, KINDS[kind], -1)
     values = F.regexp_extract_all(text, pattern, F.lit(2)) if kind == "assign" else found
-
-    def step(state: Column, i: Column) -> Column:
-        start = state["at"] + F.length(F.get(between, i))
-        stop = start + F.length(F.get(found, i))
-        span = F.struct(F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), start.alias("start"), stop.alias("stop"), F.get(values, i).alias("value"))
-        return F.struct(stop.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
-
-    none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
-    spans = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), none, step, lambda state: state["out"])
+    value = lambda x: x["values"] if kind == "assign" else x["found"]
+    good = lambda x: F.lit(True)
     if kind == "assign":
-        spans = F.filter(spans, lambda x: F.length(x["value"]) >= ASSIGN_LEAST)
+        good = lambda x: F.length(value(x)) >= ASSIGN_LEAST
     if kind == "opaque":
-        mixed = lambda x: x["value"].rlike("[A-Z]") & x["value"].rlike("[a-z]") & x["value"].rlike("[0-9]")
-        spans = F.filter(spans, mixed)
-    return F.when(text.rlike(KINDS[kind]), spans).otherwise(F.array().cast(f"array<{_SPAN}>"))
+        good = lambda x: value(x).rlike("[A-Z]") & value(x).rlike("[a-z]") & value(x).rlike("[0-9]")
+
+    def piece(x: Column, i: Column) -> Column:
+        return F.struct(
+            F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), i.alias("nth"), F.length(x["between"]).cast("long").alias("gap"),
+            F.length(x["found"]).cast("long").alias("size"), F.when(good(x), _value_hash(value(x))).alias("value_hash"),
+        )
+
+    sides = [F.slice(between, 1, F.size(found)).alias("between"), found.alias("found"), *([values.alias("values")] if kind == "assign" else [])]
+    pieces = F.transform(F.arrays_zip(*sides), piece)
+    hit = text.rlike(KINDS[kind])
+    for k, literal in enumerate(_HOLDS.get(kind, ())):
+        may = F.contains(text, F.lit(literal)) if not k else may | F.contains(text, F.lit(literal))
+    return F.when(may & hit if kind in _HOLDS else hit, pieces).otherwise(F.array().cast(_PIECES))
 
 
-def all_spans(text: Column) -> Column:
-    """Spans of all kinds by start, then kind; a null text has none."""
+_PIECES = "array<struct<kind:string,rank:int,nth:int,gap:bigint,size:bigint,value_hash:string>>"
+
+
+def all_pieces(text: Column) -> Column:
+    """Matches of all kinds with the gaps before them; a null text has none."""
     full = F.coalesce(text, F.lit(""))
-    key = lambda x: F.struct(x["start"], x["rank"], x["stop"], x["kind"], x["value"])
-    ordered = F.array_sort(F.transform(F.concat(*(_matches(full, k) for k in KINDS)), key))
-    return ordered
+    return F.concat(*(_pieces(full, k) for k in KINDS))
+
+
+def placed_spans(pieces: DataFrame, *keep: str) -> DataFrame:
+    """Columns `row`, `keep`, kind, rank, start, stop, value_hash of the matches that count, from rows of `row`, `keep` and `x`, a match each."""
+    flat = pieces.select("row", *keep, "x.*")
+    so_far = Window.partitionBy("row", "rank").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    stop = flat.withColumn("stop", F.sum(F.col("gap") + F.col("size")).over(so_far)).where("value_hash is not null")
+    return stop.select("row", *keep, "kind", "rank", (F.col("stop") - F.col("size")).alias("start"), "stop", "value_hash")
 
 
 def _written(spans: Column) -> Column:
@@ -101,6 +120,7 @@ def scan(
     owner_col: str = "source",
     repository_col: str = "doc_id",
     copied_owners: int = 3,
+    copied_repositories: int = 10,
 ) -> DataFrame:
     """One row per input row: doc_id, text_hash, spans (array with kind, start, stop, value_hash, owners, repositories, live)."""
     raw = checkpoint(
@@ -109,15 +129,15 @@ def scan(
             F.xxhash64(text_col).alias("text_hash"),
             F.col(owner_col).cast("string").alias("owner"),
             F.col(repository_col).cast("string").alias("repository"),
-            F.transform(
-                all_spans(F.col(text_col)),
-                lambda x: F.struct(x["start"], x["rank"], x["stop"], x["kind"], _value_hash(x["value"]).alias("value_hash")),
-            ).alias("found"),
+            all_pieces(F.col(text_col)).alias("found"),
         ).withColumn("row", F.monotonically_increasing_id())
     )
     some = raw.where(F.size("found") > 0)
-    each = some.select("row", "owner", "repository", F.explode("found").alias("x")).select("row", "owner", "repository", "x.*")
-    judged = each.join(ownership(each).hint("merge"), "value_hash").withColumn("live", F.col("owners") < copied_owners)
+    each = checkpoint(placed_spans(some.select("row", "owner", "repository", F.explode("found").alias("x")), "owner", "repository"))
+    # the counts are materialised before their join: only then can adaptive execution split the uses of a value that a third of the rows have
+    counts = checkpoint(ownership(each))
+    live = (F.col("owners") < copied_owners) & (F.col("repositories") < copied_repositories)
+    judged = each.join(counts.hint("merge"), "value_hash").withColumn("live", live)
     kept = judged.where((F.col("kind") != "opaque") | F.col("live"))
     fields = ["start", "rank", "stop", "kind", "value_hash", "owners", "repositories", "live"]
     grouped = kept.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("spans"))
@@ -130,7 +150,7 @@ def scan(
 
 
 def digest(scanned: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, most_repositories (of the value most widely copied)."""
     of = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda x: x["rank"] < 3)
     return scanned.select(
@@ -142,33 +162,50 @@ def digest(scanned: DataFrame) -> DataFrame:
         _written(F.col("spans")).alias("spans"),
         F.size(F.filter("spans", lambda x: x["live"])).cast("long").alias("n_live"),
         F.size(F.filter("spans", lambda x: ~x["live"])).cast("long").alias("n_copied"),
+        F.coalesce(F.array_max(F.transform("spans", lambda x: x["repositories"])), F.lit(0)).cast("long").alias("most_repositories"),
     )
 
 
+def _masked(text: Column, runs: Column) -> Column:
+    """The text with each of `runs` (start, stop, live; in order, apart) replaced by its mark."""
+    whole = F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)).alias("c"), F.length(text).cast("long").alias("n"))
+
+    def between(x: Column, a: Column, b: Column) -> Column:
+        """Code points a to b, from the chunks that have them."""
+        first, count = F.floor(a / CHUNK).cast("int"), F.floor((F.greatest(a, b - 1)) / CHUNK).cast("int") - F.floor(a / CHUNK).cast("int") + 1
+        near = F.array_join(F.slice(x["c"], first + 1, count), "")
+        return F.when(b > a, F.substring(near, (a - first * CHUNK + 1).cast("int"), (b - a).cast("int"))).otherwise(F.lit(""))
+
+    def masked(x: Column) -> Column:
+        ends = F.concat(F.array(F.lit(0).cast("long")), F.transform(runs, lambda r: r["stop"]))
+        gaps = F.transform(F.arrays_zip(F.slice(ends, 1, F.size(runs)).alias("at"), runs.alias("run")), lambda z: F.concat(between(x, z["at"], z["run"]["start"]), z["run"]["mark"]))
+        return F.concat(F.array_join(gaps, ""), between(x, F.element_at(ends, -1), x["n"]))
+
+    return F.get(F.transform(F.array(whole), masked), F.lit(0))
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", **options) -> DataFrame:
-    """`docs` with each span replaced: `[SECRET]` if live, `[EXAMPLE]` if widely copied; overlaps once.
+    """`docs` with each span replaced: `[SECRET]` if live, `[EXAMPLE]` if widely copied; overlapping spans are one, live if one of them is.
 
     A text without spans stays as it is, null included; n_chars, where there is one, follows the text.
     """
-    spans = scan(docs, id_col, text_col, owner_col, id_col, **options).where(F.size("spans") > 0)
-    spans = spans.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__hash"])
+    found = scan(docs, id_col, text_col, owner_col, id_col, **options).where(F.size("spans") > 0)
+    # equal texts of one id have equal spans; the spans of others never differ, so the first stands for all
+    once = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "spans").dropDuplicates(["__id", "__hash"])
+    each = once.select("__id", "__hash", F.explode("spans").alias("x")).select("__id", "__hash", "x.start", "x.stop", "x.rank", "x.live")
+    text_order = Window.partitionBy("__id", "__hash").orderBy("start", "rank")
+    reached = F.max("stop").over(text_order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = each.withColumn("new", (F.coalesce(reached, F.lit(0)) <= F.col("start")).cast("int"))
+    runs = marked.withColumn("run", F.sum("new").over(text_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    runs = runs.groupBy("__id", "__hash", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.max("live").alias("live"))
+    mark = F.when(F.col("live"), F.lit("[SECRET]")).otherwise(F.lit("[EXAMPLE]"))
+    spans = runs.groupBy("__id", "__hash").agg(F.array_sort(F.collect_list(F.struct("start", "stop", mark.alias("mark")))).alias("__runs"))
     both = docs.withColumn("__own", F.xxhash64(text_col))
     both = both.join(spans.hint("merge"), both[id_col].eqNullSafe(spans["__id"]) & (both["__own"] == spans["__hash"]), "left")
-    text = F.col(text_col)
-
-    def step(state: Column, x: Column) -> Column:
-        mark = F.when(x["live"], F.lit("[SECRET]")).otherwise(F.lit("[EXAMPLE]"))
-        gap = F.substring(text, state["at"] + 1, F.greatest(x["start"] - state["at"], F.lit(0)).cast("int"))
-        fresh = F.when(x["start"] >= state["at"], F.concat(state["out"], gap, mark)).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], x["stop"].cast("int")).alias("at"), fresh.alias("out"))
-
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate("__spans", begin, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    changed = {text_col: F.when(F.col("__spans").isNull(), text).otherwise(masked)}
-    out = both.withColumns(changed)
+    out = both.withColumn(text_col, F.when(F.col("__runs").isNull(), F.col(text_col)).otherwise(_masked(F.col(text_col), F.col("__runs"))))
     if "n_chars" in docs.columns:
         size = F.length(text_col).cast(dict(docs.dtypes)["n_chars"])
-        out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(size))
+        out = out.withColumn("n_chars", F.when(F.col("__runs").isNull(), F.col("n_chars")).otherwise(size))
     return out.select(*docs.columns)
 
 
@@ -193,13 +230,15 @@ placed AS (
 each AS (
   SELECT * FROM placed WHERE (kind <> 'assign' OR length(value) >= {ASSIGN_LEAST})
     AND (kind <> 'opaque' OR (regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[0-9]')))),
-own AS (SELECT value, count(DISTINCT source) AS owners FROM each GROUP BY value),
-judged AS (SELECT e.*, owners < 3 AS live, kind || ':' || b || ':' || (b + n) AS s FROM each e JOIN own USING (value) WHERE kind <> 'opaque' OR owners < 3),
+own AS (SELECT value, count(DISTINCT source) AS owners, count(DISTINCT doc_id) AS repositories FROM each GROUP BY value),
+marked AS (SELECT e.*, repositories, owners < 3 AND repositories < 10 AS live, kind || ':' || b || ':' || (b + n) AS s FROM each e JOIN own USING (value)),
+judged AS (SELECT * FROM marked WHERE kind <> 'opaque' OR live),
 per AS (
   SELECT r, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS k, count(*) FILTER (kind = 'hex') AS h,
     string_agg(s, ',' ORDER BY b, rnk) FILTER (rnk < 3) AS base, string_agg(s, ',' ORDER BY b, rnk) AS spans,
-    count(*) FILTER (live) AS l, count(*) FILTER (NOT live) AS c FROM judged GROUP BY r)
+    count(*) FILTER (live) AS l, count(*) FILTER (NOT live) AS c, max(repositories) AS w FROM judged GROUP BY r)
 SELECT d.doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(k, 0)::BIGINT AS n_access, coalesce(h, 0)::BIGINT AS n_hex,
-  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(l, 0)::BIGINT AS n_live, coalesce(c, 0)::BIGINT AS n_copied
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(l, 0)::BIGINT AS n_live, coalesce(c, 0)::BIGINT AS n_copied,
+  coalesce(w, 0)::BIGINT AS most_repositories
 FROM docs d LEFT JOIN per USING (r)
 """
