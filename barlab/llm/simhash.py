@@ -170,24 +170,23 @@ def trie_links(distinct: DataFrame, budget: int = 4, block_rows: int = 32_768) -
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row, checkpointed: the texts are read and hashed once."""
-    return checkpoint(docs.select(F.col(id_col).alias("doc_id"), fingerprint(text_col).alias("fp")))
+    """(doc_id, fp, text_hash) of every row, checkpointed: the texts are read and hashed once."""
+    return checkpoint(docs.select(F.col(id_col).alias("doc_id"), fingerprint(text_col).alias("fp"), F.xxhash64(text_col).alias("text_hash")))
 
 
 def components(signatures: DataFrame, budget: int = 4) -> DataFrame:
-    """(fp, component_id, keeper_id, keeper_fp) for each distinct fingerprint of (doc_id, fp)."""
-    distinct = checkpoint(signatures.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    reached = connected_components(trie_links(distinct.select("fp"), budget))
-    placed = distinct.join(reached.hint("merge"), F.col("fp") == F.col("node"), "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
-    best = placed.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("no"), "first", "fp")).alias("best"))
-    return placed.join(best.hint("merge"), "root").select(
-        "fp",
-        F.col("best.first").alias("component_id"),
-        F.col("best.first").alias("keeper_id"),
-        F.col("best.fp").alias("keeper_fp"),
-    )
+    """(fp, component_id, keeper_hash) for each distinct fingerprint of (doc_id, fp, text_hash).
+
+    The keeper is the row of the smallest id; text_hash tells its text apart from others of that id. Both sides of the
+    joins are materialised, so that adaptive execution can split a component of very many fingerprints.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")))
+    distinct = checkpoint(signatures.groupBy("fp").agg(first.alias("first")))
+    reached = checkpoint(connected_components(trie_links(distinct.select("fp"), budget)))
+    placed = distinct.join(reached.hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    placed = checkpoint(placed)
+    best = checkpoint(placed.groupBy("root").agg(F.min("first").alias("best")))
+    return placed.join(best.hint("merge"), "root").select("fp", F.col("best.id").alias("component_id"), F.col("best.hash").alias("keeper_hash"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 4) -> DataFrame:
@@ -200,9 +199,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 4) -> DataFrame:
-    """`docs` with one row of each component: that of the smallest id, and one if that id is repeated."""
+    """`docs` with one row of each component: that of the smallest id, and one if that id is repeated.
+
+    Texts are fingerprinted once; a cheap hash of the text, which decides the fingerprint, finds the keepers again.
+    """
     found = components(fingerprints(docs, id_col, text_col), budget)
-    keep = found.select(F.col("keeper_id").alias("__id"), F.col("keeper_fp").alias("__fp")).distinct()
-    marked = docs.withColumn("__own", fingerprint(text_col))  # null-safe below: a filter on nulls would hash all texts again
-    kept = marked.join(keep.hint("merge"), marked[id_col].eqNullSafe(keep["__id"]) & marked["__own"].eqNullSafe(keep["__fp"]), "left_semi")
+    keep = found.select(F.col("component_id").alias("__id"), F.col("keeper_hash").alias("__hash")).distinct()
+    marked = docs.withColumn("__own", F.xxhash64(text_col))
+    kept = marked.join(keep.hint("merge"), marked[id_col].eqNullSafe(keep["__id"]) & (marked["__own"] == keep["__hash"]), "left_semi")
     return kept.dropDuplicates([id_col, "__own"]).select(*docs.columns)
