@@ -201,7 +201,8 @@ def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
         .withColumn("root", F.coalesce("root", "node"))
     )
     joined = checkpoint(joined.select("node", "vector", "first", "root", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    smallest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
+    # materialised like the other side, so that adaptive execution can split a component of very many vectors
+    smallest = checkpoint(joined.groupBy("root").agg(F.min("first").alias("component_id")))
     per_node = joined.join(smallest.hint("merge"), "root").select("vector", "n_links", "component_id")
     linked = rows.where(~alone).join(per_node.hint("merge"), "vector").select("vec_id", "n_links", "component_id")
     single = rows.where(alone).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
