@@ -172,9 +172,13 @@ def _windows(data: np.ndarray, size: int) -> np.ndarray:
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> ContextTrees:
     """Trees from up to `sample` distinct texts of each language, those that hash lowest, within `sample_bytes` and one text."""
     keyed = labelled.select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    distinct = keyed.groupBy("lang", "h").agg(F.min(F.octet_length("text")).alias("bytes"))
+    distinct = checkpoint(keyed.groupBy("lang", "h").agg(F.min(F.octet_length("text")).alias("bytes")))
+    # a bound on the hash leaves about four times the sample of each language, so that no task ranks rows of all partitions
+    numbers = checkpoint(distinct.groupBy("lang").agg(F.count("*").alias("n")))
+    low = (F.col("h").cast("double") / F.lit(2.0**64) + 0.5) * F.col("n") <= 4 * sample
+    few = distinct.join(numbers.hint("broadcast" if numbers.count() <= BROADCAST_ROWS else "merge"), "lang").where(low).drop("n")
     order = Window.partitionBy("lang").orderBy("h")
-    lowest = distinct.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample)  # at most `sample` short rows of a language go on
+    lowest = few.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample)  # at most `sample` short rows of a language go on
     before = F.coalesce(F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     chosen = checkpoint(lowest.withColumn("before", before).where(F.col("before") < sample_bytes).select("lang", "h"))
     texts = keyed.join(chosen.hint("broadcast" if chosen.count() <= BROADCAST_ROWS else "merge"), ["lang", "h"]).dropDuplicates(["lang", "h"])
