@@ -39,6 +39,8 @@ SPREAD = 2.5
 BUCKET_ROWS = 2048
 #: Queries that meet one copy of a bucket.
 QUERY_ROWS = 262_144
+#: Queries that a task leads through the tree.
+SEEK_ROWS = 256
 _HELD = 400_000
 
 
@@ -292,7 +294,10 @@ def nearest(
     before = np.cumsum(np.where(blocks > 1, blocks * BUCKET_ROWS, sizes)) - np.where(blocks > 1, blocks * BUCKET_ROWS, sizes)
     first = -(-before // BUCKET_ROWS) * (blocks > 1) + before // BUCKET_ROWS * (blocks == 1)
     dealt = spark.sparkContext.broadcast((first, blocks))
-    copies = -(-queries.count() // QUERY_ROWS)
+    number_of_queries = queries.count()
+    copies = -(-number_of_queries // QUERY_ROWS)
+    # few rows, but each walks the tree: dealt out by their number, not by their size
+    queries = queries.repartition(-(-number_of_queries // SEEK_ROWS), "vec_id", "vector")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin, number = dealt.value
