@@ -376,16 +376,39 @@ def detect(wide_bars: DataFrame, detectors: list[Detector]) -> DataFrame:
     return found.withColumn("rr", F.abs(F.col("t2") - F.col("entry")) / F.abs(F.col("entry") - F.col("stop")))
 
 
-def power_hour(wide_bars: DataFrame) -> DataFrame:
+def power_hour(wide_bars: DataFrame, block_days: int = 16, band: float = 1 / 512) -> DataFrame:
     """Share of all afternoon closes so far above the current VWAP, at bars from 14:00 to 14:30.
 
-    Few bars a day are asked about, so each joins the afternoon bars before it, summed without keeping them.
+    Closes are counted by block of days and price band. An asked bar adds up the bands above its own over the blocks before its
+    own, from running counts, and meets single closes only in its block, and in its band of the blocks before. So its work grows with the
+    number of bands, and with the closes in one narrow band, not with the whole history.
     """
     atr, n = F.col("atr"), F.col("n")
-    asked = wide_bars.where(F.col("minute").between(840, 870) & F.col("vwap").isNotNull() & (n >= 30) & (atr > 0) & (F.col("v6") >= 1.2 * F.col("v78"))).select("symbol", "tf", "ts", (n - 1).alias("k"), "c", "atr", "vwap")
-    past = wide_bars.where(F.col("minute") >= 780).select("symbol", "tf", F.col("ts").alias("pts"), F.col("c").alias("pc"))
-    met = asked.join(past.hint("merge"), ["symbol", "tf"]).where(F.col("pts") <= F.col("ts"))
-    shares = met.groupBy("symbol", "tf", "ts", "k", "c", "atr", "vwap").agg(F.count("*").alias("m"), (F.count_if(F.col("pc") > F.col("vwap")) / F.count("*")).alias("share"))
+    block = F.floor(F.datediff(F.to_date("ts"), F.lit("1970-01-01")) / block_days)
+    of = lambda x: F.floor(F.log2(F.greatest(x.cast("double"), F.lit(1e-9))) / band).cast("long")
+    asked = wide_bars.where(F.col("minute").between(840, 870) & F.col("vwap").isNotNull() & (n >= 30) & (atr > 0) & (F.col("v6") >= 1.2 * F.col("v78")))
+    asked = asked.select("symbol", "tf", "ts", (n - 1).alias("k"), "c", "atr", "vwap", block.alias("block"), of(F.col("vwap")).alias("at"))
+    past = wide_bars.where(F.col("minute") >= 780).select("symbol", "tf", F.col("ts").alias("pts"), F.col("c").alias("pc"), block.alias("pblock"), of(F.col("c")).alias("pat"))
+    key, mine = ["symbol", "tf"], ["symbol", "tf", "ts", "k", "c", "atr", "vwap"]
+    # the own block, close by close
+    near = asked.join(past.withColumnRenamed("pblock", "block").hint("merge"), [*key, "block"]).where(F.col("pts") <= F.col("ts"))
+    near = near.select(*mine, F.lit(1).cast("long").alias("m"), (F.col("pc") > F.col("vwap")).cast("long").alias("above"))
+    # the own band of earlier blocks, close by close; of equal closes one row with its number
+    closes = past.groupBy(*key, "pblock", "pat", "pc").agg(F.count("*").alias("w"))
+    edge = asked.join(closes.withColumnRenamed("pat", "at").hint("merge"), [*key, "at"]).where(F.col("pblock") < F.col("block"))
+    edge = edge.select(*mine, F.lit(0).cast("long").alias("m"), F.when(F.col("pc") > F.col("vwap"), F.col("w")).otherwise(0).cast("long").alias("above"))
+    # bands above, and all closes, of earlier blocks: running counts at the blocks that are asked about
+    counts = closes.groupBy(*key, "pat", F.col("pblock").alias("block")).agg(F.sum("w").alias("w"))
+    blocks = asked.select(*key, "block").distinct()
+    wanted = blocks.join(counts.select(*key, "pat").distinct().hint("merge"), key).select(*key, "pat", "block", F.lit(0).cast("long").alias("w"), F.lit(True).alias("asked"))
+    running = F.sum("w").over(Window.partitionBy(*key, "pat").orderBy("block").rangeBetween(Window.unboundedPreceding, -1))
+    held = counts.withColumn("asked", F.lit(False)).select(*key, "pat", "block", "w", "asked").unionByName(wanted).withColumn("before", F.coalesce(running, F.lit(0))).where("asked")
+    higher = F.sum("before").over(Window.partitionBy(*key, "block").orderBy(F.desc("pat")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    total = F.sum("before").over(Window.partitionBy(*key, "block"))
+    steps = held.withColumns({"higher": higher, "total": total}).groupBy(*key, "block").agg(F.max("total").alias("total"), F.array_sort(F.collect_list(F.struct("pat", "higher"))).alias("steps"))
+    upper = F.try_element_at(F.filter("steps", lambda x: x["pat"] > F.col("at")), F.lit(1))["higher"]
+    far = asked.join(steps.hint("merge"), [*key, "block"]).select(*mine, F.col("total").cast("long").alias("m"), F.coalesce(upper, F.lit(0)).cast("long").alias("above"))
+    shares = near.unionByName(edge).unionByName(far).groupBy(*mine).agg(F.sum("m").alias("m"), (F.sum("above") / F.sum("m")).alias("share"))
     bias = F.when(F.col("share") > 0.70, "long").when(F.col("share") < 0.30, "short")
     sign = F.when(F.col("share") > 0.70, 1).otherwise(-1)
     out = shares.where((F.col("m") >= 10) & bias.isNotNull()).select(

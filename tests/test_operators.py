@@ -203,3 +203,26 @@ def test_sql_functions(spark):
     assert len(few) == len(detect.catalogue(("1d",)))
     with pytest.raises(ValueError, match="no such"):
         compose.detectors_with_params(("1d",), spark.createDataFrame([("strike", 8.0)], "name string, value double"))
+
+
+def test_power_hour_shares_equal_a_look_at_all_closes(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for day in range(60):
+        base = 10000 + (day % 7) * 40
+        for i in range(48):
+            c = base + int(rng.integers(-60, 61))
+            rows.append(("P", "5min", pd.Timestamp("2024-01-01 13:00") + pd.Timedelta(days=day, minutes=5 * i), c, c + 5, c - 5, c, 100 + 200 * (i % 9 == 0), day * 48 + i + 1))
+    df = pd.DataFrame(rows, columns=["symbol", "tf", "ts", "o", "h", "l", "c", "v", "n"])
+    df["minute"], df["atr"], df["v6"], df["v78"], df["vwap"] = df.ts.dt.hour * 60 + df.ts.dt.minute, 50.0, 2.0, 1.0, df.c.rolling(5, 1).mean()
+    wide = spark.createDataFrame(df).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    got = {(r["ts"], r["bias"]) for r in detect.power_hour(wide).collect()}
+    want = set()
+    for r in df[df.minute.between(840, 870) & (df.n >= 30)].itertuples():
+        past = df[(df.minute >= 780) & (df.ts <= r.ts)].c
+        share = (past > r.vwap).mean()
+        sign = 1 if share > 0.7 else -1 if share < 0.3 else 0
+        risk = sign * (r.c - (r.vwap - sign * 5.0))
+        if sign and len(past) >= 10 and risk > 0 and 50.0 >= risk:
+            want.add((r.ts.to_pydatetime(), "long" if sign == 1 else "short"))
+    assert len(want) > 10 and got == want
