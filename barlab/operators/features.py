@@ -35,18 +35,20 @@ def scores() -> dict[str, Column]:
     fifty = F.lit(50.0)
     weights = F.when(n > 60, 0.2 * roc(5) + 0.3 * roc(20) + 0.5 * roc(60)).when(n > 20, 0.3 * roc(5) + 0.7 * roc(20)).otherwise(roc(5))
     vol = F.try_divide(F.stddev_pop("ret").over(I.frame(-9)), F.nullif(F.stddev_pop("ret").over(I.frame(-59)), F.lit(0.0)))
+    loud, z = F.try_divide(F.avg("v").over(I.frame(-2)), F.nullif(F.avg("v").over(I.frame(-22, -3)), F.lit(0.0))), I.zscore(20)
+    near, far = I.range_position(20), F.when(n > 50, I.range_position(50))
     above = [F.col("ema9"), F.col("ema21"), I.sma(50), I.sma(200)]
     held = sum((F.when(c > x, 25.0).otherwise(0.0) for x in above), F.lit(0.0))
     possible = sum((F.when(x.isNotNull(), 25.0).otherwise(0.0) for x in above), F.lit(0.0))
     bench = F.when(F.col("bc").isNull() | F.col("b50").isNull(), 50.0).when((F.col("bc") > F.col("b20")) & (F.col("bc") > F.col("b50")) & (F.col("bc") > F.col("blag")), 80.0).when(F.col("bc") > F.col("b50"), 55.0).when((F.col("bc") < F.col("b20")) & (F.col("bc") < F.col("b50")), 25.0).otherwise(50.0)
     return {
         "momentum": F.when(n < 10, fifty).otherwise(weights),
-        "volatility": F.when(n < 25, fifty).otherwise(F.coalesce(clip((vol - 0.3) / 1.7 * 100), fifty)),
+        "volatility": F.when((n < 25) | vol.isNull(), fifty).otherwise(clip((vol - 0.3) / 1.7 * 100)),
         "vol_compression": F.when(n < 30, fifty).otherwise(clip((1.5 - F.col("atr_ratio")) / 1.1 * 100)),
-        "volume": F.when(n < 15, fifty).otherwise(F.coalesce(clip(F.sqrt(I.rvol()) * 50), fifty)),
-        "trend": F.coalesce(F.try_divide(held * 100, F.nullif(possible, F.lit(0.0))), fifty),
-        "breakout": F.when(n < 22, fifty).otherwise(F.coalesce(0.6 * I.range_position(20) + 0.4 * F.coalesce(I.range_position(50), I.range_position(20)), fifty)),
-        "mean_reversion": F.coalesce(clip(F.abs(I.zscore(20)) / 3 * 100), fifty),
+        "volume": F.when((n < 15) | loud.isNull(), fifty).otherwise(clip(F.sqrt(loud) * 50)),
+        "trend": F.when(n < 10, fifty).otherwise(F.try_divide(held * 100, F.nullif(possible, F.lit(0.0)))),
+        "breakout": F.when(n < 22, fifty).otherwise(F.coalesce(0.6 * near + 0.4 * far, near, far, fifty)),
+        "mean_reversion": F.when((n < 22) | z.isNull(), fifty).otherwise(clip(F.abs(z) / 3 * 100)),
         "regime": bench,
     }
 
