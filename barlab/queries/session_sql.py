@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from barlab.queries.detectors import _pattern
 from barlab.queries.folds import _D, ATR_SQL, ema_sql
 from barlab.queries.outcomes import _B, HOLD, _met
+from barlab.queries.pattern_sql import _GATED
 from barlab.queries.sql import FIVE, QUARTER, lag, over
 
 _POS = "(c - min(l) OVER {0}) * 100.0::DOUBLE / nullif(max(h) OVER {0} - min(l) OVER {0}, 0)"
@@ -72,8 +74,61 @@ def _opening(minutes: int) -> str:
     CASE WHEN up THEN 0.50::DOUBLE + CASE WHEN v > 1.5::DOUBLE * vo THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN sp < 0.02::DOUBLE * co THEN 0.05::DOUBLE ELSE 0 END ELSE 0.55::DOUBLE END AS confidence FROM od{minutes} WHERE place = 1)"""
 
 
+# What the 5-minute patterns read, by bar.
+_AT_OPEN = "first_value({}) OVER " + _SO_FAR
+_RSI = "CASE WHEN loss{0} = 0 THEN 100 ELSE 100 - 100 / (1 + gain{0} / loss{0}) END"
+
+
+def _smooth(name: str, n: int, sign: str) -> str:
+    """Wilder's mean of the rises (or falls) among the first `n` of 20 closes."""
+    side = f"[greatest({sign}(cs[i + 1] - cs[i]), 0)::DOUBLE for i in range(1, {n})]"
+    return f"list_reduce(list_concat([list_sum(({side})[1:14]) / 14], ({side})[15:]), lambda a, b: (a * 13 + b) / 14) AS {name}{n}"
+
+
+_FIVE = f"""{FIVE}, {_sessions('five')}, {_WILDER}, em(symbol, k, e21) AS (SELECT symbol, 1::BIGINT, c::DOUBLE FROM ses WHERE k = 1 UNION ALL SELECT s.symbol, s.k, e21 + (s.c - e21) / 11 FROM em JOIN ses s ON s.symbol = em.symbol AND s.k = em.k + 1),
+  j AS (SELECT ses.*, atr, e21 FROM ses JOIN em USING (symbol, k) LEFT JOIN wa USING (symbol, k)),
+  i1 AS (SELECT *, CASE WHEN k >= 50 THEN avg(c) OVER {over(-49)} END AS sma50, stddev_pop(c) OVER {over(-49)} AS dev50, quantile_cont(atr, 0.5) OVER {over(-53, -14)} AS past60, coalesce(v <= 1.3::DOUBLE * avg(v) OVER {over(-3, -1)}, false) AS dry, {lag('e21', 5)} AS e21b,
+    {', '.join(f"min(l) OVER {over(1 - n)} AS lo{n}, max(h) OVER {over(1 - n)} AS hi{n}" for n in (5, 10, 20))}, count(*) FILTER (c < o) OVER {over(-3, -1)} AS reds, count(*) FILTER (c > o) OVER {over(-3, -1)} AS greens,
+    avg(v) OVER {over(-29)} AS v30, avg(v) OVER {over(-9)} AS v10, avg(v) OVER {over(-30, -1)} AS b30, avg(v) OVER {over(-20, -1)} AS b20, avg(v) OVER {over(-1000000, -1)} AS b_all, lag(day) OVER (PARTITION BY symbol ORDER BY ts) AS day_before,
+    CASE WHEN k > 9 THEN min(l) OVER {over(-9, -1)} END AS lo9, CASE WHEN k > 9 THEN max(h) OVER {over(-9, -1)} END AS hi9, CASE WHEN k >= 20 THEN list(c) OVER {over(-19)} END AS cs,
+    list({{'c': c, 'h': h, 'l': l, 'v': v, 'm': mi}}) OVER {_SO_FAR} AS d, stddev_pop(c) OVER {_SO_FAR} AS spread FROM j),
+  i2 AS (SELECT *, CASE WHEN k >= 19 AND past60 > 0 THEN atr / past60 ELSE 1 END AS ratio, (c - sma50) / nullif(dev50, 0) AS z, CASE WHEN {_AT_OPEN.format('day_before')} = day - 1 THEN {_AT_OPEN.format('prev')} END AS prior, {_AT_OPEN.format('b30')} AS o30, {_AT_OPEN.format('b20')} AS o20, {_AT_OPEN.format('b_all')} AS o_all,
+    {_AT_OPEN.format('v')} AS first_v, {_AT_OPEN.format('k')} AS n0, d[1:6] AS six, list_filter(d, lambda x: x.m < 690) AS am, {_smooth('gain', 20, '')}, {_smooth('loss', 20, '-')}, {_smooth('gain', 15, '')}, {_smooth('loss', 15, '-')} FROM i1),
+  i3 AS (SELECT *, CASE WHEN k < 50 THEN 'unknown' WHEN c > sma50 AND ratio > 0.8::DOUBLE THEN 'bull' WHEN c < sma50 AND ratio > 0.8::DOUBLE THEN 'bear' WHEN ratio < 0.6::DOUBLE THEN 'reverting' ELSE 'mixed' END AS hint, first_o - prior AS gap, (first_o - prior)::DOUBLE / prior AS share,
+    list_avg([x.v for x in d[1:3]]) AS first3, (c - sv) / nullif(spread, 0) AS sigma, six[-1].c - first_o AS drive, list_sum([x.v for x in six]) AS vol6, list_min([x.l for x in six]) AS low6, list_max([x.h for x in six]) AS high6, am[-1].c AS noon, am[-1].c - first_o AS moved,
+    len(list_filter(d, lambda x: x.c > sv))::DOUBLE / n_day AS above, len(list_filter(d, lambda x: (abs(x.l - sv) < 0.3::DOUBLE * atr AND x.c > sv) OR (abs(x.h - sv) < 0.3::DOUBLE * atr AND x.c < sv))) AS tests, {_RSI.format(20)} AS rsi, {_RSI.format(15)} AS rsi_before FROM i2),
+  w AS (SELECT *, CASE WHEN sv > 0 THEN sv ELSE c - z * dev50 END AS goal, hint NOT IN ('bull', 'bear') AS calm, (0.58::DOUBLE + CASE WHEN dry THEN 0.05::DOUBLE ELSE 0 END) * CASE WHEN hint = 'reverting' THEN 1.1::DOUBLE WHEN hint IN ('bull', 'bear') THEN 0.9::DOUBLE ELSE 1 END AS conf FROM i3)"""
+
+
+def _sides(name: str, least: int, both: str, whens: tuple[str, str], stops: tuple[str, str], t1: tuple[str, str] | float, t2: tuple[str, str] | float, conf: str | tuple[str, str]) -> list[str]:
+    """A 5-minute pattern's two sides; numbers are ATRs from the close."""
+    at = lambda t, i: f"c {'+-'[i]} {t}::DOUBLE * atr" if isinstance(t, (int, float)) else t[i]
+    return [_pattern(f"{name}_{b}", b, least, f"{both} AND {whens[i]}", stops[i], at(t1, i), at(t2, i), conf if isinstance(conf, str) else conf[i]).replace("'1d' AS tf", "'5min' AS tf") for i, b in enumerate(("long", "short"))]
+
+
+def _beyond(low: str, high: str, by: float) -> tuple[str, str]:
+    return f"{low} - {by}::DOUBLE * atr", f"{high} + {by}::DOUBLE * atr"
+
+
+_PULL = _beyond("lo5", "hi5", 0.1)
+_HALF_WAY = ("(first_o + prior) / 2.0::DOUBLE",) * 2
+_INTRADAY = [
+    *_sides("mean_reversion", 50, "hint IN ('reverting', 'mixed')", ("z < -2.5", "z > 2.5"), ("least(lo10, c - atr) - atr", "greatest(hi10, c + atr) + atr"), ("c + (goal - c) / 2", "c - (c - goal) / 2"), ("goal", "goal"), "conf"),
+    *_sides("trend_pullback", 30, "abs(c - e21) <= 0.3::DOUBLE * atr", ("hint = 'bull' AND e21 > e21b AND hi10 - lo5 >= atr AND coalesce(c >= sv, true) AND reds > 0 AND c > o", "hint = 'bear' AND e21 < e21b AND hi5 - lo10 >= atr AND coalesce(c <= sv, true) AND greens > 0 AND c < o"), _PULL,
+            tuple(f"2 * c - ({x})" for x in _PULL), (f"greatest(hi20, 3 * c - 2 * ({_PULL[0]}))", f"least(lo20, 3 * c - 2 * ({_PULL[1]}))"), ("0.66", "0.638")),
+    *_sides("gap_fade", 10, "calm AND mi BETWEEN 570 AND 630 AND abs(share) >= 0.02::DOUBLE AND coalesce(first3 <= 3 * o_all, true)", ("gap < 0 AND c > first_o", "gap > 0 AND c < first_o"), ("first_o - 0.5::DOUBLE * abs(gap)", "first_o + 0.5::DOUBLE * abs(gap)"), _HALF_WAY, ("prior", "prior"), "0.55"),
+    *_sides("vwap_reversion", 30, "calm AND mi BETWEEN 630 AND 840 AND n_day >= 10 AND abs(c - sv) >= 2 * atr", ("sigma < -2", "sigma > 2"), _beyond("lo10", "hi10", 0.2), ("sv - spread", "sv + spread"), ("sv", "sv"), "conf"),
+    *_sides("gap_reversal", 20, "mi BETWEEN 585 AND 630 AND abs(share) BETWEEN 0.005::DOUBLE AND 0.03::DOUBLE", ("gap <= 0 AND c - first_o >= 0.3::DOUBLE * abs(gap)", "gap > 0 AND first_o - c >= 0.3::DOUBLE * abs(gap) AND coalesce(first_v <= 3 * o20, true)"), _beyond("first_o", "first_o", 0.1), ("(c + prior) / 2.0::DOUBLE",) * 2, ("prior", "prior"), "0.55"),
+    *_sides("opening_drive", 20, "mi BETWEEN 600 AND 615 AND n_day >= 6 AND abs(drive) >= 0.5::DOUBLE * atr AND (n0 <= 31 OR vol6 >= 1.3::DOUBLE * 6 * o30)", ("drive > 0", "drive < 0"), _beyond("low6", "high6", 0.1), 1, 2, "0.56"),
+    *_sides("volume_climax", 30, "mi BETWEEN 585 AND 930 AND v >= 4 * v30", ("l <= 1.002::DOUBLE * lo20 AND c > o AND NOT (h >= 0.998::DOUBLE * hi20 AND c < o)", "h >= 0.998::DOUBLE * hi20 AND c < o"), _beyond("l", "h", 0.1), 1, 2, "0.56::DOUBLE + least(0.10::DOUBLE, (v / nullif(v30, 0) - 3) * 0.02::DOUBLE)"),
+    *_sides("vwap_trend", 40, "mi BETWEEN 630 AND 870 AND n_day >= 24 AND tests >= 2 AND abs(c - sv) <= 0.4::DOUBLE * atr", ("above > 0.75 AND c > sv", "above < 0.25 AND c < sv"), _beyond("sv", "sv", 0.15), 1, 2, "0.57"),
+    *_sides("rsi_divergence", 30, "mi BETWEEN 585 AND 930 AND v <= 1.2::DOUBLE * v10", ("l < lo9 AND rsi > rsi_before AND rsi < 40", "h > hi9 AND rsi < rsi_before AND rsi > 60"), _beyond("l", "h", 0.1), 1, 2, "0.55"),
+    *_sides("midday_reversal", 30, "mi BETWEEN 690 AND 750 AND len(am) >= 10 AND abs(moved) >= atr", ("moved < 0 AND c - noon >= 0.3::DOUBLE * abs(moved)", "moved > 0 AND noon - c >= 0.3::DOUBLE * moved"), _beyond("list_min([x.l for x in am])", "list_max([x.h for x in am])", 0.05), 1, 2, "0.55"),
+]
+
 QUERIES: dict = {}  # the other modules have them
 ORACLE_SQL = {
+    "detect_intraday": f"WITH RECURSIVE {_FIVE}, s AS ({' UNION ALL '.join(_INTRADAY)}) {_GATED}",
     "feature_vector": f"WITH RECURSIVE {_FEATURES} SELECT symbol, ts, {', '.join(f'round({k}, 5) AS {k}' for k in ('momentum', 'volatility', 'vol_compression', 'volume', 'trend', 'breakout', 'mean_reversion', 'regime'))}, round({_WEIGHTED}, 5) AS composite FROM g",
     "trade_lifecycle": f"{_LIFE} SELECT symbol, '1h' AS tf, k, bias, status, last_stop, stopped_at, peak FROM life JOIN (SELECT symbol, k, bias FROM sig) USING (symbol, k)",
     "overnight_flag": f"{_LIFE} SELECT symbol, k, status IN ('ACTIVE', 'AT_T1') AS overnight FROM life",
