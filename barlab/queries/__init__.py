@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES and ORACLE_SQL.
-MODULES = ("bars", "windows", "folds", "outcomes", "statistics", "performance", "scoring", "text", "universe", "detectors", "pattern_sql", "session_sql", "streams")
+MODULES = ("bars", "windows", "folds", "outcomes", "statistics", "performance", "scoring", "text", "universe", "detectors", "pattern_sql", "session_sql", "streams", "path_sql")
 
 
 def _merged(what: str) -> dict:

@@ -111,16 +111,28 @@ def setup_lifecycle(bars_and_setups: DataFrame) -> DataFrame:
     return bars_and_setups.groupBy("symbol").applyInPandasWithState(_lifecycle, LIFECYCLE, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+METRICS = "pattern string, n long, wins long, total long, win_rate double, expectancy double, profit_factor double, streak long"
+
+
+def _metrics(rs: list[int]) -> tuple:
+    """n, wins, sum of R, win rate, expectancy, profit factor (null without losses) and the signed run at the end."""
+    gained, lost = sum(x for x in rs if x > 0), -sum(x for x in rs if x <= 0)
+    won = [x > 0 for x in rs]
+    run = next((i for i, w in enumerate(reversed(won)) if w != won[-1]), len(won))
+    factor = round(gained / lost, 6) if gained and lost else None
+    return len(rs), sum(won), gained - lost, round(sum(won) / len(rs), 6), round((gained - lost) / len(rs), 6), factor, run if won[-1] else -run
+
+
 def running_metrics(outcomes: DataFrame, last: int = 60) -> DataFrame:
-    """n, wins and the sum of R over each pattern's last outcomes, kept in a bounded list per pattern."""
+    """Metrics of each pattern's last outcomes, kept in a bounded list per pattern; those of a batch go by time, then by R."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = list(state.get[0]) if state.exists else []
-        held = (held + pd.concat(list(frames)).sort_values("at")["r_milli"].astype(int).tolist())[-last:]
+        held = (held + pd.concat(list(frames)).sort_values(["at", "r_milli"])["r_milli"].astype(int).tolist())[-last:]
         state.update((held,))
-        yield pd.DataFrame([(key[0], len(held), sum(x > 0 for x in held), sum(held))], columns=["pattern", "n", "wins", "total"])
+        yield pd.DataFrame([(key[0], *_metrics(held))], columns=[x.split()[0] for x in METRICS.split(", ")])
 
-    return outcomes.groupBy("pattern").applyInPandasWithState(run, "pattern string, n long, wins long, total long", "held array<long>", "update", GroupStateTimeout.NoTimeout)
+    return outcomes.groupBy("pattern").applyInPandasWithState(run, METRICS, "held array<long>", "update", GroupStateTimeout.NoTimeout)
 
 
 def refresh_prices(ticks: DataFrame, trades: DataFrame) -> DataFrame:
