@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlab.functions import indicators as I
+from barlab.operators.detect import setup_gate
 
 #: Bars on either side of a swing by timeframe, and the price tick added to entries and stops.
 ORDER = {"5min": 3, "15min": 4, "1h": 3, "1d": 5}
@@ -157,37 +158,41 @@ def neckline(pivots: DataFrame, share: float = 0.015) -> DataFrame:
 
 
 def tidal_wave(bars: DataFrame, levels: DataFrame) -> DataFrame:
-    """Falling bounces from a support that the last close has broken: at each series' last bar.
+    """Falling bounces from a support that the last close has broken on volume: at each series' last bar, gated; needs atr.
 
-    A bounce opens when a low comes within 0.3 ATR of the level and takes in the bars above it; bounces are runs,
-    so this short fold goes over one series' bars and its first level with three touches.
+    The level is the one with most touches, three at least, the lower of equals. A bounce opens when a low comes within 0.3 ATR of it
+    and takes in the bars above it; bounces are runs, so this short fold goes over one series' bars and its one level. There is no
+    signal in series of under 30 bars, in those without such a level, or where a bounce is missing: three are needed, over 15 bars.
     """
     import pandas as pd
 
-    pick = levels.where("type in ('support', 'both') and touches >= 3").groupBy("symbol", "tf").agg(F.max_by("price", F.struct("touches", "price")).alias("level"))
+    pick = levels.where("type in ('support', 'both') and touches >= 3").groupBy("symbol", "tf").agg(F.max_by("price", F.struct(F.col("touches"), -F.col("price"))).alias("level"))
     df = bars.withColumn("confirmed", I.volume_confirm(1.3)).join(pick.hint("merge"), ["symbol", "tf"]).select("symbol", "tf", "ts", "h", "l", "c", "atr", "level", "confirmed")
+    fields = {"symbol": "string", "tf": "string", "ts": "timestamp_ntz", "bounces": "long", "bias": "string"} | dict.fromkeys(("entry", "stop", "target", "target_1", "target_2", "price", "atr", "confidence"), "double")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts", kind="stable")
-        level, atr = float(pdf["level"].iloc[0]), float(pdf["atr"].iloc[-1])
+        last = pdf.iloc[-1]
+        level, atr, price = float(last["level"]), float(last["atr"]), float(last["c"])
         heights, first, opened = [], -1, False
-        tol = 0.3 * atr
         for i, (h, low) in enumerate(zip(pdf["h"], pdf["l"], strict=True)):
-            if opened and low > level - tol:
+            if opened and low > level - 0.3 * atr:
                 heights[-1] = max(heights[-1], h - level)
                 continue
-            opened = abs(low - level) < tol
+            opened = abs(low - level) < 0.3 * atr
             if opened:
                 heights.append(h - level)
                 first = i if first < 0 else first
-        empty = pd.DataFrame(columns=["symbol", "tf", "ts", "bounces", "entry", "stop", "target"])
-        last = pdf.iloc[-1]
-        if len(heights) < 3 or heights[-1] >= heights[0] or len(pdf) - 1 - first < 15 or last["c"] >= level or not last["confirmed"] or not atr > 0:
-            return empty
+        if len(pdf) < 30 or len(heights) < 3 or heights[-1] >= heights[0] or len(pdf) - 1 - first < 15 or price >= level or not last["confirmed"] or not atr > 0:
+            return pd.DataFrame(columns=list(fields))
         entry, mean = level - 0.1 * atr, sum(heights) / len(heights)
-        return pd.DataFrame([(last["symbol"], last["tf"], last["ts"], len(heights), entry, level + heights[0] + 0.2 * atr, entry - mean)], columns=empty.columns)
+        less = 1 - heights[-1] / heights[0] if heights[0] > 0 else 0.0
+        conf = 0.55 + min(0.08, (len(heights) - 3) * 0.03) + less * 0.10
+        row = (last["symbol"], last["tf"], last["ts"], len(heights), "short", entry, level + heights[0] + 0.2 * atr, entry - mean, entry - mean / 2, entry - mean, price, atr, conf)
+        return pd.DataFrame([row], columns=list(fields))
 
-    return df.groupBy("symbol", "tf").applyInPandas(run, "symbol string, tf string, ts timestamp_ntz, bounces long, entry double, stop double, target double")
+    found = df.groupBy("symbol", "tf").applyInPandas(run, ", ".join(f"{k} {v}" for k, v in fields.items()))
+    return setup_gate(found).select("symbol", "tf", "ts", "bounces", "bias", "entry", "stop", "t1", "t2", "rr", "confidence")
 
 
 def _session_base(bars: DataFrame) -> DataFrame:

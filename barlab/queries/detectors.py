@@ -127,8 +127,12 @@ def neckline(spark, sf_dir):
 
 
 def tidal_wave(spark, sf_dir):
-    bars = folds.fold_series(fixtures.daily(spark, sf_dir), ("atr",))
-    return C.tidal_wave(bars, S.cluster_levels(_pivots(spark, sf_dir)))
+    """By levels of the confirmed zigzag swings of either timeframe."""
+    found = []
+    for minutes, threshold in ((5, 0.005), (15, 0.01)):
+        bars = fixtures.intraday(spark, sf_dir, minutes)
+        found.append(C.tidal_wave(folds.fold_series(bars, ("atr",)), S.cluster_levels(folds.zigzag_pivots(bars, threshold))))
+    return found[0].unionByName(found[1])
 
 
 def price_in_zone(spark, sf_dir):

@@ -67,3 +67,29 @@ def test_planted_patterns_match_sql(spark, planted, name):
         wanted = {f"{p}_{s}" for p in ("gap_fade", "gap_reversal", "volume_climax", "opening_drive", "vwap_trend", "rsi_divergence", "midday_reversal", "trend_pullback", "mean_reversion", "vwap_reversion") for s in ("long", "short")}
         assert wanted == found
     assert found
+
+
+def _waves(heights: list[int], last_close: int, volume: int) -> list[tuple]:
+    """Bars that touch 10,000 before each bounce of 8 bars and dip below it after, and one loud bar at the end."""
+    rows = []
+    for height in heights:
+        rows.append((10_000 + height // 2, 10_000, 10_000 + height // 4, 100))
+        rows += [(10_000 + height, 10_050, 10_060, 100)] * 7 + [(9_980, 9_950, 9_960, 100)]
+    rows.append((10_040, last_close - 20, last_close, volume))
+    start = dt.datetime(2024, 1, 2, 9, 30)
+    return [("x", "5min", start + dt.timedelta(minutes=5 * i), c, h, low, c, v, 100.0) for i, (h, low, c, v) in enumerate(rows)]
+
+
+@pytest.mark.parametrize(("heights", "close", "volume", "fires"), [([100, 400, 400, 90], 9_960, 300, True), ([100, 400, 400, 110], 9_960, 300, False), ([100, 400, 400, 90], 10_010, 300, False), ([100, 400, 400, 90], 9_960, 100, False), ([400, 300, 200, 90], 9_960, 300, False)])
+def test_tidal_wave_fires_on_planted_bounces(spark, heights, close, volume, fires):
+    from barlab.operators.chart_patterns import tidal_wave
+
+    bars = spark.createDataFrame(_waves(heights, close, volume), "symbol string, tf string, ts timestamp_ntz, o long, h long, l long, c long, v long, atr double")
+    levels = spark.createDataFrame([("x", "5min", 10_000.0, 4, "support"), ("x", "5min", 10_400.0, 4, "both"), ("x", "5min", 9_000.0, 9, "resistance")], "symbol string, tf string, price double, touches long, type string")
+    rows = tidal_wave(bars, levels).collect()
+    assert len(rows) == fires
+    if fires:
+        (row,) = rows
+        mean = sum(heights) / 4
+        assert (row["bounces"], row["entry"], row["stop"], row["t2"]) == (4, 9_990.0, 10_120.0, 9_990.0 - mean)
+        assert (row["t1"], row["confidence"]) == (9_990.0 - mean / 2, pytest.approx(0.55 + 0.03 + 0.1 * (1 - 90 / 100)))
