@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlab import ship
-from barlab.llm import ann, embed_dedup, langid, licenses, mixing, packing, secret_scan, simhash, token_files, toxicity
+from barlab.llm import ann, centroids, embed_dedup, hard_negatives, langid, licenses, line_dedup, mixing, packing, secret_scan, simhash, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,19 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = lambda vec_id, own: F.when(vec_id % 7 == 0, (own + 1) % 10).otherwise(own)
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0, label)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,6 +86,9 @@ QUERIES = {
         op8_toxicity,
         op9_nearest_neighbours,
         op10_source_mixing,
+        op11_centroid_clustering,
+        op12_line_dedup,
+        op13_hard_negatives,
         pipeline,
     )
 }
@@ -80,4 +96,7 @@ ORACLE_SQL = {
     "op2_secret_scan": secret_scan.ORACLE_SQL,
     "op5_license_scan": licenses.ORACLE_SQL,
     "op10_source_mixing": mixing.ORACLE_SQL,
+    "op11_centroid_clustering": centroids.ORACLE_SQL,
+    "op12_line_dedup": line_dedup.ORACLE_SQL,
+    "op13_hard_negatives": hard_negatives.ORACLE_SQL,
 }
