@@ -9,7 +9,7 @@ level are merged into one of the next by a full outer merge join, again without
 than levels. Batches start at the largest ids, so a common line is settled after the first and no later batch carries it.
 
 A line is dropped from a document if its key is known in `min_docs` documents and the document is not the one of the largest id. Each
-text is then read once more: its lines' hashes meet the common keys, positions found come together by text, and lines at other
+line's hashes, written when the texts were cut, then meet the common keys, positions found come together by text, and each text's lines at other
 positions are joined again. Nothing but a text's own positions is held for a text; the common keys are broadcast only where
 counted under a bound.
 
@@ -23,7 +23,12 @@ from __future__ import annotations
 
 import string
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,20 +40,46 @@ MIN_DOCS = 3
 BATCHES = 4
 #: Keys of a batch to a bucket, about.
 BUCKET_KEYS = 4_000_000
+#: Texts that a task cuts at a time.
+TEXTS = 256
+_SPACE = " \t\n\x0b\x0c\r"
 #: Stands for a null id.
 _NONE = -(1 << 63)
 
 
-def line_key(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), string.ascii_uppercase, string.ascii_lowercase)
-
-
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def _hashes(key: str) -> list[Column]:
-    return [F.xxhash64(key).alias("h"), F.xxhash64(F.lit(1), key).alias("g")]
+def keys_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Keys of all lines of all texts, and of each line its text's position and its own within the text."""
+    cut = pc.split_pattern(pc.fill_null(texts.cast(pa.large_string()), ""), "\n")
+    sizes = cut.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    return pc.ascii_lower(pc.ascii_trim(cut.flatten(), characters=_SPACE)), of, np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _hashed(min_chars: int):
+    """(doc, told, batch, text) to (doc, told, batch, pos, h, g, first) of each line that can be dropped; first: not seen above in the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(i, TEXTS)
+                keys, of, pos = keys_of(part.column("text"))
+                long_ = np.flatnonzero(pc.greater_equal(pc.utf8_length(keys), min_chars).to_numpy(zero_copy_only=False))
+                of, pos = of[long_], pos[long_].astype(np.int32)
+                digests = b"".join(xxhash.xxh3_128_digest(k) for k in keys.take(pa.array(long_)).cast(pa.large_binary()).to_pylist())
+                h, g = np.frombuffer(digests, dtype="<i8").reshape(-1, 2).T
+                order = np.lexsort((pos, g, h, of))
+                new = np.ones(len(order), dtype=bool)
+                new[1:] = np.any([x[order][1:] != x[order][:-1] for x in (of, h, g)], axis=0)
+                first = np.empty(len(order), dtype=bool)
+                first[order] = new
+                told = [part.column(c).take(pa.array(of)) for c in ("doc", "told", "batch")]
+                yield pa.RecordBatch.from_arrays([*told, pa.array(pos), pa.array(h.copy()), pa.array(g.copy()), pa.array(first)], ["doc", "told", "batch", "pos", "h", "g", "first"])
+
+    return run
 
 
 class LineRuns:
@@ -111,7 +142,7 @@ class LineRuns:
 
 
 def _distinct_keys(keys: DataFrame, docs: DataFrame) -> DataFrame:
-    """Each pair of key and document once. Only documents of several rows need a shuffle for it."""
+    """Each pair of key and document once. Only documents of several rows need a shuffle for it: all others' lines are told apart already."""
     many = checkpoint(docs.groupBy("doc").count().where("count > 1").select("doc"))
     n = many.count()
     if not n:
@@ -121,20 +152,23 @@ def _distinct_keys(keys: DataFrame, docs: DataFrame) -> DataFrame:
     return one.unionByName(keys.join(many.hint(hint), "doc", "left_semi").distinct())
 
 
-def common_lines(docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """docs: (doc, text). (h, g, last) of the lines that `min_docs` documents share."""
+def hashed_lines(docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN_CHARS) -> DataFrame:
+    """docs: (doc, told, text). Their lines of `min_chars` or more as (doc, told, pos, h, g, first, batch), written once, by batch."""
     spark = docs.sparkSession
-    folder = f"{shared_dir(spark)}/line-keys-{uuid.uuid4().hex}"
-    ids = docs.select("doc")
-    bounds = ids.agg(F.percentile_approx("doc", [k / batches for k in range(1, batches)])).first()[0] or [] if batches > 1 else []
-    batch = sum((F.when(F.col("doc") <= b, 1).otherwise(0) for b in sorted(set(bounds))), F.lit(0))
-    texts = docs.select("doc", F.explode(F.array_distinct(F.transform(_lines(F.col("text")), line_key))).alias("key"))
-    keys = texts.where(F.length("key") >= min_chars).select("doc", *_hashes("key"))
-    # read once, cut into batches as written
-    _distinct_keys(keys, ids).withColumn("batch", batch).write.partitionBy("batch").parquet(folder)
-    keys = spark.read.schema("doc long, h long, g long, batch int").parquet(folder)
-    sizes = {r["batch"]: r["count"] for r in keys.groupBy("batch").count().collect()}  # one row a batch
+    folder = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    bounds = docs.agg(F.percentile_approx("doc", [k / batches for k in range(1, batches)])).first()[0] or [] if batches > 1 else []
+    batch = sum((F.when(F.col("doc") <= b, 1).otherwise(0) for b in sorted(set(bounds))), F.lit(0)).alias("batch")
+    lines = docs.select("doc", "told", batch, "text").mapInArrow(_hashed(min_chars), "doc long, told long, batch int, pos int, h long, g long, first boolean")
+    lines.write.partitionBy("batch").parquet(folder)
+    return spark.read.schema("doc long, told long, pos int, h long, g long, first boolean, batch int").parquet(folder)
+
+
+def common_lines(lines: DataFrame, docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(h, g, last) of the lines that `min_docs` documents share; docs: (doc) of every row."""
+    spark = lines.sparkSession
+    sizes = {r["batch"]: r["count"] for r in lines.groupBy("batch").count().collect()}  # one row a batch
     runs = LineRuns(spark, max(8, -(-max(sizes.values(), default=0) // BUCKET_KEYS)), min_docs)
+    keys = _distinct_keys(lines.where("first").select("batch", "doc", "h", "g"), docs)
     for b in sorted(sizes):
         runs.add(keys.where(F.col("batch") == b).select("h", "g", "doc"))
     found = runs.common()
@@ -145,17 +179,15 @@ def common_lines(docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN_C
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """`docs` without the lines that stand in `min_docs` documents or more, but in the largest id's; and n_lines (before), n_dropped: long."""
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("doc")
-    whole = docs.select(doc, F.col(text_col).alias("text"))
-    common = common_lines(whole, batches, min_chars, min_docs)
+    told = F.xxhash64(text_col).alias("told")  # rows of equal id and text have equal lines, so these two tell a text
+    whole = docs.select(doc, told, F.col(text_col).alias("text"))
+    lines = hashed_lines(whole, batches, min_chars)
+    common = common_lines(lines, whole.select("doc"), min_docs)
     n = common.count()
-    # rows of equal id and text have equal lines, so these two tell a text
-    told = F.xxhash64("text").alias("told")
-    lines = whole.select("doc", told, F.posexplode(_lines(F.col("text"))).alias("pos", "line")).withColumn("key", line_key(F.col("line")))
-    lines = lines.where(F.length("key") >= min_chars).select("doc", "told", "pos", *_hashes("key"))
-    hits = lines.join(common.hint("broadcast" if n <= BROADCAST_ROWS else "merge"), ["h", "g"]).where(F.col("doc") != F.col("last"))
+    hits = lines.select("doc", "told", "pos", "h", "g").join(common.hint("broadcast" if n <= BROADCAST_ROWS else "merge"), ["h", "g"]).where(F.col("doc") != F.col("last"))
     # materialised, so that the join below has plain exchanges, whose large partitions adaptive execution splits
     dropped = checkpoint(hits.groupBy("doc", "told").agg(F.collect_set("pos").alias("dropped")))
-    rows = docs.select(F.struct("*").alias("row"), doc, F.xxhash64(text_col).alias("told"), _lines(F.col(text_col)).alias("lines"))
+    rows = docs.select(F.struct("*").alias("row"), doc, told, _lines(F.col(text_col)).alias("lines"))
     rows = rows.withColumn("row", F.col("row").dropFields(text_col)) if len(docs.columns) > 1 else rows
     met = rows.join(dropped.hint("merge"), ["doc", "told"], "left")
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("dropped"))
