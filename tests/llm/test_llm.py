@@ -583,7 +583,8 @@ def test_mixture(spark, odd, empty):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_queries_match_their_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
     df = queries.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     cut = lambda v: round(v, 6) if isinstance(v, float) else v
