@@ -61,6 +61,36 @@ _GREEDY = f"""{_RES}, ca AS (SELECT symbol, k, bias, floor(entry / 100)::BIGINT
     FROM (SELECT c.symbol, c.i, c.k, c.bias, c.bucket, c.k_exit, until, list_filter(lately, lambda x: c.k - x.k < 12) AS held, until <= c.k AND len(list_filter(lately, lambda x: c.k - x.k < 12 AND x.b = c.bias AND x.u = c.bucket)) = 0 AS ok FROM gr JOIN ca c ON c.symbol = gr.symbol AND c.i = gr.i + 1))"""
 
 _RR = "CASE WHEN rr >= 3 THEN 100 WHEN rr >= 2.5 THEN 80 + (rr - 2.5) * 40 WHEN rr >= 2 THEN 60 + (rr - 2) * 40 WHEN rr >= 1.5 THEN 35 + (rr - 1.5) * 50 WHEN rr >= 1 THEN 10 + (rr - 1) * 50 ELSE 0 END"
+
+
+def _paths(minutes: int) -> str:
+    """Setups with the times at which they become active, reach the first target and end, over ticks whose span of minutes lies ten minutes before the stream's head."""
+    return f"""WITH {_T}, f AS (SELECT * FROM t WHERE time_bucket(INTERVAL {minutes} MINUTE, ts) + INTERVAL {minutes} MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)),
+      s AS (SELECT symbol, event_id AS setup_id, ts AS made, px AS entry, CASE WHEN event_id % 80 = 0 THEN 1 ELSE -1 END AS sg FROM f WHERE event_id % 40 = 0),
+      m AS (SELECT s.*, f.ts, sg * (px - entry) AS way FROM s LEFT JOIN f ON f.symbol = s.symbol AND f.ts > made),
+      a AS (SELECT *, min(ts) FILTER (way >= 0) OVER x AS active, min(ts) FILTER (way <= -300) OVER x AS expired FROM m WINDOW x AS (PARTITION BY symbol, setup_id)),
+      b AS (SELECT *, min(ts) FILTER (way <= -300 AND ts >= active) OVER x AS stopped, min(ts) FILTER (way >= 300 AND ts >= active) OVER x AS one FROM a WINDOW x AS (PARTITION BY symbol, setup_id)),
+      c AS (SELECT symbol, setup_id, made, entry, sg, any_value(active) AS active, any_value(expired) AS expired, any_value(stopped) AS stopped, any_value(one) AS one,
+        min(ts) FILTER (way <= 0 AND ts > one) AS back, min(ts) FILTER (way >= 600 AND ts >= one) AS two FROM b GROUP BY ALL),
+      n AS (SELECT *, CASE WHEN expired < active OR (active IS NULL AND expired IS NOT NULL) THEN 'EXPIRED' WHEN stopped < one OR (one IS NULL AND stopped IS NOT NULL) THEN 'STOPPED'
+        WHEN back < two OR (two IS NULL AND back IS NOT NULL) THEN 'EVEN' WHEN two IS NOT NULL THEN 'AT_T2' END AS cause FROM c),
+      d AS (SELECT *, CASE WHEN cause = 'EVEN' THEN 'STOPPED' ELSE cause END AS status, CASE cause WHEN 'EXPIRED' THEN expired WHEN 'STOPPED' THEN stopped WHEN 'EVEN' THEN back ELSE two END AS ended FROM n)"""
+
+
+def _day_events() -> str:
+    """The events at which setups end, by prices or by the day's end, or are held overnight, as `ev`. A setup's walk by prices does not depend on
+    the days' ends, so its first day's end without a hold closes it."""
+    return f"""{_paths(30)},
+      l AS (SELECT symbol, ts::DATE AS day, arg_max(px, (ts, event_id)) AS last FROM t WHERE hour(ts) * 60 + minute(ts) < 990 GROUP BY ALL),
+      e AS (SELECT symbol, day + INTERVAL 990 MINUTE AS eod, last FROM l WHERE day + INTERVAL 990 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)),
+      w AS (SELECT d.*, e.eod, sg * (last - entry) AS gain, active <= e.eod AND sg * (last - entry) >= 0.7::DOUBLE * CASE WHEN one <= e.eod THEN 600 ELSE 300 END AS held
+        FROM d JOIN e ON d.symbol = e.symbol AND e.eod > made AND (ended IS NULL OR ended >= e.eod)),
+      x AS (SELECT symbol, setup_id, min(eod) AS shut FROM w WHERE held IS NOT TRUE GROUP BY ALL),
+      ev AS (SELECT symbol, setup_id, 'CLOSED' AS status, shut AS "at", (sign(gain) * floor((2000 * abs(gain) + 300) / 600))::BIGINT AS r_milli FROM x JOIN w USING (symbol, setup_id) WHERE eod = shut
+      UNION ALL SELECT symbol, setup_id, 'OVERNIGHT', eod, 0 FROM w LEFT JOIN x USING (symbol, setup_id) WHERE held AND (shut IS NULL OR eod < shut)
+      UNION ALL SELECT d.symbol, d.setup_id, status, ended, CASE cause WHEN 'STOPPED' THEN -1000 WHEN 'AT_T2' THEN 2000 ELSE 0 END FROM d LEFT JOIN x USING (symbol, setup_id) WHERE cause IS NOT NULL AND shut IS NULL)"""
+
+
 QUERIES: dict = {}  # the other modules have them
 ORACLE_SQL = {
     "chart_patterns": f"WITH {_CHART}, s AS ({_CHARTS}) SELECT symbol, ts, pattern, bias, round(entry, 6) AS entry, round(stop, 6) AS stop, round(target, 6) AS target, confidence FROM s",
@@ -68,11 +98,15 @@ ORACLE_SQL = {
     "select_non_overlapping": f"WITH RECURSIVE {_GREEDY} SELECT symbol, k, bias, k_exit, outcome FROM gr JOIN ca USING (symbol, i) WHERE took",
     "scan": f"""WITH RECURSIVE {_WIDER}, s AS ({_SIGS} UNION ALL {' UNION ALL '.join(_MORE)}), e AS (SELECT symbol, max(ts) AS ts FROM daily GROUP BY 1), g AS (SELECT *, abs(t2 - entry) / abs(entry - stop) AS rr FROM s JOIN e USING (symbol, ts) WHERE (CASE WHEN bias = 'long' THEN entry - stop ELSE stop - entry END) > 0 AND abs(t2 - entry) >= abs(entry - stop)),
       q AS (SELECT symbol, pattern AS pattern_name, bias, round(confidence * 70 + ({_RR}) * 0.3::DOUBLE, 6) AS composite FROM g), p AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY composite DESC, pattern_name) AS rank FROM q) SELECT * FROM p WHERE rank <= 2""",
-    "stream_setup_lifecycle": f"""WITH {_T}, s AS (SELECT symbol, event_id AS id, ts AS made, px AS entry, CASE WHEN event_id % 80 = 0 THEN 1 ELSE -1 END AS sg FROM t WHERE event_id % 40 = 0), m AS (SELECT s.*, t.ts, sg * (px - entry) AS way FROM s JOIN t ON t.symbol = s.symbol AND t.ts > made),
-      a AS (SELECT *, min(ts) FILTER (way >= 0) OVER x AS active, min(ts) FILTER (way <= -300) OVER x AS expired FROM m WINDOW x AS (PARTITION BY symbol, id)), b AS (SELECT *, min(ts) FILTER (way <= -300 AND ts >= active) OVER x AS stopped, min(ts) FILTER (way >= 300 AND ts >= active) OVER x AS one FROM a WINDOW x AS (PARTITION BY symbol, id)),
-      c AS (SELECT symbol, id, any_value(active) AS active, any_value(expired) AS expired, any_value(stopped) AS stopped, any_value(one) AS one, min(ts) FILTER (way <= 0 AND ts > one) AS back, min(ts) FILTER (way >= 600 AND ts >= one) AS two FROM b GROUP BY ALL),
-      d AS (SELECT symbol, id AS setup_id, CASE WHEN expired < active OR (active IS NULL AND expired IS NOT NULL) THEN 'EXPIRED' WHEN stopped < one OR (one IS NULL AND stopped IS NOT NULL) THEN 'STOPPED' WHEN back < two OR (two IS NULL AND back IS NOT NULL) THEN 'EVEN' WHEN two IS NOT NULL THEN 'AT_T2' END AS s, expired, stopped, back, two FROM c)
-      SELECT symbol, setup_id, CASE WHEN s = 'EVEN' THEN 'STOPPED' ELSE s END AS status, CASE s WHEN 'EXPIRED' THEN expired WHEN 'STOPPED' THEN stopped WHEN 'EVEN' THEN back ELSE two END AS at, (CASE s WHEN 'STOPPED' THEN -1000 WHEN 'AT_T2' THEN 2000 ELSE 0 END)::BIGINT AS r_milli FROM d WHERE s IS NOT NULL""",
+    "stream_setup_lifecycle": f"""{_paths(60)}
+      SELECT symbol, setup_id, status, ended AS at, (CASE cause WHEN 'STOPPED' THEN -1000 WHEN 'AT_T2' THEN 2000 ELSE 0 END)::BIGINT AS r_milli FROM d WHERE cause IS NOT NULL""",
+    "stream_setup_day": f"{_day_events()} SELECT * FROM ev",
+    "stream_trade_alerts": f"""{_day_events()}, k AS (SELECT ev.*, CASE WHEN setup_id % 80 = 0 THEN 'long' ELSE 'short' END AS side FROM ev UNION ALL
+      SELECT d.symbol, d.setup_id, 'AT_T1', one, 0, CASE WHEN sg > 0 THEN 'long' ELSE 'short' END FROM d LEFT JOIN x USING (symbol, setup_id) WHERE (one < stopped OR stopped IS NULL) AND (shut IS NULL OR one < shut) AND active IS NOT NULL AND one IS NOT NULL AND (expired IS NULL OR expired >= active))
+      SELECT concat_ws('-', symbol, setup_id::VARCHAR, status) AS id, CASE WHEN status IN ('AT_T1', 'AT_T2') THEN 'target' WHEN status IN ('STOPPED', 'EXPIRED') THEN 'stop' ELSE 'day_end' END AS kind, "at",
+        concat(symbol, ' setup ', side, ' ', status, ' ', CASE WHEN r_milli < 0 THEN '-' ELSE '+' END, printf('%.2f', abs(floor(abs(r_milli) / 10.0::DOUBLE + 0.5) / 100.0::DOUBLE)), 'R') AS alert FROM k""",
+    "stream_day_events": f"""{_day_events()} SELECT "at"::DATE AS day, count(*) FILTER (status <> 'OVERNIGHT') AS ended, count(*) FILTER (r_milli > 0) AS winners, count(*) FILTER (r_milli < 0) AS losers,
+      count(*) FILTER (status = 'STOPPED' AND r_milli = 0) AS even, count(*) FILTER (status = 'AT_T2') AS second_targets, count(*) FILTER (status = 'OVERNIGHT') AS overnight, sum(r_milli)::BIGINT AS total_r_milli FROM ev GROUP BY 1""",
     "stream_running_metrics": f"""WITH {_T}, r AS (SELECT symbol AS pattern, px - 10000 AS r, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, px DESC) AS i FROM t), f AS (SELECT pattern, min(i) FILTER (r <= 0) AS loss, min(i) FILTER (r > 0) AS win, count(*) AS n FROM r WHERE i <= 60 GROUP BY 1)
       SELECT r.pattern, count(*) AS n, count(*) FILTER (r > 0) AS wins, sum(r)::BIGINT AS total, round(count(*) FILTER (r > 0) / count(*)::DOUBLE, 6) AS win_rate, round(sum(r) / count(*)::DOUBLE, 6) AS expectancy, round(sum(r) FILTER (r > 0)::DOUBLE / nullif(-sum(r) FILTER (r <= 0), 0), 6) AS profit_factor,
         (CASE WHEN any_value(win) = 1 THEN coalesce(any_value(loss), any_value(f.n) + 1) - 1 ELSE 1 - coalesce(any_value(win), any_value(f.n) + 1) END)::BIGINT AS streak FROM r JOIN f USING (pattern) WHERE i <= 60 GROUP BY r.pattern""",

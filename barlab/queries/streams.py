@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from barlab.sources import fixtures
 from barlab.streaming import bars as S
+from barlab.streaming import tracker as T
 
 
 def _ntz(df, name: str = "ts"):
@@ -32,17 +33,38 @@ def stream_multi_cadence(spark, sf_dir):
     return _ntz(parts[0].unionByName(parts[1]).unionByName(parts[2])).groupBy("minutes", "symbol").agg(F.count("*").alias("bars"), F.sum("v").alias("v"))
 
 
-def stream_setup_lifecycle(spark, sf_dir):
-    """Each 40th tick of a symbol is a setup that later ticks carry to its end."""
+def _tracked(spark, sf_dir, tracker):
+    """Events of the setups that each 40th tick of a symbol is; every tick is a bar. What is within ten minutes of the stream's head waits."""
     fixtures.ship(spark)
-    ticks = S.ticks_stream(spark, sf_dir)
-    long = F.lit(None).cast("long")
-    bars = ticks.select("symbol", "ts", F.col("px").alias("h"), F.col("px").alias("l"), F.col("px").alias("c"), long.alias("setup_id"), long.alias("bias"), long.alias("stop"), long.alias("t1"), long.alias("t2"))
+    ticks = S.ticks_stream(spark, sf_dir).withColumn("tf", F.lit("tick"))
+    bars = ticks.select("symbol", "tf", "ts", F.col("px").alias("h"), F.col("px").alias("l"), F.col("px").alias("c"))
     side = F.when(F.col("event_id") % 80 == 0, 1).otherwise(-1)
-    made = ticks.where("event_id % 40 = 0").select(
-        "symbol", "ts", F.col("px").alias("h"), F.col("px").alias("l"), F.col("px").alias("c"), F.col("event_id").alias("setup_id"), side.cast("long").alias("bias"), (F.col("px") - side * 300).alias("stop"), (F.col("px") + side * 300).alias("t1"), (F.col("px") + side * 600).alias("t2")
-    )
-    return _ntz(S.run_to_table(S.setup_lifecycle(bars.unionByName(made))), "at")
+    fields = {"setup_id": F.col("event_id"), "bias": side, "entry": F.col("px"), "stop": F.col("px") - side * 300, "t1": F.col("px") + side * 300, "t2": F.col("px") + side * 600}
+    setups = ticks.where("event_id % 40 = 0").select("symbol", "tf", "ts", *(x.alias(name) for name, x in fields.items()))
+    return S.run_to_table(T.track(T.as_rows(bars, setups), tracker))
+
+
+def stream_setup_lifecycle(spark, sf_dir):
+    """Each setup's end, wherever later ticks carry it."""
+    events = _tracked(spark, sf_dir, T.SetupTracker(60, dedup=False))
+    return _ntz(events.where(F.col("status").isin(*T.ENDS)), "at").select("symbol", "setup_id", "status", "at", "r_milli")
+
+
+def stream_setup_day(spark, sf_dir):
+    """The same setups closed by timers at 16:30 of each day, unless most of the way to the next target is done."""
+    events = _tracked(spark, sf_dir, T.SetupTracker(30, end_of_day=990, dedup=False))
+    return _ntz(events.where(F.col("status").isin(*T.ENDS, "OVERNIGHT")), "at").select("symbol", "setup_id", "status", "at", "r_milli")
+
+
+def stream_trade_alerts(spark, sf_dir):
+    """Alerts of the setups' events, but of those that open, by the map of what is switched on."""
+    events = _tracked(spark, sf_dir, T.SetupTracker(30, end_of_day=990, dedup=False))
+    return _ntz(S.trade_alerts(events, {"new_setup": False, "entry": False}), "at")
+
+
+def stream_day_events(spark, sf_dir):
+    """Each day's summary of the setups' events."""
+    return S.event_summary(_tracked(spark, sf_dir, T.SetupTracker(30, end_of_day=990, dedup=False))).select("day", "ended", "winners", "losers", "even", "second_targets", "overnight", "total_r_milli").where("ended + overnight > 0")
 
 
 def stream_running_metrics(spark, sf_dir):
@@ -94,7 +116,7 @@ def stream_detect(spark, sf_dir):
     return spark.read.parquet(f"{out}/signals").select("symbol", "ts", "pattern", "bias", "entry", "stop")
 
 
-QUERIES = {f.__name__: f for f in (stream_ticks_to_bars, stream_dedup_bars, stream_multi_cadence, stream_setup_lifecycle, stream_running_metrics, stream_price_refresh, stream_eod, stream_freshness, stream_alerts, news_ttl_window, stream_detect)}
+QUERIES = {f.__name__: f for f in (stream_ticks_to_bars, stream_dedup_bars, stream_multi_cadence, stream_setup_lifecycle, stream_setup_day, stream_trade_alerts, stream_day_events, stream_running_metrics, stream_price_refresh, stream_eod, stream_freshness, stream_alerts, news_ttl_window, stream_detect)}
 _T = "t AS (SELECT event_type AS symbol, ts, event_id, CAST(round(value * 100) AS BIGINT) % 2000 + 9000 AS px, CAST(round(value * 100) AS BIGINT) % 500 + 1 AS qty FROM events)"
 ORACLE_SQL = {
     "stream_ticks_to_bars": f"WITH {_T} SELECT symbol, time_bucket(INTERVAL 5 MINUTE, ts) AS ts, arg_min(px, (ts, event_id)) AS o, max(px) AS h, min(px) AS l, arg_max(px, (ts, event_id)) AS c, sum(qty)::BIGINT AS v FROM t GROUP BY symbol, time_bucket(INTERVAL 5 MINUTE, ts)",

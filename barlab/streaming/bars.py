@@ -3,11 +3,14 @@ since watermarks need them; the session's time zone is UTC. Sinks are tables in
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barlab.operators.outcomes import eod_close
@@ -59,58 +62,6 @@ def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{out}/{last:06d}")
 
 
-LIFECYCLE = "symbol string, setup_id long, status string, at timestamp, r_milli long"
-_STATE = "setups array<struct<id:long,bias:int,entry:long,stop:long,t1:long,t2:long,risk:long,status:string>>"
-
-
-def _advance(s: dict, bar) -> tuple[str, int] | None:
-    """One bar's transitions of a setup: entry by the close, then stop, first target, second target."""
-    sign = s["bias"]
-    worst, best = (bar.l, bar.h) if sign > 0 else (-bar.h, -bar.l)
-    if s["status"] == "PENDING":
-        if sign * bar.c >= sign * s["entry"]:
-            s["status"] = "ACTIVE"
-        elif worst <= sign * s["stop"]:
-            return "EXPIRED", 0
-        else:
-            return None
-    if s["status"] == "ACTIVE":
-        if worst <= sign * s["stop"]:
-            return "STOPPED", -1000
-        if best >= sign * s["t1"]:
-            s["status"], s["stop"] = "AT_T1", s["entry"]
-    elif worst <= sign * s["entry"]:
-        return "STOPPED", 0
-    if s["status"] == "AT_T1" and best >= sign * s["t2"]:
-        return "AT_T2", 1000 * abs(s["t2"] - s["entry"]) // max(1, s["risk"])
-    return None
-
-
-def _lifecycle(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    setups = [dict(x.asDict() if hasattr(x, "asDict") else x) for x in state.get[0]] if state.exists else []
-    rows = pd.concat(list(frames)).sort_values(["ts", "setup_id"], na_position="first", kind="stable")
-    ended = []
-    for row in rows.itertuples():
-        if not pd.isna(row.setup_id):
-            setups.append({"id": int(row.setup_id), "bias": int(row.bias), "entry": int(row.c), "stop": int(row.stop), "t1": int(row.t1), "t2": int(row.t2), "risk": abs(int(row.c) - int(row.stop)), "status": "PENDING"})
-            continue
-        keep = []
-        for s in setups:
-            end = _advance(s, row)
-            if end:
-                ended.append((key[0], s["id"], end[0], row.ts, end[1]))
-            else:
-                keep.append(s)
-        setups = keep
-    state.update(([tuple(s.values()) for s in setups],))
-    yield pd.DataFrame(ended, columns=["symbol", "setup_id", "status", "at", "r_milli"])
-
-
-def setup_lifecycle(bars_and_setups: DataFrame) -> DataFrame:
-    """Ended setups of one keyed stream of bars (setup_id null) and setups; open ones stay in the state until they end."""
-    return bars_and_setups.groupBy("symbol").applyInPandasWithState(_lifecycle, LIFECYCLE, _STATE, "append", GroupStateTimeout.NoTimeout)
-
-
 METRICS = "pattern string, n long, wins long, total long, win_rate double, expectancy double, profit_factor double, streak long"
 
 
@@ -146,6 +97,74 @@ def freshness(ticks: DataFrame, as_of: str) -> DataFrame:
     return newest.withColumn("age_minutes", F.timestamp_diff("MINUTE", F.col("newest"), F.lit(as_of).cast("timestamp")))
 
 
+class Freshness(StreamingQueryListener):
+    """Keeps, by query, when its last batch ended, how many rows that had, and how far its watermark had come; `table` shows it with each query's lag.
+
+    Register it with spark.streams.addListener. It holds one row for each query.
+    """
+
+    def __init__(self):
+        self._seen: dict[str, tuple] = {}
+        self._lock = threading.Lock()
+
+    def _note(self, key: str, name: str | None, state: str, at: datetime, batch: int = -1, rows: int = 0, watermark: str | None = None) -> None:
+        with self._lock:
+            old = self._seen.get(key)
+            # a batch without rows keeps the time of the last one that had some
+            newest = at if rows or not old else old[4]
+            last = (max(batch, old[3]), newest, rows or old[5], watermark or old[6]) if old else (batch, newest, rows, watermark)
+            self._seen[key] = (key, name, state, *last)
+
+    def onQueryStarted(self, event) -> None:
+        self._note(str(event.id), event.name, "running", _instant(event.timestamp))
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self._note(str(p.id), p.name, "running", _instant(p.timestamp), p.batchId, p.numInputRows, (p.eventTime or {}).get("watermark"))
+
+    def onQueryIdle(self, event) -> None:
+        self._note(str(event.id), self._seen.get(str(event.id), (None, None))[1], "idle", _instant(event.timestamp))
+
+    def onQueryTerminated(self, event) -> None:
+        self._note(str(event.id), self._seen.get(str(event.id), (None, None))[1], "failed" if event.exception else "ended", datetime.now(timezone.utc))
+
+    def table(self, spark: SparkSession, as_of: datetime, stale_after: float) -> DataFrame:
+        """query_id, name, state, batch, rows, newest, lag_seconds, stale of all queries seen; `as_of` is an instant in UTC."""
+        with self._lock:
+            rows = [(k, n, s, b, r, t.replace(tzinfo=None), w, (as_of - t).total_seconds()) for k, n, s, b, t, r, w in self._seen.values()]
+        out = spark.createDataFrame(rows, "query_id string, name string, state string, batch long, rows long, newest timestamp_ntz, watermark string, lag_seconds double")
+        return out.withColumn("stale", (F.col("state") != "ended") & (F.col("lag_seconds") > stale_after))
+
+
+def _instant(text: str) -> datetime:
+    return datetime.fromisoformat(text.replace("Z", "+00:00"))
+
+
+#: Kinds of alerts and the events of a setup that each is sent for.
+ALERT_KINDS = {"new_setup": ("OPENED",), "entry": ("ACTIVE",), "target": ("AT_T1", "AT_T2"), "stop": ("STOPPED", "EXPIRED"), "day_end": ("CLOSED", "OVERNIGHT")}
+
+
+def trade_alerts(events: DataFrame, enabled: dict[str, bool]) -> DataFrame:
+    """id, kind, alert of a tracker's events whose kind is not switched off; kinds that `enabled` does not name are on."""
+    kind = F.coalesce(*(F.when(F.col("status").isin(*states), name) for name, states in ALERT_KINDS.items()))
+    on = [name for name in ALERT_KINDS if enabled.get(name, True)]
+    side = F.when(F.col("bias") > 0, "long").otherwise("short")
+    text = F.format_string("%s %s %s %s %+.2fR", "symbol", F.coalesce("pattern", F.lit("setup")), side, "status", F.col("r_milli") / 1000.0)
+    return events.withColumn("kind", kind).where(F.col("kind").isin(*on)).select(F.concat_ws("-", "symbol", F.col("setup_id").cast("string"), "status").alias("id"), "kind", "at", text.alias("alert"))
+
+
+def event_summary(events: DataFrame) -> DataFrame:
+    """By day and timeframe of a tracker's events: setups opened, ended, winners, losers, even, targets, held overnight, and R of the ended ones."""
+    status, r = F.col("status"), F.col("r_milli")
+    ended = status.isin("EXPIRED", "STOPPED", "AT_T2", "CLOSED")
+    count = lambda when: F.count_if(when)
+    return events.groupBy(F.to_date("at").alias("day"), "tf").agg(
+        count(status == "OPENED").alias("opened"), count(ended).alias("ended"), count(ended & (r > 0)).alias("winners"), count(ended & (r < 0)).alias("losers"),
+        count((status == "STOPPED") & (r == 0)).alias("even"), count(status == "AT_T1").alias("first_targets"), count(status == "AT_T2").alias("second_targets"),
+        count(status == "OVERNIGHT").alias("overnight"), F.coalesce(F.sum(F.when(ended, r)), F.lit(0)).alias("total_r_milli"),
+    )
+
+
 def alerts(scored: DataFrame, least: float) -> DataFrame:
     """Text of the rows worth an alert; delivery is the sink's matter."""
     return scored.where(F.col("score") >= least).select("id", F.format_string("%s scored %.2f", "id", "score").alias("alert"))

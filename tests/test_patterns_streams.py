@@ -74,18 +74,6 @@ def test_stream_bars_equal_batch(spark):
     assert {tuple(r) for r in got.select(*columns).collect()} == {tuple(r) for r in batch.select(*columns).collect()}
 
 
-def test_lifecycle_steps():
-    from types import SimpleNamespace as Bar
-
-    setup = {"id": 1, "bias": 1, "entry": 100, "stop": 90, "t1": 110, "t2": 120, "risk": 10, "status": "PENDING"}
-    assert streams._advance(setup, Bar(h=99, l=95, c=98)) is None and setup["status"] == "PENDING"
-    assert streams._advance(setup, Bar(h=112, l=99, c=101)) is None and setup["status"] == "AT_T1" and setup["stop"] == 100
-    assert streams._advance(setup, Bar(h=121, l=101, c=120)) == ("AT_T2", 2000)
-    late = {**setup, "status": "PENDING", "stop": 90}
-    assert streams._advance(late, Bar(h=95, l=89, c=90)) == ("EXPIRED", 0)
-    assert streams._advance({**late, "status": "ACTIVE"}, Bar(h=125, l=90, c=100)) == ("STOPPED", -1000)
-
-
 def test_zones_hold_exactly_their_points(spark):
     df = bars(spark, walk(21, 300), walk(22, 300))
     points = resample.with_index(df)
