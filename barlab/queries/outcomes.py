@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barlab.functions import indicators as I
 from barlab.operators import outcomes as O
-from barlab.operators import resample
+from barlab.operators import resample, sweep
 from barlab.queries.sql import CLOSED, HOURLY, lag, over
 from barlab.sources import bars as store
 from barlab.sources import fixtures
@@ -88,10 +89,34 @@ def param_sweep(spark, sf_dir):
     return O.param_sweep(_signals(spark, sf_dir), _bars(spark, sf_dir), grid).select("stop_d", "target_d", "n", "wins", F.round("score", 6).alias("score"))
 
 
+#: Cells of the registered search.
+CELLS = sweep.grid(stop=(1.0, 2.5), t1=(1.0, 2.0), t2=(3.0,), hold=(12, 40), cooldown=(8,), split_t1=(0.5, 0.7), split_t2=(0.3,))
+
+
+def _swept(spark, sf_dir):
+    """Signals of two patterns and both sides at every sixth bar, with the mean range of 14 bars as ATR."""
+    bars = _bars(spark, sf_dir).withColumn("atr", F.avg(F.col("h") - F.col("l")).over(I.frame(-13)))
+    k = F.col("k")
+    fields = {"bias": F.when(k % 18 == 0, "short").otherwise("long"), "pattern": F.when(k % 12 == 0, "even").otherwise("odd"), "entry": F.col("c"), "bucket": F.floor(F.col("c") / 100)}
+    signals = bars.where(k % 6 == 0).withColumns(fields)
+    return sweep.sweep(signals.withColumn("confidence", F.lit(0.5)), bars, CELLS)
+
+
+def param_grid(spark, sf_dir):
+    found = sweep.by_cell(_swept(spark, sf_dir), CELLS)
+    return found.select("pattern", "cell", "n", "wins", "total_milli", F.round("profit_factor", 6).alias("profit_factor"), F.round("score", 6).alias("score"))
+
+
+def param_best(spark, sf_dir):
+    """Each pattern's best cell on every other symbol by name, checked on the rest."""
+    symbols = _bars(spark, sf_dir).select("symbol").distinct()
+    halves = symbols.withColumn("half", (F.row_number().over(Window.orderBy("symbol")) - 1) % 2)  # a row for each symbol
+    found = sweep.best_cells(_swept(spark, sf_dir), halves, CELLS)
+    return found.select("pattern", "cell", "train_signals", F.round("train_score", 6).alias("train_score"), "val_signals", F.round("val_expectancy", 6).alias("val_expectancy"), "overfit")
+
+
 def train_val_split(spark, sf_dir):
     """Symbols dealt to two halves by the rank of their volume; the gap of a pattern's mean R between them."""
-    from pyspark.sql import Window
-
     trades = store.history_union(fixtures.trades(spark, sf_dir))
     ranks = trades.groupBy("symbol").agg(F.count("*").alias("n")).withColumn("half", F.row_number().over(Window.orderBy(F.desc("n"), "symbol")) % 2)
     sides = trades.join(ranks.select("symbol", "half"), "symbol").groupBy("pattern_name").pivot("half", [0, 1]).agg(F.avg("r_milli").alias("r"), F.count("r_milli").alias("n"))
@@ -103,7 +128,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         scan_schedule, cooldown_bars, apply_slippage, first_touch_label, barrier_resolve, finalize_r, select_non_overlapping, next_open_entry, first_detection,
-        recent_dedup, trade_lifecycle, eod_close, overnight_flag, param_sweep, train_val_split,
+        recent_dedup, trade_lifecycle, eod_close, overnight_flag, param_sweep, param_grid, param_best, train_val_split,
     )
 }
 
@@ -124,7 +149,35 @@ _RES = f"""{_B}, {_met(HOLD)},
   res AS (SELECT *, CASE WHEN got1 AND got2 THEN 0.5::DOUBLE + 0.3::DOUBLE * 2 + 0.2::DOUBLE * rest WHEN got1 THEN 0.5::DOUBLE + 0.5::DOUBLE * rest WHEN ks IS NOT NULL THEN -1 ELSE round(sg * (cl - entry) / 300.0::DOUBLE, 3) END AS raw_r,
     CASE WHEN got1 THEN coalesce(kb, kl) ELSE coalesce(ks, kl) END AS k_exit FROM i)"""
 _GRID = f"WITH {_B}, grid AS (SELECT s.v AS stop_d, t.v AS target_d FROM (VALUES (100), (200), (300)) s(v), (VALUES (200), (400), (600)) t(v)), gs AS (SELECT symbol, k, sg, entry, stop_d, target_d FROM sig, grid), {_met(60, 'gs')}"
+_CELLS = ", ".join(f"({i}, {x.stop}::DOUBLE, {x.t1}::DOUBLE, {x.t2}::DOUBLE, {x.hold}, {x.cooldown}, {', '.join(f'{y}::DOUBLE' for y in x.splits())})" for i, x in enumerate(CELLS))
+_LEG = "round(sg * ({}) / risk, 3)"
+#: Every cell resolved bar by bar, then taken one candidate after another.
+_SWEPT = f"""{_B}, cells(cell, sm, am, bm, hold, wait, w1, w2, w3) AS (VALUES {_CELLS}),
+  atrs AS (SELECT symbol, k, c, avg(h - l) OVER {over(-13)} AS atr FROM bars),
+  g0 AS (SELECT symbol, k, CASE WHEN k % 18 = 0 THEN -1 ELSE 1 END AS sg, CASE WHEN k % 12 = 0 THEN 'even' ELSE 'odd' END AS pattern, c AS entry, atr FROM atrs WHERE k % 6 = 0),
+  gs AS (SELECT g0.*, cells.*, round_even(entry - sg * atr * sm, 0) AS stop, round_even(entry + sg * atr * am, 0) AS t1, round_even(entry + sg * atr * bm, 0) AS t2 FROM g0, cells),
+  m AS (SELECT s.*, abs(entry - stop) AS risk, b.k AS bk, b.c AS bc, CASE WHEN sg = 1 THEN b.l ELSE -b.h END AS worst, CASE WHEN sg = 1 THEN b.h ELSE -b.l END AS best FROM gs s JOIN bars b ON s.symbol = b.symbol AND b.k > s.k AND b.k <= s.k + hold),
+  f AS (SELECT symbol, k, cell, pattern, sg, entry, stop, t1, t2, risk, wait, w1, w2, w3, min(bk) FILTER (worst <= sg * stop) AS ks, min(bk) FILTER (best >= sg * t1) AS ka, max(bk) AS kl, arg_max(bc, bk) AS cl FROM m GROUP BY ALL),
+  f2 AS (SELECT *, ka IS NOT NULL AND (ks IS NULL OR ka < ks) AS got1 FROM f),
+  f3 AS (SELECT f.symbol, f.k, f.cell, min(m.bk) FILTER (m.bk > ka AND worst <= m.sg * m.entry) AS kb, min(m.bk) FILTER (m.bk >= ka AND best >= m.sg * m.t2) AS kf FROM f2 f JOIN m USING (symbol, k, cell) GROUP BY ALL),
+  f4 AS (SELECT *, got1 AND kf IS NOT NULL AND (kb IS NULL OR kf < kb) AS got2, CASE WHEN kb IS NOT NULL THEN 0 ELSE {_LEG.format('cl - entry')} END AS rest FROM f2 JOIN f3 USING (symbol, k, cell)),
+  f5 AS (SELECT *, CASE WHEN risk = 0 THEN -0.98::DOUBLE WHEN got1 AND got2 THEN w1 * {_LEG.format('t1 - entry')} + w2 * {_LEG.format('t2 - entry')} + w3 * rest WHEN got1 THEN w1 * {_LEG.format('t1 - entry')} + (w2 + w3) * rest
+    WHEN ks IS NOT NULL THEN {_LEG.format('stop - entry')} ELSE {_LEG.format('cl - entry')} END AS raw, CASE WHEN risk = 0 THEN k + 1 WHEN got1 THEN coalesce(kb, kl) ELSE coalesce(ks, kl) END AS k_exit FROM f4),
+  ca AS (SELECT symbol, pattern, cell, k, sg, floor(entry / 100)::BIGINT AS bucket, wait, k_exit, got1 AND risk > 0 AS won, round(round(greatest(-10, least(10, raw)) - 0.02::DOUBLE, 3) * 1000)::BIGINT AS r, row_number() OVER (PARTITION BY symbol, pattern, cell ORDER BY k) AS i FROM f5),
+  gr(symbol, pattern, cell, i, took, until, lately) AS (SELECT symbol, pattern, cell, 0::BIGINT, false, -1::BIGINT, []::STRUCT(b INTEGER, u BIGINT, k BIGINT)[] FROM ca WHERE i = 1
+    UNION ALL SELECT symbol, pattern, cell, i, ok, CASE WHEN ok THEN k_exit ELSE until END, CASE WHEN ok THEN list_append(held, {{'b': sg, 'u': bucket, 'k': k}}) ELSE held END
+    FROM (SELECT c.symbol, c.pattern, c.cell, c.i, c.k, c.sg, c.bucket, c.k_exit, until, list_filter(lately, lambda x: c.k - x.k < c.wait) AS held,
+      until <= c.k AND len(list_filter(lately, lambda x: c.k - x.k < c.wait AND x.b = c.sg AND x.u = c.bucket)) = 0 AS ok FROM gr JOIN ca c ON c.symbol = gr.symbol AND c.pattern = gr.pattern AND c.cell = gr.cell AND c.i = gr.i + 1)),
+  tk AS (SELECT ca.* FROM gr JOIN ca USING (symbol, pattern, cell, i) WHERE took)"""
+_CELL_SCORE = "CASE WHEN n >= 25 AND wins >= 0.25::DOUBLE * n THEN total / n::DOUBLE / 1000 * least(1.0::DOUBLE, sqrt(n / 100.0::DOUBLE)) ELSE -10 END"
 ORACLE_SQL = {
+    "param_grid": f"""WITH RECURSIVE {_SWEPT}, s AS (SELECT pattern, cell, count(*) AS n, count(*) FILTER (won) AS wins, sum(r)::BIGINT AS total, coalesce(sum(r) FILTER (won), 0) AS up, coalesce(-sum(r) FILTER (NOT won AND r <= 0), 0) AS down FROM tk GROUP BY ALL)
+      SELECT pattern, cell, n, wins, total AS total_milli, round(least(99.0::DOUBLE, up::DOUBLE / greatest(down, 1)), 6) AS profit_factor, round({_CELL_SCORE}, 6) AS score FROM s""",
+    "param_best": f"""WITH RECURSIVE {_SWEPT}, hs AS (SELECT symbol, (row_number() OVER (ORDER BY symbol) - 1) % 2 AS half FROM (SELECT DISTINCT symbol FROM bars)),
+      s AS (SELECT pattern, cell, half, count(*) AS n, count(*) FILTER (won) AS wins, sum(r)::BIGINT AS total FROM tk JOIN hs USING (symbol) GROUP BY ALL),
+      t AS (SELECT pattern, cell, n, {_CELL_SCORE} AS score FROM s WHERE half = 0), b AS (SELECT * FROM t WHERE score > -10 QUALIFY row_number() OVER (PARTITION BY pattern ORDER BY round(score, 9) DESC, cell) = 1)
+      SELECT pattern, cell, b.n AS train_signals, round(score, 6) AS train_score, coalesce(v.n, 0) AS val_signals, round(CASE WHEN v.n >= 15 THEN total / v.n::DOUBLE / 1000 END, 6) AS val_expectancy,
+        v.n >= 15 AND (total < 0 OR (score > 0 AND total / v.n::DOUBLE / 1000 < 0.5::DOUBLE * score)) IS TRUE AS overfit FROM b LEFT JOIN (SELECT * FROM s WHERE half = 1) v USING (pattern, cell)""",
     "scan_schedule": f"WITH {_B}, t AS (SELECT symbol, count(*) AS bars_n FROM bars GROUP BY 1) SELECT symbol, k FROM bars JOIN t USING (symbol) WHERE bars_n >= 30 AND k >= 20 AND (k - 20) % 2 = 0",
     "cooldown_bars": f"WITH {CLOSED} SELECT id, greatest(1, floor(abs(r_milli) / 10 / [5, 15, 60, 390][regime + 1]))::BIGINT AS cooldown FROM closed",
     "apply_slippage": f"""WITH {_B}, d AS (SELECT symbol, ts, k, h, l, greatest(h - l, abs(h - {lag('c')}), abs(l - {lag('c')}))::DOUBLE AS tr FROM bars), w AS (SELECT symbol, k, list(tr) OVER {over(-19)} AS t, list((h - l)::DOUBLE) OVER {over(-19)} AS r FROM d),
