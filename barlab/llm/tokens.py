@@ -2,7 +2,7 @@
 
 Ids equal those of the tokenizers library on the whole text. A text is cut only where no token can span
 the cut: the word tokenizer drops white space, and the byte tokenizer gives each space to the visible
-text after it. Arrow finds the distinct chunks of a batch, parts plain words from their closing marks and looks both up
+text after it. Texts in which the library may find an added token (as it stands in the text) go to it whole. Arrow finds the distinct chunks of a batch, parts plain words from their closing marks and looks both up
 among those met before, in bounded tables; new plain words go to the library many at a time, all else goes to it as it is.
 """
 
@@ -60,7 +60,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
         self._tokenizer.no_padding()
         self._tokenizer.no_truncation()
         tokens = self._tokenizer.get_vocab(with_added_tokens=True)
@@ -70,6 +69,7 @@ class Encoder:
         for token, i in tokens.items():
             self._edge[i] = token.endswith("</w>") if self._word_ends else token.startswith("Ġ")
         self._plain, self._odd, self._marks = _Known(), _Known(), _Known()
+        self._added = sorted(t.content for t in self._tokenizer.get_added_tokens_decoder().values())
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -143,10 +143,11 @@ class Encoder:
 
     def _some(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if self._word_ends:
-            empty = pc.equal(pc.ascii_trim_whitespace(texts), "")
-            whole = empty
+            whole = pc.equal(pc.ascii_trim_whitespace(texts), "")
         else:
             whole = pc.or_(pc.equal(texts, ""), pc.match_substring_regex(texts, _IRREGULAR))
+        for token in self._added:
+            whole = pc.or_(whole, pc.match_substring(texts, token, ignore_case=True))
         whole = whole.to_numpy(zero_copy_only=False)
         if not whole.any():
             return self._regular(texts)

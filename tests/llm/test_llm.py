@@ -195,11 +195,10 @@ def encoded(path: str, texts: list[str | None]) -> list[np.ndarray]:
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return [np.array([*e.ids, 0], dtype="<u4") for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
-TRICKY = ["", None, "  a  b ", "It's we'll IT'S don't", "a\n\nb c\n d", "İstanbul ÀÉ ß's", "foo<|endoftext|>bar <|startoftext|>", "éa ́b", "12 345 a1b2 \t\t q", " lead", "trail ", "a\x1cb c\x85d", "LA!! SE!!", "word's, 'sup 's", "你好 世界 mixed词", "﻿a b", "a᠎b c", "KK ſs", "a\x01b", "a\nb", "\n", " ", ". , a", "x\x00y z", "a .b\n.c ..."]
+TRICKY = ["", None, "  a  b ", "It's we'll IT'S don't", "a\n\nb c\n d", "İstanbul ÀÉ ß's", "foo<|endoftext|>bar <|startoftext|>", "a <|endoftext|> b", "<|endoftext|>", " x\n<|startoftext|>\n\n y  <|endoftext|><|endoftext|>", "a <|ENDOFTEXT|> b", "<|endoftext", "It's <|endoftext|>'s LA!!", "éa ́b", "12 345 a1b2 \t\t q", " lead", "trail ", "a\x1cb c\x85d", "LA!! SE!!", "word's, 'sup 's", "你好 世界 mixed词", "﻿a b", "a᠎b c", "KK ſs", "a\x01b", "a\nb", "\n", " ", ". , a", "x\x00y z", "a .b\n.c ..."]
 
 
 @pytest.mark.parametrize("path", [WORD_BPE, BYTE_BPE])
@@ -444,7 +443,7 @@ def test_odd_vectors(spark):
 # 8: toxicity
 
 
-@pytest.mark.parametrize("clause, want", [("you are an idiot", ["insult_aimed"]), ("what trash", ["insult"]), ("you are not an idiot", ["insult_negated"]), ("she said you are a moron", ["insult_reported"]), ("I will kill you", ["threat_aimed"]), ("they never said never", []), ("we will not hurt them", ["threat_negated"])])
+@pytest.mark.parametrize("clause, want", [("you are an idiot", ["insult_aimed"]), ("what trash", ["insult"]), ("you are not an idiot", ["insult_negated"]), ("she said you are a moron", ["insult_reported"]), ("I will kill you", ["threat_aimed"]), ("they never said never", []), ("we will not hurt them", ["threat_negated"]), ("you idiot, he said", ["insult_reported"]), ("he said you idiot", ["insult_reported"])])
 def test_grammar(clause, want):
     assert names(toxicity.clause_outputs(toxicity.words_of(clause))) == want
 
@@ -468,9 +467,9 @@ def test_the_composed_transducer_equals_its_machines_run_one_by_one():
 
 
 def test_clauses_add_up():
-    one, more = (toxicity.counts_of(np.array([toxicity.pattern_of(t)]))[0] for t in ("You moron.", "You moron. You utter moron, but not trash; he said idiot! Idiot. You clown. You clown."))
+    one, more = (toxicity.pattern_of(t) for t in ("You moron.", "You moron. You utter moron, but not trash; he said idiot! Idiot. You clown. You clown."))
     count = lambda row: {c: int(n) for c, n in zip(toxicity.CLASSES, row, strict=True) if n}
-    assert count(one) == {"insult_aimed": 1} and count(more) == {"insult": 1, "insult_aimed": 3, "insult_negated": 1, "insult_reported": 1, "strengthened": 1}
+    assert count(one) == {"insult_aimed": 1} and count(more) == {"insult": 1, "insult_aimed": 4, "insult_negated": 1, "insult_reported": 1, "strengthened": 1}
     assert toxicity.words_of("imbe\u0301cile") == ["imbécile"]
 
 
@@ -498,11 +497,56 @@ def test_toxic_words_are_learnt_in_any_language(spark):
     assert {r["doc_id"] for r in toxicity.drop_toxic(docs, labels).collect()} == {r[0] for r in rows if not r[2]}
     # a word that clean rows hold as well is not learnt, nor one that stands in held-out rows alone
     toxic_rows = docs.select("doc_id", "text", F.lit(0).alias("half")).where("doc_id < 300")
-    assert toxicity.learn_words(toxic_rows, labels)[0] == set(marks)
-    assert not toxicity.learn_words(toxic_rows, labels.withColumn("toxic", (F.col("doc_id") % 10).cast("int")).where("doc_id % 5 = 0").withColumn("toxic", (F.col("toxic") > 0).cast("int")))[0]
+    words = lambda df: {r["word"] for r in df.collect() if r["told"][0]}
+    assert words(toxicity.learn_words(toxic_rows, labels)) == set(marks)
+    assert not words(toxicity.learn_words(toxic_rows, labels.where("doc_id % 5 = 0").withColumn("toxic", (F.col("doc_id") % 10 > 0).cast("int"))))
     assert names(toxicity.clause_outputs(["you", "are", "not", "zimtup"], frozenset(marks))) == ["learnt_negated"]
 
 
+def plain_toxicity(rows, labels):
+    """(doc_id, score) of all rows: word counts, clause counts, Newton steps and scores with no Spark; rows: (doc_id, text)."""
+    known = {}
+    for i, t in labels:
+        known[i] = max(known.get(i, 0), t)
+    signed = lambda x: xxhash.xxh64_intdigest(x.encode(), 42) - (1 << 64 if xxhash.xxh64_intdigest(x.encode(), 42) >> 63 else 0)
+    half = lambda t: signed(t) % 2
+    learn = [(i, t, known[i]) for i, t in rows if i in known and zlib.crc32(str(i).encode()) % 4 != 2]
+    texts = {}
+    for _, t, toxic in learn:
+        texts[t] = max(texts.get(t, 0), toxic)
+
+    def told(some):
+        n, k = {}, {}
+        for t, toxic in some:
+            for w in set(toxicity.words_of(t)) - toxicity._CLASS_OF.keys():
+                n[w], k[w] = n.get(w, 0) + 1, k.get(w, 0) + toxic
+        return frozenset(w for w in n if k[w] >= 3 and k[w] >= 0.9 * n[w])
+
+    lists = [told(x for x in texts.items() if half(x[0]) == b) for b in (0, 1)]
+    x = np.array([[1, *np.log2(1 + np.array(toxicity.pattern_of(t, lists[1 - half(t)])))] for _, t, _ in learn])
+    y, start = np.array([toxic for *_, toxic in learn]), np.array([toxicity.BASE_WEIGHT, *toxicity.WEIGHTS])
+    w = start.copy()
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x @ w))
+        slope, curve = x.T @ (y - p) - (w - start), (x * (p * (1 - p))[:, None]).T @ x + np.eye(len(w))
+        w += np.clip(np.linalg.solve(curve, slope), -2, 2)
+    every = told(texts.items())
+    return sorted((i, float(1 / (1 + np.exp(-(w[0] + np.log2(1 + np.array(toxicity.pattern_of(t, every))) @ w[1:]))))) for i, t in rows)
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_counts_fit_and_scores_equal_plain_ones(spark, monkeypatch, most):
+    monkeypatch.setattr(toxicity, "LEARN_BROADCAST", most)
+    folder = f"{os.path.dirname(SF)}/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    rows, known = [tuple(r) for r in docs.select("doc_id", "text").where("text is not null").collect()], [tuple(r) for r in labels.select("doc_id", "toxic").where("toxic is not null").collect()]
+    got = sorted((r["doc_id"], r["score"]) for r in toxicity.score(docs.where("text is not null"), labels).collect())
+    want = plain_toxicity(rows, known)
+    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([x for _, x in got], [x for _, x in want], atol=1e-7)
+    kept = {r["doc_id"] for r in toxicity.drop_toxic(docs, labels).where("text is not null").collect()}
+    assert kept == {i for i, x in want if x < toxicity.THRESHOLD}
+
+
 # 9: neighbours
 
 
