@@ -3,7 +3,7 @@ about 200,000 rows, which one task folds in a second. `affine_scan` serves serie
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -63,29 +63,57 @@ def adx(h, l, c, p: int = 14) -> np.ndarray:  # noqa: E741
     return out
 
 
+#: Reversal that confirms a swing, by timeframe.
+ZIGZAG = {"5min": 0.005, "15min": 0.01, "1h": 0.02, "1d": 0.03}
+
+
+class ZigzagFold:
+    """Alternating extremes reversed by `threshold`, bar by bar: `push` gives (pivot, confirm, price, kind) once a swing is confirmed.
+
+    The first direction goes by which extreme of the first 20 bars comes first, so these are held back; `finish` works off what a shorter series has.
+    """
+
+    def __init__(self, threshold: float):
+        self.threshold, self.n, self._held, self._rising = threshold, 0, [], None
+
+    def push(self, h: float, l: float) -> Iterator[tuple[int, int, float, str]]:  # noqa: E741
+        if self._rising is None:
+            self._held.append((h, l))
+            if len(self._held) == 20:
+                yield from self.finish()
+        else:
+            yield from self._step(h, l)
+
+    def finish(self) -> Iterator[tuple[int, int, float, str]]:
+        held, self._held = self._held, []
+        if len(held) < 3:
+            return
+        hs, ls = zip(*held, strict=True)
+        self._rising = hs.index(max(hs)) <= ls.index(min(ls))
+        self._x, self._at, self.n = hs[0] if self._rising else ls[0], 0, 1
+        for h, l in held[1:]:  # noqa: E741
+            yield from self._step(h, l)
+
+    def _step(self, h: float, l: float) -> Iterator[tuple[int, int, float, str]]:  # noqa: E741
+        i, self.n = self.n, self.n + 1
+        if self._rising:
+            if h > self._x:
+                self._x, self._at = h, i
+            if l <= self._x * (1 - self.threshold):
+                yield self._at, i, float(self._x), "high"
+                self._rising, self._x, self._at = False, l, i
+        else:
+            if l < self._x:
+                self._x, self._at = l, i
+            if h >= self._x * (1 + self.threshold):
+                yield self._at, i, float(self._x), "low"
+                self._rising, self._x, self._at = True, h, i
+
+
 def zigzag(h: np.ndarray, l: np.ndarray, threshold: float) -> list[tuple[int, int, float, str]]:  # noqa: E741
     """(pivot, confirm, price, kind): alternating extremes reversed by `threshold`. A pivot is known from `confirm` on."""
-    n = len(h)
-    if n < 3:
-        return []
-    first = min(n, 20)
-    rising = int(np.argmax(h[:first])) <= int(np.argmin(l[:first]))
-    top, top_at, low, low_at = h[0], 0, l[0], 0
-    out = []
-    for i in range(1, n):
-        if rising:
-            if h[i] > top:
-                top, top_at = h[i], i
-            if l[i] <= top * (1 - threshold):
-                out.append((top_at, i, float(top), "high"))
-                rising, low, low_at = False, l[i], i
-        else:
-            if l[i] < low:
-                low, low_at = l[i], i
-            if h[i] >= low * (1 + threshold):
-                out.append((low_at, i, float(low), "low"))
-                rising, top, top_at = True, h[i], i
-    return out
+    fold = ZigzagFold(threshold)
+    return [x for hl in zip(h.tolist(), l.tolist(), strict=True) for x in fold.push(*hl)] + list(fold.finish())
 
 
 #: Columns of the one pass over a series that the detectors and features read.
@@ -124,23 +152,47 @@ def zigzag_pivots(bars: DataFrame, threshold: float) -> DataFrame:
     return bars.groupBy("symbol", "tf").applyInPandas(run, "symbol string, tf string, pivot long, confirm long, price double, kind string")
 
 
-def affine_scan(df: DataFrame, keep: float, gain: float, value: str, name: str, chunk: int = 4096) -> DataFrame:
+def affine_fold(x: np.ndarray, keep: float, gain: float, block: int = 64) -> np.ndarray:
+    """y[i] = keep * y[i-1] + gain * x[i] with 0 before, block by block: within a block a product with powers of `keep`."""
+    n = len(x)
+    place = np.arange(block)
+    powers = np.where(place[:, None] >= place, keep ** np.abs(place[:, None] - place), 0.0)
+    rows = gain * np.append(x, np.zeros(-n % block)).reshape(-1, block) @ powers.T
+    decay, before = keep ** (place + 1), 0.0
+    for row in rows:
+        row += decay * before
+        before = row[-1]
+    return rows.ravel()[:n]
+
+
+def affine_scan(df: DataFrame, keep: float, gain: float, value: str, name: str, chunk: int = 65_536) -> DataFrame:
     """y = keep * y_before + gain * value, from the first value on, for series of any length.
 
-    Chunks of a series compose: each is reduced to its end value with y = 0 before it, a running fold over the
-    few chunk ends gives each chunk's start, and every row adds keep ** (its place) * start. `k` is the bar number.
+    A prefix scan of two levels: each chunk of a series is folded once with 0 before it; the chunks' ends, one row for
+    each, are folded along the series; and every row adds keep ** (its place) times the end before its chunk. `k` is the bar number.
     """
-    at = F.floor(F.col("k") / chunk)
-    inside = Window.partitionBy("symbol", "tf", "__chunk").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    first = F.when(F.col("k") == 0, F.col(value) / gain).otherwise(F.col(value))
-    rows = df.withColumn("__chunk", at).withColumn("__list", F.collect_list(first.cast("double")).over(inside))
-    local = F.aggregate("__list", F.lit(0.0), lambda y, x: keep * y + gain * x)
-    rows = rows.withColumn("__own", local).withColumn("__place", F.size("__list")).drop("__list")
-    ends = rows.groupBy("symbol", "tf", "__chunk").agg(F.max_by("__own", "__place").alias("e"), F.max("__place").alias("n"))
-    before = Window.partitionBy("symbol", "tf").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.aggregate(F.collect_list(F.struct("e", "n")).over(before), F.lit(0.0), lambda y, x: F.pow(F.lit(keep), x["n"]) * y + x["e"])
-    starts = ends.select("symbol", "tf", "__chunk", start.alias("__start"))
-    return rows.join(starts, ["symbol", "tf", "__chunk"]).withColumn(name, F.col("__own") + F.pow(F.lit(keep), F.col("__place")) * F.col("__start")).drop("__chunk", "__own", "__place", "__start")
+    first = F.when(F.col("k") == 0, F.col(value) / gain).otherwise(F.col(value)).cast("double")
+    rows = df.withColumns({"__chunk": F.floor(F.col("k") / chunk), "__x": first})
+    kinds = ", ".join([*(f"`{n}` {t}" for n, t in rows.dtypes if n != "__x"), "__own double, __place long"])
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("k", kind="stable")
+        own = affine_fold(pdf["__x"].to_numpy(dtype=np.float64), keep, gain)
+        return pdf.drop(columns="__x").assign(__own=own, __place=np.arange(1, len(pdf) + 1))
+
+    def along(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__chunk")
+        start, y = [], 0.0
+        for e, n in zip(pdf["e"].tolist(), pdf["n"].tolist(), strict=True):
+            start.append(y)
+            y = keep**n * y + e
+        return pdf.assign(__start=start)[["symbol", "tf", "__chunk", "__start"]]
+
+    folded = rows.groupBy("symbol", "tf", "__chunk").applyInPandas(inside, kinds)
+    ends = folded.groupBy("symbol", "tf", "__chunk").agg(F.max_by("__own", "__place").alias("e"), F.max("__place").alias("n"))
+    starts = ends.groupBy("symbol", "tf").applyInPandas(along, "symbol string, tf string, __chunk long, __start double")
+    out = folded.join(starts.hint("merge"), ["symbol", "tf", "__chunk"])
+    return out.withColumn(name, F.col("__own") + F.pow(F.lit(keep), F.col("__place")) * F.col("__start")).drop("__chunk", "__own", "__place", "__start")
 
 
 def windowed_atr(tr_list: Column, p: int = 14) -> Column:

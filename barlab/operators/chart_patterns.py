@@ -36,8 +36,9 @@ def with_visible_swings(bars: DataFrame, order: int) -> DataFrame:
     """Bars (with k) and structs `low` and `high` of the last swings visible at each."""
     w = I.series()
     marked = bars.withColumns({"is_high": F.coalesce(I.swing_high(order), F.lit(False)), "is_low": F.coalesce(I.swing_low(order), F.lit(False))})
-    after = w.rowsBetween(1, Window.unboundedFollowing)
-    nxt = lambda flag, price: F.first(F.when(F.col(flag), F.struct(F.col("k").alias("p"), F.col(price).alias("x"))), ignorenulls=True).over(after)
+    # from the last bar back: a frame that only grows, where one of all later bars would be worked out anew at every bar
+    after = Window.partitionBy("symbol", "tf").orderBy(F.desc("ts")).rowsBetween(Window.unboundedPreceding, -1)
+    nxt = lambda flag, price: F.last(F.when(F.col(flag), F.struct(F.col("k").alias("p"), F.col(price).alias("x"))), ignorenulls=True).over(after)
     marked = marked.withColumns({"after_low": nxt("is_high", "h"), "after_high": nxt("is_low", "l"), "left_rim": F.max("h").over(w.rowsBetween(Window.unboundedPreceding, -1))})
     out = bars
     for kind in ("low", "high"):

@@ -73,7 +73,7 @@ def setup_gate(candidates: DataFrame) -> DataFrame:
     """
     risk, long = F.abs(F.col("entry") - F.col("stop")), F.col("bias") == "long"
     atr = F.when(F.col("atr") > 0, F.col("atr")).otherwise(F.abs(F.col("price") * 0.01))
-    rr = F.round(F.abs(F.col("target") - F.col("entry")) / F.nullif(risk, F.lit(0.0)), 2)
+    rr = reward_to_risk(F.col("entry"), F.col("stop"), F.col("target"))
     late = F.when(long, F.col("price") > F.col("entry") + atr * 0.5).otherwise(F.col("price") < F.col("entry") - atr * 0.5)
     given = lambda x: F.nullif(F.col(x).cast("double"), F.lit(0.0))
     out = candidates.withColumns({"rr": rr, "t1": F.coalesce(given("target_1"), F.when(long, F.col("entry") + risk).otherwise(F.col("entry") - risk)), "t2": F.coalesce(given("target_2"), F.col("target")), "confidence": F.least(F.lit(0.95), F.col("confidence"))})
@@ -356,11 +356,14 @@ def catalogue(tfs: Iterable[str]) -> list[Detector]:
 REGISTERED: list[Detector] = []
 
 
+def reward_to_risk(entry: Column, stop: Column, target: Column) -> Column:
+    """Reward over risk to two places, as a setup is judged; null without risk."""
+    return F.round(F.abs(target - entry) / F.nullif(F.abs(entry - stop), F.lit(0.0)), 2)
+
+
 def gated(candidates: Column) -> Column:
-    """Candidates with risk, at least 1 R to the second target."""
-    risk = lambda x: F.abs(x["entry"] - x["stop"])
-    side = lambda x: F.when(x["bias"] == "long", x["entry"] - x["stop"]).otherwise(x["stop"] - x["entry"]) > 0
-    return F.filter(candidates, lambda x: x["pattern"].isNotNull() & side(x) & (F.abs(x["t2"] - x["entry"]) >= risk(x)))
+    """Candidates with risk, and 1 R to the second target as `setup_gate` measures it. Their entry is the price, which so has not run past it."""
+    return F.filter(candidates, lambda x: x["pattern"].isNotNull() & (reward_to_risk(x["entry"], x["stop"], x["t2"]) >= 1))
 
 
 def detect(wide_bars: DataFrame, detectors: list[Detector]) -> DataFrame:
@@ -415,5 +418,5 @@ def power_hour(wide_bars: DataFrame, block_days: int = 16, band: float = 1 / 512
         "symbol", "tf", "ts", "k", "atr", F.concat(F.lit("power_hour_"), bias).alias("pattern"), bias.alias("bias"), F.col("c").cast("double").alias("entry"), (F.col("vwap") - sign * 0.1 * F.col("atr")).alias("stop"),
         (F.col("c") + sign * 0.5 * F.col("atr")).alias("t1"), (F.col("c") + sign * F.col("atr")).alias("t2"), F.lit(0.55).alias("confidence"),
     )
-    risk = F.when(F.col("bias") == "long", F.col("entry") - F.col("stop")).otherwise(F.col("stop") - F.col("entry"))
-    return out.where((risk > 0) & (F.abs(F.col("t2") - F.col("entry")) >= risk)).withColumn("rr", F.abs(F.col("t2") - F.col("entry")) / risk)
+    entry, stop, target = F.col("entry"), F.col("stop"), F.col("t2")
+    return out.where(reward_to_risk(entry, stop, target) >= 1).withColumn("rr", F.abs(target - entry) / F.abs(entry - stop))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +53,11 @@ def swing_helpers(pivots: DataFrame) -> DataFrame:
     )
 
 
+def pivots_between(pivots: DataFrame, first: Column | str, last: Column | str) -> DataFrame:
+    """Pivots from bar `first` to bar `last`, both included."""
+    return pivots.where((F.col("pivot") >= first) & (F.col("pivot") <= last))
+
+
 def fit_trendline(points: DataFrame, *keys: str) -> DataFrame:
     """Least squares of price on bar number by key; r2 is 0 when flat."""
     return points.groupBy(*keys).agg(
@@ -81,27 +88,60 @@ def channels(pivots: DataFrame, n: int = 4, least_r2: float = 0.6) -> DataFrame:
     )
 
 
+def level_starts(price: np.ndarray, tolerance: float) -> np.ndarray:
+    """Starts of the levels of sorted prices: a level takes what lies within `tolerance` of its first price.
+
+    A jump chain: each start points to the first price beyond its reach, found by bisection, so only starts are visited.
+    """
+    starts, i = [], 0
+    while i < len(price):
+        starts.append(i)
+        reach = price[i] * tolerance
+        after = int(np.searchsorted(price, price[i] + reach, side="right"))
+        # the sum is rounded; the rule is on the difference
+        while after < len(price) and price[after] - price[i] <= reach:
+            after += 1
+        while after > i + 1 and price[after - 1] - price[i] > reach:
+            after -= 1
+        i = max(after, i + 1)
+    return np.array(starts, dtype=np.int64)
+
+
+_LEVEL = "symbol string, tf string, price double, touches long, width double, type string"
+
+
 def cluster_levels(pivots: DataFrame, tolerance: float = 0.008, least: int = 2) -> DataFrame:
     """Greedy price levels: in price order, a level takes what lies within `tolerance` of its first price.
 
-    The fold runs over a series' pivots, far fewer than its bars; a wide price band would be dealt by band first.
+    One series' pivots are a group, far fewer than its bars; the time goes with pivots times their logarithm.
     """
-    points = pivots.groupBy("symbol", "tf").agg(F.array_sort(F.collect_list(F.struct("price", "pivot", "kind"))).alias("ps"))
 
-    def step(levels: Column, x: Column) -> Column:
-        joins = (F.size(levels) > 0) & (x["price"] - F.get(F.get(levels, F.size(levels) - 1)["ps"], 0)["price"] <= F.get(F.get(levels, F.size(levels) - 1)["ps"], 0)["price"] * tolerance)
-        grown = F.concat(F.slice(levels, 1, F.greatest(F.size(levels) - 1, F.lit(0))), F.array(F.struct(F.concat(F.try_element_at(levels, F.lit(-1))["ps"], F.array(x)).alias("ps"))))
-        return F.when(joins, grown).otherwise(F.concat(levels, F.array(F.struct(F.array(x).alias("ps")))))
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["price", "pivot", "kind"])
+        price, high = pdf["price"].to_numpy(dtype=np.float64), (pdf["kind"] == "high").to_numpy()
+        starts = level_starts(price, tolerance)
+        n = np.diff(np.append(starts, len(price)))
+        center = np.add.reduceat(price, starts) / n
+        width = np.sqrt(np.add.reduceat((price - np.repeat(center, n)) ** 2, starts) / n)
+        highs = np.add.reduceat(high.astype(np.int64), starts)
+        kind = np.where(highs == n, "resistance", np.where(highs == 0, "support", "both"))
+        out = pd.DataFrame({"symbol": pdf["symbol"].iloc[0], "tf": pdf["tf"].iloc[0], "price": center, "touches": n, "width": width, "type": kind})
+        return out[out["touches"] >= least]
+
+    return pivots.select("symbol", "tf", "price", "pivot", "kind").groupBy("symbol", "tf").applyInPandas(run, _LEVEL)
+
 
-    kind = "array<struct<ps:array<struct<price:double,pivot:bigint,kind:string>>>>"
-    typed = points.withColumn("ps", F.col("ps").cast("array<struct<price:double,pivot:bigint,kind:string>>"))
-    levels = typed.select("symbol", "tf", F.explode(F.aggregate("ps", F.array().cast(kind), step)).alias("g")).where(F.size("g.ps") >= least)
-    prices = F.transform("g.ps", lambda x: x["price"])
-    n = F.size(prices)
-    center = F.aggregate(prices, F.lit(0.0), lambda a, x: a + x) / n
-    spread = F.sqrt(F.aggregate(prices, F.lit(0.0), lambda a, x: a + (x - center) * (x - center)) / n)
-    highs = F.size(F.filter("g.ps", lambda x: x["kind"] == "high"))
-    return levels.select("symbol", "tf", center.alias("price"), n.cast("long").alias("touches"), spread.alias("width"), F.when(highs == n, "resistance").when(highs == 0, "support").otherwise("both").alias("type"))
+def horizontal_levels(pivots: DataFrame, tolerance: float = 0.005, least: int = 2) -> DataFrame:
+    """symbol, tf, side, rank, price, touches, strength, low, high: levels as support and as resistance, those of both kinds in both lists.
+
+    Ranked by touches, then by price; 15 points of strength a touch, 100 at most; low and high bound the level's zone.
+    """
+    levels = cluster_levels(pivots, tolerance, least)
+    sides = F.when(F.col("type") == "both", F.array(F.lit("support"), F.lit("resistance"))).otherwise(F.array("type"))
+    order = Window.partitionBy("symbol", "tf", "side").orderBy(F.desc("touches"), "price")
+    listed = levels.withColumn("side", F.explode(sides)).withColumn("rank", F.row_number().over(order))
+    strength = F.least(F.lit(100.0), F.col("touches") * 15.0)
+    return listed.select("symbol", "tf", "side", "rank", "price", "touches", strength.alias("strength"), (F.col("price") - F.col("width")).alias("low"), (F.col("price") + F.col("width")).alias("high"))
 
 
 def detect_breakouts(levels: DataFrame, bars: DataFrame, last: int = 3) -> DataFrame:
@@ -116,31 +156,51 @@ def detect_breakouts(levels: DataFrame, bars: DataFrame, last: int = 3) -> DataF
     return hit.groupBy("symbol", "tf", "price", "width").agg(F.min("k").alias("k"), F.min_by("side", "k").alias("side"))
 
 
-def nearest_level(points: DataFrame, levels: DataFrame) -> DataFrame:
-    """The level nearest to each point of its series, by distance, then price.
+def best_levels(points: DataFrame, levels: DataFrame, x: Column, wanted: dict[str, tuple[Column, bool, bool]]) -> DataFrame:
+    """`points` with, for each name, the greatest value of all levels of the series on one side of the price `x`.
 
-    Points and levels are put in price order once; the nearest level below and above are running values, so no point meets
-    all levels. Prices go in bands of the series' price range, and a band takes its ends from its neighbours, so that a series
-    is not one group.
+    wanted: name to (value of a level, whether levels above count rather than those below, whether one at `x` counts). Points
+    and levels are put in price order once a side; the best so far is a running maximum, so no point meets all levels and no
+    frame looks forward. Prices go in bands that grow with the price, and a band takes the best of the bands before from
+    one row for each band, so that a series is not one group.
     """
-    band = F.floor(F.log2(F.greatest(F.col("x").cast("double"), F.lit(1e-9))) * 64)
-    a = points.select("symbol", "tf", F.col("c").alias("x"), "k", F.lit(1).alias("side"))
-    b = levels.select("symbol", "tf", F.col("price").alias("x"), F.lit(None).cast("long").alias("k"), F.lit(0).alias("side")).distinct()
-    both = a.unionByName(b).withColumn("band", band)
-    level = F.when(F.col("side") == 0, F.col("x"))
-    within = Window.partitionBy("symbol", "tf", "band").orderBy("x", "side")
-    ends = both.groupBy("symbol", "tf", "band").agg(F.max(level).alias("top"), F.min(level).alias("bottom"))
-    bands = Window.partitionBy("symbol", "tf").orderBy("band")
-    ends = ends.select(
-        "symbol", "tf", "band", F.last("top", ignorenulls=True).over(bands.rowsBetween(Window.unboundedPreceding, -1)).alias("from_below"),
-        F.first("bottom", ignorenulls=True).over(bands.rowsBetween(1, Window.unboundedFollowing)).alias("from_above"),
-    )
-    near = both.withColumns(
-        {"below": F.last(level, ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0)), "above": F.first(level, ignorenulls=True).over(within.rowsBetween(1, Window.unboundedFollowing))}
-    ).where("side = 1")
-    near = near.join(ends.hint("merge"), ["symbol", "tf", "band"]).withColumns({"below": F.coalesce("below", "from_below"), "above": F.coalesce("above", "from_above")})
-    pick = F.when(F.col("above").isNull() | (F.col("x") - F.col("below") <= F.col("above") - F.col("x")), F.col("below")).otherwise(F.col("above"))
-    return near.where("below is not null or above is not null").select("symbol", "tf", "k", F.col("x").alias("c"), pick.alias("level"))
+    key = ["symbol", "tf"]
+    none = [value.alias(name) for name, (value, _, _) in wanted.items()]
+    b = levels.select(*key, F.col("price").cast("double").alias("__x"), F.lit(0).alias("__side"), *none)
+    kinds = dict(b.dtypes)
+    a = points.select(*key, x.cast("double").alias("__x"), F.lit(1).alias("__side"), *(F.lit(None).cast(kinds[n]).alias(n) for n in wanted), F.struct("*").alias("__row"))
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("__band", F.floor(F.log2(F.greatest("__x", F.lit(1e-9))) * 64))
+    best, ends = {}, {}
+    for name, (_, up, at) in wanted.items():
+        by, side = (F.desc("__x") if up else F.asc("__x")), (F.asc("__side") if at else F.desc("__side"))
+        best[name] = F.max(name).over(Window.partitionBy(*key, "__band").orderBy(by, side).rowsBetween(Window.unboundedPreceding, -1))
+        bands = Window.partitionBy(*key).orderBy(F.desc("__band") if up else F.asc("__band"))
+        ends[name] = F.max(f"__end_{name}").over(bands.rowsBetween(Window.unboundedPreceding, -1))
+    lasts = both.groupBy(*key, "__band").agg(*(F.max(n).alias(f"__end_{n}") for n in wanted)).withColumns({f"__end_{n}": e for n, e in ends.items()})
+    found = both.withColumns({f"__best_{n}": e for n, e in best.items()}).where("__side = 1").join(lasts.hint("merge"), [*key, "__band"])
+    return found.select("__row.*", *(F.greatest(f"__best_{n}", f"__end_{n}").alias(n) for n in wanted))
+
+
+def nearest_level(points: DataFrame, levels: DataFrame, direction: str = "any") -> DataFrame:
+    """symbol, tf, k, c, level: the level nearest to each point of its series, by distance, then price; `direction` above or below: beyond the point alone."""
+    price = F.col("price").cast("double")
+    found = best_levels(points.select("symbol", "tf", "k", "c"), levels, F.col("c"), {"below": (price, False, direction == "any"), "above": (-price, True, False)})
+    above, below = -F.col("above"), F.col("below")
+    nearer = F.when(above.isNull() | (F.col("c") - below <= above - F.col("c")), below).otherwise(above)
+    level = {"any": nearer, "above": above, "below": below}[direction]
+    return found.select("symbol", "tf", "k", "c", level.alias("level")).where("level is not null")
+
+
+def level_targets(points: DataFrame, levels: DataFrame, least_rr: float = 1.0) -> DataFrame:
+    """`points` (with c and atr) with target_long and target_short: of the levels that lie `least_rr` ATRs or more beyond the price, the one of most touches, then of the least price."""
+    rank = F.struct("touches", (-F.col("price").cast("double")).alias("p"))
+    away = F.when(F.col("atr") > 0, F.col("atr") * least_rr)
+    out = points
+    for name, sign in (("target_long", 1), ("target_short", -1)):
+        found = best_levels(out, levels, F.col("c") + sign * away, {name: (rank, sign > 0, True)})
+        # without an ATR there is no risk to weigh, and a level at the very price is no target
+        out = found.withColumn(name, F.when(away.isNotNull() & (F.col(name)["p"] * -sign > sign * F.col("c")), -F.col(name)["p"]))
+    return out
 
 
 def zones_of(points: DataFrame, zones: DataFrame, width: float = 1 / 64) -> DataFrame:

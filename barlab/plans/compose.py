@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from barlab.functions import folds
 from barlab.operators import detect as D
@@ -85,7 +87,7 @@ def series_detector(bars: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame],
 
 def register_sql_functions(spark: SparkSession) -> None:
     """For SQL users: last_ema(array, p); the grouped aggregates ema(x, ts, p) and wilder_atr(h, l, c, ts, p); and the table function
-    swings(TABLE(bars) PARTITION BY (symbol, tf) ORDER BY ts), whose rows are the confirmed zigzag swings of a series."""
+    swings(TABLE(bars) PARTITION BY (symbol, tf) ORDER BY ts [, threshold]), whose rows are the confirmed zigzag swings of a series."""
     from pyspark.sql.types import DoubleType
 
     def last_ema(xs: pd.Series, p: pd.Series) -> pd.Series:
@@ -104,27 +106,40 @@ def register_sql_functions(spark: SparkSession) -> None:
     spark.udf.register("last_ema", F.pandas_udf(last_ema, DoubleType()))
     spark.udf.register("ema", F.pandas_udf(ema, DoubleType()))
     spark.udf.register("wilder_atr", F.pandas_udf(wilder_atr, DoubleType()))
-    spark.udtf.register("swings", F.udtf(Swings, returnType="symbol string, tf string, pivot int, confirm int, price double, kind string"))
+    spark.udtf.register("swings", F.udtf(Swings))
 
 
 class Swings:
-    """Zigzag swings of one partition's rows, in order: keeps the running extreme and puts a swing out once it is confirmed."""
+    """Zigzag swings of one partition's rows, in order: swings(TABLE(bars) PARTITION BY (symbol, tf) ORDER BY ts [, threshold]).
+
+    The threshold is a share of the price, by default the timeframe's. A partition keeps its running extreme alone, and a swing
+    goes out at the bar that confirms it.
+    """
+
+    @staticmethod
+    def analyze(row: AnalyzeArgument, threshold: AnalyzeArgument | None = None) -> AnalyzeResult:
+        if not row.isTable:
+            raise ValueError("swings takes a table: swings(TABLE(bars) PARTITION BY (symbol, tf) ORDER BY ts)")
+        names = {f.name for f in row.dataType.fields}
+        if lacking := {"symbol", "tf", "h", "l"} - names:
+            raise ValueError(f"swings needs the columns {sorted(lacking)}")
+        if threshold is not None and not (threshold.isConstantExpression and threshold.value is not None and 0 < float(threshold.value) < 1):
+            raise ValueError("the threshold of swings is a constant between 0 and 1")
+        return AnalyzeResult(StructType.fromDDL("symbol string, tf string, pivot int, confirm int, price double, kind string"))
 
     def __init__(self):
-        self._bars: list[tuple[float, float]] = []
-        self._of = (None, None)
+        self._fold, self._of = None, ()
 
-    def eval(self, row):
-        self._of = (row["symbol"], row["tf"])
-        self._bars.append((float(row["h"]), float(row["l"])))
+    def eval(self, row, threshold=None):
+        if self._fold is None:
+            self._of = (row["symbol"], row["tf"])
+            self._fold = folds.ZigzagFold(float(threshold) if threshold is not None else folds.ZIGZAG.get(row["tf"], folds.ZIGZAG["1d"]))
+        for swing in self._fold.push(float(row["h"]), float(row["l"])):
+            yield (*self._of, *swing)
 
     def terminate(self):
-        import numpy as np
-
-        if self._bars:
-            h, l = np.array(self._bars).T  # noqa: E741
-            for pivot, confirm, price, kind in folds.zigzag(h, l, 0.03):
-                yield (*self._of, pivot, confirm, price, kind)
+        for swing in self._fold.finish() if self._fold else ():
+            yield (*self._of, *swing)
 
 
 def with_param_table(detect_rows: DataFrame, params: DataFrame) -> DataFrame:

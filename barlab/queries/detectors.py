@@ -189,6 +189,29 @@ def nearest_level(spark, sf_dir):
     return S.nearest_level(bars, _pivots(spark, sf_dir)).select("symbol", "k", "c", "level")
 
 
+def horizontal_levels(spark, sf_dir):
+    found = S.horizontal_levels(_pivots(spark, sf_dir), 0.008)
+    return found.select("symbol", "side", "rank", F.round("price", 4).alias("price"), "touches", "strength", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
+
+
+def level_search(spark, sf_dir):
+    """For every bar, the nearest level below, above and either way, and the targets by touches at least one ATR (here the mean range of 14 bars) away."""
+    bars = resample.with_index(fixtures.daily(spark, sf_dir)).select("symbol", "tf", "k", "c", F.avg(F.col("h") - F.col("l")).over(I.frame(-13)).alias("atr"))
+    levels = S.cluster_levels(_pivots(spark, sf_dir))
+    out = S.level_targets(bars, levels)
+    for direction in ("below", "above", "any"):
+        found = S.nearest_level(bars, levels, direction).select("symbol", "tf", "k", F.col("level").alias(direction))
+        out = out.join(found.hint("merge"), ["symbol", "tf", "k"], "left")
+    return out.select("symbol", "k", *(F.round(x, 4).alias(x) for x in ("below", "above", "any", "target_long", "target_short")))
+
+
+def swing_window(spark, sf_dir):
+    """The last two highs and lows among the pivots of each series' bars 100 to 300, and all between."""
+    found = S.pivots_between(_pivots(spark, sf_dir), F.lit(100), F.lit(300))
+    last = S.last_pivots(found, 2).groupBy("symbol", "kind").agg(F.min("pivot").alias("earlier"), F.max("pivot").alias("last"), F.max_by("price", "pivot").alias("last_price"))
+    return last.join(found.groupBy("symbol", "kind").agg(F.count("*").alias("pivots")).hint("merge"), ["symbol", "kind"])
+
+
 def as_of_regime(spark, sf_dir):
     """Closed trades with the benchmark's last close at or before the entry."""
     trades = store.history_union(fixtures.trades(spark, sf_dir)).select(F.lit("STANDARD").alias("market"), F.col("entered_at").alias("ts"), "id")
@@ -231,7 +254,7 @@ def breakout_study(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        detect_daily, detect_daily_windows, detect_swing, detect_intraday, power_hour, chart_patterns, breaking_news, opening_range_break, ema_vwap_cross, fashionably_late, spencer, session_patterns, session_scalps, level_scalps, setup_gate, pivot_bonuses, neckline, tidal_wave, price_in_zone, results_sink, swing_pivots, swing_helpers, fit_trendline, detect_channel, cluster_levels, detect_breakouts, nearest_level, as_of_regime,
+        detect_daily, detect_daily_windows, detect_swing, detect_intraday, power_hour, chart_patterns, breaking_news, opening_range_break, ema_vwap_cross, fashionably_late, spencer, session_patterns, session_scalps, level_scalps, setup_gate, pivot_bonuses, neckline, tidal_wave, price_in_zone, results_sink, swing_pivots, swing_helpers, fit_trendline, detect_channel, cluster_levels, detect_breakouts, nearest_level, horizontal_levels, level_search, swing_window, as_of_regime,
         feature_vector, detect_regime, regime_alignment, relative_strength, scan, walk_forward_backtest, breakout_study,
     )
 }
@@ -275,7 +298,7 @@ _REG = f"""{_D}, {ATR_SQL}, m AS (SELECT symbol, ts, k, c, CASE WHEN count(y) OV
   CASE WHEN k >= 200 THEN avg(c) OVER {over(-199)} WHEN k >= 50 THEN avg(c) OVER {over(-49)} END AS anchor FROM d LEFT JOIN atr USING (symbol, k)), g AS (SELECT *, anchor / {lag('anchor', 19)} - 1 AS slope FROM m),
   reg AS (SELECT symbol, ts, CASE WHEN k < 30 OR anchor IS NULL THEN 'mean_reverting' WHEN ratio > 1.8 THEN 'high_volatility' WHEN c > anchor AND slope > 0.005 THEN 'trending_bull' WHEN c < anchor AND slope < -0.005 THEN 'trending_bear' ELSE 'mean_reverting' END AS regime FROM g)"""
 ORACLE_SQL = {
-    "detect_daily_windows": f"WITH RECURSIVE {_WIDE}, s AS ({_SIGS}) SELECT symbol, tf, ts, pattern, bias, round(entry, 6) AS entry, round(stop, 6) AS stop, round(t1, 6) AS t1, round(t2, 6) AS t2, round(confidence, 6) AS confidence FROM s WHERE (CASE WHEN bias = 'long' THEN entry - stop ELSE stop - entry END) > 0 AND abs(t2 - entry) >= abs(entry - stop)",
+    "detect_daily_windows": f"WITH RECURSIVE {_WIDE}, s AS ({_SIGS}) SELECT symbol, tf, ts, pattern, bias, round(entry, 6) AS entry, round(stop, 6) AS stop, round(t1, 6) AS t1, round(t2, 6) AS t2, round(confidence, 6) AS confidence FROM s WHERE round(abs(t2 - entry) / nullif(abs(entry - stop), 0), 2) >= 1",
     "breaking_news": f"""WITH {DAILY}, w AS (SELECT *, {K} AS k, avg(v) OVER {over(-11, -2)} AS vol, avg(h - l) OVER {over(-11, -2)} AS sp FROM daily),
       s AS (SELECT symbol, ts, 'breaking_news' AS pattern, CASE WHEN c > o THEN 'long' ELSE 'short' END AS bias, c::DOUBLE AS entry, CASE WHEN c > o THEN l - 2 ELSE h + 2 END::DOUBLE AS stop, round(least(0.85, 0.45::DOUBLE + CASE WHEN v > 5 * vol THEN 0.15 ELSE 0 END + CASE WHEN h - l > 3 * sp THEN 0.10 ELSE 0 END), 6) AS confidence
         FROM w WHERE k >= 12 AND vol > 0 AND v >= 3 * vol AND sp > 0 AND h - l >= 2 * sp) SELECT *, 3 * entry - 2 * stop AS target FROM s""",
@@ -293,6 +316,8 @@ ORACLE_SQL = {
     "swing_pivots": f"WITH {_pv(5)} SELECT * FROM pv",
     "swing_helpers": f"WITH {_pv(5)} SELECT symbol, count(*) FILTER (kind = 'high') AS highs, count(*) FILTER (kind = 'low') AS lows, max(price) FILTER (kind = 'high') AS highest, min(price) FILTER (kind = 'low') AS lowest, arg_max(price, (\"pivot\", kind)) AS last_price, max(price) - min(price) AS price_range FROM pv GROUP BY 1",
     "fit_trendline": f"WITH {_pv(5)}{_LASTP.format(6)} SELECT symbol, kind, round(regr_slope(price, \"pivot\"), 6) AS slope, round(coalesce(regr_r2(price, \"pivot\"), 0), 6) AS r2, count(*) AS points, min(\"pivot\") AS start, max(\"pivot\") AS \"end\" FROM lp GROUP BY ALL",
+    "swing_window": f"""WITH {_pv(5)}, w AS (SELECT *, row_number() OVER (PARTITION BY symbol, kind ORDER BY "pivot" DESC) AS r, count(*) OVER (PARTITION BY symbol, kind) AS pivots FROM pv WHERE "pivot" BETWEEN 100 AND 300)
+      SELECT symbol, kind, min("pivot") AS earlier, max("pivot") AS last, arg_max(price, "pivot") AS last_price, any_value(pivots) AS pivots FROM w WHERE r <= 2 GROUP BY ALL""",
     "nearest_level": f"WITH {_pv(5)} SELECT b.symbol, k, c, arg_min(price, (abs(price - c), price)) AS level FROM kb b JOIN pv USING (symbol) GROUP BY ALL",
     "as_of_regime": f"WITH {CLOSED}, {DAILY}, m AS (SELECT ts AS mts, c FROM daily WHERE symbol = 'STANDARD') SELECT id, entered_at AS ts, c FROM closed ASOF LEFT JOIN m ON entered_at >= mts",
     "detect_regime": f"WITH RECURSIVE {_REG} SELECT symbol, ts, regime FROM reg",

@@ -96,7 +96,7 @@ ORACLE_SQL = {
     "chart_patterns": f"WITH {_CHART}, s AS ({_CHARTS}) SELECT symbol, ts, pattern, bias, round(entry, 6) AS entry, round(stop, 6) AS stop, round(target, 6) AS target, confidence FROM s",
     "zigzag": f"WITH RECURSIVE {_ZIGZAG} SELECT symbol, '1d' AS tf, ta AS \"pivot\", k AS confirm, tx AS price, CASE WHEN up THEN 'low' ELSE 'high' END AS kind FROM zz WHERE turned",
     "select_non_overlapping": f"WITH RECURSIVE {_GREEDY} SELECT symbol, k, bias, k_exit, outcome FROM gr JOIN ca USING (symbol, i) WHERE took",
-    "scan": f"""WITH RECURSIVE {_WIDER}, s AS ({_SIGS} UNION ALL {' UNION ALL '.join(_MORE)}), e AS (SELECT symbol, max(ts) AS ts FROM daily GROUP BY 1), g AS (SELECT *, abs(t2 - entry) / abs(entry - stop) AS rr FROM s JOIN e USING (symbol, ts) WHERE (CASE WHEN bias = 'long' THEN entry - stop ELSE stop - entry END) > 0 AND abs(t2 - entry) >= abs(entry - stop)),
+    "scan": f"""WITH RECURSIVE {_WIDER}, s AS ({_SIGS} UNION ALL {' UNION ALL '.join(_MORE)}), e AS (SELECT symbol, max(ts) AS ts FROM daily GROUP BY 1), g AS (SELECT *, abs(t2 - entry) / abs(entry - stop) AS rr FROM s JOIN e USING (symbol, ts) WHERE round(abs(t2 - entry) / nullif(abs(entry - stop), 0), 2) >= 1),
       q AS (SELECT symbol, pattern AS pattern_name, bias, round(confidence * 70 + ({_RR}) * 0.3::DOUBLE, 6) AS composite FROM g), p AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY composite DESC, pattern_name) AS rank FROM q) SELECT * FROM p WHERE rank <= 2""",
     "stream_setup_lifecycle": f"""{_paths(60)}
       SELECT symbol, setup_id, status, ended AS at, (CASE cause WHEN 'STOPPED' THEN -1000 WHEN 'AT_T2' THEN 2000 ELSE 0 END)::BIGINT AS r_milli FROM d WHERE cause IS NOT NULL""",

@@ -86,7 +86,7 @@ _MORE = [
     _of("distribution_short", "short", 30, f"NOT {_MANY} AND {_SELLING} AND c <= coalesce(sma50, c)", "c + 3.25::DOUBLE * atr", "c - 3.75::DOUBLE * atr", "c - 7 * atr", "0.52::DOUBLE + least(0.08::DOUBLE, (dis10 - 3) * 0.02::DOUBLE)"),
 ]
 _GATED = """SELECT symbol, tf, ts, pattern, bias, round(entry, 6) AS entry, round(stop, 6) AS stop, round(t1, 6) AS t1, round(t2, 6) AS t2, round(confidence, 6) AS confidence FROM s
-  WHERE (CASE WHEN bias = 'long' THEN entry - stop ELSE stop - entry END) > 0 AND abs(t2 - entry) >= abs(entry - stop)"""
+  WHERE round(abs(t2 - entry) / nullif(abs(entry - stop), 0), 2) >= 1"""
 
 # Bars of both swing timeframes, with what their patterns read.
 _IN = "(PARTITION BY symbol, tf ORDER BY ts ROWS BETWEEN {} PRECEDING AND {})"
@@ -138,6 +138,12 @@ ORACLE_SQL = {
     "detect_daily": f"WITH RECURSIVE {_WIDER}, s AS ({_SIGS} UNION ALL {' UNION ALL '.join(_MORE)}) {_GATED}",
     "detect_swing": f"WITH RECURSIVE {_SWING}, s AS ({_SWINGS}) {_GATED}",
     "cluster_levels": f"WITH RECURSIVE {_LEVELS_8} SELECT symbol, round(price, 4) AS price, touches, round(width, 4) AS width, type FROM levels",
+    "horizontal_levels": f"""WITH RECURSIVE {_LEVELS_8}, s AS (SELECT * FROM levels JOIN (VALUES ('support'), ('resistance')) v(side) ON type IN (side, 'both'))
+      SELECT symbol, side, row_number() OVER (PARTITION BY symbol, side ORDER BY touches DESC, price)::INTEGER AS rank, round(price, 4) AS price, touches, least(100.0::DOUBLE, touches * 15.0::DOUBLE) AS strength, round(price - width, 4) AS low, round(price + width, 4) AS high FROM s""",
+    "level_search": f"""WITH RECURSIVE {_LEVELS_8}, b AS (SELECT symbol, k, c, avg(h - l) OVER {over(-13)} AS atr FROM kb)
+      SELECT b.symbol, k, round(max(price) FILTER (price < c), 4) AS below, round(min(price) FILTER (price > c), 4) AS above, round(arg_min(price, (abs(price - c), price)), 4) AS "any",
+        round(arg_max(price, (touches, -price)) FILTER (atr > 0 AND price > c AND price >= c + atr), 4) AS target_long, round(arg_max(price, (touches, -price)) FILTER (atr > 0 AND price < c AND price <= c - atr), 4) AS target_short
+      FROM b LEFT JOIN levels v USING (symbol) GROUP BY b.symbol, k""",
     "price_in_zone": f"WITH RECURSIVE {_LEVELS_8} SELECT b.symbol, k, count(*) AS zones FROM kb b JOIN levels v ON v.symbol = b.symbol AND c BETWEEN price - width AND price + width GROUP BY ALL",
     "detect_breakouts": f"""WITH RECURSIVE {_LEVELS_4}, r AS (SELECT symbol, k, c, max(c) OVER {over(-5, -1)} AS top, min(c) OVER {over(-5, -1)} AS bottom, max(k) OVER (PARTITION BY symbol) AS e FROM kb),
       m AS (SELECT r.symbol, price, k, CASE WHEN c > price + width AND bottom < price THEN 'up' WHEN c < price - width AND top > price THEN 'down' END AS side FROM r JOIN levels v ON v.symbol = r.symbol WHERE k > e - 40)

@@ -148,5 +148,5 @@ ORACLE_SQL = {
       a AS (SELECT * FROM j WHERE mi BETWEEN 840 AND 870 AND sv IS NOT NULL AND k >= 30 AND atr > 0 AND v6 >= 1.2::DOUBLE * v78), m AS (SELECT a.symbol, a.ts, count(*) AS m, count(*) FILTER (p.c > a.sv) / count(*)::DOUBLE AS share FROM a JOIN j p ON p.symbol = a.symbol AND p.ts <= a.ts AND p.mi >= 780 GROUP BY ALL),
       b AS (SELECT a.*, CASE WHEN share > 0.70::DOUBLE THEN 1 WHEN share < 0.30::DOUBLE THEN -1 END AS sg FROM a JOIN m USING (symbol, ts) WHERE m >= 10),
       s AS (SELECT symbol, '5min' AS tf, ts, CASE WHEN sg = 1 THEN 'power_hour_long' ELSE 'power_hour_short' END AS pattern, CASE WHEN sg = 1 THEN 'long' ELSE 'short' END AS bias, c::DOUBLE AS entry, sv - sg * 0.1::DOUBLE * atr AS stop, c + sg * 0.5::DOUBLE * atr AS t1, c + sg * atr AS t2, 0.55::DOUBLE AS confidence, sg FROM b WHERE sg IS NOT NULL)
-      SELECT symbol, tf, ts, pattern, bias, round(entry, 6) AS entry, round(stop, 6) AS stop, round(t1, 6) AS t1, round(t2, 6) AS t2, confidence FROM s WHERE sg * (entry - stop) > 0 AND abs(t2 - entry) >= abs(entry - stop)""",
+      SELECT symbol, tf, ts, pattern, bias, round(entry, 6) AS entry, round(stop, 6) AS stop, round(t1, 6) AS t1, round(t2, 6) AS t2, confidence FROM s WHERE round(abs(t2 - entry) / nullif(abs(entry - stop), 0), 2) >= 1""",
 }
