@@ -6,6 +6,11 @@ are worked out once per swing and carried forward to the bars; no bar keeps a gr
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -237,136 +242,213 @@ def gap_give_and_go(bars: DataFrame) -> DataFrame:
 def session_scalps(wide: DataFrame) -> DataFrame:
     """Rubber band and back side at every bar that completes one; needs atr, vwap and ema9.
 
-    Both look at the bars of the session so far, which is bounded, so a session is one small group: `_rubber_band` and
-    `_back_side` read each of its prefixes.
+    Both go by the session's low so far and the bars after it. A session is bounded, so it is one small group, read once
+    as arrays with a running low.
     """
-    import pandas as pd
-
     fields = ["symbol", "tf", "ts", "o", "h", "l", "c", "v", "atr", "vwap", "ema9", "n", "e2"]
     df = wide.withColumns({"n": I.bars_so_far(), "e2": F.lag("ema9", 2).over(I.series())}).select(*fields, F.to_date("ts").alias("day"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts", kind="stable").reset_index(drop=True)
-        rows = [(*pdf.loc[i, ["symbol", "tf", "ts"]], *found) for i in range(len(pdf)) for make in (_rubber_band, _back_side) if (found := make(pdf.iloc[: i + 1]))]
-        return pd.DataFrame(rows, columns=["symbol", "tf", "ts", *SIGNAL])
+        day = {x: pdf[x].to_numpy(dtype=np.float64) for x in fields[3:]}
+        day["at"] = (pdf["ts"].dt.hour * 60 + pdf["ts"].dt.minute).to_numpy()
+        # the first bar of the lowest low so far
+        fresh = np.append(True, day["l"][1:] < np.minimum.accumulate(day["l"])[:-1])
+        lows = np.maximum.accumulate(np.where(fresh, np.arange(len(pdf)), 0))
+        found = [(i, signal) for i, low in enumerate(lows.tolist()) for make in (rubber_band, back_side) if (signal := make(day, i, low))]
+        return pd.DataFrame([(*pdf.loc[i, ["symbol", "tf", "ts"]], *signal) for i, signal in found], columns=["symbol", "tf", "ts", *SIGNAL])
 
     kinds = "symbol string, tf string, ts timestamp_ntz, pattern string, bias string, entry double, stop double, target double, confidence double"
     return df.groupBy("symbol", "tf", "day").applyInPandas(run, kinds)
 
 
-def _clock(ts) -> int:
-    return ts.hour * 60 + ts.minute
-
-
-def _rubber_band(day) -> tuple | None:
+def rubber_band(day: dict[str, np.ndarray], i: int, low: int) -> tuple | None:
     """A fall of an ATR or more that speeds up, and a rising bar that clears two highs: at that bar, while below the VWAP."""
-    i = len(day) - 1
-    o, h, l, c, v = (day[x].to_numpy() for x in "ohlcv")  # noqa: E741
-    now = day.iloc[-1]
-    low = int(l.argmin())
-    if now["n"] < 20 or not now["vwap"] > c[i] or not now["atr"] > 0 or not (low < i <= low + 9 and low >= 5) or c[i] <= o[i]:
+    o, h, l, c, v = (day[x] for x in "ohlcv")  # noqa: E741
+    atr, at = day["atr"][i], int(day["at"][i])
+    if day["n"][i] < 20 or not day["vwap"][i] > c[i] or not atr > 0 or not (low < i <= low + 9 and low >= 5) or c[i] <= o[i]:
         return None
-    cleared = [sum(h[k] > h[j] for j in range(max(low, k - 5), k)) >= 2 and c[k] > o[k] for k in range(low + 1, i + 1)]
-    reach, mid = (o[0] - l[low]) / now["atr"], low // 2
+    clears = lambda k: (h[k] > h[max(low, k - 5) : k]).sum() >= 2 and c[k] > o[k]
+    reach, mid = (o[0] - l[low]) / atr, low // 2
     slow, fast = (h[:mid] - l[:mid]).mean(), (h[mid:low] - l[mid:low]).mean()
-    if not cleared[-1] or any(cleared[:-1]) or reach < 1 or fast < 1.2 * slow:
+    if not clears(i) or any(clears(k) for k in range(low + 1, i)) or reach < 1 or fast < 1.2 * slow:
         return None
     entry, stop = float(h[i] + TICK), float(l[low] - TICK)
-    at = _clock(now["ts"])
-    conf = 0.45 + 0.15 * (reach >= 3) + 0.10 * (v[i] >= sorted(v, reverse=True)[min(4, i)]) + 0.10 * (fast > 1.5 * slow) + (0.10 if 600 <= at <= 645 else 0.05 if 645 <= at <= 810 else 0.0)
+    fifth = np.sort(v[: i + 1])[-min(5, i + 1)]
+    conf = 0.45 + 0.15 * bool(reach >= 3) + 0.10 * bool(v[i] >= fifth) + 0.10 * bool(fast > 1.5 * slow) + (0.10 if 600 <= at <= 645 else 0.05 if 645 <= at <= 810 else 0.0)
     return ("rubber_band", "long", entry, stop, 3 * entry - 2 * stop, min(conf, 0.95)) if entry > stop else None
 
 
-def _back_side(day) -> tuple | None:
+def back_side(day: dict[str, np.ndarray], i: int, low: int) -> tuple | None:
     """A higher high and a higher low after the day's low, above a rising 9-bar EMA, with 1 R up to the VWAP."""
-    i = len(day) - 1
-    h, l, c, e = (day[x].to_numpy() for x in ("h", "l", "c", "ema9"))  # noqa: E741
-    now = day.iloc[-1]
-    low = int(l.argmin())
-    if now["n"] < 25 or i + 1 < 15 or low < 3 or i + 1 - low < 8 or not l[low] < now["vwap"] or not e[i] > now["e2"] or c[i] < e[i]:
+    h, l, c, e = (day[x] for x in ("h", "l", "c", "ema9"))  # noqa: E741
+    vwap = day["vwap"][i]
+    if day["n"][i] < 25 or i + 1 < 15 or low < 3 or i + 1 - low < 8 or not l[low] < vwap or not e[i] > day["e2"][i] or c[i] < e[i]:
         return None
-    after_h, after_l = h[low:], l[low:]
-    tops, floors = ([k for k in range(2, len(x) - 2) if all(s * x[k] > s * x[j] for j in range(k - 2, k + 3) if j != k)] for x, s in ((after_h, 1), (after_l, -1)))
-    higher = [k for k in floors if after_l[k] > l[low]]
-    if not higher or not any(after_h[k] > after_h[0] for k in tops):
+    tops, floors = _extremes(h[low : i + 1]), _extremes(-l[low : i + 1])
+    higher = floors[l[low + floors] > l[low]]
+    if not len(higher) or not (h[low + tops] > h[low]).any():
         return None
-    entry, stop, target = float(h[i] + TICK), float(after_l[higher[-1]] - TICK), float(now["vwap"])
+    entry, stop, target = float(h[i] + TICK), float(l[low + higher[-1]] - TICK), float(vwap)
     if entry <= stop or target - entry < entry - stop:
         return None
-    conf = 0.48 + 0.10 * ((c[-8:] > e[-8:]).sum() >= 6) + 0.10 * (600 <= _clock(now["ts"]) <= 645)
+    held = (c[max(0, i - 7) : i + 1] > e[max(0, i - 7) : i + 1]).sum()
+    conf = 0.48 + 0.10 * bool(held >= 6) + 0.10 * bool(600 <= int(day["at"][i]) <= 645)
     return "back_side", "long", entry, stop, target, min(conf, 0.85)
 
 
+def _extremes(x: np.ndarray) -> np.ndarray:
+    """Positions above both two neighbours on either side."""
+    if len(x) < 5:
+        return np.empty(0, dtype=np.int64)
+    middle = x[2:-2]
+    return 2 + np.flatnonzero((middle > x[:-4]) & (middle > x[1:-3]) & (middle > x[3:-1]) & (middle > x[4:]))
+
+
 def level_scalps(bars: DataFrame, order: int) -> DataFrame:
     """Second chance and bouncing ball at every bar that completes one, by the swings visible at it. Needs k.
 
-    Only levels whose last touch lies within a few bars before are open, so a bar looks at few recent swings and, for each,
-    at the swings near its price. The fold goes over one series, as the swings of all its past count as touches.
+    The fold goes over one series, as the swings of all its past count as touches. Swings stand in an index by price, so a new one finds
+    the levels it touches by bisection, and only those are looked at; what a level then waits for is found in the few bars after its touch.
     """
-    import pandas as pd
 
     marked = bars.withColumns({"is_high": F.coalesce(I.swing_high(order), F.lit(False)), "is_low": F.coalesce(I.swing_low(order), F.lit(False)), "vol5": F.avg("v").over(I.frame(-5, -1))})
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts", kind="stable").reset_index(drop=True)
-        rows = [(*pdf.loc[i, ["symbol", "tf", "ts"]], *x) for i, x in (*_second_chance(pdf, order), *_bouncing_ball(pdf, order))]
+        o = {x: pdf[x].to_numpy(dtype=np.float64) for x in (*"hlcv", "vol5")}
+        found = (*second_chance(o, pdf["is_high"].to_numpy().nonzero()[0], order), *bouncing_ball(o, pdf["is_low"].to_numpy().nonzero()[0], order))
+        rows = [(*pdf.loc[i, ["symbol", "tf", "ts"]], *x) for i, x in found]
         return pd.DataFrame(rows, columns=["symbol", "tf", "ts", *SIGNAL])
 
     kinds = "symbol string, tf string, ts timestamp_ntz, pattern string, bias string, entry double, stop double, target double, confidence double"
     return marked.select("symbol", "tf", "ts", *"ohlcv", "is_high", "is_low", "vol5").groupBy("symbol", "tf").applyInPandas(run, kinds)
 
 
-def _clusters(at, price, reach: int, now: int):
-    """Of visible swings (positions, prices), those within 0.3 % of an earlier one's level, by level, where the last is at most `reach` bars old."""
-    recent = [k for k in range(len(at)) if now - at[k] <= reach]
-    seen = set()
-    for k in recent:
-        for i in (abs(price[: k + 1] - price[k]) < price[: k + 1] * 0.003).nonzero()[0].tolist():
-            near = (abs(price[i + 1 :] - price[i]) < price[i] * 0.003).nonzero()[0] + i + 1
-            if i not in seen and len(near) and near[-1] == k:
-                seen.add(i)
-                yield i, [i, *near.tolist()]
-
-
-def _second_chance(df, order: int):
-    """A break above a resistance, a retest that comes back to it, and the next close above the retest's high."""
-    h, l, c, v = (df[x].to_numpy(float) for x in "hlcv")  # noqa: E741
-    at = df["is_high"].to_numpy().nonzero()[0]
-    for now in range(29, len(df)):
-        if c[now] <= h[now - 1]:
+#: Share of a level's first price within which later swings touch it.
+NEAR = 0.003
+
+
+class TouchedLevels:
+    """Swings in order of time, each a level of its own that later swings near its price touch; `touches` yields each swing with the levels it touches."""
+
+    def __init__(self, at: np.ndarray, price: np.ndarray):
+        self.at, self.price = at, price
+        self.count, self.total = np.ones(len(at), dtype=np.int64), price.astype(np.float64).copy()
+        self.last = at.astype(np.int64).copy()
+
+    def touches(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(swing, levels before it that it touches); their count, total and last touch change after the caller has looked."""
+        prices: list[float] = []
+        who: list[int] = []
+        for k, p in enumerate(self.price.tolist()):
+            # a little wider than the rule, which is then held exactly
+            low, high = bisect_left(prices, p / (1 + NEAR) * (1 - 1e-9)), bisect_right(prices, p / (1 - NEAR) * (1 + 1e-9))
+            near = np.array(who[low:high], dtype=np.int64)
+            near = near[np.abs(self.price[near] - p) < self.price[near] * NEAR]
+            yield k, near
+            self.count[near] += 1
+            self.total[near] += p
+            self.last[near] = self.at[k]
+            place = bisect_right(prices, p)
+            prices.insert(place, p)
+            who.insert(place, k)
+
+
+def _first(hit: np.ndarray) -> np.ndarray:
+    """By row the first position that holds, or the width."""
+    return np.where(hit.any(axis=1), hit.argmax(axis=1), hit.shape[1])
+
+
+def _window(x: np.ndarray, starts: np.ndarray, width: int, beyond: float) -> np.ndarray:
+    """By row the `width` values from a start on; `beyond` past the end."""
+    place = starts[:, None] + np.arange(width)
+    return np.where(place < len(x), x[np.minimum(place, len(x) - 1)], beyond)
+
+
+def _earliest(waiting: dict[int, tuple], now: int, level: int, signal: tuple) -> None:
+    """Of the levels that give a signal at a bar, the first one counts."""
+    if now not in waiting or level < waiting[now][0]:
+        waiting[now] = (level, signal)
+
+
+def second_chance(o: dict[str, np.ndarray], at: np.ndarray, order: int) -> Iterator[tuple[int, tuple]]:
+    """A break above a resistance, a retest that comes back to it, and the next close above the retest's high.
+
+    What a touch leads to is known at the touch: break, retest and signal are first bars after it. It holds unless a newer touch of the level is visible by then.
+    """
+    h, l, c, v = (o[x] for x in "hlcv")  # noqa: E741
+    levels = TouchedLevels(at, h[at])
+    due, pending, out = np.full(len(at), -1, dtype=np.int64), {}, {}
+    for k, near in levels.touches():
+        seen = int(at[k]) + order
+        # a signal that was due before this swing is visible stands, others lapse
+        for i in near[(due[near] >= 0) & (due[near] < seen)].tolist():
+            _earliest(out, int(due[i]), i, pending.pop(i))
+        due[near] = -1
+        if not len(near):
             continue
-        visible = at[at + order <= now]
-        best = None
-        for i, members in _clusters(visible, h[visible], 36, now):
-            wall, last = h[visible[members]].mean(), int(visible[members[-1]])
-            broken = next((k for k in range(last + 1, min(last + 20, now + 1)) if c[k] > wall * 1.002), None)
-            back = next((k for k in range(broken + 1, min(broken + 15, now + 1)) if l[k] <= wall * 1.003), None) if broken else None
-            if back is None or back + 1 != now:
-                continue
-            entry, stop, target = c[now], l[back] - TICK, h[broken : back + 1].max()
-            if entry > stop and target - entry >= entry - stop and (best is None or i < best[0]):
+        wall = ((levels.total[near] + h[at[k]]) / (levels.count[near] + 1))[:, None]
+        starts = np.full(len(near), int(at[k]) + 1)
+        gap = _first(_window(c, starts, 19, -np.inf) > wall * 1.002)
+        broken = starts + gap
+        back = broken + 1 + (gap_back := _first(_window(l, broken + 1, 14, np.inf) <= wall * 1.003))
+        now = back + 1
+        ok = (gap < 19) & (gap_back < 14) & (now >= max(29, seen)) & (now < len(c)) & (now - at[k] <= 36)
+        ok &= c[np.minimum(now, len(c) - 1)] > h[np.minimum(back, len(c) - 1)]
+        for i, b, t, n in zip(near[ok].tolist(), broken[ok].tolist(), back[ok].tolist(), now[ok].tolist(), strict=True):
+            entry, stop, target = float(c[n]), float(l[t] - TICK), float(h[b : t + 1].max())
+            if entry > stop and target - entry >= entry - stop:
                 ratio = round((target - entry) / (entry - stop), 9)
-                best = (i, ("second_chance", "long", entry, stop, target, 0.45 + 0.15 * (v[back] < v[broken] * 0.7) + 0.10 * (ratio >= 1.9)))
-        if best:
-            yield now, best[1]
+                due[i], pending[i] = n, ("second_chance", "long", entry, stop, target, 0.45 + 0.15 * (v[t] < v[b] * 0.7) + 0.10 * (ratio >= 1.9))
+    for i, signal in pending.items():
+        if due[i] >= 0:
+            _earliest(out, int(due[i]), i, signal)
+    return ((now, out[now][1]) for now in sorted(out))
 
 
-def _bouncing_ball(df, order: int):
+def bouncing_ball(o: dict[str, np.ndarray], at: np.ndarray, order: int) -> Iterator[tuple[int, tuple]]:
     """Three or more touches of a support with ever lower bounces, and the first close below it within nine bars."""
-    h, l, c, v = (df[x].to_numpy(float) for x in "hlcv")  # noqa: E741
-    at, vol5 = df["is_low"].to_numpy().nonzero()[0], df["vol5"].to_numpy()
-    for now in range(29, len(df)):
-        visible = at[at + order <= now]
-        best = None
-        for i, members in _clusters(visible, l[visible], 9, now):
-            where, floor = visible[members], l[visible[i]]
-            last = int(where[-1])
-            tops = [h[a:b].max() for a, b in zip(where[:-1], where[1:], strict=True)]
-            if len(tops) < 2 or any(a <= b for a, b in zip(tops[:-1], tops[1:], strict=True)) or c[now] >= floor or (c[last + 1 : now] < floor).any():
-                continue
-            entry, stop = floor - TICK, tops[-1] + TICK
-            if stop > entry and (best is None or i < best[0]):
-                conf = 0.55 + 0.10 * (len(where) >= 3) + 0.10 * (vol5[last] > 0 and v[now] > vol5[last] * 1.3)
-                best = (i, ("bouncing_ball", "short", entry, stop, 3 * entry - 2 * stop, min(conf, 0.85)))
-        if best:
-            yield now, best[1]
+    h, l, c, v = (o[x] for x in "hlcv")  # noqa: E741
+    levels, tops = TouchedLevels(at, l[at]), RangeMax(h)
+    last_top, falling = np.full(len(at), np.inf), np.ones(len(at), dtype=bool)
+    due, pending, out = np.full(len(at), -1, dtype=np.int64), {}, {}
+    for k, near in levels.touches():
+        here, seen = int(at[k]), int(at[k]) + order
+        for i in near[(due[near] >= 0) & (due[near] < seen)].tolist():
+            _earliest(out, int(due[i]), i, pending.pop(i))
+        due[near] = -1
+        if not len(near):
+            continue
+        top = tops.between(levels.last[near], np.full(len(near), here))
+        falling[near] &= top < last_top[near]
+        last_top[near] = top
+        floor = l[at[near]]
+        now = here + 1 + (gap := _first(_window(c, np.full(len(near), here + 1), 9, np.inf) < floor[:, None]))
+        ok = (gap < 9) & falling[near] & (levels.count[near] >= 2) & (now >= max(29, seen)) & (now < len(c))
+        for i, n, bounce, wall in zip(near[ok].tolist(), now[ok].tolist(), top[ok].tolist(), floor[ok].tolist(), strict=True):
+            entry, stop = wall - TICK, bounce + TICK
+            if stop > entry:
+                conf = 0.55 + 0.10 + 0.10 * bool(o["vol5"][here] > 0 and v[n] > o["vol5"][here] * 1.3)
+                due[i], pending[i] = n, ("bouncing_ball", "short", entry, stop, 3 * entry - 2 * stop, min(conf, 0.85))
+    for i, signal in pending.items():
+        if due[i] >= 0:
+            _earliest(out, int(due[i]), i, signal)
+    return ((now, out[now][1]) for now in sorted(out))
+
+
+class RangeMax:
+    """Maxima of ranges [a, b) of an array, from maxima over powers of two."""
+
+    def __init__(self, x: np.ndarray):
+        self.tables = [x]
+        while 2 * (step := 1 << (len(self.tables) - 1)) <= len(x):
+            self.tables.append(np.maximum(self.tables[-1][:-step], self.tables[-1][step:]))
+
+    def between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.empty(len(a))
+        level = np.log2(np.maximum(b - a, 1)).astype(np.int64)
+        for n in np.unique(level):
+            some = level == n
+            out[some] = np.maximum(self.tables[n][a[some]], self.tables[n][b[some] - (1 << int(n))])
+        return out

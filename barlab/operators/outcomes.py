@@ -201,6 +201,62 @@ def trade_lifecycle(signals: DataFrame, bars: DataFrame, hold: int = 60) -> Data
     return met.withColumn("x", F.aggregate("path", begin, step)).select("symbol", "tf", "k", "bias", "x.status", F.col("x.stop").alias("last_stop"), F.col("x.at").alias("stopped_at"), F.col("x.peak").alias("peak"))
 
 
+#: States of a tracked trade; the last three are ends.
+STATES = ("PENDING", "ACTIVE", "AT_T1", "AT_T2", "TRAILING", "STOPPED", "CLOSED", "EXPIRED")
+
+
+def track_trades(signals: DataFrame, bars: DataFrame, hold: int = 60) -> DataFrame:
+    """Where each signal's trade stands after the closes of its span, one transition a bar, with the R that it made and saw.
+
+    A pending trade is entered once a close reaches the entry and expires if one reaches the stop first. After the first target the stop stands
+    at the entry. At the second target a trail starts `trail_by` ATRs behind the close, or at the entry where a bar has no ATR; from then on it
+    only moves with the trade, and the trade is closed at the trail. Peak and trough are the best and worst R at a close, 0 at first,
+    up to the one that ends the trade. signals: symbol, tf, k, bias, entry, stop, t1, t2, trail_by; bars: symbol, tf, k, c, atr.
+    """
+    width = 128
+    spans = signals.withColumn("__span", F.explode(F.sequence(F.floor((F.col("k") + 1) / width), F.floor((F.col("k") + hold) / width))))
+    right = bars.select("symbol", "tf", F.floor(F.col("k") / width).alias("__span"), F.struct(F.col("k").alias("bk"), F.col("c").cast("double").alias("c"), F.coalesce(F.col("atr").cast("double"), F.lit(0.0)).alias("atr")).alias("bar"))
+    met = spans.join(right.hint("merge"), ["symbol", "tf", "__span"]).where((F.col("bar.bk") > F.col("k")) & (F.col("bar.bk") <= F.col("k") + hold))
+    key = ["symbol", "tf", "k", "bias", "entry", "stop", "t1", "t2", "trail_by"]
+    paths = met.groupBy(*key).agg(F.array_sort(F.collect_list("bar")).alias("path"))  # a span's bars
+    sign = F.when(F.col("bias") == "long", 1.0).otherwise(-1.0)
+    # prices measured in the trade's direction, so that one set of rules serves both sides
+    entry, stop, t1, t2 = (sign * F.col(x) for x in ("entry", "stop", "t1", "t2"))
+    risk = entry - stop
+    r = lambda x: F.when(F.abs(risk) > 0, F.round((x - entry) / F.abs(risk), 3))
+
+    def step(s: Column, b: Column) -> Column:
+        price, status = sign * b["c"], s["status"]
+        over = status.isin("STOPPED", "CLOSED", "EXPIRED")
+        trailing = status.isin("AT_T2", "TRAILING")
+        started = F.when(b["atr"] > 0, price - b["atr"] * F.col("trail_by")).otherwise(entry)
+        trail = F.when(b["atr"] > 0, F.greatest(s["trail"], price - b["atr"] * F.col("trail_by"))).otherwise(s["trail"])
+        closed = trailing & (b["atr"] > 0) & (price <= trail)
+        now = (
+            F.when(status == "PENDING", F.when(price >= entry, "ACTIVE").when(price <= stop, "EXPIRED").otherwise("PENDING"))
+            .when(status == "ACTIVE", F.when(price <= stop, "STOPPED").when(price >= t1, "AT_T1").otherwise("ACTIVE"))
+            .when(status == "AT_T1", F.when(price <= entry, "STOPPED").when(price >= t2, "AT_T2").otherwise("AT_T1"))
+            .when(trailing, F.when(closed, "CLOSED").otherwise("TRAILING"))
+            .otherwise(status)
+        )
+        realised = F.when(over, s["realised"]).when(closed, r(trail)).when((status == "ACTIVE") & (now == "STOPPED"), F.coalesce(r(stop), F.lit(-1.0))).when((status == "AT_T1") & (now == "STOPPED"), 0.0)
+        seen = F.coalesce(r(price), F.lit(0.0))
+        return F.struct(
+            now.alias("status"),
+            F.when(over, s["trail"]).when((status == "AT_T1") & (now == "AT_T2"), started).when(trailing, trail).alias("trail"),
+            F.when(~over & now.isin("STOPPED", "CLOSED", "EXPIRED"), b["bk"]).otherwise(s["ended"]).alias("ended"),
+            F.when((status == "PENDING") & (now == "ACTIVE"), b["bk"]).otherwise(s["entered"]).alias("entered"),
+            realised.alias("realised"), F.when(over, s["peak"]).otherwise(F.greatest(s["peak"], seen)).alias("peak"), F.when(over, s["trough"]).otherwise(F.least(s["trough"], seen)).alias("trough"),
+        )
+
+    nothing = {"trail": "double", "ended": "bigint", "entered": "bigint", "realised": "double"}
+    begin = F.struct(F.lit("PENDING").alias("status"), *(F.lit(None).cast(kind).alias(name) for name, kind in nothing.items()), F.lit(0.0).alias("peak"), F.lit(0.0).alias("trough"))
+    done = paths.withColumn("x", F.aggregate("path", begin, step))
+    trail = F.when(F.col("x.trail").isNotNull(), sign * F.col("x.trail"))
+    stands = F.when(F.col("x.status").isin("AT_T1"), F.col("entry")).when(F.col("x.status").isin("AT_T2", "TRAILING", "CLOSED"), trail).otherwise(F.col("stop"))
+    return done.select("symbol", "tf", "k", "bias", "x.status", stands.cast("double").alias("stop_at"), F.col("x.entered").alias("entered_at"), F.col("x.ended").alias("ended_at"), F.col("x.realised").alias("realised_r"), F.col("x.peak").alias("peak_r"), F.col("x.trough").alias("trough_r"))
+
+
 def eod_close(open_trades: DataFrame) -> DataFrame:
     """Open trades at the day's end: closed at the last price unless most of the way to the next target."""
     sign = F.when(F.col("bias") == "long", 1).otherwise(-1)

@@ -74,6 +74,17 @@ def trade_lifecycle(spark, sf_dir):
     return O.trade_lifecycle(_signals(spark, sf_dir), _bars(spark, sf_dir), HOLD)
 
 
+def track_trades(spark, sf_dir):
+    """Trades of both sides by closes, with trails of 1, 2 and 3 mean ranges of 14 bars, the first 13 bars of a series without one."""
+    k = F.col("k")
+    bars = _bars(spark, sf_dir).withColumn("atr", F.when(k >= 13, F.avg(F.col("h") - F.col("l")).over(I.frame(-13))))
+    sign = F.when(k % 10 == 0, 1).otherwise(-1)
+    fields = {"bias": F.when(k % 10 == 0, "long").otherwise("short"), "entry": F.col("c"), "stop": F.col("c") - sign * 150, "t1": F.col("c") + sign * 100, "t2": F.col("c") + sign * 200, "trail_by": (1 + k % 3).cast("double")}
+    signals = bars.where(k % 5 == 0).select("symbol", "tf", "k", *(x.alias(name) for name, x in fields.items()))
+    out = O.track_trades(signals, bars, HOLD)
+    return out.select("symbol", "k", "bias", "status", F.round("stop_at", 4).alias("stop_at"), "entered_at", "ended_at", "realised_r", "peak_r", "trough_r")
+
+
 def eod_close(spark, sf_dir):
     last = _bars(spark, sf_dir).groupBy("symbol").agg(F.max_by("c", "ts").alias("last"))
     return O.eod_close(_signals(spark, sf_dir).join(last, "symbol")).select("symbol", "k", "action", F.round("r", 6).alias("r"))
@@ -128,7 +139,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         scan_schedule, cooldown_bars, apply_slippage, first_touch_label, barrier_resolve, finalize_r, select_non_overlapping, next_open_entry, first_detection,
-        recent_dedup, trade_lifecycle, eod_close, overnight_flag, param_sweep, param_grid, param_best, train_val_split,
+        recent_dedup, trade_lifecycle, track_trades, eod_close, overnight_flag, param_sweep, param_grid, param_best, train_val_split,
     )
 }
 
@@ -189,6 +200,23 @@ ORACLE_SQL = {
     "next_open_entry": f"WITH {_B}, j AS (SELECT s.symbol, s.k, b.o AS fill, sg * (b.o - stop) AS risk, sg * (t2 - b.o) AS reward FROM sig s JOIN bars b ON b.symbol = s.symbol AND b.k = s.k + 1) SELECT * FROM j WHERE risk > 0 AND reward >= 1.5 * risk",
     "first_detection": f"WITH {_B} SELECT symbol, bias, min(k) AS k, arg_min(entry, k) AS entry FROM sig WHERE k >= 100 GROUP BY ALL",
     "recent_dedup": f"WITH {CLOSED}, p AS (SELECT DISTINCT symbol, pattern_name FROM closed) SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM closed c WHERE c.symbol = p.symbol AND c.pattern_name = p.pattern_name AND closed_at BETWEEN TIMESTAMP '1998-06-01' - INTERVAL 30 DAY AND TIMESTAMP '1998-06-01')",
+    "track_trades": f"""WITH {_B}, a AS (SELECT symbol, k, h, l, c, CASE WHEN k >= 13 THEN avg(h - l) OVER {over(-13)} ELSE 0 END AS atr FROM bars),
+      g AS (SELECT symbol, k, CASE WHEN k % 10 = 0 THEN 1 ELSE -1 END AS sg, c AS entry, 1 + k % 3 AS m FROM bars WHERE k % 5 = 0),
+      m AS (SELECT g.*, a.k AS bk, a.atr, sg * (a.c - entry) AS p FROM g JOIN a ON a.symbol = g.symbol AND a.k > g.k AND a.k <= g.k + {HOLD}),
+      x1 AS (SELECT *, min(bk) FILTER (p >= 0) OVER w AS act, min(bk) FILTER (p <= -150) OVER w AS ex FROM m WINDOW w AS (PARTITION BY symbol, k)),
+      x2 AS (SELECT *, act IS NULL AND ex IS NOT NULL OR ex < act AS expired, min(bk) FILTER (bk > act AND p <= -150) OVER w AS st, min(bk) FILTER (bk > act AND p >= 100) OVER w AS one FROM x1 WINDOW w AS (PARTITION BY symbol, k)),
+      x3 AS (SELECT *, CASE WHEN one < st OR st IS NULL THEN one END AS t1 FROM x2),
+      x4 AS (SELECT *, min(bk) FILTER (bk > t1 AND p <= 0) OVER w AS even, min(bk) FILTER (bk > t1 AND p >= 200) OVER w AS two FROM x3 WINDOW w AS (PARTITION BY symbol, k)),
+      x5 AS (SELECT *, CASE WHEN two < even OR even IS NULL THEN two END AS t2 FROM x4),
+      x6 AS (SELECT *, max(CASE WHEN bk = t2 AND atr <= 0 THEN 0 WHEN bk >= t2 AND atr > 0 THEN p - atr * m END) OVER (PARTITION BY symbol, k ORDER BY bk) AS trail FROM x5),
+      x7 AS (SELECT *, min(bk) FILTER (bk > t2 AND atr > 0 AND p <= trail) OVER w AS shut FROM x6 WINDOW w AS (PARTITION BY symbol, k)),
+      x8 AS (SELECT *, CASE WHEN expired THEN ex WHEN t1 IS NULL THEN st WHEN t2 IS NULL THEN even ELSE shut END AS ended FROM x7),
+      y AS (SELECT symbol, k, sg, entry, any_value(ended) AS ended_at, any_value(CASE WHEN NOT coalesce(expired, false) THEN act END) AS entered_at, any_value(t1) AS t1, any_value(t2) AS t2, bool_or(expired) AS expired, max(bk) AS kl,
+        arg_max(trail, bk) FILTER (ended IS NULL OR bk <= ended) AS trail, greatest(0.0::DOUBLE, max(round(p / 150.0::DOUBLE, 3)) FILTER (ended IS NULL OR bk <= ended)) AS peak_r, least(0.0::DOUBLE, min(round(p / 150.0::DOUBLE, 3)) FILTER (ended IS NULL OR bk <= ended)) AS trough_r FROM x8 GROUP BY ALL),
+      z AS (SELECT *, CASE WHEN expired THEN 'EXPIRED' WHEN entered_at IS NULL THEN 'PENDING' WHEN t1 IS NULL THEN CASE WHEN ended_at IS NULL THEN 'ACTIVE' ELSE 'STOPPED' END WHEN t2 IS NULL THEN CASE WHEN ended_at IS NULL THEN 'AT_T1' ELSE 'STOPPED' END
+        WHEN ended_at IS NOT NULL THEN 'CLOSED' WHEN t2 = kl THEN 'AT_T2' ELSE 'TRAILING' END AS status FROM y)
+      SELECT symbol, k, CASE WHEN sg = 1 THEN 'long' ELSE 'short' END AS bias, status, round(CASE WHEN status = 'AT_T1' THEN entry WHEN status IN ('AT_T2', 'TRAILING', 'CLOSED') THEN sg * (sg * entry + trail) ELSE entry - sg * 150 END, 4) AS stop_at, entered_at, ended_at,
+        CASE WHEN status = 'CLOSED' THEN round(trail / 150.0::DOUBLE, 3) WHEN status = 'STOPPED' AND t1 IS NULL THEN -1.0::DOUBLE WHEN status = 'STOPPED' THEN 0.0::DOUBLE END AS realised_r, peak_r, trough_r FROM z""",
     "eod_close": f"WITH {_B}, la AS (SELECT symbol, arg_max(c, ts) AS last FROM bars GROUP BY 1), j AS (SELECT *, sg * (last - entry)::DOUBLE / 300 AS way FROM sig JOIN la USING (symbol)) SELECT symbol, k, CASE WHEN way >= 0.7 THEN 'gap_risk' ELSE 'closed' END AS action, CASE WHEN way < 0.7 THEN round(way, 6) END AS r FROM j",
     "param_sweep": f"{_GRID}, f AS (SELECT symbol, k, stop_d, target_d, min(bk) FILTER (worst <= sg * (entry - sg * stop_d)) AS ks, min(bk) FILTER (best >= sg * (entry + sg * target_d)) AS kt FROM met GROUP BY ALL), "
     "l AS (SELECT *, CASE WHEN kt IS NOT NULL AND (ks IS NULL OR kt < ks) THEN target_d::DOUBLE / stop_d WHEN ks IS NOT NULL THEN -1 END AS r FROM f) SELECT stop_d::BIGINT AS stop_d, target_d::BIGINT AS target_d, count(r) AS n, count(*) FILTER (r > 0) AS wins, round(sum(r) / count(r) * least(1.0::DOUBLE, sqrt(count(r) / 100.0::DOUBLE)), 6) AS score FROM l GROUP BY ALL",
