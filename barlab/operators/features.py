@@ -61,7 +61,12 @@ def feature_vector(bars: DataFrame, benchmark: str) -> DataFrame:
 
 def detect_regime(bars: DataFrame, benchmark: str) -> DataFrame:
     """High volatility first, then trend by side and slope of the 200-bar mean, else mean reverting."""
-    df = inputs(bars, benchmark).withColumns({"sma50": I.sma(50), "sma200": I.sma(200)})
+    return with_regime(inputs(bars, benchmark))
+
+
+def with_regime(df: DataFrame) -> DataFrame:
+    """The regime of rows that `inputs` made."""
+    df = df.withColumns({"sma50": I.sma(50), "sma200": I.sma(200)})
     anchor = F.coalesce("sma200", "sma50")
     df = df.withColumn("anchor", anchor)
     slope = F.try_divide(F.col("anchor"), F.lag("anchor", 19).over(I.series())) - 1

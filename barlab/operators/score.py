@@ -20,6 +20,29 @@ DEFAULT_WEIGHTS = (0.20, 0.12, 0.14, 0.0, 0.18, 0.14, 0.10, 0.12)
 COMPOSITE = {"confidence": 0.20, "feature": 0.22, "strategy": 0.18, "regime": 0.15, "edge": 0.10, "volume": 0.10, "rr": 0.05}
 
 
+# Strategy type by the start of a pattern's name.
+PATTERN_TYPES = {
+    "momentum": (
+        "trend_pullback", "opening_drive", "vwap_trend", "power_hour", "macd_turn", "momentum_breakout", "donchian_breakout", "adx_stack", "ts_momentum",
+        "multi_tf_trend", "low_vol_long", "bab_long", "high_momentum_52w", "rs_persistence_long", "accumulation_long", "distribution_short",
+    ),
+    "mean_reversion": (
+        "mean_reversion", "gap_fade", "vwap_reversion", "gap_reversal", "volume_climax", "rsi_divergence", "midday_reversal", "vp_divergence", "st_reversal", "streak_reversal",
+    ),
+    "breakout": ("keltner_breakout", "vol_compression_breakout", "range_expansion", "volume_breakout", "turtle_breakout", "atr_expansion", "bb_squeeze"),
+    "short_term": ("tidal_wave",),
+}
+
+
+def pattern_type(pattern: Column) -> Column:
+    """Strategy type of a pattern; breakout for one that is not listed."""
+    out = F.when(F.lit(False), "")
+    for kind, names in PATTERN_TYPES.items():
+        for name in names:
+            out = out.when((pattern == name) | pattern.startswith(f"{name}_"), kind)
+    return out.otherwise("breakout")
+
+
 def rr_quality(rr: Column) -> Column:
     """Piecewise linear through (1, 0), (1.5, 35), (2, 60), (2.5, 80), (3, 100), from 10 just above 1; 40 if unknown."""
     return (

@@ -12,6 +12,7 @@ from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from barlab.functions import folds
 from barlab.operators import detect as D
+from barlab.operators import features as G
 from barlab.operators import outcomes as O
 from barlab.operators import resample, score
 from barlab.sources.bars import materialised
@@ -36,6 +37,44 @@ def scan(bars: DataFrame, per_symbol: int = 2, tfs: Iterable[str] | None = None)
     return score.top_per_symbol(score.merge_timeframes(scored), per_symbol, 0.0)
 
 
+def seen_today(at: Column, now: Column) -> Column:
+    """Whether a signal counts as today's: of this date, or of yesterday from 15:30 on."""
+    late = F.hour(at) * 60 + F.minute(at) >= 930
+    return (F.to_date(at) == F.to_date(now)) | ((F.to_date(at) == F.date_sub(F.to_date(now), 1)) & late)
+
+
+def scored_scan(
+    bars: DataFrame, benchmark: str, tfs: Iterable[str], detectors: list[D.Detector] | None = None, now: Column | None = None,
+    edges: DataFrame | None = None, strategies: DataFrame | None = None, least_bars: int = 20,
+) -> DataFrame:
+    """Signals at each series' last bar with the seven factors of their score, merged over timeframes: the whole scan of all symbols.
+
+    Features and regime are those of the series' last bar. now: only today's signals, as of then. edges, strategies: (pattern, edge) and
+    (pattern, strategy); patterns without a row, or no table, are neutral at 50. Series of under `least_bars` bars are left out.
+    """
+    ends = bars.groupBy("symbol", "tf").agg(F.max("ts").alias("ts"), F.count("*").alias("bars")).where(F.col("bars") >= least_bars).drop("bars")
+    found = all_signals(D.wide(bars), tfs, detectors).join(ends.hint("merge"), ["symbol", "tf", "ts"])
+    if now is not None:
+        found = found.where(seen_today(F.col("ts"), now))
+    # a feature is called regime too
+    made = G.feature_vector(bars, benchmark).drop("composite").withColumnsRenamed({x: f"f_{x}" for x in score.FEATURES})
+    made = G.with_regime(made).select("symbol", "tf", "ts", F.col("regime").alias("market"), *(f"f_{x}" for x in score.FEATURES))
+    met = found.join(made.hint("merge"), ["symbol", "tf", "ts"]).withColumn("kind", score.pattern_type(F.col("pattern")))
+    for table, name in ((edges, "edge"), (strategies, "strategy")):
+        # a row for each pattern of the catalogue at most; the signals are few too
+        met = met.join(table.select("pattern", name).hint("merge"), "pattern", "left").fillna(50.0, [name]) if table is not None else met.withColumn(name, F.lit(50.0))
+    met = met.withColumnRenamed("confidence", "sure").withColumnsRenamed({f"f_{x}": x for x in score.FEATURES})
+    met = met.withColumns({"confidence": F.col("sure") * 100, "feature": score.typed_feature_score(F.col("kind")), "rr": score.rr_quality(F.col("rr"))})
+    met = met.withColumn("regime", G.alignment(F.col("market"), F.col("kind")).cast("double"))
+    scored = met.withColumns(
+        {
+            "composite": F.round(score.composite_score(), 1), "confidence": F.col("sure"), "pattern_name": F.col("pattern"),
+            "id": F.concat_ws("|", "symbol", "tf", "pattern"), "bucket": score.price_bucket_merge(F.col("entry") / 100),
+        }
+    )
+    return score.merge_timeframes(scored)
+
+
 def walk_forward_backtest(bars: DataFrame, detectors: list[D.Detector] | None = None, tfs: Iterable[str] = ("1d",), days: int = 30) -> DataFrame:
     """Detect at scan bars, resolve all candidates, take those that do not overlap: trades with R and outcome.
 

@@ -241,6 +241,12 @@ def scan(spark, sf_dir):
     return compose.scan(fixtures.daily(spark, sf_dir), tfs=("1d",)).select("symbol", "pattern_name", "bias", "composite", F.col("rank").cast("long").alias("rank"))
 
 
+def scored_scan(spark, sf_dir):
+    """Each series' last signals by the seven factors."""
+    out = compose.scored_scan(fixtures.daily(spark, sf_dir), "STANDARD", ("1d",))
+    return out.select("symbol", "pattern_name", "bias", "bucket", "composite", F.round("confidence", 6).alias("confidence"), "multi_tf", "label")
+
+
 def walk_forward_backtest(spark, sf_dir):
     """All daily series and all daily patterns."""
     out = compose.walk_forward_backtest(fixtures.daily(spark, sf_dir), D.daily_detectors())
@@ -255,7 +261,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         detect_daily, detect_daily_windows, detect_swing, detect_intraday, power_hour, chart_patterns, breaking_news, opening_range_break, ema_vwap_cross, fashionably_late, spencer, session_patterns, session_scalps, level_scalps, setup_gate, pivot_bonuses, neckline, tidal_wave, price_in_zone, results_sink, swing_pivots, swing_helpers, fit_trendline, detect_channel, cluster_levels, detect_breakouts, nearest_level, horizontal_levels, level_search, swing_window, as_of_regime,
-        feature_vector, detect_regime, regime_alignment, relative_strength, scan, walk_forward_backtest, breakout_study,
+        feature_vector, detect_regime, regime_alignment, relative_strength, scan, scored_scan, walk_forward_backtest, breakout_study,
     )
 }
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from barlab.queries.detectors import _SIGS, _pv
+from barlab.operators.features import ALIGNMENT
+from barlab.operators.score import DEFAULT_WEIGHTS, FEATURES, PATTERN_TYPES, TYPE_WEIGHTS
+from barlab.queries.detectors import _REG, _SIGS, _pv
 from barlab.queries.outcomes import _RES
 from barlab.queries.pattern_sql import _MORE, _WIDER
+from barlab.queries.session_sql import _FEATURES
 from barlab.queries.sql import DAILY, K, over
 from barlab.queries.streams import _T
 
@@ -91,6 +94,24 @@ def _day_events() -> str:
       UNION ALL SELECT d.symbol, d.setup_id, status, ended, CASE cause WHEN 'STOPPED' THEN -1000 WHEN 'AT_T2' THEN 2000 ELSE 0 END FROM d LEFT JOIN x USING (symbol, setup_id) WHERE cause IS NOT NULL AND shut IS NULL)"""
 
 
+def _kinds() -> str:
+    """Strategy type by the start of a pattern's name."""
+    whens = " ".join(f"WHEN pattern = '{n}' OR starts_with(pattern, '{n}_') THEN '{k}'" for k, names in PATTERN_TYPES.items() for n in names)
+    return f"CASE {whens} ELSE 'breakout' END"
+
+
+def _typed() -> str:
+    """Weighted mean of the features by strategy type."""
+    def mean(weights) -> str:
+        return "(" + " + ".join(f"{x if x != 'regime' else 'f_regime'} * {w}::DOUBLE" for x, w in zip(FEATURES, weights) if w) + f") / {sum(weights)}::DOUBLE"
+
+    return "(CASE " + " ".join(f"WHEN kind = '{k}' THEN {mean(w)}" for k, w in TYPE_WEIGHTS.items()) + f" ELSE {mean(DEFAULT_WEIGHTS)} END)"
+
+
+def _aligned() -> str:
+    return "(CASE " + " ".join(f"WHEN market = '{r}' AND kind = '{k}' THEN {x}" for (r, k), x in ALIGNMENT.items()) + " ELSE 50 END)"
+
+
 QUERIES: dict = {}  # the other modules have them
 ORACLE_SQL = {
     "chart_patterns": f"WITH {_CHART}, s AS ({_CHARTS}) SELECT symbol, ts, pattern, bias, round(entry, 6) AS entry, round(stop, 6) AS stop, round(target, 6) AS target, confidence FROM s",
@@ -98,6 +119,13 @@ ORACLE_SQL = {
     "select_non_overlapping": f"WITH RECURSIVE {_GREEDY} SELECT symbol, k, bias, k_exit, outcome FROM gr JOIN ca USING (symbol, i) WHERE took",
     "scan": f"""WITH RECURSIVE {_WIDER}, s AS ({_SIGS} UNION ALL {' UNION ALL '.join(_MORE)}), e AS (SELECT symbol, max(ts) AS ts FROM daily GROUP BY 1), g AS (SELECT *, abs(t2 - entry) / abs(entry - stop) AS rr FROM s JOIN e USING (symbol, ts) WHERE round(abs(t2 - entry) / nullif(abs(entry - stop), 0), 2) >= 1),
       q AS (SELECT symbol, pattern AS pattern_name, bias, round(confidence * 70 + ({_RR}) * 0.3::DOUBLE, 6) AS composite FROM g), p AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY composite DESC, pattern_name) AS rank FROM q) SELECT * FROM p WHERE rank <= 2""",
+    "scored_scan": f"""WITH RECURSIVE {_WIDER}, s AS ({_SIGS} UNION ALL {' UNION ALL '.join(_MORE)}), e AS (SELECT symbol, max(ts) AS ts FROM daily GROUP BY 1 HAVING count(*) >= 20),
+      g AS (SELECT *, abs(t2 - entry) / abs(entry - stop) AS rr, {_kinds()} AS kind FROM s JOIN e USING (symbol, ts) WHERE round(abs(t2 - entry) / nullif(abs(entry - stop), 0), 2) >= 1),
+      q AS (SELECT g.*, f.*, r.regime AS market FROM g JOIN (WITH RECURSIVE {_FEATURES} SELECT symbol AS fs, ts AS ft, momentum, volatility, vol_compression, volume, trend, breakout, mean_reversion, regime AS f_regime FROM g) f ON g.symbol = fs AND g.ts = ft
+        JOIN (WITH RECURSIVE {_REG} SELECT symbol, ts, regime FROM reg) r ON g.symbol = r.symbol AND g.ts = r.ts),
+      c AS (SELECT symbol, pattern AS pattern_name, bias, CASE WHEN entry / 100 > 50 THEN round_even(entry / 1000, 0) * 10 ELSE round_even(entry / 100, 0) END AS bucket, confidence,
+        round(greatest(0, least(100, confidence * 100 * 0.20::DOUBLE + {_typed()} * 0.22::DOUBLE + 50 * 0.18::DOUBLE + {_aligned()} * 0.15::DOUBLE + 50 * 0.10::DOUBLE + volume * 0.10::DOUBLE + ({_RR}) * 0.05::DOUBLE)), 1) AS composite FROM q)
+      SELECT symbol, pattern_name, bias, bucket, composite, round(confidence, 6) AS confidence, false AS multi_tf, '1d' AS label FROM c QUALIFY row_number() OVER (PARTITION BY symbol, pattern_name, bias, bucket ORDER BY composite DESC) = 1""",
     "stream_setup_lifecycle": f"""{_paths(60)}
       SELECT symbol, setup_id, status, ended AS at, (CASE cause WHEN 'STOPPED' THEN -1000 WHEN 'AT_T2' THEN 2000 ELSE 0 END)::BIGINT AS r_milli FROM d WHERE cause IS NOT NULL""",
     "stream_setup_day": f"{_day_events()} SELECT * FROM ev",

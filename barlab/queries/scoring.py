@@ -94,9 +94,24 @@ _LOW = f"{_f(10, 21)} < 2"
 _add("apply_verdicts", _verdicts,
     f"{_CS}, v AS (SELECT *, {_LOW} AS judged, CASE WHEN strategy > 50 THEN 'CONFIRMED' ELSE 'DENIED' END AS vd, greatest(-15, least(15, feature - 50)) AS d0 FROM cs), w AS (SELECT *, CASE WHEN judged THEN least(CASE WHEN volume < 30 THEN 2 WHEN volume < 50 THEN 5 ELSE 15 END, CASE WHEN vd = 'CONFIRMED' THEN greatest(d0, 0) ELSE least(d0, 0) END) ELSE 0 END::DOUBLE AS dl FROM v) "
     "SELECT id, CASE WHEN judged THEN vd ELSE 'PENDING' END AS verdict, dl AS delta, round(greatest(0, least(100, composite + dl)), 6) AS final FROM w")
-_add("merge_tracked_and_fresh", lambda s: (lambda a, b: a.unionByName(b.join(a, ["pattern_name", "bias"], "left_anti")))(s.where("tf = '1h' AND symbol < 'S2'").select("id", "pattern_name", "bias"), s.where("tf = '5min'").select("id", "pattern_name", "bias")),
-    ", a AS (SELECT id, pattern_name, bias FROM setups WHERE tf = '1h' AND symbol < 'S2') SELECT * FROM a UNION ALL SELECT id, pattern_name, bias FROM setups s WHERE tf = '5min' AND NOT EXISTS (SELECT 1 FROM a WHERE a.pattern_name = s.pattern_name AND a.bias = s.bias)")
-_add("enrich_opportunities", lambda s: s.select("id", "symbol").join(perf.performance(s.where("tf = '1h'"), "symbol").select("symbol", "total"), "symbol", "left"), ", p AS (SELECT symbol, sum(r_milli)::BIGINT AS total FROM setups WHERE tf = '1h' GROUP BY 1) SELECT s.symbol, id, total FROM setups s LEFT JOIN p USING (symbol)")
+def _merged_sources(s: DataFrame) -> DataFrame:
+    """Every setup is tracked or fresh, by its day; fresh ones go where a tracked one of equal symbol, pattern and side stands."""
+    named = s.select("id", "symbol", "pattern_name", "bias", (F.dayofmonth("day") % 2).alias("role"))
+    tracked, fresh = named.where("role = 0").drop("role"), named.where("role = 1").drop("role")
+    return tracked.unionByName(fresh.join(tracked.select("symbol", "pattern_name", "bias").hint("merge"), ["symbol", "pattern_name", "bias"], "left_anti"))
+
+
+_add(
+    "merge_tracked_and_fresh",
+    _merged_sources,
+    ", x AS (SELECT id, symbol, pattern_name, bias, day(day) % 2 AS role FROM setups), a AS (SELECT * FROM x WHERE role = 0) SELECT id, symbol, pattern_name, bias FROM a "
+    "UNION ALL SELECT id, symbol, pattern_name, bias FROM x WHERE role = 1 AND NOT EXISTS (SELECT 1 FROM a WHERE a.symbol = x.symbol AND a.pattern_name = x.pattern_name AND a.bias = x.bias)",
+)
+_add(
+    "enrich_opportunities",
+    lambda s: s.select("id", "symbol", "tf").join(perf.performance(s, "symbol", "tf").select("symbol", "tf", "total").hint("merge"), ["symbol", "tf"], "left"),
+    ", p AS (SELECT symbol, tf, sum(r_milli)::BIGINT AS total FROM setups GROUP BY ALL) SELECT s.symbol, tf, id, total FROM setups s LEFT JOIN p USING (symbol, tf)",
+)
 _add("risk_flags", lambda s: s.withColumn("f", score.risk_flags({"thin volume": F.col("volume") < 20, "weak trend": F.col("trend") < 30, "poor edge": F.col("edge") < 40, "low rr": F.col("rr") < 25})).select("id", F.array_join("f", ",").alias("flags"), F.size("f").cast("long").alias("n")),
     ", r AS (SELECT id, list_filter([CASE WHEN volume < 20 THEN 'thin volume' END, CASE WHEN trend < 30 THEN 'weak trend' END, CASE WHEN edge < 40 THEN 'poor edge' END, CASE WHEN rr < 25 THEN 'low rr' END], lambda x: x IS NOT NULL) AS f FROM setups) SELECT id, array_to_string(f, ',') AS flags, len(f) AS n FROM r")
 _add("filter_setups", lambda s: _scored(s).where((F.col("bias") == "long") & F.col("kind").isin("momentum", "breakout") & (F.col("composite") >= 50)).select("id", "kind", "composite"),

@@ -79,12 +79,23 @@ _add("hot_types", lambda t: stats.hot_scores(t).groupBy((F.regexp_extract("patte
     f"WITH {_HOT} SELECT regexp_extract(pattern_name, '([0-9]+)$', 1)::BIGINT % 4 AS strategy_type, count(*) AS n, round(avg(hot), 5) AS hot FROM hot GROUP BY 1")
 _add("strategy_score", lambda t: stats.strategy_score(t.select("pattern_name").distinct().union(t.sparkSession.createDataFrame([("none such",)], "pattern_name string")), stats.hot_scores(t)).select("pattern_name", "score"),
     f"WITH {_HOT}, w AS (SELECT DISTINCT pattern_name FROM closed UNION ALL SELECT 'none such') SELECT w.pattern_name, round(coalesce(least(1.0::DOUBLE, n / 10.0::DOUBLE) * hot + (1 - least(1.0::DOUBLE, n / 10.0::DOUBLE)) * 50, 50), 6) AS score FROM w LEFT JOIN hot USING (pattern_name)")
-_add("edge_lookup", lambda t: t.select("id", "pattern_name").join(stats.pattern_stats(t.where("bias = 'long'"), "pattern_name").select("pattern_name", F.round(stats.edge_score(), 6).alias("edge")), "pattern_name", "left"),
-    f"WITH {CLOSED}, longs AS (SELECT * FROM closed WHERE bias = 'long'), {stats_cte('s', 'longs', 'pattern_name')} SELECT pattern_name, id, round({EDGE}, 6) AS edge FROM closed LEFT JOIN s USING (pattern_name)")
-_add("backtest_vs_live", lambda t: stats.backtest_vs_live(t.where("closed_at < TIMESTAMP_NTZ'1996-01-01 00:00:00' AND pattern_name <> 'Brand#11'"), t.where("closed_at >= TIMESTAMP_NTZ'1996-01-01 00:00:00' AND pattern_name <> 'Brand#55'")),
-    f"WITH {CLOSED}, bt AS (SELECT * FROM closed WHERE closed_at < '1996-01-01' AND pattern_name <> 'Brand#11'), lv AS (SELECT * FROM closed WHERE closed_at >= '1996-01-01' AND pattern_name <> 'Brand#55'), "
-    f"{stats_cte('a', 'bt', 'pattern_name')}, {stats_cte('b', 'lv', 'pattern_name')} SELECT pattern_name, a.n AS n_bt, round(a.wr, 6) AS wr_bt, round(a.expectancy, 6) AS exp_bt, b.n AS n_live, round(b.wr, 6) AS wr_live, round(b.expectancy, 6) AS exp_live, "
-    "round(round(b.expectancy, 6) - round(a.expectancy, 6), 5) AS gap FROM a FULL JOIN b USING (pattern_name)")
+_add(
+    "edge_lookup",
+    # the edge of a trade's pattern on either side: every trade is looked up, and every trade counts on its side
+    lambda t: t.select("id", "pattern_name", "bias").join(
+        stats.pattern_stats(t, "pattern_name", "bias").select("pattern_name", "bias", F.round(stats.edge_score(), 6).alias("edge")).hint("merge"), ["pattern_name", "bias"], "left"
+    ),
+    f"WITH {CLOSED}, {stats_cte('s', 'closed', 'pattern_name, bias')} SELECT pattern_name, bias, id, round({EDGE}, 6) AS edge FROM closed LEFT JOIN s USING (pattern_name, bias)",
+)
+_add(
+    "backtest_vs_live",
+    # the backtest has all trades closed before 1996, the live record those after; a pattern may lack on either side
+    lambda t: stats.backtest_vs_live(t.where("closed_at < TIMESTAMP_NTZ'1996-01-01 00:00:00'"), t.where("closed_at >= TIMESTAMP_NTZ'1996-01-01 00:00:00'")),
+    f"WITH {CLOSED}, bt AS (SELECT * FROM closed WHERE closed_at < '1996-01-01'), lv AS (SELECT * FROM closed WHERE closed_at >= '1996-01-01'), "
+    f"{stats_cte('a', 'bt', 'pattern_name')}, {stats_cte('b', 'lv', 'pattern_name')} "
+    "SELECT pattern_name, a.n AS n_bt, round(a.wr, 6) AS wr_bt, round(a.expectancy, 6) AS exp_bt, b.n AS n_live, round(b.wr, 6) AS wr_live, round(b.expectancy, 6) AS exp_live, "
+    "round(round(b.expectancy, 6) - round(a.expectancy, 6), 5) AS gap FROM a FULL JOIN b USING (pattern_name)",
+)
 _add("compare_runs", lambda t: t.groupBy("pattern_name").pivot("regime", [0, 1, 2, 3]).agg(F.sum("r_milli")).select("pattern_name", *(F.col(str(k)).alias(f"run{k}") for k in range(4))),
     f"WITH {CLOSED} SELECT pattern_name, {', '.join(f'(sum(r_milli) FILTER (regime = {k}))::BIGINT AS run{k}' for k in range(4))} FROM closed GROUP BY 1")
 _add("kelly_fraction", lambda t: stats.pattern_stats(t, "pattern_name").where("n >= 10").select("pattern_name", F.round(stats.clip(F.try_divide("wr", "avg_loss") - F.try_divide(1 - F.col("wr"), F.col("avg_win")), 0.0, 0.25), 6).alias("kelly")),
