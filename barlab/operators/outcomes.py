@@ -253,7 +253,8 @@ def track_trades(signals: DataFrame, bars: DataFrame, hold: int = 60) -> DataFra
     begin = F.struct(F.lit("PENDING").alias("status"), *(F.lit(None).cast(kind).alias(name) for name, kind in nothing.items()), F.lit(0.0).alias("peak"), F.lit(0.0).alias("trough"))
     done = paths.withColumn("x", F.aggregate("path", begin, step))
     trail = F.when(F.col("x.trail").isNotNull(), sign * F.col("x.trail"))
-    stands = F.when(F.col("x.status").isin("AT_T1"), F.col("entry")).when(F.col("x.status").isin("AT_T2", "TRAILING", "CLOSED"), trail).otherwise(F.col("stop"))
+    moved = (F.col("x.status") == "AT_T1") | ((F.col("x.status") == "STOPPED") & (F.col("x.realised") == 0))
+    stands = F.when(moved, F.col("entry")).when(F.col("x.status").isin("AT_T2", "TRAILING", "CLOSED"), trail).otherwise(F.col("stop"))
     return done.select("symbol", "tf", "k", "bias", "x.status", stands.cast("double").alias("stop_at"), F.col("x.entered").alias("entered_at"), F.col("x.ended").alias("ended_at"), F.col("x.realised").alias("realised_r"), F.col("x.peak").alias("peak_r"), F.col("x.trough").alias("trough_r"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from barlab.functions import folds
@@ -126,9 +126,7 @@ def series_detector(bars: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame],
 
 def register_sql_functions(spark: SparkSession) -> None:
     """For SQL users: last_ema(array, p); the grouped aggregates ema(x, ts, p) and wilder_atr(h, l, c, ts, p); and the table function
-    swings(TABLE(bars) PARTITION BY (symbol, tf) ORDER BY ts [, threshold]), whose rows are the confirmed zigzag swings of a series."""
-    from pyspark.sql.types import DoubleType
-
+    swings(TABLE(bars) PARTITION BY (symbol, tf) ORDER BY (ts) [, threshold]), whose rows are the confirmed zigzag swings of a series."""
     def last_ema(xs: pd.Series, p: pd.Series) -> pd.Series:
         import numpy as np
 
@@ -149,7 +147,7 @@ def register_sql_functions(spark: SparkSession) -> None:
 
 
 class Swings:
-    """Zigzag swings of one partition's rows, in order: swings(TABLE(bars) PARTITION BY (symbol, tf) ORDER BY ts [, threshold]).
+    """Zigzag swings of one partition's rows, in order: swings(TABLE(bars) PARTITION BY (symbol, tf) ORDER BY (ts) [, threshold]).
 
     The threshold is a share of the price, by default the timeframe's. A partition keeps its running extreme alone, and a swing
     goes out at the bar that confirms it.
@@ -158,13 +156,15 @@ class Swings:
     @staticmethod
     def analyze(row: AnalyzeArgument, threshold: AnalyzeArgument | None = None) -> AnalyzeResult:
         if not row.isTable:
-            raise ValueError("swings takes a table: swings(TABLE(bars) PARTITION BY (symbol, tf) ORDER BY ts)")
+            raise ValueError("swings takes a table: swings(TABLE(bars) PARTITION BY (symbol, tf) ORDER BY (ts))")
         names = {f.name for f in row.dataType.fields}
         if lacking := {"symbol", "tf", "h", "l"} - names:
             raise ValueError(f"swings needs the columns {sorted(lacking)}")
         if threshold is not None and not (threshold.isConstantExpression and threshold.value is not None and 0 < float(threshold.value) < 1):
             raise ValueError("the threshold of swings is a constant between 0 and 1")
-        return AnalyzeResult(StructType.fromDDL("symbol string, tf string, pivot int, confirm int, price double, kind string"))
+        # no session here, so no DDL
+        kinds = {"symbol": StringType(), "tf": StringType(), "pivot": IntegerType(), "confirm": IntegerType(), "price": DoubleType(), "kind": StringType()}
+        return AnalyzeResult(StructType([StructField(name, kind) for name, kind in kinds.items()]))
 
     def __init__(self):
         self._fold, self._of = None, ()

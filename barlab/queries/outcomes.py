@@ -215,7 +215,7 @@ ORACLE_SQL = {
         arg_max(trail, bk) FILTER (ended IS NULL OR bk <= ended) AS trail, greatest(0.0::DOUBLE, max(round(p / 150.0::DOUBLE, 3)) FILTER (ended IS NULL OR bk <= ended)) AS peak_r, least(0.0::DOUBLE, min(round(p / 150.0::DOUBLE, 3)) FILTER (ended IS NULL OR bk <= ended)) AS trough_r FROM x8 GROUP BY ALL),
       z AS (SELECT *, CASE WHEN expired THEN 'EXPIRED' WHEN entered_at IS NULL THEN 'PENDING' WHEN t1 IS NULL THEN CASE WHEN ended_at IS NULL THEN 'ACTIVE' ELSE 'STOPPED' END WHEN t2 IS NULL THEN CASE WHEN ended_at IS NULL THEN 'AT_T1' ELSE 'STOPPED' END
         WHEN ended_at IS NOT NULL THEN 'CLOSED' WHEN t2 = kl THEN 'AT_T2' ELSE 'TRAILING' END AS status FROM y)
-      SELECT symbol, k, CASE WHEN sg = 1 THEN 'long' ELSE 'short' END AS bias, status, round(CASE WHEN status = 'AT_T1' THEN entry WHEN status IN ('AT_T2', 'TRAILING', 'CLOSED') THEN sg * (sg * entry + trail) ELSE entry - sg * 150 END, 4) AS stop_at, entered_at, ended_at,
+      SELECT symbol, k, CASE WHEN sg = 1 THEN 'long' ELSE 'short' END AS bias, status, round(CASE WHEN status = 'AT_T1' OR status = 'STOPPED' AND t1 IS NOT NULL THEN entry WHEN status IN ('AT_T2', 'TRAILING', 'CLOSED') THEN sg * (sg * entry + trail) ELSE entry - sg * 150 END, 4) AS stop_at, entered_at, ended_at,
         CASE WHEN status = 'CLOSED' THEN round(trail / 150.0::DOUBLE, 3) WHEN status = 'STOPPED' AND t1 IS NULL THEN -1.0::DOUBLE WHEN status = 'STOPPED' THEN 0.0::DOUBLE END AS realised_r, peak_r, trough_r FROM z""",
     "eod_close": f"WITH {_B}, la AS (SELECT symbol, arg_max(c, ts) AS last FROM bars GROUP BY 1), j AS (SELECT *, sg * (last - entry)::DOUBLE / 300 AS way FROM sig JOIN la USING (symbol)) SELECT symbol, k, CASE WHEN way >= 0.7 THEN 'gap_risk' ELSE 'closed' END AS action, CASE WHEN way < 0.7 THEN round(way, 6) END AS r FROM j",
     "param_sweep": f"{_GRID}, f AS (SELECT symbol, k, stop_d, target_d, min(bk) FILTER (worst <= sg * (entry - sg * stop_d)) AS ks, min(bk) FILTER (best >= sg * (entry + sg * target_d)) AS kt FROM met GROUP BY ALL), "

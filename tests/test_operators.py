@@ -222,7 +222,7 @@ def test_power_hour_shares_equal_a_look_at_all_closes(spark):
         past = df[(df.minute >= 780) & (df.ts <= r.ts)].c
         share = (past > r.vwap).mean()
         sign = 1 if share > 0.7 else -1 if share < 0.3 else 0
-        risk = sign * (r.c - (r.vwap - sign * 5.0))
-        if sign and len(past) >= 10 and risk > 0 and 50.0 >= risk:
+        risk = abs(r.c - (r.vwap - sign * 5.0))
+        if sign and len(past) >= 10 and risk > 0 and round(50.0 / risk, 2) >= 1:
             want.add((r.ts.to_pydatetime(), "long" if sign == 1 else "short"))
     assert len(want) > 10 and got == want

@@ -69,6 +69,80 @@ def test_planted_patterns_match_sql(spark, planted, name):
     assert found
 
 
+def _days(symbol: int, plan: list[tuple[int, int, int, int]], start: dt.datetime) -> list[tuple]:
+    """Eight lines a day: plan has (days, drift a tick, swing a tick, quantity); a line's price gives the step (modulo 401, less 200)."""
+    out, day = [], start
+    for days, drift, swing, quantity in plan:
+        for _ in range(days):
+            for line in range(8):
+                step = max(-200, min(200, drift + swing * (-1) ** line))
+                out.append((len(out), symbol, 1, line, float(quantity), (step + 200) / 100, day))
+            day += dt.timedelta(days=1)
+    return out
+
+
+@pytest.fixture(scope="module")
+def planted_days(tmp_path_factory):
+    start = dt.datetime(2000, 1, 1)
+    fall = (50, -198, 2, 10)  # to prices at which a day can move by some per cent
+    plans = {
+        # a long rise, then loud days that fall still, above and below the mean
+        1: ("STANDARD", [fall, (180, 12, 40, 10), (20, 0, 190, 30), (25, 1, 1, 5), (20, 0, 190, 30), (25, -1, 1, 5), (40, 0, 20, 10)]),
+        2: ("PROMO", [fall, (60, 40, 10, 10), (120, 10, 30, 10), (60, -15, 30, 20), (30, 0, 190, 10), (24, -2, 2, 4), (30, 8, 9, 12)]),
+    }
+    rows = [row for symbol, (_, plan) in plans.items() for row in _days(symbol, plan, start)]
+    lines = pd.DataFrame(rows, columns=["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate"])
+    lines["l_linenumber"] = lines["l_linenumber"].astype("int32")
+    lines["l_shipdate"] = lines["l_shipdate"].astype("datetime64[us]")
+    folder = tmp_path_factory.mktemp("planted-days")
+    lines.to_parquet(folder / "lineitem.parquet")
+    pd.DataFrame([(k, name) for k, (name, _) in plans.items()], columns=["p_partkey", "p_type"]).assign(p_brand="Brand#11").to_parquet(folder / "part.parquet")
+    return str(folder)
+
+
+def _matches(spark, folder: str, name: str, tables: tuple[str, ...]) -> set[str]:
+    """Holds a query against its SQL and gives the patterns it found."""
+    df = queries.queries()[name](spark, folder)
+    columns = sorted(df.columns)
+    mine = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
+    con = duckdb.connect()
+    for table in tables:
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{folder}/{table}.parquet')")
+    cursor = con.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in cursor.description]
+    assert mine == sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in cursor.fetchall()), key=repr)
+    return {row[columns.index("pattern")] for row in mine}
+
+
+def test_planted_days_match_sql(spark, planted_days):
+    found = _matches(spark, planted_days, "detect_daily", ("lineitem", "part"))
+    assert found >= {"vol_compression_breakout_long", "vol_compression_breakout_short", "ts_momentum_long", "rs_persistence_long"}
+
+
+@pytest.fixture(scope="module")
+def planted_quarters(tmp_path_factory):
+    """Moves of ten 15-minute bars on volume that dries up half way, both ways."""
+    start, rows, px = dt.datetime(2024, 1, 1), [], 600
+    rows += [("a", start + dt.timedelta(seconds=i), _value(-20, 10)) for i in range(470)]
+    at = start + dt.timedelta(days=1)
+    for wave in range(24):
+        for bar in range(24):
+            step = (3 if wave % 2 else -3) if bar >= 8 else (1 if bar % 2 else -1)
+            quantity = 20 if bar >= 19 else 200
+            rows += [("a", at + dt.timedelta(minutes=15 * bar + tick), _value(step, quantity)) for tick in range(3)]
+        at += dt.timedelta(minutes=15 * 24)
+    events = pd.DataFrame(rows, columns=["event_type", "ts", "value"])
+    events.insert(0, "event_id", np.arange(len(events), dtype=np.int64))
+    events["ts"] = events["ts"].astype("datetime64[us]")
+    folder = tmp_path_factory.mktemp("planted-quarters")
+    events.to_parquet(folder / "events.parquet")
+    return str(folder)
+
+
+def test_planted_quarters_match_sql(spark, planted_quarters):
+    assert _matches(spark, planted_quarters, "detect_swing", ("events",)) >= {"vp_divergence_long", "vp_divergence_short"}
+
+
 def _waves(heights: list[int], last_close: int, volume: int) -> list[tuple]:
     """Bars that touch 10,000 before each bounce of 8 bars and dip below it after, and one loud bar at the end."""
     rows = []
