@@ -12,7 +12,7 @@ of one bucket, streams the queries past them, and returns each query's best; a r
 
 Cases: vectors that are null, empty, zero, of unusual length or hold null or non-finite components take no part,
 as queries or as candidates. A query leaves out the rows of its own id. Fewer candidates than asked
-give fewer rows. Rows of a repeated query id with equal vectors are one query; candidates of equal ids are each ranked.
+give fewer rows. Rows of a repeated query id with equal vectors are one query, and with different vectors one each, under the same id; candidates of equal ids are each ranked.
 Ties go to the smaller id. Null ids take no part. Empty tables give empty results; other columns are ignored.
 """
 
@@ -175,11 +175,12 @@ class _Held:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in self.shrink()], ["query_id", "vec_id", "score"])
 
 
+#: `query_id` is the number of a query: queries of one id with different vectors are told apart.
 _FOUND = "query_id long, vec_id long, score double"
 
 
 def _scan(ids: np.ndarray, queries: np.ndarray, top: int):
-    """Exact search of a few stated queries over all vectors."""
+    """Exact search of a few stated queries, told by their positions, over all vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Held(top)
@@ -188,7 +189,7 @@ def _scan(ids: np.ndarray, queries: np.ndarray, top: int):
             for i in range(0, len(all_rows), 4096):
                 rows, row_ids = all_rows[i : i + 4096], all_ids[i : i + 4096]
                 x, y, score = _best_of(queries @ rows.T, queries, ids, rows, row_ids, np.argsort(row_ids, kind="stable"), top)
-                held.add(ids[x], row_ids[y], score)
+                held.add(x, row_ids[y], score)
                 yield from held.overflow()
         yield from held.batches()
 
@@ -209,6 +210,7 @@ class _Bucket:
     def search(self, batch: pa.RecordBatch, top: int):
         """Best of the queries of a batch over the leaves that each one visits."""
         queries, ids = matrix(batch.column("vector")).astype(np.float64), batch.column("vec_id").to_numpy()
+        numbers = batch.column("number").to_numpy()
         visits = batch.column("leaves")
         query, leaf = np.repeat(np.arange(len(ids)), visits.value_lengths().to_numpy(zero_copy_only=False)), visits.flatten().to_numpy(zero_copy_only=False)
         at = np.minimum(np.searchsorted(self.leaves, leaf), len(self.leaves) - 1)
@@ -222,7 +224,7 @@ class _Bucket:
                 some, a, b = query[ends[k] : ends[k + 1]], self.cuts[k], self.cuts[k + 1]
                 product[some, a:b] = queries[some] @ self.rows[a:b].T
         x, y, score = _best_of(product, queries, ids, self.rows, self.ids, self.by_id, top)
-        return ids[x], self.ids[y], score
+        return numbers[x], self.ids[y], score
 
 
 def _search(top: int):
@@ -270,8 +272,8 @@ def nearest(
     by_hash = F.pmod(F.xxhash64("vec_id", "vector"), F.lit(1 << 40))
     share = rows.where(by_hash < F.lit(int((1 << 40) * min(1.0, SAMPLE_ROWS / max(total, 1)))))
     sample = share.limit(2 * SAMPLE_ROWS).select("vector").toArrow()
-    queries = rows.where(is_query(F.col("vec_id"))).distinct()
-    trial = queries.orderBy(by_hash, "vec_id").limit(CALIBRATION).toArrow()
+    queries = checkpoint(rows.where(is_query(F.col("vec_id"))).distinct().withColumn("number", F.monotonically_increasing_id()))
+    trial = queries.orderBy(by_hash, "vec_id").limit(CALIBRATION).select("vec_id", "vector").toArrow()
     if not sample.num_rows or not trial.num_rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     points = matrix(sample.column("vector")).astype(np.float64)
@@ -297,7 +299,7 @@ def nearest(
     number_of_queries = queries.count()
     copies = -(-number_of_queries // QUERY_ROWS)
     # few rows, but each walks the tree: dealt out by their number, not by their size
-    queries = queries.repartition(-(-number_of_queries // SEEK_ROWS), "vec_id", "vector")
+    known, queries = queries, queries.repartition(-(-number_of_queries // SEEK_ROWS), "number")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin, number = dealt.value
@@ -324,16 +326,18 @@ def nearest(
                 ends = np.append(0, np.cumsum([len(x) for x in lists])).astype(np.int32)
                 taken = part.take(pa.array(np.concatenate(of)))
                 visited = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(buckets)), visited, taken.column("vec_id"), taken.column("vector")], ["bucket", "leaves", "vec_id", "vector"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(buckets)), visited, *(taken.column(c) for c in ("number", "vec_id", "vector"))], ["bucket", "leaves", "number", "vec_id", "vector"])
 
     here = index.mapInArrow(place, f"bucket long, leaf int, vec_id long, vector array<{kind}>").select(
-        "bucket", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("block"), F.lit(0).alias("seeks"), "leaf", F.array().cast("array<int>").alias("leaves"), "vec_id", "vector"
+        "bucket", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("block"), F.lit(0).alias("seeks"), "leaf", F.array().cast("array<int>").alias("leaves"), F.lit(-1).cast("long").alias("number"), "vec_id", "vector"
     )
-    there = queries.mapInArrow(seek, f"bucket long, leaves array<int>, vec_id long, vector array<{kind}>").select(
-        "bucket", F.pmod(F.xxhash64("vec_id"), F.lit(copies)).cast("int").alias("block"), F.lit(1).alias("seeks"), F.lit(-1).alias("leaf"), "leaves", "vec_id", "vector"
+    there = queries.mapInArrow(seek, f"bucket long, leaves array<int>, number long, vec_id long, vector array<{kind}>").select(
+        "bucket", F.pmod(F.xxhash64("number"), F.lit(copies)).cast("int").alias("block"), F.lit(1).alias("seeks"), F.lit(-1).alias("leaf"), "leaves", "number", "vec_id", "vector"
     )
     met = here.union(there).repartition("bucket", "block").sortWithinPartitions("bucket", "block", "seeks")
-    return _ranked(met.mapInArrow(_search(top), _FOUND), top).select("query_id", "rank", "vec_id", "score")
+    best = _ranked(met.mapInArrow(_search(top), _FOUND), top).withColumnRenamed("query_id", "number")
+    named = known.select("number", F.col("vec_id").alias("query_id"))
+    return best.join(named.hint("merge"), "number").select("query_id", "rank", "vec_id", "score")
 
 
 def _calibrated(index: DataFrame, tree: KMeansTree, trial: pa.Table, top: int, recall: float) -> int:
@@ -342,7 +346,7 @@ def _calibrated(index: DataFrame, tree: KMeansTree, trial: pa.Table, top: int, r
     true = _ranked(index.mapInArrow(_scan(ids, points, top), _FOUND), top).select("query_id", "vec_id")
     hits = index.select("vec_id", "leaf").join(F.broadcast(true), "vec_id").select("query_id", "leaf").collect()  # CALIBRATION * top short rows
     reached = {}
-    for q, p in zip(ids.tolist(), points, strict=True):
+    for q, p in enumerate(points):
         reached[q] = np.empty(len(tree.leaves), dtype=np.int64)
         reached[q][tree.visits(p, len(tree.leaves))] = np.arange(len(tree.leaves))
     at = sorted(int(reached[r["query_id"]][r["leaf"]]) for r in hits)

@@ -176,6 +176,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     parts, level = max(1, now.rdd.getNumPartitions()), 0
     left = now.where("not full")
     count, pieces = size(left)
+    stuck = 0
     while count > 1 and (parts > 1 or pieces > window):
         level += 1
         if dealt := pieces > window * -(-parts // FAN_IN):
@@ -189,6 +190,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         now = checkpoint(placed.mapInArrow(_again(capacity, level, window), schema))
         done, left = done.union(now.where("full")), now.where("not full")
         before, (count, pieces) = count, size(left)
-        if dealt and size(now)[0] >= before:
+        # a deal may be unlucky; the walk ends after two in a row that made no fewer bins
+        stuck = stuck + 1 if dealt and size(now)[0] >= before else 0
+        if stuck == 2:
             break
     return done.union(left).select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), F.col("place").alias("offset"))

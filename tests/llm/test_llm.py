@@ -440,6 +440,19 @@ def test_odd_vectors(spark):
     assert ann.nearest(vectors(spark, []).where("false"), lambda v: v == 5).count() == 0
 
 
+def test_one_query_id_with_two_vectors(spark):
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((400, 8))
+    rows = [(i, x[i].tolist()) for i in range(400)] + [(0, (-x[0]).tolist()), (0, x[0].tolist())]
+    got = ann.nearest(vectors(spark, rows), lambda v: v == 0, top=7, recall=1.0).collect()
+    want = []
+    for own in (x[0], -x[0]):
+        own = own.astype("f4").astype(float)
+        want += sorted((-round(float((own * x[i].astype("f4")).sum()), 4), i) for i in range(1, 400))[:7]
+    assert sorted((r["vec_id"], round(r["score"], 4)) for r in got) == sorted((i, -s) for s, i in want)
+    assert len(got) == 14 and [r["query_id"] for r in got] == [0] * 14
+
+
 # 8: toxicity
 
 
@@ -636,6 +649,23 @@ def test_queries_match_their_sql(spark, name):
     assert sorted((tuple(cut(r[c]) for c in columns) for r in df.collect()), key=repr) == sorted((tuple(map(cut, r)) for r in theirs), key=repr)
 
 
+def test_pipeline_runs_whole_and_on_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    packed = corpus_pipeline.run(spark, SF).toPandas()
+    assert len(packed) and packed.groupby("sequence_id").length.sum().max() <= 2048
+    for table in ("documents", "labels"):
+        spark.read.parquet(f"{SF}/{table}.parquet").where("false").write.parquet(f"{tmp_path}/{table}.parquet")
+    none = corpus_pipeline.run(spark, str(tmp_path))
+    assert none.count() == 0 and none.columns == list(packed.columns)
+
+
+def test_mixing_of_sizes_that_are_all_zero(spark):
+    df = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, " \n", None)], "doc_id long, text string, source string")
+    assert {tuple(r) for r in mixing.mixture(df).select("doc_id", "size", "taken").collect()} == {(1, 0, 0), (2, 0, 0), (3, 0, 0)}
+    assert mixing.mix(df).columns == df.columns
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
