@@ -154,7 +154,7 @@ def select_non_overlapping(candidates: DataFrame, cooldown: str = "cooldown", by
 def next_open_entry(signals: DataFrame, bars: DataFrame, least: float = 1.5) -> DataFrame:
     """Entry at the next bar's open; none if that is beyond the stop or leaves under `least` R to the first target."""
     nxt = bars.select("symbol", "tf", (F.col("k") - 1).alias("k"), F.col("o").alias("fill"))
-    joined = signals.join(nxt, ["symbol", "tf", "k"])
+    joined = signals.join(nxt.hint("merge"), ["symbol", "tf", "k"])
     sign = F.when(F.col("bias") == "long", 1).otherwise(-1)
     risk, reward = sign * (F.col("fill") - F.col("stop")), sign * (F.col("t2") - F.col("fill"))
     return joined.withColumns({"risk": risk, "reward": reward}).where((F.col("risk") > 0) & (F.col("reward") >= least * F.col("risk")))

@@ -183,7 +183,7 @@ class Swings:
 
 def with_param_table(detect_rows: DataFrame, params: DataFrame) -> DataFrame:
     """Least confidence by pattern from a table of parameters; patterns without a row keep all."""
-    joined = detect_rows.join(params, "pattern", "left")
+    joined = detect_rows.join(params.hint("merge"), "pattern", "left")
     return joined.where(F.col("least_confidence").isNull() | (F.col("confidence") >= F.col("least_confidence"))).drop("least_confidence")
 
 

@@ -58,7 +58,17 @@ def write_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = store.scratch_folder(spark)
     store.write_bars(bars, folder)
     store.write_bars(bars.where("to_date(ts) = DATE'2024-01-10'"), folder)
-    return store.read_bars(spark, folder).where("date <= DATE'2024-01-15'").select(*BAR)
+    return store.read_bars(spark, folder, until="2024-01-15").select(*BAR)
+
+
+def extend_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of the bars up to the 12th extended by all others up to the 25th, twice; the second run adds nothing."""
+    bars = fixtures.intraday(spark, sf_dir)
+    folder = store.scratch_folder(spark)
+    store.write_bars(bars.where("to_date(ts) <= DATE'2024-01-12'"), folder)
+    for _ in range(2):
+        store.extend_series(folder, bars, "2024-01-25")
+    return store.read_bars(spark, folder).select(*BAR)
 
 
 def history_union(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +124,7 @@ def point_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        resample_ohlcv, ticks_to_bars, multi_tf_bars, upsert_bars, bars_since, utc_to_session_ts, chart_export, read_bars_json, write_bars, history_union,
+        resample_ohlcv, ticks_to_bars, multi_tf_bars, upsert_bars, bars_since, utc_to_session_ts, chart_export, read_bars_json, write_bars, extend_series, history_union,
         partition_closed_by_day, daily_range, weekly_close, store_stats, bar_count, rth_filter, market_hours_filter, today_filter, available_dates, point_in_time,
     )
 }
@@ -131,6 +141,7 @@ ORACLE_SQL = {
     "chart_export": f"WITH {DAILY} SELECT symbol, epoch(ts)::BIGINT AS time, o, h, l, c, v FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS r FROM daily) WHERE r <= 120",
     "read_bars_json": f"WITH {DAILY} SELECT {_B} FROM daily",
     "write_bars": f"WITH {HOURLY} SELECT {_B} FROM hourly WHERE ts < '2024-01-16'",
+    "extend_series": f"WITH {HOURLY} SELECT {_B} FROM hourly WHERE ts < '2024-01-13' OR (ts < '2024-01-26' AND hour(ts) * 60 + minute(ts) >= 570 AND hour(ts) * 60 + minute(ts) < 960)",
     "history_union": f"WITH {CLOSED} SELECT id, pattern_name, symbol, r_milli, closed_at FROM closed",
     "partition_closed_by_day": f"WITH {CLOSED} SELECT closed_at::DATE AS closed_date, count(*) AS n, sum(r_milli)::BIGINT AS r_milli FROM closed WHERE closed_at::DATE BETWEEN '1995-01-01' AND '1996-12-31' GROUP BY 1",
     "daily_range": f'WITH {HOURLY} SELECT symbol, ts::DATE AS day, max(h) AS high, min(l) AS low, max(h) - min(l) AS "range" FROM hourly GROUP BY ALL',

@@ -67,6 +67,22 @@ def stream_day_events(spark, sf_dir):
     return S.event_summary(_tracked(spark, sf_dir, T.SetupTracker(30, end_of_day=990, dedup=False))).select("day", "ended", "winners", "losers", "even", "second_targets", "overnight", "total_r_milli").where("ended + overnight > 0")
 
 
+def stream_live_setups(spark, sf_dir):
+    """15-minute patterns found live at scan bars, each once within its cooldown and beside no open one like it, tracked to their ends and the day's."""
+    from barlab.operators import detect as D
+
+    fixtures.ship(spark)
+    found = lambda bars: D.with_traits(D.detect(D.wide(bars), D.swing_detectors()))
+    tracker = T.SetupTracker(15, 990, T.LIVE_SCAN_EVERY, T.LIVE_WARM_UP)
+    return _ntz(T.live_setups(S.ticks_stream(spark, sf_dir), 15, found, tracker, S.scratch_folder(spark)), "at")
+
+
+def stream_in_play(spark, sf_dir):
+    fixtures.ship(spark)
+    news = S.stream_table(spark, sf_dir, "documents").select(F.concat(F.lit("S"), (F.col("doc_id") % 50).cast("string")).alias("symbol"), F.expr("timestampadd(MINUTE, CAST(doc_id * 7 AS INT), TIMESTAMP'2024-01-01 00:00:00')").alias("published"))
+    return _ntz(_ntz(S.run_to_table(S.in_play(news), "complete"), "start"), "fresh_until")
+
+
 def stream_running_metrics(spark, sf_dir):
     fixtures.ship(spark)
     ticks = S.ticks_stream(spark, sf_dir).select(F.col("symbol").alias("pattern"), F.struct("ts", "event_id").alias("key"), (F.col("px") - 10000).alias("r_milli"))
@@ -116,7 +132,7 @@ def stream_detect(spark, sf_dir):
     return spark.read.parquet(f"{out}/signals").select("symbol", "ts", "pattern", "bias", "entry", "stop")
 
 
-QUERIES = {f.__name__: f for f in (stream_ticks_to_bars, stream_dedup_bars, stream_multi_cadence, stream_setup_lifecycle, stream_setup_day, stream_trade_alerts, stream_day_events, stream_running_metrics, stream_price_refresh, stream_eod, stream_freshness, stream_alerts, news_ttl_window, stream_detect)}
+QUERIES = {f.__name__: f for f in (stream_ticks_to_bars, stream_dedup_bars, stream_multi_cadence, stream_setup_lifecycle, stream_setup_day, stream_trade_alerts, stream_day_events, stream_live_setups, stream_in_play, stream_running_metrics, stream_price_refresh, stream_eod, stream_freshness, stream_alerts, news_ttl_window, stream_detect)}
 _T = "t AS (SELECT event_type AS symbol, ts, event_id, CAST(round(value * 100) AS BIGINT) % 2000 + 9000 AS px, CAST(round(value * 100) AS BIGINT) % 500 + 1 AS qty FROM events)"
 ORACLE_SQL = {
     "stream_ticks_to_bars": f"WITH {_T} SELECT symbol, time_bucket(INTERVAL 5 MINUTE, ts) AS ts, arg_min(px, (ts, event_id)) AS o, max(px) AS h, min(px) AS l, arg_max(px, (ts, event_id)) AS c, sum(qty)::BIGINT AS v FROM t GROUP BY symbol, time_bucket(INTERVAL 5 MINUTE, ts)",
@@ -132,5 +148,7 @@ ORACLE_SQL = {
       SELECT symbol, ts, 'breaking_news' AS pattern, CASE WHEN c > o THEN 'long' ELSE 'short' END AS bias, c::DOUBLE AS entry, CASE WHEN c > o THEN l - 2 ELSE h + 2 END::DOUBLE AS stop FROM w WHERE k >= 12 AND vol > 0 AND v >= 3 * vol AND sp > 0 AND h - l >= 2 * sp
         AND (CASE WHEN c > o THEN c - l + 2 ELSE h + 2 - c END) > 0""",
     "stream_alerts": "SELECT event_type || '-' || event_id AS id, printf('%s scored %.2f', event_type || '-' || event_id, value) AS alert FROM events WHERE value >= 150",
+    "stream_in_play": """WITH n AS (SELECT concat('S', doc_id % 50) AS symbol, time_bucket(INTERVAL 30 MINUTE, TIMESTAMP '2024-01-01' + to_minutes(doc_id * 7)) AS start FROM documents)
+      SELECT start, start + INTERVAL 30 MINUTE AS fresh_until, string_agg(DISTINCT symbol, ',' ORDER BY symbol) AS symbols, count(*) AS n FROM n GROUP BY 1""",
     "news_ttl_window": "SELECT concat('S', doc_id % 50) AS symbol, time_bucket(INTERVAL 10 MINUTE, TIMESTAMP '2024-01-01' + to_minutes(doc_id * 7)) AS start, count(*) AS n FROM documents GROUP BY ALL",
 }

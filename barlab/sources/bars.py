@@ -56,8 +56,32 @@ def write_bars(bars: DataFrame, path: str) -> None:
     dated.repartition("tf", "date").write.partitionBy("tf", "date").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
-def read_bars(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_bars(spark: SparkSession, path: str, tfs: tuple[str, ...] = (), since: str | None = None, until: str | None = None) -> DataFrame:
+    """Bars of some timeframes and days (ends included), or all; only their partitions are listed and read."""
+    bars = spark.read.parquet(path)
+    if tfs:
+        bars = bars.where(F.col("tf").isin(*tfs))
+    for day, test in ((since, F.col("date") >= F.lit(since).cast("date")), (until, F.col("date") <= F.lit(until).cast("date"))):
+        bars = bars.where(test) if day else bars
+    return bars
+
+
+def extend_series(path: str, fetched: DataFrame, until: str) -> DataFrame:
+    """Append to the store at `path` what `fetched` has of its series from the day after their last bar up to `until`: (symbol, tf, added, status).
+
+    Only series that the store has are extended, with regular hours alone but for daily bars. What is stored is neither read in whole nor written again,
+    and a second run adds nothing. status: ok, or skip where nothing was added.
+    """
+    spark = fetched.sparkSession
+    tails = materialised(spark.read.parquet(path).groupBy("symbol", "tf").agg(F.max("ts").alias("tail")))
+    later = (F.to_date("ts") > F.to_date("tail")) & (F.to_date("ts") <= F.lit(until).cast("date"))
+    open_ = (F.col("tf") == "1d") | ((minute_of_day() >= 570) & (minute_of_day() < 960))
+    met = fetched.join(tails.hint("merge"), ["symbol", "tf"]).where(later & open_).dropDuplicates(["symbol", "tf", "ts"])
+    new = materialised(met.select("symbol", "tf", "ts", "o", "h", "l", "c", "v").withColumn("date", F.to_date("ts")))
+    new.repartition("tf", "date").write.partitionBy("tf", "date").mode("append").parquet(path)
+    added = new.groupBy("symbol", "tf").agg(F.count("*").alias("added"))
+    report = tails.select("symbol", "tf").join(added.hint("merge"), ["symbol", "tf"], "left").withColumn("added", F.coalesce("added", F.lit(0).cast("long")))
+    return report.withColumn("status", F.when(F.col("added") > 0, "ok").otherwise("skip"))
 
 
 def upsert_bars(stored: DataFrame, fresh: DataFrame, caps: dict[str, int] = CAPS) -> DataFrame:
@@ -72,7 +96,7 @@ def upsert_bars(stored: DataFrame, fresh: DataFrame, caps: dict[str, int] = CAPS
 def bars_since(stored: DataFrame, source: DataFrame) -> DataFrame:
     """Rows of `source` after the last stored time of their series."""
     seen = stored.groupBy("symbol", "tf").agg(F.max("ts").alias("top"))
-    return source.join(seen, ["symbol", "tf"], "left").where(F.col("top").isNull() | (F.col("ts") > F.col("top"))).drop("top")
+    return source.join(seen.hint("merge"), ["symbol", "tf"], "left").where(F.col("top").isNull() | (F.col("ts") > F.col("top"))).drop("top")
 
 
 def minute_of_day(ts: str = "ts"):

@@ -89,7 +89,7 @@ def running_metrics(outcomes: DataFrame, last: int = 60) -> DataFrame:
 def refresh_prices(ticks: DataFrame, trades: DataFrame) -> DataFrame:
     """Last price by symbol, joined to a static table of open trades."""
     last = ticks.groupBy("symbol").agg(F.max_by("px", F.struct("ts", "event_id")).alias("last"))
-    return last.join(trades, "symbol")
+    return last.join(trades.hint("merge"), "symbol")
 
 
 def freshness(ticks: DataFrame, as_of: str) -> DataFrame:
@@ -174,13 +174,20 @@ def news_windows(news: DataFrame, minutes: int = 10) -> DataFrame:
     return news.withWatermark("published", LATE).groupBy(F.window("published", f"{minutes} minutes").alias("w"), "symbol").agg(F.count("*").alias("n")).select("symbol", F.col("w.start").alias("start"), "n")
 
 
+def in_play(news: DataFrame, minutes: int = 30) -> DataFrame:
+    """By window of `minutes`: the symbols that made news in it, in order, and how much; a list is fresh until its window ends."""
+    windowed = news.withWatermark("published", LATE).groupBy(F.window("published", f"{minutes} minutes").alias("w"))
+    listed = windowed.agg(F.array_join(F.array_sort(F.collect_set("symbol")), ",").alias("symbols"), F.count("*").alias("n"))
+    return listed.select(F.col("w.start").alias("start"), F.col("w.end").alias("fresh_until"), "symbols", "n")
+
+
 def end_of_day(ticks: DataFrame, trades: DataFrame, minute: int = 990) -> DataFrame:
     """Open trades (symbol, day, bias, entry, stop, t1, ...) at each day's close: closed at the day's last price up to `minute`, or kept
     overnight where most of the way to the next target is done. A day is one event-time window, final once the watermark has passed it."""
     open_hours = ticks.withWatermark("ts", LATE).where(F.hour("ts") * 60 + F.minute("ts") < minute)
     last = open_hours.groupBy(F.window("ts", "1 day").alias("w"), "symbol").agg(F.max_by("px", F.struct("ts", "event_id")).alias("last"))
     closing = last.select("symbol", F.to_date(F.col("w.start")).alias("day"), "last")
-    return eod_close(closing.join(trades, ["symbol", "day"])).withColumn("overnight", F.col("action") == "gap_risk")
+    return eod_close(closing.join(trades.hint("merge"), ["symbol", "day"])).withColumn("overnight", F.col("action") == "gap_risk")
 
 
 def day_summary(ended: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ and OVERNIGHT for each day's end at which a setup is left open as most of the wa
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -217,3 +217,47 @@ def as_rows(bars: DataFrame | None, setups: DataFrame | None) -> DataFrame:
     full = lambda df: df.select(*((F.col(c) if c in df.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()))
     parts = [full(df) for df in (bars, setups) if df is not None]
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def as_setups(signals: DataFrame, minutes: int) -> DataFrame:
+    """Signals of the detectors, with their traits, as setups: whole cents, a number by hash, and the cooldown in bars of `minutes`."""
+    whole = lambda x: F.round(x).cast("long")
+    number = F.xxhash64("symbol", "tf", "ts", "pattern", "bias")
+    fields = {"setup_id": number, "bias": F.when(F.col("bias") == "long", 1).otherwise(-1), **{x: whole(F.col(x)) for x in ("entry", "stop", "t1", "t2")}}
+    fields["wait"] = F.greatest(F.lit(1), F.floor(F.col("cooldown_minutes") / minutes)).cast("long")
+    return signals.select("symbol", "tf", "ts", "pattern", *(x.alias(name) for name, x in fields.items()))
+
+
+def live_setups(ticks: DataFrame, minutes: int, detect: Callable[[DataFrame], DataFrame], tracker: SetupTracker, folder: str, look_back_days: int = 60) -> DataFrame:
+    """Ticks to events of tracked setups, by three streaming queries under `folder` that each go on from where they were; gives the events so far.
+
+    The first makes final bars. The second runs the detectors (bars to signals with traits) over each batch's bars and the days before them that a detector looks back, and
+    keeps the signals of the batch's own bars. The third tracks setups over both. A bar is final and found on once, whatever the batches, so
+    scan positions, cooldowns and open setups are those of one pass over all bars.
+    """
+    from barlab.streaming.bars import tick_bars
+
+    spark = stateful(ticks.sparkSession)
+    name = f"{minutes}min" if minutes < 60 else "1h"
+    bars = tick_bars(ticks, minutes).select("symbol", F.lit(name).alias("tf"), "ts", "o", "h", "l", "c", "v").withColumn("day", F.to_date("ts"))
+    made = bars.writeStream.format("parquet").option("path", f"{folder}/bars").option("checkpointLocation", f"{folder}/state-bars").partitionBy("day").outputMode("append")
+    made.trigger(availableNow=True).start().awaitTermination()
+
+    def found(batch: DataFrame, number: int) -> None:
+        begin = batch.agg(F.date_sub(F.min("day"), look_back_days).alias("d")).first()["d"]
+        if begin is None:
+            return
+        own = batch.groupBy("symbol").agg(F.min("ts").alias("since"), F.max("ts").alias("until"))
+        seen = spark.read.schema(bars.schema).parquet(f"{folder}/bars").where(F.col("day") >= F.lit(begin)).join(own.hint("merge"), "symbol").where("ts <= until")
+        # detectors take wall-clock times
+        history = seen.drop("day", "until").withColumns({"ts": F.col("ts").cast("timestamp_ntz"), "since": F.col("since").cast("timestamp_ntz")})
+        since = history.select("symbol", "since").distinct()
+        signals = detect(history.drop("since")).join(since.hint("merge"), "symbol").where("ts >= since").drop("since")
+        as_setups(signals, minutes).withColumn("ts", F.col("ts").cast("timestamp")).write.mode("overwrite").parquet(f"{folder}/signals/batch={number:06d}")
+
+    stored = spark.readStream.schema(bars.schema).parquet(f"{folder}/bars")
+    stored.writeStream.foreachBatch(found).option("checkpointLocation", f"{folder}/state-signals").trigger(availableNow=True).start().awaitTermination()
+    setups = spark.readStream.schema(f"symbol string, tf string, ts timestamp, {SETUP}").parquet(f"{folder}/signals/*")
+    events = track(as_rows(spark.readStream.schema(bars.schema).parquet(f"{folder}/bars"), setups), tracker)
+    events.writeStream.format("parquet").option("path", f"{folder}/events").option("checkpointLocation", f"{folder}/state-events").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(events.schema).parquet(f"{folder}/events")

@@ -226,3 +226,23 @@ def test_power_hour_shares_equal_a_look_at_all_closes(spark):
         if sign and len(past) >= 10 and risk > 0 and round(50.0 / risk, 2) >= 1:
             want.add((r.ts.to_pydatetime(), "long" if sign == 1 else "short"))
     assert len(want) > 10 and got == want
+
+
+def test_stores_are_pruned_and_extended(spark, tmp_path):
+    from barlab.sources import bars as store
+
+    base = walk(91, 6).assign(tf="1h", ts=pd.to_datetime(["2024-01-02 10:00", "2024-01-02 11:00", "2024-01-03 10:00", "2024-01-03 15:00", "2024-01-04 10:00", "2024-01-04 16:00"]))
+    daily = walk(92, 5).assign(ts=pd.date_range("2024-01-01", periods=5))
+    everything = bars(spark, base, daily)
+    path = f"{tmp_path}/store"
+    store.write_bars(everything.where("to_date(ts) <= DATE'2024-01-02'"), path)
+    # of two bars of one time one is added, of an unknown series none
+    fetched = everything.unionByName(everything.where("tf = '1h'")).unionByName(everything.withColumn("symbol", F.lit("new")))
+    first = {(r["symbol"], r["tf"]): (r["added"], r["status"]) for r in store.extend_series(path, fetched, "2024-01-04").collect()}
+    assert first == {("S91", "1h"): (3, "ok"), ("S92", "1d"): (2, "ok")}
+    assert {r["status"] for r in store.extend_series(path, fetched, "2024-01-04").collect()} == {"skip"}
+    some = store.read_bars(spark, path, ("1d",), "2024-01-02", "2024-01-03")
+    assert sorted(r["ts"].day for r in some.collect()) == [2, 3]
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters") :].split("]")[0]
+    assert "tf#" in filters and "date#" in filters and plan.count("PartitionFilters: []") == 0
