@@ -73,13 +73,13 @@ def extend_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def history_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     trades = fixtures.trades(spark, sf_dir)
-    return store.history_union(trades).select("id", "pattern_name", "symbol", "r_milli", "closed_at")
+    return store.history_union(trades, fixtures.TRADE_TIES).select("id", "pattern_name", "symbol", "r_milli", "closed_at")
 
 
 def partition_closed_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All closed trades archived by day, read back for a range of days that prunes the rest."""
     folder = store.scratch_folder(spark)
-    store.archive_closed(store.history_union(fixtures.trades(spark, sf_dir)), folder)
+    store.archive_closed(store.history_union(fixtures.trades(spark, sf_dir), fixtures.TRADE_TIES), folder)
     return spark.read.parquet(folder).where("closed_date between DATE'1995-01-01' and DATE'1996-12-31'").groupBy("closed_date").agg(F.count("*").alias("n"), F.sum("r_milli").alias("r_milli"))
 
 

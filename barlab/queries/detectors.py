@@ -147,7 +147,7 @@ def results_sink(spark, sf_dir):
     from barlab.operators import stats
 
     folder = store.scratch_folder(spark)
-    found = stats.pattern_stats(store.history_union(fixtures.trades(spark, sf_dir)), "pattern_name").select("pattern_name", "n", "win", "loss")
+    found = stats.pattern_stats(store.history_union(fixtures.trades(spark, sf_dir), fixtures.TRADE_TIES), "pattern_name").select("pattern_name", "n", "win", "loss")
     found.withColumn("run_id", F.lit("first")).write.partitionBy("run_id").mode("append").parquet(folder)
     found.where("n > 1800").withColumn("run_id", F.lit("second")).write.partitionBy("run_id").mode("append").parquet(folder)
     return spark.read.parquet(folder).where("run_id = 'second'").select("pattern_name", "n", "win", "loss")
@@ -214,7 +214,7 @@ def swing_window(spark, sf_dir):
 
 def as_of_regime(spark, sf_dir):
     """Closed trades with the benchmark's last close at or before the entry."""
-    trades = store.history_union(fixtures.trades(spark, sf_dir)).select(F.lit("STANDARD").alias("market"), F.col("entered_at").alias("ts"), "id")
+    trades = store.history_union(fixtures.trades(spark, sf_dir), fixtures.TRADE_TIES).select(F.lit("STANDARD").alias("market"), F.col("entered_at").alias("ts"), "id")
     ref = fixtures.daily(spark, sf_dir).where("symbol = 'STANDARD'").select(F.col("symbol").alias("market"), "ts", "c")
     return S.as_of_join(trades, ref, "market", "ts", ["c"]).select("id", "ts", "c")
 

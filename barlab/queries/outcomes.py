@@ -28,7 +28,7 @@ def scan_schedule(spark, sf_dir):
 
 
 def cooldown_bars(spark, sf_dir):
-    trades = store.history_union(fixtures.trades(spark, sf_dir)).withColumn("tf", F.element_at(F.array(*map(F.lit, O.BAR_MINUTES)), (F.col("regime") + 1).cast("int")))
+    trades = store.history_union(fixtures.trades(spark, sf_dir), fixtures.TRADE_TIES).withColumn("tf", F.element_at(F.array(*map(F.lit, O.BAR_MINUTES)), (F.col("regime") + 1).cast("int")))
     return trades.select("id", O.bars_for(F.abs("r_milli") / 10).alias("cooldown"))
 
 
@@ -66,7 +66,7 @@ def first_detection(spark, sf_dir):
 
 
 def recent_dedup(spark, sf_dir):
-    trades = store.history_union(fixtures.trades(spark, sf_dir))
+    trades = store.history_union(fixtures.trades(spark, sf_dir), fixtures.TRADE_TIES)
     return O.recent_dedup(trades.select("symbol", "pattern_name").distinct(), trades, "1998-06-01")
 
 
@@ -128,7 +128,7 @@ def param_best(spark, sf_dir):
 
 def train_val_split(spark, sf_dir):
     """Symbols dealt to two halves by the rank of their volume; the gap of a pattern's mean R between them."""
-    trades = store.history_union(fixtures.trades(spark, sf_dir))
+    trades = store.history_union(fixtures.trades(spark, sf_dir), fixtures.TRADE_TIES)
     ranks = trades.groupBy("symbol").agg(F.count("*").alias("n")).withColumn("half", F.row_number().over(Window.orderBy(F.desc("n"), "symbol")) % 2)
     sides = trades.join(ranks.select("symbol", "half"), "symbol").groupBy("pattern_name").pivot("half", [0, 1]).agg(F.avg("r_milli").alias("r"), F.count("r_milli").alias("n"))
     over = F.when(F.col("1_n") < 15, False).otherwise((F.col("1_r") < 0) | (F.col("1_r") < 0.5 * F.col("0_r")))

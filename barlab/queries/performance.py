@@ -15,7 +15,7 @@ ORACLE_SQL: dict = {}
 
 
 def _add(name: str, build, sql: str) -> None:
-    QUERIES[name] = lambda spark, sf_dir: build(store.history_union(fixtures.trades(spark, sf_dir)))
+    QUERIES[name] = lambda spark, sf_dir: build(store.history_union(fixtures.trades(spark, sf_dir), fixtures.TRADE_TIES))
     ORACLE_SQL[name] = f"WITH {CLOSED} {sql}"
 
 

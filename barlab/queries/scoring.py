@@ -18,7 +18,7 @@ _TYPES = [*score.TYPE_WEIGHTS, "other"]
 
 def setups(spark, sf_dir: str) -> DataFrame:
     """Setups with factor scores in whole numbers made from a trade's keys."""
-    t = store.history_union(fixtures.trades(spark, sf_dir))
+    t = store.history_union(fixtures.trades(spark, sf_dir), fixtures.TRADE_TIES)
     n = lambda a, b: ((F.col("l_partkey") * a + F.col("l_suppkey") * b) % 101).cast("double")
     made = {name: n(3 + i, 7 + 2 * i) for i, name in enumerate(score.FEATURES)}
     t = t.withColumns(made).withColumns({"confidence": n(5, 3), "feature": n(11, 2), "strategy": n(2, 13), "edge": n(7, 7), "rr": n(9, 4)})

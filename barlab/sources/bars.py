@@ -145,7 +145,7 @@ def point_in_time(bars: DataFrame, as_of: str) -> DataFrame:
     return seen.groupBy("symbol", "tf").agg(F.max_by(F.struct(*rest), "ts").alias("x")).select("symbol", "tf", "x.*")
 
 
-def history_union(trades: DataFrame, ties: tuple[str, ...] = ("l_partkey", "l_suppkey")) -> DataFrame:
+def history_union(trades: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
     """One row for each id, from the first of its stores, then by `ties`; a missing id is unlike any other. Only closed trades with a result."""
     order = F.struct("src_rank", *(x for x in ties if x in trades.columns), "closed_at", "r_milli")
     known = trades.where("id is not null")

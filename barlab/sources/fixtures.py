@@ -66,6 +66,10 @@ def intraday(spark: SparkSession, sf_dir: str, minutes: int = 60) -> DataFrame:
     return ticks_to_bars(ticks(spark, sf_dir), minutes).select("symbol", F.lit(name).alias("tf"), "ts", "o", "h", "l", "c", "v")
 
 
+#: Columns that order the trades of one id.
+TRADE_TIES = ("l_partkey", "l_suppkey")
+
+
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed trades with duplicate ids; R in thousandths."""
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))

@@ -78,8 +78,10 @@ def running_metrics(outcomes: DataFrame, last: int = 60) -> DataFrame:
     """Metrics of each pattern's last outcomes, kept in a bounded list per pattern; those of a batch go by time, then by R."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        held = (held + pd.concat(list(frames)).sort_values(["at", "r_milli"])["r_milli"].astype(int).tolist())[-last:]
+        held, new = list(state.get[0]) if state.exists else [], []
+        for frame in frames:  # of a batch no more than the last ones are kept, however many come
+            new = sorted([*new, *zip(frame["at"], frame["r_milli"].astype(int))])[-last:]
+        held = (held + [r for _, r in new])[-last:]
         state.update((held,))
         yield pd.DataFrame([(key[0], *_metrics(held))], columns=[x.split()[0] for x in METRICS.split(", ")])
 
