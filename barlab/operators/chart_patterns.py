@@ -14,8 +14,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barlab.functions import folds
 from barlab.functions import indicators as I
 from barlab.operators.detect import setup_gate
+from barlab.operators.structures import level_starts
 
 #: Bars on either side of a swing by timeframe, and the price tick added to entries and stops.
 ORDER = {"5min": 3, "15min": 4, "1h": 3, "1d": 5}
@@ -201,6 +203,75 @@ def tidal_wave(bars: DataFrame, levels: DataFrame) -> DataFrame:
     return setup_gate(found).select("symbol", "tf", "ts", "bounces", "bias", "entry", "stop", "t1", "t2", "rr", "confidence")
 
 
+_WAVE = {"symbol": "string", "tf": "string", "ts": "timestamp_ntz", "k": "long", "bounces": "long", "bias": "string"}
+_WAVE |= dict.fromkeys(("entry", "stop", "target", "target_1", "target_2", "price", "atr", "confidence"), "double")
+
+
+def tidal_waves(bars: DataFrame, every: dict[str, int] | None = None, warm_up: int = 30, tolerance: float = 0.008) -> DataFrame:
+    """Falling bounces from a support that the close breaks on volume, at every bar of the scan, gated; needs atr.
+
+    As of a bar, its levels are those of the zigzag swings confirmed by then, and the bounces those of all bars so far. every: bars between scans by
+    timeframe; others are scanned at every bar. One series is a group: levels are formed anew only once a swing is confirmed, and bounces are
+    counted only at scan bars on volume below a level.
+    """
+    df = bars.withColumn("confirmed", F.coalesce(I.volume_confirm(1.3), F.lit(False))).select("symbol", "tf", "ts", "h", "l", "c", "atr", "confirmed")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts", kind="stable").reset_index(drop=True)
+        symbol, tf = pdf["symbol"].iloc[0], pdf["tf"].iloc[0]
+        h, l, c, atr = (pdf[x].to_numpy(dtype=np.float64) for x in ("h", "l", "c", "atr"))  # noqa: E741
+        pivots = folds.zigzag(h, l, folds.ZIGZAG.get(tf, folds.ZIGZAG["1d"]))
+        confirms = np.array([p[1] for p in pivots], dtype=np.int64)
+        scan = np.arange(warm_up - 1, len(pdf), (every or {}).get(tf, 1))
+        rows, level, formed = [], None, -1
+        for k in scan[pdf["confirmed"].to_numpy()[scan] & (atr[scan] > 0)].tolist():
+            seen = int(np.searchsorted(confirms, k, side="right"))
+            if seen != formed:
+                level, formed = support_of(pivots[:seen], tolerance), seen
+            if level is None or c[k] >= level:
+                continue
+            heights, first = bounces_from(h[: k + 1], l[: k + 1], level, 0.3 * atr[k])
+            if len(heights) < 3 or heights[-1] >= heights[0] or k - first < 15:
+                continue
+            entry, mean = level - 0.1 * atr[k], float(heights.mean())
+            less = 1 - heights[-1] / heights[0] if heights[0] > 0 else 0.0
+            conf = 0.55 + min(0.08, (len(heights) - 3) * 0.03) + less * 0.10
+            rows.append((symbol, tf, pdf["ts"][k], k, len(heights), "short", entry, level + heights[0] + 0.2 * atr[k], entry - mean, entry - mean / 2, entry - mean, c[k], atr[k], conf))
+        return pd.DataFrame(rows, columns=list(_WAVE))
+
+    found = df.groupBy("symbol", "tf").applyInPandas(run, ", ".join(f"{k} {v}" for k, v in _WAVE.items()))
+    return setup_gate(found).select("symbol", "tf", "ts", "k", "bounces", "bias", "entry", "stop", "t1", "t2", "rr", "confidence")
+
+
+def support_of(pivots: list[tuple[int, int, float, str]], tolerance: float, touches: int = 3) -> float | None:
+    """Of the levels that hold lows, the one with most touches, `touches` at least, and of equals the lower; its mean price."""
+    price, low = (np.array(x) for x in zip(*sorted((p[2], p[3] == "low") for p in pivots), strict=True)) if pivots else (np.empty(0), np.empty(0))
+    if not len(price):
+        return None
+    starts = level_starts(price, tolerance)
+    n = np.diff(np.append(starts, len(price)))
+    held = np.flatnonzero((np.add.reduceat(low.astype(np.int64), starts) > 0) & (n >= touches))
+    if not len(held):
+        return None
+    best = held[n[held].argmax()]
+    return float(np.add.reduceat(price, starts)[best] / n[best])
+
+
+def bounces_from(h: np.ndarray, l: np.ndarray, level: float, reach: float) -> tuple[np.ndarray, int]:  # noqa: E741
+    """Heights of the bounces in order, and the bar of the first touch. A bounce goes from a low within `reach` of the level to the last bar before one below it."""
+    inside, touch = l > level - reach, np.abs(l - level) < reach
+    run = np.cumsum(~inside)  # bars of one run share a number
+    at = np.flatnonzero(touch)
+    if not len(at):
+        return np.empty(0), -1
+    starts = at[np.append(True, run[at][1:] != run[at][:-1])]
+    # a run ends before its first bar below; the pieces between are left out of the maxima
+    below = np.append(np.flatnonzero(~inside), len(h))
+    ends = below[np.searchsorted(below, starts)]
+    tops = np.maximum.reduceat(np.append(h, -np.inf), np.stack([starts, ends], axis=1).ravel())[::2]
+    return tops - level, int(starts[0])
+
+
 def _session_base(bars: DataFrame) -> DataFrame:
     """Bars with their place in the session (from 0), its open, extremes so far, the close before it, and the last 20 bars as arrays."""
     first = lambda x: F.first(x).over(I.session())

@@ -135,6 +135,12 @@ def tidal_wave(spark, sf_dir):
     return found[0].unionByName(found[1])
 
 
+def tidal_wave_scans(spark, sf_dir):
+    """At every bar of the live scan, for both intraday timeframes."""
+    found = [C.tidal_waves(folds.fold_series(fixtures.intraday(spark, sf_dir, m), ("atr",)), {"5min": 6, "15min": 4}) for m in (5, 15)]
+    return found[0].unionByName(found[1])
+
+
 def price_in_zone(spark, sf_dir):
     """Bars whose close lies in the zone of one of their series' levels."""
     levels = S.cluster_levels(_pivots(spark, sf_dir)).select("symbol", "tf", (F.col("price") - F.col("width")).alias("low"), (F.col("price") + F.col("width")).alias("high"))
@@ -260,7 +266,7 @@ def breakout_study(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        detect_daily, detect_daily_windows, detect_swing, detect_intraday, power_hour, chart_patterns, breaking_news, opening_range_break, ema_vwap_cross, fashionably_late, spencer, session_patterns, session_scalps, level_scalps, setup_gate, pivot_bonuses, neckline, tidal_wave, price_in_zone, results_sink, swing_pivots, swing_helpers, fit_trendline, detect_channel, cluster_levels, detect_breakouts, nearest_level, horizontal_levels, level_search, swing_window, as_of_regime,
+        detect_daily, detect_daily_windows, detect_swing, detect_intraday, power_hour, chart_patterns, breaking_news, opening_range_break, ema_vwap_cross, fashionably_late, spencer, session_patterns, session_scalps, level_scalps, setup_gate, pivot_bonuses, neckline, tidal_wave, tidal_wave_scans, price_in_zone, results_sink, swing_pivots, swing_helpers, fit_trendline, detect_channel, cluster_levels, detect_breakouts, nearest_level, horizontal_levels, level_search, swing_window, as_of_regime,
         feature_vector, detect_regime, regime_alignment, relative_strength, scan, scored_scan, walk_forward_backtest, breakout_study,
     )
 }
