@@ -277,22 +277,34 @@ def daily_detectors(p: dict | None = None) -> list[Detector]:
     return out
 
 
-def swing_detectors() -> list[Detector]:
-    """15-minute and hourly patterns."""
+#: Parameters of the 15-minute and hourly patterns, and of the 5-minute ones.
+SWING_PARAMS = {"keltner_atr": 2.0, "keltner_squeeze": 0.80, "keltner_volume": 1.5, "divergence_volume": 0.60, "divergence_move": 0.02}
+INTRADAY_PARAMS = {
+    "mean_reversion_z": 2.5, "pullback_near": 0.3, "gap_fade": 0.02, "vwap_far": 2.0, "vwap_sigma": 2.0, "gap_reversal_least": 0.005, "gap_reversal_most": 0.03,
+    "gap_reversal_retrace": 0.3, "drive_atr": 0.5, "drive_volume": 1.3, "climax_volume": 4.0, "vwap_trend_long": 0.75, "vwap_trend_short": 0.25, "vwap_trend_tests": 2.0,
+    "vwap_trend_near": 0.4, "rsi_long": 40.0, "rsi_short": 60.0, "midday_atr": 1.0, "midday_retrace": 0.3,
+}
+
+
+def swing_detectors(p: dict | None = None) -> list[Detector]:
+    """15-minute and hourly patterns; `p` overrides parameters by name."""
+    p = SWING_PARAMS | (p or {})
     c, o, h, l, v, atr, vwap, v20, n = _common()  # noqa: E741
     tfs = ("15min", "1h")
-    upper, lower, mid = F.col("emaf20") + 2 * atr, F.col("emaf20") - 2 * atr, F.col("emaf20")
-    ready = F.exists("band", lambda x: (x > lower) & (x < upper)) & F.coalesce((F.col("squeeze") <= 0.80) | (n < 25), F.lit(True)) & (v >= 1.5 * v20)
+    wide_by = p["keltner_atr"] * atr
+    upper, lower, mid = F.col("emaf20") + wide_by, F.col("emaf20") - wide_by, F.col("emaf20")
+    ready = F.exists("band", lambda x: (x > lower) & (x < upper)) & F.coalesce((F.col("squeeze") <= p["keltner_squeeze"]) | (n < 25), F.lit(True)) & (v >= p["keltner_volume"] * v20)
     out = _pair("keltner_breakout", tfs, 30, ready & (c > upper), ready & (c < lower), (mid - _offset(0.1), mid + _offset(0.1)), 1.5, 3, 0.58)
     m, m1, m2 = F.col("macd"), F.col("macd1"), F.col("macd2")
     out += _pair("macd_turn", tfs, 35, (m2 > m1) & (m > m1) & (m > 0) & (m1 < 0), (m2 < m1) & (m < m1) & (m < 0) & (m1 > 0), (F.col("lo5") - _offset(0.1), F.col("hi5") + _offset(0.1)), 1.5, 3, 0.55)
-    move, thin = c / F.col("c10") - 1, F.col("v5") < 0.60 * F.col("v5_before")
-    out += _pair("vp_divergence", tfs, 20, thin & (move < -0.02) & (c <= 1.005 * F.col("lo10")), thin & (move > 0.02) & (c >= 0.995 * F.col("hi10")), (F.col("lo5") - _offset(0.1), F.col("hi5") + _offset(0.1)), 1, 2, 0.55)
+    move, thin = c / F.col("c10") - 1, F.col("v5") < p["divergence_volume"] * F.col("v5_before")
+    out += _pair("vp_divergence", tfs, 20, thin & (move < -p["divergence_move"]) & (c <= 1.005 * F.col("lo10")), thin & (move > p["divergence_move"]) & (c >= 0.995 * F.col("hi10")), (F.col("lo5") - _offset(0.1), F.col("hi5") + _offset(0.1)), 1, 2, 0.55)
     return out
 
 
-def intraday_detectors() -> list[Detector]:
-    """5-minute patterns."""
+def intraday_detectors(p: dict | None = None) -> list[Detector]:
+    """5-minute patterns; `p` overrides parameters by name."""
+    p = INTRADAY_PARAMS | (p or {})
     c, o, h, l, v, atr, vwap, v20, n = _common()  # noqa: E741
     f, minute, hint = ("5min",), F.col("minute"), F.col("hint")
     bull, bear = hint == "trending_bull", hint == "trending_bear"
@@ -302,8 +314,8 @@ def intraday_detectors() -> list[Detector]:
     goal = F.when(vwap > 0, vwap).otherwise(c - F.col("z50") * F.col("std50"))
     conf = (0.58 + F.when(F.col("exhausted"), 0.05).otherwise(0.0)) * mult(hint == "mean_reverting", bull | bear)
     z, ok = F.col("z50"), hint.isin("mean_reverting", "mixed")
-    out += _pair("mean_reversion", f, 50, ok & (z < -2.5), ok & (z > 2.5), (F.least(F.col("lo10").cast("double"), c - atr) - atr, F.greatest(F.col("hi10").cast("double"), c + atr) + atr), 0, 0, conf, targets=[(c + (goal - c) / 2, goal), (c - (c - goal) / 2, goal)])
-    slope, near = F.col("emaf21") - F.col("ema21_before"), F.abs(c - F.col("emaf21")) <= 0.3 * atr
+    out += _pair("mean_reversion", f, 50, ok & (z < -p["mean_reversion_z"]), ok & (z > p["mean_reversion_z"]), (F.least(F.col("lo10").cast("double"), c - atr) - atr, F.greatest(F.col("hi10").cast("double"), c + atr) + atr), 0, 0, conf, targets=[(c + (goal - c) / 2, goal), (c - (c - goal) / 2, goal)])
+    slope, near = F.col("emaf21") - F.col("ema21_before"), F.abs(c - F.col("emaf21")) <= p["pullback_near"] * atr
     stops = (F.col("lo5") - _offset(0.1), F.col("hi5") + _offset(0.1))
     out += _pair("trend_pullback", f, 30, bull & (slope > 0) & near & (F.col("hi10") - F.col("lo5") >= atr) & F.coalesce(c >= vwap, F.lit(True)) & (F.col("reds") > 0) & (c > o),
         bear & (slope < 0) & near & (F.col("hi5") - F.col("lo10") >= atr) & F.coalesce(c <= vwap, F.lit(True)) & (F.col("greens") > 0) & (c < o), stops, 0, 0, (0.60 * mult(bull, F.lit(False)), 0.58 * mult(bear, F.lit(False))),
@@ -312,37 +324,37 @@ def intraday_detectors() -> list[Detector]:
     gap = first - prior
     share = gap / prior
     first3 = _mean(F.slice(_session(lambda x: x["v"].cast("double")), 1, 3))
-    fade = calm & minute.between(570, 630) & (F.abs(share) >= 0.02) & F.coalesce(first3 <= 3 * F.col("open_pre_all"), F.lit(True))
+    fade = calm & minute.between(570, 630) & (F.abs(share) >= p["gap_fade"]) & F.coalesce(first3 <= 3 * F.col("open_pre_all"), F.lit(True))
     out += _pair("gap_fade", f, 10, fade & (gap < 0) & (c > first), fade & (gap > 0) & (c < first), (first - 0.5 * F.abs(gap), first + 0.5 * F.abs(gap)), 0, 0, 0.55, targets=[((first + prior) / 2, prior), ((first + prior) / 2, prior)])
     spread = _std(_session(lambda x: x["c"] - vwap))
     sigma = F.try_divide(c - vwap, F.nullif(spread, F.lit(0.0)))
-    far = calm & minute.between(630, 840) & (F.col("day_bars") >= 10) & (F.abs(c - vwap) >= 2 * atr)
-    out += _pair("vwap_reversion", f, 30, far & (sigma < -2), far & (sigma > 2), (F.col("lo10") - _offset(0.2), F.col("hi10") + _offset(0.2)), 0, 0, conf, targets=[(vwap - spread, vwap), (vwap + spread, vwap)])
-    turned = minute.between(585, 630) & F.abs(share).between(0.005, 0.03)
+    far = calm & minute.between(630, 840) & (F.col("day_bars") >= 10) & (F.abs(c - vwap) >= p["vwap_far"] * atr)
+    out += _pair("vwap_reversion", f, 30, far & (sigma < -p["vwap_sigma"]), far & (sigma > p["vwap_sigma"]), (F.col("lo10") - _offset(0.2), F.col("hi10") + _offset(0.2)), 0, 0, conf, targets=[(vwap - spread, vwap), (vwap + spread, vwap)])
+    turned = minute.between(585, 630) & F.abs(share).between(p["gap_reversal_least"], p["gap_reversal_most"])
     mild = F.coalesce(F.col("first_v") <= 3 * F.col("open_pre20"), F.lit(True))
-    out += _pair("gap_reversal", f, 20, turned & (gap <= 0) & (c - first >= 0.3 * F.abs(gap)), turned & (gap > 0) & (first - c >= 0.3 * F.abs(gap)) & mild, (first - _offset(0.1), first + _offset(0.1)), 0, 0, 0.55, targets=[((c + prior) / 2, prior), ((c + prior) / 2, prior)])
+    out += _pair("gap_reversal", f, 20, turned & (gap <= 0) & (c - first >= p["gap_reversal_retrace"] * F.abs(gap)), turned & (gap > 0) & (first - c >= p["gap_reversal_retrace"] * F.abs(gap)) & mild, (first - _offset(0.1), first + _offset(0.1)), 0, 0, 0.55, targets=[((c + prior) / 2, prior), ((c + prior) / 2, prior)])
     six = F.slice("day_closes", 1, 6)
     drive = F.element_at(six, -1)["c"] - first
     volume6 = F.aggregate(six, F.lit(0).cast("long"), lambda a, x: a + x["v"])
-    driven = minute.between(600, 615) & (F.col("day_bars") >= 6) & (F.abs(drive) >= 0.5 * atr) & ((F.col("n0") <= 31) | (volume6 >= 1.3 * 6 * F.col("open_pre30")))
+    driven = minute.between(600, 615) & (F.col("day_bars") >= 6) & (F.abs(drive) >= p["drive_atr"] * atr) & ((F.col("n0") <= 31) | (volume6 >= p["drive_volume"] * 6 * F.col("open_pre30")))
     low6, high6 = F.array_min(F.transform(six, lambda x: x["l"])), F.array_max(F.transform(six, lambda x: x["h"]))
     out += _pair("opening_drive", f, 20, driven & (drive > 0), driven & (drive < 0), (low6 - _offset(0.1), high6 + _offset(0.1)), 1, 2, 0.56)
-    climax = minute.between(585, 930) & (v >= 4 * F.col("v30"))
+    climax = minute.between(585, 930) & (v >= p["climax_volume"] * F.col("v30"))
     conf = 0.56 + F.least(F.lit(0.10), (F.try_divide(v, F.nullif(F.col("v30"), F.lit(0.0))) - 3) * 0.02)
     at_high, at_low = (h >= 0.998 * F.col("hi20")) & (c < o), (l <= 1.002 * F.col("lo20")) & (c > o)
     out += _pair("volume_climax", f, 30, climax & at_low & ~at_high, climax & at_high, (l - _offset(0.1), h + _offset(0.1)), 1, 2, conf)
     above = F.size(F.filter("day_closes", lambda x: x["c"] > vwap)) / F.col("day_bars")
     tests = F.size(F.filter("day_closes", lambda x: ((F.abs(x["l"] - vwap) < 0.3 * atr) & (x["c"] > vwap)) | ((F.abs(x["h"] - vwap) < 0.3 * atr) & (x["c"] < vwap))))
-    along = minute.between(630, 870) & (F.col("day_bars") >= 24) & (tests >= 2) & (F.abs(c - vwap) <= 0.4 * atr)
-    out += _pair("vwap_trend", f, 40, along & (above > 0.75) & (c > vwap), along & (above < 0.25) & (c < vwap), (vwap - _offset(0.15), vwap + _offset(0.15)), 1, 2, 0.57)
+    along = minute.between(630, 870) & (F.col("day_bars") >= 24) & (tests >= p["vwap_trend_tests"]) & (F.abs(c - vwap) <= p["vwap_trend_near"] * atr)
+    out += _pair("vwap_trend", f, 40, along & (above > p["vwap_trend_long"]) & (c > vwap), along & (above < p["vwap_trend_short"]) & (c < vwap), (vwap - _offset(0.15), vwap + _offset(0.15)), 1, 2, 0.57)
     now, before = folds.rsi_wilder(F.col("closes20")), folds.rsi_wilder(F.slice("closes20", 1, 15))
     soft = minute.between(585, 930) & (v <= 1.2 * F.col("v10")) & (F.size("closes20") == 20)
-    out += _pair("rsi_divergence", f, 30, soft & (l < F.col("lo9_before")) & (now > before) & (now < 40), soft & (h > F.col("hi9_before")) & (now < before) & (now > 60), (l - _offset(0.1), h + _offset(0.1)), 1, 2, 0.55)
+    out += _pair("rsi_divergence", f, 30, soft & (l < F.col("lo9_before")) & (now > before) & (now < p["rsi_long"]), soft & (h > F.col("hi9_before")) & (now < before) & (now > p["rsi_short"]), (l - _offset(0.1), h + _offset(0.1)), 1, 2, 0.55)
     morning = F.filter("day_closes", lambda x: x["minute"] < 690)
     last = F.try_element_at(morning, F.lit(-1))["c"]
     move = last - first
-    noon = minute.between(690, 750) & (F.size(morning) >= 10) & (F.abs(move) >= atr)
-    out += _pair("midday_reversal", f, 30, noon & (move < 0) & (c - last >= 0.3 * F.abs(move)), noon & (move > 0) & (last - c >= 0.3 * move), (F.array_min(F.transform(morning, lambda x: x["l"])) - _offset(0.05), F.array_max(F.transform(morning, lambda x: x["h"])) + _offset(0.05)), 1, 2, 0.55)
+    noon = minute.between(690, 750) & (F.size(morning) >= 10) & (F.abs(move) >= p["midday_atr"] * atr)
+    out += _pair("midday_reversal", f, 30, noon & (move < 0) & (c - last >= p["midday_retrace"] * F.abs(move)), noon & (move > 0) & (last - c >= p["midday_retrace"] * move), (F.array_min(F.transform(morning, lambda x: x["l"])) - _offset(0.05), F.array_max(F.transform(morning, lambda x: x["h"])) + _offset(0.05)), 1, 2, 0.55)
     return out
 
 

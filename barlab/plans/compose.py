@@ -188,9 +188,10 @@ def with_param_table(detect_rows: DataFrame, params: DataFrame) -> DataFrame:
 
 
 def detectors_with_params(tfs: Iterable[str], params: DataFrame) -> list[D.Detector]:
-    """The catalogue with the daily detectors' parameters from a short table (name, value); names that no detector has are an error."""
+    """The catalogue with the detectors' parameters from a short table (name, value); names that no detector has are an error."""
     given = {r["name"]: float(r["value"]) for r in params.select("name", "value").collect()}  # a row for each parameter
-    if unknown := set(given) - set(D.DAILY_PARAMS):
+    sets = ((D.daily_detectors, D.DAILY_PARAMS), (D.swing_detectors, D.SWING_PARAMS), (D.intraday_detectors, D.INTRADAY_PARAMS))
+    if unknown := set(given) - {name for _, known in sets for name in known}:
         raise ValueError(f"no such parameters: {sorted(unknown)}")
-    daily = {d.name: d for d in D.daily_detectors(given)}
-    return [daily.get(d.name, d) for d in D.catalogue(tfs)]
+    made = {d.name: d for make, known in sets for d in make({k: v for k, v in given.items() if k in known})}
+    return [made.get(d.name, d) for d in D.catalogue(tfs)]

@@ -201,6 +201,11 @@ def test_sql_functions(spark):
     assert got == folds.zigzag(h, l, 0.03)
     few = compose.detectors_with_params(("1d",), spark.createDataFrame([("streak", 8.0)], "name string, value double"))
     assert len(few) == len(detect.catalogue(("1d",)))
+    # every pattern with a threshold takes it: one that nothing reaches silences both sides
+    strict = {"climax_volume": "volume_climax", "vwap_sigma": "vwap_reversion", "divergence_move": "vp_divergence", "keltner_volume": "keltner_breakout", "streak": "streak_reversal"}
+    given = compose.detectors_with_params(("5min", "15min", "1d"), spark.createDataFrame([(name, 987.0) for name in strict], "name string, value double"))
+    for pattern in strict.values():
+        assert all("987" in str(d.when) for d in given if d.name.startswith(pattern)) and sum(d.name.startswith(pattern) for d in given) == 2
     with pytest.raises(ValueError, match="no such"):
         compose.detectors_with_params(("1d",), spark.createDataFrame([("strike", 8.0)], "name string, value double"))
 

@@ -16,7 +16,8 @@ ALL = queries.oracle_sql()
 #: A cross section by default; TEST_ALL=1 for every query.
 SOME = ("resample_ohlcv", "multi_tf_bars", "upsert_bars", "write_bars", "sma", "session_vwap", "up_down_streak", "wilder_atr", "affine_scan", "barrier_resolve", "finalize_r", "param_sweep",
         "pattern_stats", "hot_score", "streak_runs", "drawdown_series", "merge_timeframes", "apply_verdicts", "recency_multiplier", "news_as_of_signals", "relevance_filter", "top_symbols",
-        "detect_daily_windows", "detect_regime", "adx", "zigzag", "price_in_zone", "trade_lifecycle", "relative_strength", "as_of_regime", "breakout_study", "stream_ticks_to_bars")
+        "detect_daily_windows", "detect_regime", "adx", "zigzag", "price_in_zone", "trade_lifecycle", "relative_strength", "as_of_regime", "breakout_study", "stream_ticks_to_bars",
+        "track_trades", "param_grid", "param_best", "horizontal_levels", "level_search", "swing_window", "stream_setup_day", "extend_series", "merge_tracked_and_fresh")
 
 
 def plain(value):
