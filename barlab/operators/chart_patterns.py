@@ -22,6 +22,7 @@ from barlab.operators.structures import level_starts
 #: Bars on either side of a swing by timeframe, and the price tick added to entries and stops.
 ORDER = {"5min": 3, "15min": 4, "1h": 3, "1d": 5}
 TICK = 2
+# Fixed values in the patterns below: shares of price, bar counts and confidences.
 SIGNAL = ("pattern", "bias", "entry", "stop", "target", "confidence")
 
 

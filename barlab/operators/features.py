@@ -101,6 +101,7 @@ def corr_grade(agreement: Column) -> Column:
     return F.when(agreement <= 30, "A").when(agreement <= 45, "B").when(agreement <= 60, "C").when(agreement <= 75, "D").otherwise("F")
 
 
+# Bounds and words of the labels.
 def corr_label(ret: Column, bench: Column) -> Column:
     """One of nine labels from the two returns in percent; moves within 0.05 are none."""
     up, down, bench_up, bench_down = ret > 0.05, ret < -0.05, bench > 0.05, bench < -0.05

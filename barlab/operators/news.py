@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Named entities, in order; the ampersand last.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+# Words that look like tickers and are none.
 STOP_TICKERS = ("USD", "EUR", "GBP", "JPY", "CAD", "AUD", "CHF", "ES", "NQ", "YM", "RTY", "CL", "GC")
 
 

@@ -83,7 +83,7 @@ def hot_score(streak: Column) -> Column:
 
 
 def hot_scores(outcomes: DataFrame) -> DataFrame:
-    joined = rolling_metrics(outcomes).join(recent_streak(outcomes), "pattern_name")
+    joined = rolling_metrics(outcomes).join(recent_streak(outcomes).hint("merge"), "pattern_name")
     return joined.withColumn("hot", F.round(hot_score(F.col("streak")), 6))
 
 

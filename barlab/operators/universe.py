@@ -48,10 +48,10 @@ def verify_square(bars: DataFrame) -> DataFrame:
 
 def missing_symbols(bars: DataFrame, reference: str) -> DataFrame:
     """Symbols of the reference timeframe that another timeframe lacks."""
-    want = bars.where(F.col("tf") == reference).select("symbol").distinct()
-    tfs = bars.where(F.col("tf") != reference).select("tf").distinct()
-    have = bars.select("tf", "symbol").distinct()
-    return F.broadcast(tfs).crossJoin(want).join(have, ["tf", "symbol"], "left_anti")  # a handful of timeframes
+    tfs = [r["tf"] for r in bars.where(F.col("tf") != reference).select("tf").distinct().collect()]  # a handful of timeframes
+    have = bars.groupBy("symbol").agg(F.collect_set("tf").alias("have")).where(F.array_contains("have", reference))
+    every = F.array(*map(F.lit, tfs)).cast("array<string>")
+    return have.select(F.explode(F.array_except(every, F.col("have"))).alias("tf"), "symbol")
 
 
 def verify_coverage(bars: DataFrame, target: str, share: float = 0.95) -> DataFrame:
