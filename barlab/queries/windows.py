@@ -36,7 +36,7 @@ def _columns(name: str, made, sql: dict[str, str], **more) -> None:
     _register(name, lambda df: df.withColumns(made()), sql, **more)
 
 
-PREV = f"prevs AS (SELECT *, {lag('c')} AS prev, {lag('h')} AS prev_h, {lag('l')} AS prev_l, c - {lag('c')} AS diff, {lag('c')} IS NOT NULL AS has, avg(v) OVER {over(-49)} AS v50, ln(c::DOUBLE / {lag('c')}) AS ret, {K} AS k FROM daily)"
+PREV = f"prevs AS (SELECT *, {lag('c')} AS prev, {lag('h')} AS prev_h, {lag('l')} AS prev_l, c - {lag('c')} AS diff, {lag('c')} IS NOT NULL AS has, avg(v) OVER {over(-49)} AS v50, CASE WHEN c::DOUBLE / nullif({lag('c')}, 0) > 0 THEN ln(c::DOUBLE / {lag('c')}) END AS ret, {K} AS k FROM daily)"
 
 
 def with_previous(df: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ STD = lambda p: f"CASE WHEN {K} >= {p} THEN stddev_pop(c) OVER {over(1 - p)} END
 _columns("rolling_std", lambda: {"std20": r6(I.rolling_std(20))}, {"std20": f"round({STD(20)}, 6)"})
 _columns("zscore", lambda: {"z20": r6(I.zscore(20))}, {"z20": f"round((c - avg(c) OVER {over(-19)}) / nullif({STD(20)}, 0), 6)"})
 _previous("log_returns", lambda: {"ret8": F.round("ret", 8), "pct": F.round(I.pct_return(), 8), "vol60": r6(I.annual_vol(60)), "vol252": r6(I.annual_vol(252))}, {
-    "ret8": "round(ret, 8)", "pct": "round(c::DOUBLE / prev - 1, 8)", **{f"vol{p}": f"CASE WHEN k > {p} THEN round(stddev_pop(ret) OVER {over(1 - p)} * sqrt(252), 6) END" for p in (60, 252)}})
+    "ret8": "round(ret, 8)", "pct": "round(c::DOUBLE / nullif(prev, 0) - 1, 8)", **{f"vol{p}": f"CASE WHEN k > {p} THEN round(stddev_pop(ret) OVER {over(1 - p)} * sqrt(252), 6) END" for p in (60, 252)}})
 _columns("roc", lambda: {f"roc{n}": F.round(I.roc(n), 8) for n in (5, 20, 60)}, {f"roc{n}": f"round(c::DOUBLE / {lag('c', n)} - 1, 8)" for n in (5, 20, 60)})
 _columns("rvol", lambda: {"rvol": F.round(I.rvol(), 8)}, {"rvol": f"CASE WHEN {K} >= 23 THEN round(avg(v) OVER {over(-2)} / nullif(avg(v) OVER {over(-22, -3)}, 0), 8) END"})
 _columns("donchian", lambda: {"high20": I.donchian_high(20), "low20": I.donchian_low(20)}, {"high20": f"CASE WHEN {K} > 20 THEN max(h) OVER {over(-20, -1)} END", "low20": f"CASE WHEN {K} > 20 THEN min(l) OVER {over(-20, -1)} END"})
@@ -94,9 +94,10 @@ _previous("acc_dist_days", lambda: dict(zip(("acc", "dist"), I.acc_dist_days(10)
 _previous("volume_bias", lambda: {"bias": r6(I.volume_bias())}, {"bias": f"CASE WHEN k > 20 THEN round(avg(CASE WHEN c > prev THEN v END) OVER {over(-19)} / avg(CASE WHEN c < prev THEN v END) OVER {over(-19)}, 6) END"})
 _previous("hh_hl_structure", lambda: I.structure_counts(), {k: f"(count(*) FILTER ({x}) OVER {over(-4)})" for k, x in (("hh", "h > prev_h"), ("lh", "h < prev_h"), ("hl", "l > prev_l"), ("ll", "l < prev_l"))})
 _columns("momentum_character", lambda: {"character": I.momentum_character(I.roc(21), I.roc(63))}, {
-    "character": f"CASE WHEN {lag('c', 63)} IS NULL THEN NULL WHEN c < {lag('c', 21)} THEN 'declining' WHEN c::DOUBLE / {lag('c', 21)} - 1 > (c::DOUBLE / {lag('c', 63)} - 1) / 3 THEN 'accelerating' ELSE 'decelerating' END"})
-_previous("vol_regime_label", lambda: {"label": I.vol_regime_label(F.round(I.annual_vol(60) / I.annual_vol(252), 8))}, {
-    "label": f"CASE WHEN k > 252 THEN CASE WHEN round(stddev_pop(ret) OVER {over(-59)} / stddev_pop(ret) OVER {over(-251)}, 8) < 0.7 THEN 'compressed' WHEN round(stddev_pop(ret) OVER {over(-59)} / stddev_pop(ret) OVER {over(-251)}, 8) > 1.4 THEN 'expanded' ELSE 'normal' END END"})
+    "character": f"CASE WHEN nullif({lag('c', 63)}, 0) IS NULL OR nullif({lag('c', 21)}, 0) IS NULL THEN NULL WHEN c::DOUBLE / {lag('c', 21)} - 1 < 0 THEN 'declining' WHEN c::DOUBLE / {lag('c', 21)} - 1 > (c::DOUBLE / {lag('c', 63)} - 1) / 3 THEN 'accelerating' ELSE 'decelerating' END"})
+_VOLS = f"round(stddev_pop(ret) OVER {over(-59)} / nullif(stddev_pop(ret) OVER {over(-251)}, 0), 8)"
+_previous("vol_regime_label", lambda: {"label": I.vol_regime_label(F.round(F.try_divide(I.annual_vol(60), I.annual_vol(252)), 8))}, {
+    "label": f"CASE WHEN k > 252 THEN CASE WHEN {_VOLS} < 0.7 THEN 'compressed' WHEN {_VOLS} > 1.4 THEN 'expanded' WHEN {_VOLS} IS NOT NULL THEN 'normal' END END"})
 _previous("rsi_simple", lambda: {"rsi": r6(I.rsi_simple())}, {
     "rsi": f"CASE WHEN k > 14 THEN CASE WHEN sum(greatest(-diff, 0)) OVER {over(-13)} = 0 THEN 100 ELSE round(100 - 100 / (1 + sum(greatest(diff, 0)) OVER {over(-13)}::DOUBLE / sum(greatest(-diff, 0)) OVER {over(-13)}), 6) END END"})
 _columns("range_mean_atr", lambda: {"atr": r6(I.range_mean_atr())}, {"atr": f"CASE WHEN {K} >= 14 THEN round(avg(h - l) OVER {over(-13)}, 6) END"})

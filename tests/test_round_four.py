@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -29,3 +31,59 @@ def test_streams_of_a_table_in_a_folder_of_files(spark, tmp_path, name):
     spark.range(300).select((F.col("id") + F.when(F.col("id") % 3 == 0, 400_000_000).otherwise(0)).alias("doc_id"), F.lit("text").alias("text")).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     mine, theirs = compared(spark, str(tmp_path), name, {"documents": f"{tmp_path}/documents.parquet/*.parquet"})
     assert mine == theirs and mine
+
+
+@pytest.fixture(scope="module")
+def below_zero(spark, tmp_path_factory) -> str:
+    """One daily series whose price walks from 1,000 to below 0 and stays there for two years."""
+    folder = str(tmp_path_factory.mktemp("below"))
+    i = F.col("id")
+    step = i * 37 % 401
+    cents = 401 * 100 + F.when(i < 900, F.floor(step / 4)).otherwise(step)
+    rows = spark.range(3200).select(
+        i.alias("l_orderkey"), F.lit(1).cast("long").alias("l_partkey"), F.lit(1).cast("long").alias("l_suppkey"), F.lit(1).alias("l_linenumber"), (i % 50 + 1).cast("double").alias("l_quantity"),
+        (cents / 100).alias("l_extendedprice"), F.timestamp_add("DAY", F.floor(i / 4), F.lit("1995-01-02").cast("timestamp_ntz")).alias("l_shipdate"),
+    )
+    rows.coalesce(1).write.parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame([(1, "STANDARD", "Brand#11")], "p_partkey long, p_type string, p_brand string").coalesce(1).write.parquet(f"{folder}/part.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["log_returns", "vol_regime_label", "momentum_character", "feature_vector", "detect_daily", "detect_daily_windows", "scan", "scored_scan"])
+def test_prices_that_are_not_above_zero(spark, below_zero, name):
+    mine, theirs = compared(spark, below_zero, name, {t: f"{below_zero}/{t}.parquet/*.parquet" for t in ("lineitem", "part")})
+    assert mine == theirs
+    if name.startswith("detect_daily"):
+        assert mine and not any("high_momentum_52w" in row for row in mine if "1996-06" < row[-1])
+
+
+def test_ticks_of_one_instant_and_different_prices_are_kept(spark, tmp_path):
+    at = F.timestamp_add("SECOND", F.floor(F.col("id") / 4), F.lit("2024-01-01").cast("timestamp_ntz"))
+    spark.range(80).select(F.col("id").alias("event_id"), at.alias("ts"), F.lit("view").alias("event_type"), (F.col("id") % 3 + 0.5).alias("value")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    mine, theirs = compared(spark, str(tmp_path), "stream_dedup_bars", {"events": f"{tmp_path}/events.parquet/*.parquet"})
+    assert mine == theirs and len(mine) == 60
+
+
+def test_streak_runs_join_only_the_ends_of_days(spark):
+    from itertools import groupby
+
+    from barlab.operators import perf
+
+    r = [(i * i * 7 // 11 + i // 9) % 5 - 2 for i in range(400)]
+    r[150:260] = [3] * 110  # a run over several days
+    rows = [(f"{i:04d}", i // 20, x) for i, x in enumerate(r)]
+    trades = spark.createDataFrame(rows, "id string, d int, r_milli long").withColumn("closed_at", F.timestamp_add("DAY", F.col("d"), F.lit("2024-01-01").cast("timestamp_ntz")))
+    want = []
+    for (sign, _), run in groupby(rows, key=lambda x: ((x[2] > 0) - (x[2] < 0), x[0] if x[2] == 0 else "")):
+        run = list(run)
+        want.append((sign, len(run), sum(x[2] for x in run), run[0][1], run[-1][1]))
+    day = lambda c: F.datediff(c, F.lit("2024-01-01"))
+    found = perf.streak_runs(trades)
+    got = [tuple(x) for x in found.select("sign", "length", "total", day("first_day"), day("last_day")).collect()]
+    assert sorted(got) == sorted(want)
+    best = [n for s, n, *_ in want if s > 0], [n for s, n, *_ in want if s < 0]
+    assert tuple(perf.streaks(trades).first()) == (max(best[0]), max(best[1]), want[-1][0] * want[-1][1])
+    # what the one ordered task sees is cut down to the days' ends first
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    first = max(k for k, x in enumerate(plan) if re.search(r"\], \[day#\d+ ASC NULLS FIRST, run#\d+ ASC NULLS FIRST\]$", x))
+    assert any("Filter" in x and "last#" in x for x in plan[first + 1 : first + 4])
