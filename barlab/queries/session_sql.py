@@ -20,7 +20,7 @@ def _roc(n: int) -> str:
 
 
 _FEATURES = f"""{_D}, {ATR_SQL}, {ema_sql('a', 9, False)}, {ema_sql('b', 21, False)},
-  f AS (SELECT d.symbol, d.ts, d.k, d.h, d.l, d.c, v, atr.y AS atr, a.y AS e9, b.y AS e21, ln(c::DOUBLE / (c - diff)) AS ret FROM d LEFT JOIN atr USING (symbol, k) LEFT JOIN a USING (symbol, k) LEFT JOIN b USING (symbol, k) JOIN (SELECT symbol, ts, v FROM daily) USING (symbol, ts)),
+  f AS (SELECT d.symbol, d.ts, d.k, d.h, d.l, d.c, v, atr.y AS atr, a.y AS e9, b.y AS e21, CASE WHEN c::DOUBLE / nullif(c - diff, 0) > 0 THEN ln(c::DOUBLE / (c - diff)) END AS ret FROM d LEFT JOIN atr USING (symbol, k) LEFT JOIN a USING (symbol, k) LEFT JOIN b USING (symbol, k) JOIN (SELECT symbol, ts, v FROM daily) USING (symbol, ts)),
   x AS (SELECT *, CASE WHEN count(atr) OVER {over(-1000000)} >= 19 AND quantile_cont(atr, 0.5) OVER {over(-73, -14)} > 0 THEN atr / quantile_cont(atr, 0.5) OVER {over(-73, -14)} ELSE 1 END AS ratio,
     stddev_pop(ret) OVER {over(-9)} / nullif(stddev_pop(ret) OVER {over(-59)}, 0) AS vr, avg(v) OVER {over(-2)} / nullif(avg(v) OVER {over(-22, -3)}, 0) AS rv, {_roc(5)} AS r5, {_roc(20)} AS r20, {_roc(60)} AS r60,
     CASE WHEN k >= 20 THEN avg(c) OVER {over(-19)} END AS s20, CASE WHEN k >= 50 THEN avg(c) OVER {over(-49)} END AS s50, CASE WHEN k >= 200 THEN avg(c) OVER {over(-199)} END AS s200, stddev_pop(c) OVER {over(-19)} AS dev,
