@@ -85,5 +85,24 @@ def test_streak_runs_join_only_the_ends_of_days(spark):
     assert tuple(perf.streaks(trades).first()) == (max(best[0]), max(best[1]), want[-1][0] * want[-1][1])
     # what the one ordered task sees is cut down to the days' ends first
     plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
-    first = max(k for k, x in enumerate(plan) if re.search(r"\], \[day#\d+ ASC NULLS FIRST, run#\d+ ASC NULLS FIRST\]$", x))
+    first = max(k for k, x in enumerate(plan) if re.search(r"\], \[day#\d+ ASC NULLS FIRST, run#\d+L? ASC NULLS FIRST\]$", x))
     assert any("Filter" in x and "last#" in x for x in plan[first + 1 : first + 4])
+
+
+def test_prices_give_the_setups_that_a_bar_changes():
+    from barlab.streaming import tracker as T
+
+    made = lambda i: {"bias": 1 if i % 2 else -1, "entry": 1000 + i * 7 % 60, "status": "PENDING"}
+    setups = {i: {**(s := made(i)), "stop": s["entry"] - s["bias"] * 30, "t1": s["entry"] + s["bias"] * 30, "t2": s["entry"] + s["bias"] * 60, "risk": 30} for i in range(60)}
+    plain, index = {k: dict(s) for k, s in setups.items()}, T.Prices()
+    for k, s in setups.items():
+        index.add(k, s)
+    for i in range(80):
+        bar = (1030 + i * 37 % 90 + i % 5, 1030 + i * 37 % 90 - i % 4 - 40, 1030 + i * 37 % 90 - 20)
+        want = sorted((k, *e) for k, s in plain.items() if s["status"] not in T.ENDS for e in T.advance(s, *bar))
+        got = []
+        for k in index.hit(setups, *bar):
+            got += [(k, *e) for e in T.advance(setups[k], *bar)]
+            if setups[k]["status"] not in T.ENDS:
+                index.add(k, setups[k])
+        assert sorted(got) == want
