@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+import statistics
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from barlab import queries
+from barlab.operators import detect
 from tests.test_oracle import plain
 
 
@@ -106,3 +108,19 @@ def test_prices_give_the_setups_that_a_bar_changes():
             if setups[k]["status"] not in T.ENDS:
                 index.add(k, setups[k])
         assert sorted(got) == want
+
+
+def test_the_spread_of_a_session_is_a_running_one(spark):
+    """Two days of 288 bars: the closes' deviation so far, carried from bar to bar; no pattern walks the day's closes within a walk of them."""
+    i = F.col("id")
+    close = 10_000 + i * i * 7919 % 301
+    bars = spark.range(576).select(
+        F.lit("a").alias("symbol"), F.lit("5min").alias("tf"), F.timestamp_add("MINUTE", i * 5, F.lit("2024-01-01").cast("timestamp_ntz")).alias("ts"),
+        (close - 3).alias("o"), (close + 5).alias("h"), (close - 6).alias("l"), close.alias("c"), (i % 9 + 1).alias("v"),
+    )
+    rows = detect.wide(bars).select("ts", "c", "day_std").orderBy("ts").collect()
+    for day in (rows[:288], rows[288:]):
+        for n in (1, 2, 50, 287, 288):
+            assert day[n - 1]["day_std"] == pytest.approx(statistics.pstdev([r["c"] for r in day[:n]]), abs=1e-9)
+    reversions = [d for d in detect.intraday_detectors() if d.name.startswith("vwap_reversion")]
+    assert len(reversions) == 2 and not any("day_closes" in str(x) for d in reversions for x in (d.when, d.t1, d.t2))
