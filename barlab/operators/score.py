@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlab.operators.stats import clip
+from barlab.sources.bars import materialised
+
+#: A pattern's name as a key that is never null.
+_PATTERN = ("__pattern", "__unnamed")
 
 # Weights of the features by strategy type, and of the composite.
 FEATURES = ("momentum", "volatility", "vol_compression", "volume", "trend", "breakout", "mean_reversion", "regime")
@@ -145,23 +149,37 @@ def portfolio_heat(positions: DataFrame, budget: float) -> DataFrame:
     return sums.withColumns({"net": F.col("long_value") - F.col("short_value"), "gross": F.col("long_value") + F.col("short_value"), "left": F.lit(budget) - F.col("heat"), "can_add": F.col("heat") < budget})
 
 
-def _prior(first: int, last: int):
-    return Window.partitionBy("pattern_name").orderBy("closed_at", "id").rowsBetween(first, last)
-
-
 def strategy_multiplier() -> Column:
     """From the win rate of all earlier trades: 0.3 to 0.7 onto 0.5 to 2, once there are ten."""
-    before = _prior(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("pattern_name").orderBy("closed_at", "id").rowsBetween(Window.unboundedPreceding, -1)
     n, wins = F.count("*").over(before), F.count_if(F.col("r_milli") > 0).over(before)
     return F.when(n >= 10, F.greatest(F.lit(0.5), F.least(F.lit(2.0), 0.5 + (wins / n - 0.3) / 0.4 * 1.5))).otherwise(1.0)
 
 
-def recency_multiplier() -> Column:
-    """The last 20 trades count twice against those of the last 200; 1 under 50 trades."""
-    recent, older = _prior(-20, -1), _prior(-200, -21)
-    n = F.count("*").over(_prior(-200, -1))
-    edge = (2 * F.sum("r_milli").over(recent) + F.sum("r_milli").over(older)) / (2 * F.count("*").over(recent) + F.count("*").over(older)) / 1000.0
-    return F.when(n < 50, 1.0).when(edge >= 0.15, 1.25).when(edge >= 0, 1.0).when(edge >= -0.1, 0.75).when(edge >= -0.3, 0.5).otherwise(0.25)
+def recency_multiplier(trades: DataFrame, chunk: int = 65_536) -> DataFrame:
+    """id and multiplier: a pattern's last 20 trades count twice against those of the last 200; 1 under 50 trades.
+
+    Trades are numbered along their pattern in two levels, by day and then within days, and dealt out in chunks of these numbers; a
+    chunk begins with the 200 trades before it. The sums are differences of running ones, so a trade costs the same whatever the span. A chunk is
+    of 200 trades at least.
+    """
+    day = [*_PATTERN, "__day"]
+    keyed = trades.select("id", "closed_at", "r_milli", F.coalesce("pattern_name", F.lit("")).alias("__pattern"), F.col("pattern_name").isNull().alias("__unnamed"), F.to_date("closed_at").alias("__day"))
+    keyed = materialised(keyed)
+    earlier = F.sum("__n").over(Window.partitionBy(*_PATTERN).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1))
+    days = keyed.groupBy(*day).agg(F.count("*").alias("__n")).select(*day, F.coalesce(earlier, F.lit(0)).alias("__base"))
+    within = F.row_number().over(Window.partitionBy(*day).orderBy("closed_at", "id"))
+    numbered = keyed.join(days.hint("merge"), day).select("id", "r_milli", *_PATTERN, (F.col("__base") + within - 1).alias("k"))
+    own = F.floor(F.col("k") / chunk)
+    twice = F.when(F.col("k") % chunk >= chunk - 200, F.array(own, own + 1)).otherwise(F.array(own))
+    dealt = numbered.withColumns({"__own": own, "__chunk": F.explode(twice)})
+    along = Window.partitionBy(*_PATTERN, "__chunk").orderBy("k")
+    dealt = dealt.withColumn("__sum", F.coalesce(F.sum("r_milli").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    dealt = dealt.withColumns({"__sum20": F.lag("__sum", 20, 0).over(along), "__sum200": F.lag("__sum", 200, 0).over(along)}).where("__chunk = __own")
+    n, recent = F.least(F.col("k"), F.lit(200)), F.least(F.col("k"), F.lit(20))
+    edge = F.try_divide(2 * (F.col("__sum") - F.col("__sum20")) + F.col("__sum20") - F.col("__sum200"), recent + n) / 1000.0
+    multiplier = F.when(n < 50, 1.0).when(edge >= 0.15, 1.25).when(edge >= 0, 1.0).when(edge >= -0.1, 0.75).when(edge >= -0.3, 0.5).otherwise(0.25)
+    return dealt.select("id", multiplier.alias("multiplier"))
 
 
 def drawdown_multiplier(drawdown_pct: Column) -> Column:

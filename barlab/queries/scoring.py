@@ -127,9 +127,18 @@ _add("portfolio_heat", lambda s: score.portfolio_heat(_sized(s).withColumn("acco
 _W = "OVER (PARTITION BY pattern_name ORDER BY closed_at, id ROWS BETWEEN {} PRECEDING AND {} PRECEDING)"
 _add("strategy_multiplier", lambda s: s.select("id", r6(score.strategy_multiplier(), "multiplier")),
     f", w AS (SELECT id, count(*) {_W.format('UNBOUNDED', 1)} AS n, count(*) FILTER (r_milli > 0) {_W.format('UNBOUNDED', 1)} AS w FROM setups) SELECT id, round(CASE WHEN n >= 10 THEN greatest(0.5, least(2.0, 0.5::DOUBLE + (w::DOUBLE / n - 0.3::DOUBLE) / 0.4::DOUBLE * 1.5::DOUBLE)) ELSE 1 END, 6) AS multiplier FROM w")
-_add("recency_multiplier", lambda s: s.select("id", score.recency_multiplier().alias("multiplier")),
-    f", w AS (SELECT id, count(*) {_W.format(200, 1)} AS n, (2 * sum(r_milli) {_W.format(20, 1)} + sum(r_milli) {_W.format(200, 21)})::DOUBLE / (2 * count(*) {_W.format(20, 1)} + count(*) {_W.format(200, 21)}) / 1000.0::DOUBLE AS e FROM setups) "
-    "SELECT id, (CASE WHEN n < 50 THEN 1.0 WHEN e >= 0.15 THEN 1.25 WHEN e >= 0 THEN 1 WHEN e >= -0.1 THEN 0.75 WHEN e >= -0.3 THEN 0.5 ELSE 0.25 END)::DOUBLE AS multiplier FROM w")
+
+def _recency(spark, sf_dir: str) -> DataFrame:
+    """Only what it reads goes through the union: ids, results and what orders them."""
+    known = fixtures.trades(spark, sf_dir).select("id", "pattern_name", "r_milli", "closed_at", "src_rank", *fixtures.TRADE_TIES)
+    return score.recency_multiplier(store.history_union(known, fixtures.TRADE_TIES))
+
+
+QUERIES["recency_multiplier"] = _recency
+ORACLE_SQL["recency_multiplier"] = (
+    f"WITH {SETUPS} , w AS (SELECT id, count(*) {_W.format(200, 1)} AS n, (2 * sum(r_milli) {_W.format(20, 1)} + sum(r_milli) {_W.format(200, 21)})::DOUBLE / (2 * count(*) {_W.format(20, 1)} + count(*) {_W.format(200, 21)}) / 1000.0::DOUBLE AS e FROM setups) "
+    "SELECT id, (CASE WHEN n < 50 THEN 1.0 WHEN e >= 0.15 THEN 1.25 WHEN e >= 0 THEN 1 WHEN e >= -0.1 THEN 0.75 WHEN e >= -0.3 THEN 0.5 ELSE 0.25 END)::DOUBLE AS multiplier FROM w"
+)
 _add("drawdown_multiplier", lambda s: perf.drawdown(s).select("day", score.drawdown_multiplier(F.col("drawdown") / 1000).alias("multiplier")),
     ", e AS (SELECT day, (sum(sum(r_milli)) OVER (ORDER BY day))::BIGINT AS q FROM setups GROUP BY 1), p AS (SELECT day, greatest(0, max(q) OVER (ORDER BY day)) - q AS dd FROM e) SELECT day, (CASE WHEN dd >= 15000 THEN 0.25 WHEN dd >= 10000 THEN 0.5 WHEN dd >= 5000 THEN 0.75 ELSE 1 END)::DOUBLE AS multiplier FROM p")
 _add("strategy_summary", lambda s: s.groupBy("pattern_name").agg(F.count("*").alias("n"), F.round(F.count_if(F.col("r_milli") > 0) / F.count("*"), 6).alias("wr"), F.sum("r_milli").alias("total")), "SELECT pattern_name, count(*) AS n, round(count(*) FILTER (r_milli > 0)::DOUBLE / count(*), 6) AS wr, sum(r_milli)::BIGINT AS total FROM setups GROUP BY 1")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barlab import queries
-from barlab.operators import detect
+from barlab.operators import detect, score
 from tests.test_oracle import plain
 
 
@@ -124,3 +124,19 @@ def test_the_spread_of_a_session_is_a_running_one(spark):
             assert day[n - 1]["day_std"] == pytest.approx(statistics.pstdev([r["c"] for r in day[:n]]), abs=1e-9)
     reversions = [d for d in detect.intraday_detectors() if d.name.startswith("vwap_reversion")]
     assert len(reversions) == 2 and not any("day_closes" in str(x) for d in reversions for x in (d.when, d.t1, d.t2))
+
+
+def test_recent_trades_by_running_sums_in_chunks(spark):
+    """Three patterns, one without a name, in chunks of 256 trades, against a plain loop; no frame adds up a trade's 200 predecessors."""
+    rows = [(f"{i:05d}", (None, "a", "b")[0 if i % 50 == 7 else 1 + i % 7 // 6], i * i * 31 // 17 % 40, (i * i * 13 // 7 + i // 90) % 801 - 420 + (i * i * 31 // 17 % 40 % 7 - 3) * 120) for i in range(3000)]
+    trades = spark.createDataFrame(rows, "id string, pattern_name string, d int, r_milli long").withColumn("closed_at", F.timestamp_add("DAY", F.col("d"), F.lit("2024-01-01").cast("timestamp_ntz")))
+    want = {}
+    for pattern in (None, "a", "b"):
+        ordered = sorted((d, i, r) for i, p, d, r in rows if p == pattern)
+        for k, (_, i, _) in enumerate(ordered):
+            recent, older = [[r for *_, r in ordered[max(0, k - a) : max(0, k - b)]] for a, b in ((20, 0), (200, 20))]
+            edge = (2 * sum(recent) + sum(older)) / (2 * len(recent) + len(older)) / 1000 if k else 0
+            want[i] = 1.0 if k < 50 else next((m for least, m in ((0.15, 1.25), (0, 1.0), (-0.1, 0.75), (-0.3, 0.5)) if edge >= least), 0.25)
+    found = score.recency_multiplier(trades, chunk=256)
+    assert {i: m for i, m in found.collect()} == want and found.count() == len(rows) and len(set(want.values())) > 2
+    assert not re.search(r"RowFrame, -\d+", found._jdf.queryExecution().optimizedPlan().toString().replace("RowFrame, -20, -20", "").replace("RowFrame, -200, -200", ""))
